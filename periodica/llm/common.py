@@ -84,3 +84,27 @@ def cut(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def map_text(df: DataFrame, change: Callable[[str | None], str | None], text: str = "text", max_bytes: int = 8 << 20) -> DataFrame:
+    """``df`` with ``text`` changed value by value; every other column stays, but ``n_chars`` follows the text."""
+    arrow = None
+    names = df.columns
+    at = names.index(text)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(df.schema)
+    counts = names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches):
+        for b in pieces(batches, at, max_bytes):
+            values = [change(t) for t in b.column(at).to_pylist()]
+            cols = list(b.columns)
+            cols[at] = pa.array(values, arrow.field(at).type)
+            if counts is not None:
+                old = b.column(at).to_pylist()
+                kept = b.column(counts).to_pylist()
+                cols[counts] = pa.array([n if v == o else len(v) for n, v, o in zip(kept, values, old)], arrow.field(counts).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+
+    return df.mapInArrow(run, df.schema)

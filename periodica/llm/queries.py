@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from periodica.llm import quality_rules
+from periodica.llm import license_scan, quality_rules, secret_scan, token_counts, warc_archive
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": quality_rules.op1_quality_rules}
+    return {
+        "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op5_warc_archive": warc_archive.op5_warc_archive,
+        "op7_license_scan": license_scan.op7_license_scan,
+        "op9_token_counts": token_counts.op9_token_counts,
+        "op10_secret_scan": secret_scan.op10_secret_scan,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_rules": quality_rules.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op5_warc_archive": warc_archive.ORACLE}
