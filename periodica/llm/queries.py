@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from periodica.llm import license_scan, quality_rules, secret_scan, token_counts, warc_archive
+from periodica.llm import license_scan, packing, quality_rules, secret_scan, simhash_dedup, token_counts, warc_archive
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op3_packing": packing.op3_packing,
         "op5_warc_archive": warc_archive.op5_warc_archive,
         "op7_license_scan": license_scan.op7_license_scan,
+        "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_secret_scan": secret_scan.op10_secret_scan,
     }
