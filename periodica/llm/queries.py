@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from periodica.llm import license_scan, packing, quality_rules, secret_scan, simhash_dedup, token_counts, warc_archive
+from periodica.llm import license_scan, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts, warc_archive
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op3_packing": packing.op3_packing,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_warc_archive": warc_archive.op5_warc_archive,
         "op7_license_scan": license_scan.op7_license_scan,
         "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,

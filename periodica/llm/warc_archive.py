@@ -44,19 +44,18 @@ def write(pages: DataFrame, path: str, min_revisit: int = 100, date: str = "1970
     keyed = _keyed(pages)
     payloads = keyed.groupBy("digest").agg(
         F.min("page_id").alias("first_page"),
-        F.min_by("payload", "page_id").alias("by_page"),
+        F.min_by("payload", F.coalesce("page_id", F.lit((1 << 63) - 1))).alias("payload"),
         F.min("n").alias("n"),
         F.max("n").alias("n_most"),
         F.min(F.xxhash64("payload")).alias("h"),
         F.max(F.xxhash64("payload")).alias("h_most"),
-        F.first("payload").alias("any_payload"),
     )
     same = (F.col("n") == F.col("n_most")) & (F.col("h") == F.col("h_most"))
     payloads = payloads.select(
         F.when(same, F.col("digest")).otherwise(F.raise_error(F.lit("two payloads share a digest"))).alias("digest"),
         "first_page",
         "n",
-        F.coalesce("by_page", "any_payload").alias("payload"),
+        "payload",
     )
     payloads.write.parquet(f"{path}/payloads")
 
