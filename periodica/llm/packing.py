@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import os
+import re
 import zlib
 
 import numpy as np
@@ -47,48 +49,91 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Where a text's words can be brought to fewer forms: no letter can join a mark, no special token can appear, and every
+#: comma or full stop before a space follows a plain Latin letter or a digit, so that it is no part of a longer run.
+_MARKS = re.compile("[\u0300-\u036f]")
+_RUNS = re.compile("[.,](?<![0-9A-Za-zÀ-ÖØ-öø-ÿ][.,]) ")
+_PLAIN_WORD = re.compile("[a-zß-öø-ÿ]+").fullmatch
+
+
+def chunks(text: str) -> list[str]:
+    """Strings whose token ids, in a row, are those of ``text``.
+
+    The tokenizer drops white space, never joins across it, lower-cases, and splits letters from punctuation.
+    """
+    t = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+    if "<|" not in t and (t.isascii() or not _MARKS.search(t)):
+        t = t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    if not _RUNS.search(t):
+        t = t.replace(", ", " , ").replace(". ", " . ")
+    return t.split(" ")
+
+
+class _Index(dict):
+    """Numbers of chunks in order of appearance; the unknown are numbered when they are asked for."""
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
+
+
+@functools.lru_cache(1)
+def _byte_letters() -> list[str]:
+    """The letter by which byte-level vocabularies write each byte: printable Latin-1 as it is, the rest above 255."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    at = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    return [at[b] for b in range(256)]
+
+
 class Encoder:
-    """Token ids of texts, with the ids of white-space separated chunks remembered.
+    """Token ids of texts, with the ids of their chunks remembered.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its chunks' ids in a row.
     ``remembered`` bounds the chunks kept from call to call and changes no result.
     """
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 600_000):
         self.path, self.remembered = path, remembered
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {"": 0}
-        self.starts, self.sizes, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def learn(self, chunks: list[str]) -> None:
-        ids = [e.ids for e in _tokenizer(self.path).encode_batch_fast(chunks, add_special_tokens=False)]
+        self.index = _Index()
+        self.index.new = []
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self) -> None:
+        """Token ids of the new chunks: a lower-case Latin word goes straight to the model, anything else the whole way."""
+        new, self.index.new = self.index.new, []
+        whole = _tokenizer(self.path)
+        word, letters = whole.model.tokenize, _byte_letters()
+        ids: list[list[int]] = [()] * len(new)
+        other = []
+        for k, c in enumerate(new):
+            if _PLAIN_WORD(c):
+                ids[k] = [t.id for t in word(c if c.isascii() else "".join([letters[b] for b in c.encode()]))]
+            elif c:
+                other.append(k)
+        for k, e in zip(other, whole.encode_batch_fast([new[k] for k in other], add_special_tokens=False)):
+            ids[k] = e.ids
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, *(np.array(x, np.uint32) for x in ids)])
-        n = len(self.index)
-        self.index.update((c, n + k) for k, c in enumerate(chunks))
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
 
     def __call__(self, texts: list[str], end: int) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = {c for s in split for c in s if c not in self.index}
-        if len(self.index) + len(new) > self.remembered:
+        if len(self.index) > self.remembered:
             self.clear()
-            new = {c for s in split for c in s if c}
-        if new:
-            self.learn(list(new))
-        out, index = [], self.index
-        for s in split:
-            at = np.fromiter((index[c] for c in s), np.int64, len(s))
-            sizes = self.sizes[at]
-            total = int(sizes.sum())
-            ids = np.empty(total + 1, np.uint32)
-            ids[:total] = self.flat[np.arange(total) + np.repeat(self.starts[at] - (np.cumsum(sizes) - sizes), sizes)]
-            ids[total] = end
-            out.append(ids)
-        return out
+        number = self.index.__getitem__
+        numbers = [list(map(number, chunks(t))) for t in texts]
+        if self.index.new:
+            self.learn()
+        at = np.array(list(itertools.chain.from_iterable(numbers)), np.int64)
+        sizes = self.sizes[at]
+        before = np.cumsum(sizes) - sizes
+        flat = self.flat[np.arange(int(sizes.sum())) + np.repeat(self.starts[at] - before, sizes)]
+        edges = np.concatenate([before, [len(flat)]])[np.cumsum([0, *map(len, numbers)])]
+        return [np.append(flat[a:b], np.uint32(end)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
 
 def cuts(n: int, capacity: int, slack: float) -> list[int]:
