@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from periodica.llm import license_scan, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts, warc_archive
+from periodica.llm import decontamination, license_scan, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts, warc_archive
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_packing": packing.op3_packing,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_warc_archive": warc_archive.op5_warc_archive,
+        "op6_decontamination": decontamination.op6_decontamination,
         "op7_license_scan": license_scan.op7_license_scan,
         "op8_simhash_dedup": simhash_dedup.op8_simhash_dedup,
         "op9_token_counts": token_counts.op9_token_counts,
