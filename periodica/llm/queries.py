@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from periodica.llm import decontamination, license_scan, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts, warc_archive
+from periodica.llm import decontamination, html_extraction, license_scan, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts, warc_archive
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_html_extraction": html_extraction.op2_html_extraction,
         "op3_packing": packing.op3_packing,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_warc_archive": warc_archive.op5_warc_archive,
