@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from periodica.llm import quality_rules
+from periodica.llm import decontamination, packing, quality_rules, secret_scan, simhash_dedup
 from periodica.llm.common import cut, table
 
 
@@ -11,8 +11,35 @@ def quality(spark, docs, sf_dir):
     return quality_rules.clean(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def near_duplicates(spark, docs, sf_dir):
+    """One document, that of the smallest id, of each group of near copies."""
+    return simhash_dedup.dedup(docs, **simhash_dedup.NEAR_COPIES)
 
+
+def benchmark(spark, docs, sf_dir):
+    """Documents that share no passage with a benchmark item."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark, docs, sf_dir):
+    """All documents, with secrets replaced by a mark."""
+    return secret_scan.redact(docs)
+
+
+def pack(spark, docs, sf_dir):
+    """The pieces of all documents in sequences of a fixed capacity."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("simhash_dedup", near_duplicates),
+    ("decontamination", benchmark),
+    ("secret_scan", secrets),
+    ("packing", pack),
+]
+
+#: Fingerprints, fuzzy matches and token ids are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
