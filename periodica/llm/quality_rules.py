@@ -18,10 +18,12 @@ by their 64-bit hash chained over the words.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from periodica.llm.common import WORD, WS, let, text_or_empty, table
+from periodica.llm.common import WORD, WS, let, table
 
 # Symbols of the base rule, and the phrases of the boilerplate rule.
 SYMBOLS = "#*$%&|<>"
@@ -35,8 +37,15 @@ SEPARATORS = "[|»›•]"
 SENTENCE_END = rf"""[.!?…]["'”»)]*([{WS}]|$)"""
 
 
+def without(text: Column, chars: str, mark: str = "") -> Column:
+    """``text`` with ``mark`` for each of ``chars``; scans bytes, so it costs less than a regular expression."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(mark))
+    return text
+
+
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, rf"[{WS}]+"), lambda w: w != "")
+    return F.filter(F.split(without(text, "\t\n\x0b\x0c\r", " "), " "), lambda w: w != "")
 
 
 def repeat_words(words: Column) -> Column:
@@ -44,14 +53,14 @@ def repeat_words(words: Column) -> Column:
     n = F.size(words)
 
     def covered(hashes: Column) -> Column:
-        ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def of(s: Column) -> Column:
             twice = F.filter(
                 s, lambda x, j: F.coalesce(F.get(s, j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, j + 1)["h"] == x["h"], F.lit(False))
             )
             return let(
-                F.array_sort(F.transform(twice, lambda x: x["i"])),
+                F.sort_array(F.transform(twice, lambda x: x["i"])),
                 lambda p: F.aggregate(F.sequence(F.lit(1), F.size(p) - 1), F.lit(5), lambda acc, j: acc + F.least(F.lit(5), F.get(p, j) - F.get(p, j - 1))),
             )
 
@@ -65,73 +74,100 @@ def repeat_words(words: Column) -> Column:
     return F.when(n < 6, F.lit(0)).otherwise(let(hashes, covered))
 
 
-def line_verdict(line: Column, min_words: int) -> Column:
-    """'' if the line stays, else the rule that it fails."""
-    return let(
-        F.struct(
-            F.regexp_count(line, F.lit(WORD)).alias("n"),
-            F.regexp_count(line, F.lit(MARKS)).alias("marks"),
-            F.regexp_count(line, F.lit(SEPARATORS)).alias("seps"),
-        ),
-        lambda c: F.when((c["marks"] >= 2) & (c["marks"] * 5 > c["n"]), F.lit("punctuation"))
-        .when((c["seps"] >= 2) & (c["seps"] * 5 >= c["n"]), F.lit("navigation"))
-        .when((c["n"] <= 25) & F.lower(line).rlike(BOILERPLATE), F.lit("boilerplate"))
-        .when((c["n"] >= min_words) & ~line.rlike(SENTENCE_END), F.lit("punctuation"))
-        .otherwise(F.lit("")),
+def line_verdict(line: Column, min_words: int, marked: Column, separated: Column) -> Column:
+    """'' if the line stays, else the rule that it fails.
+
+    ``marked`` and ``separated``: whether the text has any mark or separator. Words are counted where a rule asks.
+    """
+    n = F.regexp_count(line, F.lit(WORD))
+    marks = F.when(marked, F.regexp_count(line, F.lit(MARKS))).otherwise(0)
+    separators = F.when(separated, F.regexp_count(line, F.lit(SEPARATORS))).otherwise(0)
+    said = let(F.lower(line), lambda low: functools.reduce(lambda a, b: a | b, (low.contains(p) for p in BOILERPLATE.split("|"))))
+    return (
+        F.when(let(marks, lambda k: (k >= 2) & (k * 5 > n)), F.lit("punctuation"))
+        .when(let(separators, lambda k: (k >= 2) & (k * 5 >= n)), F.lit("navigation"))
+        .when(said & (n <= 25), F.lit("boilerplate"))
+        .when(~line.rlike(SENTENCE_END) & (n >= min_words), F.lit("punctuation"))
+        .otherwise(F.lit(""))
     )
 
 
-def judge(docs: DataFrame, text: str = "text", min_words: int = 8, max_lost: float = 0.5) -> DataFrame:
-    """Per row of ``docs``: doc_id, the base figures, ``kept`` and the cleaned text."""
-    raw = docs.select(F.col("doc_id"), text_or_empty(text).alias("text"))
+def judged(text: Column, min_words: int = 8, max_lost: float = 0.5) -> Column:
+    """A struct of the figures of a text (null: empty), ``kept`` and the cleaned text."""
 
-    def figures(t: Column) -> Column:
-        return F.struct(
-            F.char_length(F.regexp_replace(t, rf"[{WS}]+", "")).cast("long").alias("word_chars"),
-            F.regexp_count(t, F.lit("[" + SYMBOLS + "]")).cast("long").alias("n_symbols"),
-            let(
+    def by_line(t: Column, n_symbols: Column) -> Column:
+        def of(flags: Column) -> Column:
+            return let(
                 F.filter(F.split(t, "\n", -1), lambda x: x.rlike(rf"[^{WS}]")),
                 lambda lines: F.struct(
                     (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-                    F.transform(lines, lambda x: F.struct(x.alias("line"), line_verdict(x, min_words).alias("rule"))).alias("judged"),
+                    F.transform(
+                        lines, lambda x: F.struct(x.alias("line"), line_verdict(x, min_words, flags["marked"], flags["separated"]).alias("rule"))
+                    ).alias("judged"),
                 ),
-            ).alias("by_line"),
-            let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words"))).alias("by_word"),
+            )
+
+        other = t.contains("»") | t.contains("›") | t.contains("•")
+        return let(F.struct(((n_symbols > 0) | t.contains("!!")).alias("marked"), ((n_symbols > 0) | other).alias("separated")), of)
+
+    def figures(t: Column) -> Column:
+        n_symbols = (F.octet_length(t) - F.octet_length(without(t, SYMBOLS))).cast("long")
+        by_word = let(
+            words_of(t),
+            lambda w: F.struct(
+                F.size(w).cast("long").alias("n_words"),
+                F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+                repeat_words(w).cast("long").alias("n_repeat_words"),
+            ),
         )
+        return let(n_symbols, lambda k: F.struct(k.alias("n_symbols"), by_line(t, k).alias("by_line"), by_word.alias("by_word")))
 
-    def chars(judged: Column, *rules: str) -> Column:
-        return F.aggregate(judged, F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["rule"].isin(*rules), F.char_length(x["line"])).otherwise(0))
+    def chars(lines: Column, *rules: str) -> Column:
+        return F.aggregate(lines, F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["rule"].isin(*rules), F.char_length(x["line"])).otherwise(0))
 
     def row(f: Column) -> Column:
-        n, repeated, judged = f["by_word"]["n_words"], f["by_word"]["n_repeat_words"], f["by_line"]["judged"]
-        return F.struct(
-            n.alias("n_words"),
-            f["word_chars"].alias("word_chars"),
-            f["n_symbols"].alias("n_symbols"),
-            f["by_line"]["n_dup_lines"].alias("n_dup_lines"),
-            repeated.alias("n_repeat_words"),
+        n, repeated, lines = f["by_word"]["n_words"], f["by_word"]["n_repeat_words"], f["by_line"]["judged"]
+        first = F.struct(
             ((n < 10) | (repeated * 100 > n * 20)).alias("base_failed"),
-            chars(judged, "punctuation", "navigation").alias("chars_failed"),
-            chars(judged, "boilerplate").alias("chars_boilerplate"),
-            chars(judged, "").alias("chars_left"),
-            F.array_join(F.transform(F.filter(judged, lambda x: x["rule"] == ""), lambda x: x["line"]), "\n").alias("clean_text"),
+            chars(lines, "punctuation", "navigation").alias("chars_failed"),
+            chars(lines, "boilerplate").alias("chars_boilerplate"),
+            chars(lines, "").alias("chars_left"),
         )
 
-    r = raw.select("doc_id", let(text_or_empty("text"), lambda t: let(figures(t), row)).alias("r")).select("doc_id", "r.*")
-    lost_little = (F.col("chars_left") > 0) & (F.col("chars_failed") <= F.lit(max_lost) * (F.col("chars_failed") + F.col("chars_left")))
-    return r.withColumn("kept", ~F.col("base_failed") & lost_little)
+        def whole(g: Column) -> Column:
+            lost_little = (g["chars_left"] > 0) & (g["chars_failed"] <= F.lit(max_lost) * (g["chars_failed"] + g["chars_left"]))
+            return F.struct(
+                n.alias("n_words"),
+                f["by_word"]["word_chars"].alias("word_chars"),
+                f["n_symbols"].alias("n_symbols"),
+                f["by_line"]["n_dup_lines"].alias("n_dup_lines"),
+                repeated.alias("n_repeat_words"),
+                *(g[k].alias(k) for k in ("base_failed", "chars_failed", "chars_boilerplate", "chars_left")),
+                (~g["base_failed"] & lost_little).alias("kept"),
+                F.array_join(F.transform(F.filter(lines, lambda x: x["rule"] == ""), lambda x: x["line"]), "\n").alias("clean_text"),
+            )
+
+        return let(first, whole)
+
+    return let(F.coalesce(text.cast("string"), F.lit("")), lambda t: let(figures(t), row))
+
+
+def judge(docs: DataFrame, text: str = "text", **params) -> DataFrame:
+    """Per row of ``docs``: doc_id, the base figures, ``kept`` and the cleaned text."""
+    return docs.select("doc_id", judged(F.col(text), **params).alias("r")).select("doc_id", "r.*")
 
 
 def clean(docs: DataFrame, **params) -> DataFrame:
     """Documents that pass, with the columns of ``docs``: failing lines are gone and ``n_chars`` follows the text.
 
-    Rows are judged in place, so repeated ids and nulls need no join.
+    Rows are judged in place, so repeated ids and nulls need no join; a generator drops the rejected ones, so that
+    nothing is judged a second time for a filter.
     """
-    keep = docs.columns
-    judged = judge(docs.select(F.struct(*keep).alias("doc_id"), F.col("text").alias("text")), **params)
-    out = judged.where("kept")
-    cols = [F.col("clean_text").alias(c) if c == "text" else F.char_length("clean_text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col("doc_id")[c].alias(c) for c in keep]
-    return out.select(*cols)
+    r = F.col("_r")
+    new = {"text": r["clean_text"], "n_chars": F.char_length(r["clean_text"]).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    row = F.struct(F.lit(True).alias("_kept"), *(new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns))
+    both = docs.select(F.struct(*docs.columns).alias("_doc"), judged(F.col("text"), **params).alias("_r"))
+    return both.select(F.inline_outer(F.when(r["kept"], F.array(row)))).where("_kept").drop("_kept")
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_failed", "chars_boilerplate", "chars_left"]
