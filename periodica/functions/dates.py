@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 ISO = r"^\d{4}-\d{2}-\d{2}$"
 
 
+def try_date(year: Column, month: Column, day: Column) -> Column:
+    """The date, or null if there is none such."""
+    parts = (F.lpad(x.cast("string"), n, "0") for x, n in ((year, 4), (month, 2), (day, 2)))
+    return F.when(day.isNotNull(), F.try_to_date(F.concat_ws("-", *parts), "yyyy-MM-dd"))
+
+
 def days_in_month(year: Column, month: Column) -> Column:
-    return F.dayofmonth(F.last_day(F.try_make_date(year, month, F.lit(1))))
+    return F.dayofmonth(F.last_day(try_date(year, month, F.lit(1))))
 
 
 def spine(year: Column, month: Column) -> Column:
     """All dates of a month as ISO strings."""
-    first = F.try_make_date(year, month, F.lit(1))
+    first = try_date(year, month, F.lit(1))
     return F.transform(F.sequence(first, F.last_day(first)), lambda d: F.date_format(d, "yyyy-MM-dd"))
 
 
@@ -25,7 +31,7 @@ def weekends(year: Column, month: Column, names: list[str]) -> Column:
 
 def clean(dates: Column) -> Column:
     """Trimmed, in ISO shape, distinct, in order."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(dates, F.trim), lambda d: d.rlike(ISO))))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(dates, lambda d: F.trim(d)), lambda d: d.rlike(ISO))))
 
 
 def union(*sets: Column) -> Column:
@@ -45,7 +51,7 @@ def outside(dates: Column, year: Column, month: Column) -> Column:
 def iso_or_day(value: Column, year: int, month: int) -> Column:
     """An ISO date, or a bare day number of the given month, as an ISO string; null if neither."""
     iso = F.when(value.rlike(ISO), F.date_format(F.try_to_date(value, "yyyy-MM-dd"), "yyyy-MM-dd"))
-    day = F.date_format(F.try_make_date(F.lit(year), F.lit(month), F.when(value.rlike(r"^\d{1,2}$"), value).try_cast("int")), "yyyy-MM-dd")
+    day = F.date_format(try_date(F.lit(year), F.lit(month), F.when(value.rlike(r"^\d{1,2}$"), value).try_cast("int")), "yyyy-MM-dd")
     return F.coalesce(iso, day)
 
 

@@ -2,59 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query, with its SQL where SQL can express it."""
-
-    def add(f: Query) -> Query:
-        assert name not in _QUERIES, name
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return add
+from periodica.plans import records, rosters, streams, texts, threads  # noqa: F401  they register their queries
+from periodica.plans.registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-@query(
-    "coverage_partition",
-    """
-    with s as (select distinct o_custkey as k from orders
-               where o_orderdate >= timestamp '1997-01-01' and o_orderdate < timestamp '1997-02-01'),
-         r as (select distinct user_id as k from events where event_type = 'purchase')
-    select count(*) as total, count(*) filter (s.k is not null) as submitted,
-           count(*) filter (s.k is null and r.k is not null) as awaiting,
-           count(*) filter (s.k is null and r.k is null) as missing
-    from customer c left join s on s.k = c.c_custkey left join r on r.k = c.c_custkey
-    """,
-)
-def coverage_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    day = F.col("o_orderdate")
-    s = t("orders").where((day >= "1997-01-01") & (day < "1997-02-01")).select(F.col("o_custkey").alias("k")).distinct().withColumn("s", F.lit(True))
-    r = t("events").where(F.col("event_type") == "purchase").select(F.col("user_id").alias("k")).distinct().withColumn("r", F.lit(True))
-    c = t("customer").select(F.col("c_custkey").alias("k")).join(s, "k", "left").join(r, "k", "left")
-    return c.agg(
-        F.count("*").alias("total"),
-        F.count_if(F.col("s")).alias("submitted"),
-        F.count_if(F.col("s").isNull() & F.col("r")).alias("awaiting"),
-        F.count_if(F.col("s").isNull() & F.col("r").isNull()).alias("missing"),
-    )
+    return dict(SQL)
