@@ -27,6 +27,7 @@ from periodica.llm.common import cut, map_rows, table
 from periodica.llm.components import components
 
 BLOCK = 1 << 21  # comparisons at once
+STEPS = 2  # size classes to the ratio that a pair's sizes may have
 
 #: Near copies of five-word shingle similarity 0.8 or more: such a pair differs in about 8 bits of the three-word and 10 of
 #: the five-word fingerprint; the bounds lie a standard deviation above, far below the 32 bits of unrelated texts.
@@ -146,11 +147,11 @@ def search(own: np.ndarray, visiting: np.ndarray, fp: np.ndarray, reach: int, pa
             pairs(visiting[k + i], own[j])
 
 
-def link(points: DataFrame, max_bits: int, max_bits2: int | None = None, min_ratio: float | None = None, shard_rows: int = 8192, sample_rows: int = 16384) -> DataFrame:
+def link(points: DataFrame, max_bits: int, max_bits2: int | None = None, min_ratio: float | None = None, shard_rows: int = 16384, sample_rows: int = 16384) -> DataFrame:
     """Links (u, v) that join the points within ``max_bits`` of each other (columns node, fp, fp2, size).
 
     With ``max_bits2`` a pair's second fingerprints must agree that far too, and with ``min_ratio`` their sizes. Shards
-    then hold sizes of a class, and a point visits the next class besides its own. The links are the shards'
+    then hold sizes of a class, ``STEPS`` classes wide apart at most, and a point visits the next ``STEPS`` besides its own. The links are the shards'
     components, each node with the smallest of its shard: no more links than rows dealt.
     """
     spark = points.sparkSession
@@ -158,7 +159,7 @@ def link(points: DataFrame, max_bits: int, max_bits2: int | None = None, min_rat
     share = min(1.0, 1.2 * sample_rows / max(1, n))
     sample = np.array([r[0] for r in points.select("fp").sample(share, seed=1).limit(sample_rows).collect()], np.int64).view(np.uint64)
     bands = min_ratio is not None
-    levels = max(0, math.ceil(math.log2(max(1, n / shard_rows / (8 if bands else 1)))))
+    levels = max(0, math.ceil(math.log2(max(1, n / shard_rows / (8 * STEPS if bands else 1)))))
     tree = grow(np.unique(sample), levels, np.random.default_rng(1))
 
     def deal_out(batches):
@@ -168,9 +169,9 @@ def link(points: DataFrame, max_bits: int, max_bits2: int | None = None, min_rat
             home = np.empty(len(u), np.int64)
             for leaf, at in deal(tree, u, 0):
                 home[at] = leaf
-            band = np.floor(np.log(np.maximum(size, 1)) / -math.log(min_ratio) + 1e-9).astype(np.int64) if bands else np.zeros(len(u), np.int64)
+            band = np.floor(np.log(np.maximum(size, 1)) / -math.log(min_ratio) * STEPS + 1e-9).astype(np.int64) if bands else np.zeros(len(u), np.int64)
             for leaf, at in deal(tree, u, max_bits):
-                for up in (0, 1) if bands else (0,):
+                for up in range(STEPS + 1) if bands else (0,):
                     key = (band[at] + up) << 32 | leaf
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[at]), pa.array(fp[at]), pa.array(fp2[at]), pa.array(size[at]), pa.array((home[at] == leaf) & (up == 0))], names=["shard", "node", "fp", "fp2", "size", "own"])
 
@@ -217,7 +218,8 @@ def dedup(docs: DataFrame, **params) -> DataFrame:
     """
     found = classes(docs, **params)
     kept = cut(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("copies_kept")), "kept")
-    rows = docs.join(kept, F.col("doc_id") == F.col("kept_id"))
+    # ids grow with the corpus, so they are never broadcast and the plan is the same at every size
+    rows = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("kept_id"))
     once = rows.where("copies_kept = 1").select(*docs.columns)
     again = rows.where("copies_kept > 1").select(*docs.columns).dropDuplicates(["doc_id"])
     return once.unionAll(again).unionAll(docs.where("doc_id is null"))
