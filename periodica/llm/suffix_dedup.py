@@ -15,7 +15,9 @@ Suffixes. What is left are phrases whose inner string repeats while the whole on
 repeated passages. Of each such group of dictionary entries, all suffixes of the phrases, continued by the parse to
 window length, are brought into order, and equal neighbours are repeated windows. As only equality of the first 200
 bytes counts, the order is that of hashes of (trigger offset, window), not lexicographic. Groups of up to ``group_rows``
-entries are ordered within a task; larger groups count their windows in a shuffle, so that no group has to fit anywhere.
+entries are ordered within a task. Larger groups are counted in shuffles, so that no group has to fit anywhere, in two
+steps: runs of ``RUN`` windows first, of which one that occurs twice is settled as a whole, then the single windows of the
+other runs and of one run of each settled kind, unless the bytes that all windows of the run share occur once.
 
 Strings are compared by 64-bit polynomial hashes over byte codes, pairwise with the inner string's, 128 bits in all.
 
@@ -38,6 +40,7 @@ from periodica.llm.common import cut, pieces, table, text_or_empty
 
 LENGTH, REACH, GRAM = 200, 144, 16
 INNER = LENGTH - REACH
+RUN = 16  # windows
 SEGMENT = 1 << 18  # window starts at once
 
 _U = np.uint64
@@ -153,6 +156,12 @@ def _ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate([[0], edges + 1])], starts[np.concatenate([edges, [len(starts) - 1]])]
 
 
+def _ranges_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of the runs of equal ``values``."""
+    edges = np.flatnonzero(np.diff(values)) + 1
+    return np.concatenate([[0], edges]), np.concatenate([edges - 1, [len(values) - 1]])
+
+
 def merge(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Byte ranges [start, end) covered by windows that start in first..last, merged, as two columns."""
     order = np.argsort(first, kind="stable")
@@ -189,9 +198,14 @@ def _settle(docs: DataFrame) -> DataFrame:
                     for k in np.flatnonzero(state == OPEN):
                         out.append((OPEN, key, place[k], inner[k], raw[first[k] : last[k] + LENGTH], None, None, None))
                     for k in np.flatnonzero(state == OPEN_LARGE):
-                        w = hashes(sums(data[first[k] : last[k] + LENGTH]), np.arange(last[k] - first[k] + 1), np.arange(last[k] - first[k] + 1) + LENGTH)
-                        w = mix(w + (t[k] - np.arange(first[k], last[k] + 1)).astype(np.uint64)).view(np.int64)
-                        out += [(OPEN_LARGE, key, first[k] + i, inner[k], None, x, None, None) for i, x in enumerate(w.tolist())]
+                        part = data[first[k] : last[k] + LENGTH]
+                        before = t[k] - np.arange(first[k], last[k] + 1)
+                        a, b_ = _ranges_of(before // RUN)
+                        same = mix(hashes(sums(part), a, b_ + LENGTH) + (before[a] << 8 | before[b_]).astype(np.uint64)).view(np.int64)
+                        whole = before[0] - before[a] // RUN * RUN
+                        core = mix(hashes(sums(part), whole, whole + LENGTH - RUN + 1) + (before[a] // RUN).astype(np.uint64))
+                        for i, j, x, c in zip(a.tolist(), b_.tolist(), same.tolist(), core):
+                            out.append((OPEN_LARGE, key, (first[k] + i) << 8 | before[i], inner[k], part[i : j + LENGTH].tobytes(), x, c.tobytes(), None))
                     final = not ((state != REPEATED) & (n == 1)).any()
                     out.append((REPEATED if final else 0, key, len(raw), None, None, int((spans[:, 1] - spans[:, 0]).sum()), spans.tobytes(), hashlib.sha256(without(raw, spans)).digest() if final else zipped.compress(without(raw, spans))))
                 yield _tasks(out)
@@ -255,6 +269,23 @@ def _order(entries: DataFrame) -> DataFrame:
     return entries.mapInArrow(run, RANGES)
 
 
+def _single(runs: DataFrame) -> DataFrame:
+    """row_key, first, inner, window of the single windows of runs (row_key, place, inner, context)."""
+
+    def run(batches):
+        for b in pieces(batches, 3, 1 << 20):
+            out = [[], [], [], []]
+            for key, place, inner, context in zip(*(b.column(k).to_pylist() for k in range(4))):
+                w = np.arange(len(context) - LENGTH + 1)
+                h = mix(hashes(sums(np.frombuffer(context, np.uint8)), w, w + LENGTH) + ((place & 255) - w).astype(np.uint64))
+                for o, v in zip(out, (np.full(len(w), key), (place >> 8) + w, np.full(len(w), inner), h.view(np.int64))):
+                    o.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["row_key", "first", "inner", "window"])
+
+    return runs.mapInArrow(run, "row_key long, first long, inner long, window long")
+
+
 def _finish(residues: DataFrame) -> DataFrame:
     """row_key, n_bytes, ranges so far, the text that they left, and the ranges found since."""
 
@@ -314,9 +345,17 @@ def remove_repeats(docs: DataFrame, group_rows: int = 2000) -> DataFrame:
 
     small = settled.where(F.col("kind") == OPEN).select("row_key", "place", "inner", "context")
     shared = _order(small.repartition("inner").sortWithinPartitions("inner"))
-    large = settled.where(F.col("kind") == OPEN_LARGE).select("row_key", F.col("place").alias("first"), "inner", "window")
-    twice = large.groupBy("inner", "window").agg(F.count("*").alias("n")).where("n > 1")
-    shared = shared.unionAll(large.join(twice, ["inner", "window"]).select("row_key", "first", F.col("first").alias("last")))
+    runs = settled.where(F.col("kind") == OPEN_LARGE).select("row_key", "place", "inner", "context", "window", F.col("ranges").alias("core"))
+    cores = runs.groupBy("inner", "core").agg(F.count("*").alias("shared"))
+    kinds = runs.groupBy("inner", "window").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "place")).alias("one"))
+    runs = cut(runs.join(kinds, ["inner", "window"]).join(cores, ["inner", "core"]), "runs")
+    count = F.octet_length("context") - LENGTH
+    start = F.shiftright("place", 8)
+    shared = shared.unionAll(runs.where("n > 1").select("row_key", start.alias("first"), (start + count).alias("last")))
+    single = (F.col("shared") > 1) & ((F.col("n") == 1) | (F.struct("row_key", "place") == F.col("one")))
+    windows = _single(runs.where(single).select("row_key", "place", "inner", "context"))
+    twice = windows.groupBy("inner", "window").agg(F.count("*").alias("n")).where("n > 1")
+    shared = shared.unionAll(windows.join(twice, ["inner", "window"]).select("row_key", "first", F.col("first").alias("last")))
     more = shared.groupBy("row_key").agg(F.collect_list(F.struct("first", "last")).alias("more"))
     residues = settled.where(F.col("kind") == 0).select("row_key", F.col("place").alias("n_bytes"), "ranges", "left")
     finished = _finish(residues.join(more, "row_key", "left").select("row_key", "n_bytes", "ranges", "left", "more"))
