@@ -8,6 +8,10 @@ all shards are joined to the final classes.
 
 The sample decides where shards end, never which pairs are found: all pairs within ``max_bits`` are.
 
+With ``similarity`` the fingerprints only find candidates: texts of equal shingle sets are one point, and a candidate pair is
+linked if the Jaccard similarity of its distinct shingles reaches the bound. Pairs with an end of few candidates are joined
+with both sets of shingles by id; points of many candidates are compared by groups, which need a row a point, not a pair.
+
 Edge cases: null and empty texts have the fingerprint zero and are linked like any other; a text with fewer words than a
 shingle has the whole sequence as its only one; rows that repeat share a point; rows without an id get the class of
 their fingerprint; an empty table gives no rows; other columns are ignored by ``classes`` and kept by ``dedup``.
@@ -25,15 +29,18 @@ from pyspark.sql import functions as F
 
 from periodica.llm.common import cut, map_rows, table
 from periodica.llm.components import components
+from periodica.llm.decontamination import _filter, may_have
+from periodica.llm.suffix_dedup import mix
 
 BLOCK = 1 << 21  # comparisons at once
 STEPS = 2  # size classes to the ratio that a pair's sizes may have
+FEW = 8  # candidates of a point that are verified pair by pair
 
-#: Near copies of five-word shingle similarity 0.8 or more: such a pair differs in about 8 bits of the three-word and 10 of
-#: the five-word fingerprint; the bounds lie a standard deviation above, far below the 32 bits of unrelated texts.
-#: So wide a reach prunes little by distance, and the size classes do most of it: for corpora of billions of documents
-#: lower ``max_bits`` to 3.
-NEAR_COPIES = {"words": 3, "max_bits": 11, "check_words": 5, "max_bits2": 14, "min_ratio": 0.8}
+#: Near copies of five-word shingle similarity 0.8 or more: at 0.8 a pair differs in about 10 bits (deviation 2.9) of each of
+#: two independent fingerprints of its distinct shingles. Candidates agree within 20 bits in both, which about one such pair in
+#: 2,000 misses and about three unrelated pairs in a million meet. The size classes prune, the tree hardly does at this reach:
+#: for corpora of billions of documents lower ``max_bits``.
+NEAR_COPIES = {"words": 5, "max_bits": 20, "max_bits2": 20, "similarity": 0.8}
 
 
 def shingle_hashes(text: str | None, words: int, seed: int) -> list[int]:
@@ -49,9 +56,9 @@ def shingle_hashes(text: str | None, words: int, seed: int) -> list[int]:
     return [x(joined[a:b], seed) for a, b in zip(starts[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist())]
 
 
-def majority(hashes: list[int]) -> int:
+def majority(hashes) -> int:
     """The fingerprint as a signed 64-bit integer: a bit is set if it is in over half of ``hashes``."""
-    if not hashes:
+    if not len(hashes):
         return 0
     h = np.array(hashes, "<u8")
     counts = np.zeros(64, np.int64)
@@ -60,15 +67,25 @@ def majority(hashes: list[int]) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, check_words: int | None = None) -> DataFrame:
-    """doc_id, fp; and, for ``check_words``, a second fingerprint fp2 over other shingles and their number."""
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id and fp."""
+
+    def rows(ids, texts):
+        return {"doc_id": ids, "fp": [majority(shingle_hashes(t, words, 42)) for t in texts]}
+
+    return map_rows(docs.select("doc_id", "text"), rows, "doc_id long, fp long")
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, two fingerprints of the distinct shingles, their number, their sorted hashes, and a hash of these (node)."""
 
     def rows(ids, texts):
-        first = [shingle_hashes(t, words, 42) for t in texts]
-        second = [shingle_hashes(t, check_words, 7) for t in texts] if check_words else [[]] * len(texts)
-        return {"doc_id": ids, "fp": list(map(majority, first)), "fp2": list(map(majority, second)), "size": list(map(len, second))}
+        sets = [np.unique(np.array(shingle_hashes(t, words, 42), np.uint64)) for t in texts]
+        raw = [h.tobytes() for h in sets]
+        node = np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64).view(np.int64)
+        return {"doc_id": ids, "fp": list(map(majority, sets)), "fp2": [majority(mix(h)) for h in sets], "size": list(map(len, sets)), "node": node, "shingles": raw}
 
-    return map_rows(docs.select("doc_id", "text"), rows, "doc_id long, fp long, fp2 long, size long")
+    return map_rows(docs.select("doc_id", "text"), rows, "doc_id long, fp long, fp2 long, size long, node long, shingles binary")
 
 
 def distance(a, b) -> np.ndarray:
@@ -147,12 +164,16 @@ def search(own: np.ndarray, visiting: np.ndarray, fp: np.ndarray, reach: int, pa
             pairs(visiting[k + i], own[j])
 
 
-def link(points: DataFrame, max_bits: int, max_bits2: int | None = None, min_ratio: float | None = None, shard_rows: int = 16384, sample_rows: int = 16384) -> DataFrame:
+def link(points: DataFrame, max_bits: int, max_bits2: int | None = None, min_ratio: float | None = None, shard_rows: int = 16384, sample_rows: int = 16384, verify: bool = False) -> DataFrame:
     """Links (u, v) that join the points within ``max_bits`` of each other (columns node, fp, fp2, size).
 
     With ``max_bits2`` a pair's second fingerprints must agree that far too, and with ``min_ratio`` their sizes. Shards
     then hold sizes of a class, ``STEPS`` classes wide apart at most, and a point visits the next ``STEPS`` besides its own. The links are the shards'
     components, each node with the smallest of its shard: no more links than rows dealt.
+
+    To ``verify``, all pairs are given instead: (shard, u, v) is the pair itself where shard is null, and else says that v
+    belongs to group u of the shard. A pair is inside a group if both ends have over ``FEW`` candidates in the shard, so
+    that a shard gives no more than ``FEW + 1`` rows a point.
     """
     spark = points.sparkSession
     n = points.count()
@@ -180,16 +201,46 @@ def link(points: DataFrame, max_bits: int, max_bits2: int | None = None, min_rat
         own = np.flatnonzero(shard.column("own").to_numpy(zero_copy_only=False))
         u, u2, union = fp.view(np.uint64), fp2.view(np.uint64), Union(len(fp))
 
-        def pairs(i, j):
+        def agreeing(i, j):
             if max_bits2 is not None:
                 ok = distance(u2[i], u2[j]) <= max_bits2
                 i, j = i[ok], j[ok]
             if bands:
                 ok = np.minimum(size[i], size[j]) >= min_ratio * np.maximum(size[i], size[j])
                 i, j = i[ok], j[ok]
-            union.add(i, j)
-
-        search(own, np.arange(len(fp)), u, max_bits, pairs, np.random.default_rng(1))
+            return i, j
+
+        def each(do):
+            search(own, np.arange(len(fp)), u, max_bits, lambda i, j: do(*agreeing(i, j)), np.random.default_rng(1))
+
+        if verify:
+            is_own, degree, few = np.isin(np.arange(len(fp)), own), np.zeros(len(fp), np.int64), []
+
+            def count(i, j):
+                once = (i < j) | (i > j) & ~is_own[i]
+                np.add(degree, np.bincount(i[once], minlength=len(fp)) + np.bincount(j[once], minlength=len(fp)), out=degree)
+
+            def split(i, j):
+                once = (i < j) | (i > j) & ~is_own[i]
+                i, j = i[once], j[once]
+                low = np.minimum(degree[i], degree[j]) <= FEW
+                few.append((i[low], j[low]))
+                union.add(i[~low], j[~low])
+
+            each(count)
+            if not degree.any():
+                return pa.table({k: pa.array([], pa.int64()) for k in ("shard", "u", "v")})
+            each(split)
+            i, j = (np.concatenate([p[k] for p in few]) for k in (0, 1))
+            group = np.flatnonzero(np.bincount(union.root, minlength=len(fp))[union.root] > 1)
+            return pa.table(
+                {
+                    "shard": pa.concat_arrays([pa.nulls(len(i), pa.int64()), shard.column("shard").combine_chunks().slice(0, 1).take(pa.array(np.zeros(len(group), np.int64)))]),
+                    "u": np.concatenate([np.minimum(node[i], node[j]), node[union.root[group]]]),
+                    "v": np.concatenate([np.maximum(node[i], node[j]), node[group]]),
+                }
+            )
+        each(union.add)
         least = np.full(len(fp), np.iinfo(np.int64).max)
         np.minimum.at(least, union.root, node)
         least = least[union.root]
@@ -197,14 +248,84 @@ def link(points: DataFrame, max_bits: int, max_bits2: int | None = None, min_rat
         return pa.table({"u": node[far], "v": least[far]})
 
     dealt = points.select("node", "fp", "fp2", "size").mapInArrow(deal_out, "shard long, node long, fp long, fp2 long, size long, own boolean")
-    return dealt.groupBy("shard").applyInArrow(pair_up, "u long, v long")
+    return dealt.groupBy("shard").applyInArrow(pair_up, "shard long, u long, v long" if verify else "u long, v long")
+
+
+def alike(common, a, b, similarity: float):
+    """Whether sets of ``a`` and ``b`` elements with so many in common have at least that Jaccard similarity."""
+    return common * (1 + similarity) >= similarity * (a + b) - 1e-9
+
+
+def group_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The first member of each set's component, if sets of at least that similarity are linked; no set is empty."""
+    size = np.array(list(map(len, sets)))
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    root, rest, flat, mark = np.arange(len(sets)), np.arange(len(sets)), codes, np.zeros(codes.max() + 1, bool)
+    while len(rest):
+        first, rest, flat = rest[0], rest[1:], flat[size[rest[0]] :]
+        reached = [first]
+        while reached and len(rest):
+            v = reached.pop()
+            own = codes[ends[v] - size[v] : ends[v]]
+            mark[own] = True
+            common = np.add.reduceat(mark[flat], np.cumsum(size[rest]) - size[rest], dtype=np.int64)
+            mark[own] = False
+            hit = alike(common, size[v], size[rest], similarity)
+            if hit.any():
+                root[rest[hit]] = first
+                reached += rest[hit].tolist()
+                rest, flat = rest[~hit], flat[np.repeat(~hit, size[rest])]
+    return root
+
+
+def verified(candidates: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) of the candidates (shard, u, v) whose sets of shingles have at least that similarity."""
+    pairs = candidates.where("shard is null").select("u", "v").distinct()
+    members = candidates.where("shard is not null").select("shard", F.col("u").alias("first"), F.col("v").alias("node"))
+    asked = candidates.select("u").unionAll(candidates.select("v")).distinct()
+    bloom = prints.sparkSession.sparkContext.broadcast(_filter(asked))
+
+    def maybe(batches):
+        for b in batches:
+            yield b.take(pa.array(may_have(bloom.value, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    # only sets of candidates are dealt out, one of each
+    some = prints.select("node", "shingles").mapInArrow(maybe, "node long, shingles binary")
+    sets = cut(some.dropDuplicates(["node"]), "sets")
+
+    def compare(batches):
+        for b in batches:
+            a, c = ([np.frombuffer(r, np.uint64) for r in b.column(k).to_pylist()] for k in (2, 3))
+            ok = np.array([alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similarity) for x, y in zip(a, c)], bool)
+            yield b.select(["u", "v"]).filter(pa.array(ok))
 
+    def group(rows: pa.Table) -> pa.Table:
+        node = rows.column("node").to_numpy()
+        root = group_roots([np.frombuffer(r, np.uint64) for r in rows.column("shingles").to_pylist()], similarity)
+        far = root != np.arange(len(root))
+        return pa.table({"u": node[far], "v": node[root[far]]})
 
-def classes(docs: DataFrame, words: int = 3, max_bits: int = 2, check_words: int | None = None, max_bits2: int | None = None, min_ratio: float | None = None, **sharding) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id that its links reach) of every row of ``docs``."""
-    prints = cut(fingerprints(docs, words, check_words).withColumn("node", F.xxhash64("fp", "fp2", "size") if check_words else F.col("fp")), "prints")
+    of = lambda end, name: sets.select(F.col("node").alias(end), F.col("shingles").alias(name)).hint("merge")
+    both = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b")
+    inside = members.join(sets.hint("merge"), "node").groupBy("shard", "first").applyInArrow(group, "u long, v long")
+    return both.mapInArrow(compare, "u long, v long").unionAll(inside)
+
+
+def classes(docs: DataFrame, words: int = 3, max_bits: int = 2, max_bits2: int | None = None, similarity: float | None = None, **sharding) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id that its links reach) of every row of ``docs``.
+
+    Links join fingerprints within ``max_bits``, or, with ``similarity``, texts whose distinct shingles are so similar.
+    """
+    if similarity is None:
+        prints = cut(fingerprints(docs, words).select("doc_id", "fp", F.lit(0).cast("long").alias("fp2"), F.lit(0).cast("long").alias("size"), F.col("fp").alias("node")), "prints")
+    else:
+        prints = cut(shingle_sets(docs, words), "prints")
     points = cut(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("size").alias("size"), F.min("doc_id").alias("rep")), "points")
-    roots = components(link(points, max_bits, max_bits2, min_ratio, **sharding))
+    links = link(points, max_bits, max_bits2, similarity, **sharding, verify=similarity is not None)
+    if similarity is not None:
+        links = cut(verified(cut(links, "candidates"), prints, similarity), "verified")
+    roots = components(links)
     rooted = cut(points.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root")), "rooted")
     ids = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = cut(rooted.join(cut(ids, "ids"), "root").select("node", "component_id"), "named")

@@ -92,3 +92,54 @@ def test_near_copies_with_second_fingerprint(spark):
     got = {r.doc_id: r.component_id for r in sd.classes(docs(spark, texts), **sd.NEAR_COPIES).collect()}
     assert sum(got[2 * k] == got[2 * k + 1] == 2 * k for k in range(30)) >= 28
     assert all(got[i] in (i, i - 1) for i in got)
+
+
+def shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_near(texts, similarity=0.8):
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= similarity * len(a | b):
+                root = [root[j] if r == root[i] else r for r in root] if root[j] < root[i] else [root[i] if r == root[j] else r for r in root]
+    return dict(enumerate(root))
+
+
+def edited(rng, words, part, block):
+    """Words of which about ``part`` of the shingles are replaced, by one block or by single words far apart."""
+    out, n = list(words), len(words)
+    if block:
+        k, at = round(n * part) - 4, rng.randrange(n // 2)
+        out[at : at + k] = [f"n{rng.random()}" for _ in range(k)]
+    else:
+        for at in rng.sample(range(2, n // 5), round(n * part / 5)):
+            out[5 * at] = f"n{rng.random()}"
+    return out
+
+
+def test_near_copies_are_those_of_exact_similarity(spark):
+    rng = random.Random(11)
+    texts = []
+    for similarity in (0.75, 0.78, 0.795, 0.805, 0.82, 0.85, 0.9):
+        for block in (True, False):
+            for n in (60, 200, 400, 400, 400, 600):
+                t = [f"w{rng.randrange(5000)}" for _ in range(n)]
+                texts += [" ".join(t), " ".join(edited(rng, t, (1 - similarity) / (1 + similarity), block))]
+    texts += ["", "a b", "a b", "a b c d e f", " ".join(["same line again here now"] * 9), " ".join(["same line again here now"] * 99)]
+    want = brute_near(texts)
+    assert 60 < len({*want.values()}) < len(texts) - 40
+    for size in (16384, 64):
+        got = {r.doc_id: r.component_id for r in sd.classes(docs(spark, texts), **sd.NEAR_COPIES, shard_rows=size).collect()}
+        assert got == want
+
+
+def test_large_group_of_near_copies_without_its_original(spark):
+    rng = random.Random(12)
+    t = [f"w{k}" for k in range(200)]
+    texts = [" ".join(edited(rng, t, rng.choice((0.02, 0.06, 0.1)), False)) for _ in range(60)]
+    want = brute_near(texts)
+    assert 1 < len({*want.values()}) < 40
+    assert {r.doc_id: r.component_id for r in sd.classes(docs(spark, texts), **sd.NEAR_COPIES).collect()} == want
