@@ -10,7 +10,7 @@ around it, so that the overlap around a hit is verified on the joined row, with
 no test hash can equal are left out before the join by a Bloom filter of bounded size (32 MB), which changes no result.
 
 Edge cases: null and empty texts have no words; items under ``min_words`` words can't be told from chance and match
-nothing; items with the same words count as the one with the smallest id; repeated rows are found each for itself, by id
+nothing; items with wholly the same words count as the one with the smallest id, and items that share a passage are each found; repeated rows are found each for itself, by id
 and text; rows without an id are found too; empty tables give no rows; other columns are ignored by ``overlaps`` and kept
 by ``decontaminate``. Texts are searched whole.
 """
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,7 +104,13 @@ def verify(test: np.ndarray, training: np.ndarray, window: np.ndarray) -> tuple[
 
 
 def _items(benchmark: DataFrame, min_words: int) -> DataFrame:
-    """The seeds of all items: item_id, hash, context, item_word, window."""
+    """The seeds of all items, of those with the same words of the smallest id: item_id, hash, test (context), item_word, window."""
+
+    def same(batches):
+        for b in pieces(batches, 1, 1 << 20):
+            words, firsts = word_hashes(b.column(1).to_pylist())
+            keys = [xxhash.xxh64_intdigest(words[a:z].tobytes()) for a, z in zip(firsts[:-1].tolist(), firsts[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(keys, np.uint64).view(np.int64))], names=["item_id", "text", "same"])
 
     def emit(batches):
         for b in pieces(batches, 1, 1 << 20):
@@ -127,8 +134,10 @@ def _items(benchmark: DataFrame, min_words: int) -> DataFrame:
                         names=["item_id", "hash", "test", "item_word", "window"],
                     )
 
-    texts = benchmark.select("item_id", text_or_empty().alias("text")).where("item_id is not null")
-    return texts.mapInArrow(emit, "item_id long, hash long, test binary, item_word long, window long")
+    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).where("item_id is not null")
+    keyed = cut(texts.mapInArrow(same, "item_id long, text string, same long"), "items")
+    firsts = keyed.groupBy("same").agg(F.min("item_id").alias("item_id"))
+    return keyed.join(firsts, ["same", "item_id"], "left_semi").select("item_id", "text").mapInArrow(emit, "item_id long, hash long, test binary, item_word long, window long")
 
 
 def _filter(hashes: DataFrame) -> np.ndarray:
@@ -167,14 +176,15 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", text_or_empty())
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 5) -> DataFrame:
-    """row_key, doc_id, item_id, first_word, item_word, equal_words, window of every document and item that overlap.
+def _verified(docs: DataFrame, benchmark: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """Verified hits (row_key, doc_id, seed, word, shift, equal, window) and the items (seed, item_id, item_word) of each seed.
 
-    The first overlap with most equal words is reported, by its places among the words of both.
+    Items that share words share a seed, so that a hit is joined and verified once, whatever the number of its items.
     """
     spark = docs.sparkSession
-    tests = _items(benchmark, min_words).groupBy("hash", "test", "window").agg(F.min(F.struct("item_id", "item_word")).alias("item"))
-    tests = cut(tests.select("hash", "test", "window", "item.item_id", "item.item_word"), "seeds")
+    seeded = cut(_items(benchmark, min_words).withColumn("seed", F.xxhash64("hash", "test", "window")), "seeded")
+    items = cut(seeded.groupBy("seed", "item_id").agg(F.min("item_word").alias("item_word")), "seed_items")
+    tests = cut(seeded.select("hash", "test", "window", "seed").distinct(), "seeds")
     lengths = sorted(r[0] for r in tests.where(F.col("window") < SPAN).select("window").distinct().collect())
     bloom = spark.sparkContext.broadcast(_filter(tests.select("hash")))
 
@@ -210,23 +220,33 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 5) -> DataF
             ok = np.flatnonzero(equal >= 0)
             shift = where[ok] - AROUND
             cols = [b.column(k).take(pa.array(ok)) for k in (0, 1)]
-            word, item_word = (b.column(k).to_numpy(zero_copy_only=False)[ok] + shift for k in (2, 7))
+            word = b.column(2).to_numpy(zero_copy_only=False)[ok] + shift
             yield pa.RecordBatch.from_arrays(
-                [*cols, b.column(6).take(pa.array(ok)), pa.array(word), pa.array(item_word), pa.array(equal[ok]), pa.array(window[ok])],
-                names=["row_key", "doc_id", "item_id", "word", "item_word", "equal", "window"],
+                [*cols, b.column(6).take(pa.array(ok)), pa.array(word), pa.array(shift), pa.array(equal[ok]), pa.array(window[ok])],
+                names=["row_key", "doc_id", "seed", "word", "shift", "equal", "window"],
             )
 
-    pairs = hits.join(tests, "hash").select("row_key", "doc_id", "word", "training", "test", "window", "item_id", "item_word")
-    found = pairs.mapInArrow(check, "row_key long, doc_id long, item_id long, word long, item_word long, equal long, window long")
-    best = F.min(F.struct((-F.col("equal")).alias("e"), "word", "item_word", "window")).alias("best")
-    return found.groupBy("row_key", "doc_id", "item_id").agg(best).select(
+    pairs = hits.join(tests, "hash").select("row_key", "doc_id", "word", "training", "test", "window", "seed")
+    return pairs.mapInArrow(check, "row_key long, doc_id long, seed long, word long, shift long, equal long, window long"), items
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = 5) -> DataFrame:
+    """row_key, doc_id, item_id, first_word, item_word, equal_words, window of every document and item that overlap.
+
+    The first overlap with most equal words is reported, by its places among the words of both.
+    """
+    found, items = _verified(docs, benchmark, min_words)
+    hit = F.min(F.struct((-F.col("equal")).alias("e"), "word", "shift", "window")).alias("h")
+    hits = found.groupBy("row_key", "doc_id", "seed").agg(hit).join(items, "seed")
+    place = F.struct("h.e", "h.word", (F.col("item_word") + F.col("h.shift")).alias("item_word"), "h.window")
+    return hits.groupBy("row_key", "doc_id", "item_id").agg(F.min(place).alias("best")).select(
         "row_key", "doc_id", "item_id", F.col("best.word").alias("first_word"), "best.item_word", (-F.col("best.e")).alias("equal_words"), "best.window"
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = 5) -> DataFrame:
     """``docs`` without the rows that overlap an item."""
-    bad = cut(overlaps(docs, benchmark, **params).select(F.col("row_key").alias("bad_key")).distinct(), "leaks")
+    bad = cut(_verified(docs, benchmark, min_words)[0].select(F.col("row_key").alias("bad_key")).distinct(), "leaks")
     return docs.join(bad, row_key() == F.col("bad_key"), "left_anti")
 
 

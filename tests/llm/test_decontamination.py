@@ -70,3 +70,18 @@ def test_masks_miss_no_window_with_two_substitutions():
     for a in range(d.WINDOW):
         for b in range(a):
             assert any(all(o + at not in (a, b) for o in m) for m in d.MASKS for at in range(d.WINDOW - m[-1]))
+
+
+def test_items_that_share_a_passage(spark):
+    r = random.Random(8)
+    say = lambda n: [f"w{r.randrange(900)}" for _ in range(n)]
+    passage = say(60)
+    items = [(k, " ".join(passage + say(8))) for k in (4, 9, 2)] + [(7, " ".join(say(5) + passage + say(5))), (8, " ".join(passage)), (11, " ".join(say(30)))]
+    items.append((5, items[0][1].upper()))
+    texts = [" ".join(say(20) + passage[a:b] + say(20)) for a, b in ((15, 40), (0, 20), (20, 33), (45, 60), (0, 60), (30, 42))]
+    bent = passage[16:40]
+    bent[5] = bent[9] = "other"
+    texts += [" ".join(say(6) + bent + say(6)), " ".join(passage[20:40] + say(9) + passage[20:40])]
+    want = brute(texts, items)
+    assert len(want) >= 30
+    assert run(spark, texts, items) == want
