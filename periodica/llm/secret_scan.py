@@ -62,13 +62,57 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str, quoted: bool) -> float:
     """How much ``value`` looks like a secret, from 0 to 1."""
-    n = len(value)
-    if n < 6 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+    return look(len(value), Counter(value), value, quoted)
+
+
+def look(n: float, counts: dict, sample: str, quoted: bool) -> float:
+    """The score of a value of ``n`` characters with these counts; ``sample`` is the value, or what tells a placeholder in it."""
+    if n < 6 or PLACEHOLDER.match(sample) or any(c.isspace() for c in counts):
         return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values() if c / n)
+    classes = sum(any(f(c) for c in counts) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in counts)
     score = min(1.0, entropy / 3.5) * (0.6 + 0.2 * min(classes, 3))
-    return score if quoted else (score if classes >= 2 and any(c.isdigit() for c in value) else 0.0)
+    return score if quoted else (score if classes >= 2 and any(c.isdigit() for c in counts) else 0.0)
+
+
+class Constant:
+    """The quoted literals of an assignment and, by reference, those of the constants that it names: never copied.
+
+    ``sure`` and ``joined`` are the best (score, minus the assignment's number, name) of the names that it reaches: of the
+    names alone, and with the look of all its literals as one.
+    """
+
+    __slots__ = ("own", "refs", "single", "whole", "sure", "joined")
+
+    def __init__(self, own: list, refs: list[Constant]):
+        self.own, self.refs, self.whole = own, refs, None
+        self.single = len(own) + len(refs) == 1 and all(r.single for r in refs)
+        self.sure = self.joined = (0.0, 0, "")
+
+    def measure(self) -> tuple:
+        """(characters, counts, the first 32 characters, the last one) of the literals as one; each constant is measured once."""
+        waiting = [self]
+        while waiting:
+            if (c := waiting[-1]).whole is None and (todo := [r for r in c.refs if r.whole is None]):
+                waiting += todo
+                continue
+            waiting.pop()
+            if c.whole is None:
+                n, counts, head, tail = 0, {}, "", ""
+                for m, some, first, last in [*((len(x[0]), Counter(x[0]), x[0][:32], x[0][-1:]) for x in c.own), *(r.whole for r in c.refs)]:
+                    n, tail = n + m, last or tail
+                    head = (head + first)[:32] if len(head) < 32 else head
+                    for k, v in some.items():
+                        counts[k] = counts.get(k, 0) + v
+                if n > 1e200:  # of constants that double themselves the shares of the characters are kept
+                    n, counts = n * 1e-100, {k: v * 1e-100 for k, v in counts.items()}
+                c.whole = n, counts, head, tail
+        return self.whole
+
+    def score(self) -> float:
+        n, counts, head, tail = self.measure()
+        # a placeholder is told by its beginning, its end and which characters it has
+        return look(n, counts, head if n <= 32 else head + "".join(counts) + tail, True)
 
 
 def _name_before(text: str, at: int, floor: int) -> str:
@@ -130,24 +174,36 @@ def literals_of(text: str, min_score: float = 0.5) -> list[tuple[int, int, float
     """(start, end, score, name) of the literals that reach a sensitive name, constants propagated."""
     if "=" not in text and ":" not in text:
         return []
-    known: dict[str, list[tuple[str, int, int, bool]]] = {}
-    best: dict[tuple[int, int], tuple[float, str]] = {}
-    for name, literals, refs in assignments(text):
-        reached = [x for x in literals if x[3] or x[0] not in known]
-        for r in refs:
-            reached += known.get(r) or known.get(r.rsplit(".", 1)[-1], [])
-        quoted = [x for x in reached if x[3]]
-        if quoted:
-            # a name keeps the literals of its last assignment; a chain longer than 64 literals is no constant
-            known[name] = known[name.rsplit(".", 1)[-1]] = quoted if len(quoted) <= 64 else []
-        if not (s := name_score(name)):
-            continue
-        together = "".join(x[0] for x in quoted)
-        for value, start, end, q in reached:
-            score = s * max(literal_score(value, q), literal_score(together, True) if q and len(quoted) > 1 else 0.0)
-            if score >= min_score and score > best.get((start, end), (0.0, ""))[0]:
-                best[start, end] = (score, name)
-    return [(a, b, s, n) for (a, b), (s, n) in sorted(best.items())]
+    known: dict[str, Constant] = {}
+    constants: list[Constant] = []
+    best: dict[tuple[int, int], tuple[float, int, str]] = {}
+
+    def offer(start, end, *found):
+        if found[0] >= min_score and found > best.get((start, end), (0.0, 0, "")):
+            best[start, end] = found
+
+    for at, (name, literals, refs) in enumerate(assignments(text)):
+        s = name_score(name)
+        for value, start, end, q in literals:
+            if s and not q and value not in known:
+                offer(start, end, s * literal_score(value, q), -at, name)
+        own = [x for x in literals if x[3]]
+        named = [c for r in refs if (c := known.get(r) or known.get(r.rsplit(".", 1)[-1]))]
+        if own or named:
+            # a name keeps the literals of its last assignment
+            c = known[name] = known[name.rsplit(".", 1)[-1]] = Constant(own, named)
+            constants.append(c)
+            if s:
+                c.sure = (s, -at, name)
+                c.joined = (0.0, 0, "") if c.single else (s * c.score(), -at, name)
+    # from the last constant to the first: what a constant reaches is reached by those that it names
+    for c in reversed(constants):
+        for r in c.refs:
+            r.sure, r.joined = max(r.sure, c.sure), max(r.joined, c.joined)
+        for value, start, end, q in c.own if c.sure[0] else ():
+            offer(start, end, c.sure[0] * literal_score(value, q), *c.sure[1:])
+            offer(start, end, *c.joined)
+    return [(a, b, s, n) for (a, b), (s, _, n) in sorted(best.items())]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

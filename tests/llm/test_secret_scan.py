@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from periodica.llm import secret_scan as s
@@ -70,3 +71,46 @@ def test_clean_prose_is_untouched_and_redaction(spark):
 def test_long_odd_texts_stay_linear():
     for text in ("=" * 200_000, "a=" * 100_000, "a.b:" * 50_000, '"' * 200_000, "k = v + " * 30_000, "x" * 300_000):
         s.all_spans(text)
+
+
+def copied(text, min_score=0.5):
+    """literals_of with the literals of every constant copied, whatever their number."""
+    known, best = {}, {}
+    for name, literals, refs in s.assignments(text):
+        reached = [x for x in literals if x[3] or x[0] not in known]
+        for r in refs:
+            reached += known.get(r) or known.get(r.rsplit(".", 1)[-1], [])
+        quoted = [x for x in reached if x[3]]
+        if quoted:
+            known[name] = known[name.rsplit(".", 1)[-1]] = quoted
+        together = "".join(x[0] for x in quoted)
+        for value, start, end, q in reached:
+            look = max(s.literal_score(value, q), s.literal_score(together, True) if q and len(quoted) > 1 else 0.0)
+            if (score := s.name_score(name) * look) >= min_score and score > best.get((start, end), (0.0, ""))[0]:
+                best[start, end] = (score, name)
+    return [(a, b, x, n) for (a, b), (x, n) in sorted(best.items())]
+
+
+def test_constants_of_many_pieces():
+    for n in (2, 64, 65, 200):
+        text = 'k = "q7"\n' + "".join(f'k = k + "{x % 7}aB{x}"\n' for x in range(n - 1)) + "private_key = k\n"
+        got = s.literals_of(text)
+        assert len(got) == n and [x[:2] for x in got] == [x[:2] for x in copied(text)]
+    two = "".join(f'{k} = "x1"\n' + "".join(f'{k} = {k} + "p{x}Z"\n' for x in range(39)) for k in "ab") + "api_key = a + b\n"
+    assert len(s.literals_of(two)) == 80
+    assert len(s.literals_of('k = "aB3xY9"\n' + "k = k + k\n" * 3000 + "secret = k\n")) == 1
+    assert len(s.literals_of('k = "aB3"\n' + 'k = k + "z9Q"\n' * 20000 + "secret = k\n")) == 20001
+
+
+def test_constants_against_copies():
+    rng = random.Random(4)
+    names, values = ["a", "b", "x.c", "c", "token", "cfg.secret", "pass_file", "password"], ["", "ab", "xxx", "exam", "ple", "aB3$", "9kLm2Qw8", "your_", "-", "<", ">", "a b"]
+    for _ in range(400):
+        lines = []
+        for _ in range(rng.randint(1, 9)):
+            terms = [rng.choice(names) if rng.random() < 0.4 else f'"{rng.choice(values)}"' if rng.random() < 0.8 else "Zx81bq" for _ in range(rng.randint(1, 4))]
+            lines.append(f"{rng.choice(names)} = {' + '.join(terms)}")
+        text = "\n".join(lines)
+        got, want = s.literals_of(text, 0.2), copied(text, 0.2)
+        assert [(a, b, n) for a, b, _, n in got] == [(a, b, n) for a, b, _, n in want], text
+        assert all(abs(x[2] - y[2]) < 1e-12 for x, y in zip(got, want))
