@@ -78,6 +78,16 @@ def matcher():
     return auto, [regex.compile(rf"(?b)\b(?:{notice}){{e<={k}}}\b") for _, notice, k in NOTICES]
 
 
+def best_matches(pattern, joined: str, start: int, end: int):
+    """The best match between two places, and those of the parts before and behind it, and so on."""
+    parts = [(start, end)]
+    while parts:
+        a, b = parts.pop()
+        if m := pattern.search(joined, a, b):
+            yield m
+            parts += [(a, m.start()), (m.end(), b)]
+
+
 def notices_in(joined: str) -> list[tuple[int, int, int, int]]:
     """(notice, start, end, edits) in ``joined``; of overlapping matches of a notice the first best one."""
     auto, patterns = matcher()
@@ -96,7 +106,7 @@ def notices_in(joined: str) -> list[tuple[int, int, int, int]]:
     for i, runs in near.items():
         for a, b in runs:
             # a cut inside a word must not look like a word's edge
-            for m in patterns[i].finditer(joined, a, b):
+            for m in best_matches(patterns[i], joined, a, b):
                 if (m.start() == 0 or joined[m.start() - 1] == " ") and (m.end() == len(joined) or joined[m.end()] == " "):
                     found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
     return sorted(found)

@@ -69,3 +69,10 @@ def test_pigeonhole_finds_every_match_within_the_bound():
 
 def test_empty_table(spark):
     assert ls.scan(docs(spark, [])).count() == 0
+
+
+def test_adjacent_notices_with_falling_edits():
+    assert [x[1:] for x in ls.notices_in("all rights reservd all rights reserved")] == [(0, 18, 1), (19, 38, 0)]
+    text = "eclips publc license eclipse publc license eclipse public license eclips public license"
+    assert [x[3] for x in ls.notices_in(text)] == [2, 1, 0, 1]
+    assert [x[1] for x in ls.notices_in(text)] == [0, 21, 43, 66]
