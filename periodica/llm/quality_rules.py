@@ -8,8 +8,8 @@ rejected:
 * navigation: two or more separators (``|``, ``»``, ``›``, ``•``) and at least one per five words;
 * boilerplate: a line of at most 25 words with a rights, licence, cookie or sign-up phrase.
 
-A document is rejected if the lines that fail the first two rules hold more than ``max_lost`` of its text without
-boilerplate, or if nothing but boilerplate is left. Lines without a word are neither counted nor kept.
+A document is rejected if the lines that fail any of the three rules hold more than ``max_lost`` of the text of its
+lines, or if no line is left. Lines without a word are neither counted nor kept.
 
 Edge cases: a null text counts as empty, has no words, and fails the base rules. Repeated rows are judged one by one.
 The input may have any other columns; only ``doc_id`` and the text column are read. Windows of five words are compared
@@ -30,6 +30,8 @@ SYMBOLS = "#*$%&|<>"
 BOILERPLATE = (
     "all rights reserved|licensed under|released under|copyright|cookie|privacy policy|terms of use|terms of service"
     "|subscribe|sign up|log in|javascript|lorem ipsum"
+    "|tous droits réservés|politique de confidentialité|alle rechte vorbehalten|datenschutzerklärung"
+    "|todos los derechos reservados|política de privacidad"
 )
 
 MARKS = r"[#*$%&<>]+|!!+"
@@ -135,7 +137,8 @@ def judged(text: Column, min_words: int = 8, max_lost: float = 0.5) -> Column:
         )
 
         def whole(g: Column) -> Column:
-            lost_little = (g["chars_left"] > 0) & (g["chars_failed"] <= F.lit(max_lost) * (g["chars_failed"] + g["chars_left"]))
+            lost = g["chars_failed"] + g["chars_boilerplate"]
+            lost_little = (g["chars_left"] > 0) & (lost <= F.lit(max_lost) * (lost + g["chars_left"]))
             return F.struct(
                 n.alias("n_words"),
                 f["by_word"]["word_chars"].alias("word_chars"),
@@ -209,7 +212,8 @@ base as (select doc_id, cast(len(ws) as bigint) as n_words,
          from w left join rep using (doc_id) left join per using (doc_id))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
-       not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and chars_left > 0 and chars_failed <= 0.5 * (chars_failed + chars_left) as kept,
+       not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and chars_left > 0
+         and chars_failed + chars_boilerplate <= 0.5 * (chars_failed + chars_boilerplate + chars_left) as kept,
        chars_failed, chars_boilerplate, chars_left
 from base
 """
