@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from periodica.llm.common import _arrow_schema, cut, pieces, table, text_or_empty
 
-FAN_IN = 64
+FAN_IN = 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
