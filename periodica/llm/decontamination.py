@@ -1,18 +1,21 @@
 """Benchmark decontamination by spaced seeds.
 
 Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters. A document is contaminated by a benchmark
-item if ``WINDOW`` (13) consecutive words of the item stand in it with ``SUBSTITUTIONS`` (2) words replaced at most; an
-item of 11 or 12 words must stand whole with one word replaced at most, and one of ``min_words`` to 10 words exactly.
+item if ``WINDOW`` (13) consecutive words of the item stand in it with ``SUBSTITUTIONS`` (2) words replaced at most; a
+shorter item must stand whole, and may have as many words replaced in proportion: one of 7 to 12, none of fewer.
 
 Each of three fixed masks hashes seven of the words under it and ignores the others. Together they miss no window with two
-substitutions, wherever those are. Test hashes are joined with training hashes; each carries the hashes of the words
+substitutions, wherever those are. Items shorter than a mask are split into one part more than words may be replaced, of
+which one must stand unchanged, and these parts are hashed. Test hashes are joined with training hashes; each carries the hashes of the words
 around it, so that the overlap around a hit is verified on the joined row, with nothing to look up. Training hashes that
 no test hash can equal are left out before the join by a Bloom filter of bounded size (32 MB), which changes no result.
 
 Edge cases: null and empty texts have no words; items under ``min_words`` words can't be told from chance and match
-nothing; items with wholly the same words count as the one with the smallest id, and items that share a passage are each found; repeated rows are found each for itself, by id
-and text; rows without an id are found too; empty tables give no rows; other columns are ignored by ``overlaps`` and kept
-by ``decontaminate``. Texts are searched whole.
+nothing (the parameter is the contract: 1 takes every item with a word); items with wholly the same words count as the one
+with the smallest id, or without an id if none has one, and items that share a passage are each found; documents that
+repeat with id and text give one row in ``overlaps``, and ``decontaminate`` drops or keeps all of them; rows without an id
+are found too; empty tables give no rows; other columns are ignored by ``overlaps`` and kept by ``decontaminate``. Texts
+are searched whole.
 """
 
 from __future__ import annotations
@@ -62,6 +65,18 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix(np.add.reduceat(values, starts - first)), firsts
 
 
+def replaceable(window: int) -> int:
+    """Words that may be replaced in a window of so many."""
+    return window * SUBSTITUTIONS // WINDOW
+
+
+def parts(n: int) -> list[tuple[int, int]]:
+    """(offset, length) of the parts of a short item, of which one must stand unchanged."""
+    k = replaceable(n) + 1
+    cuts = [n * i // k for i in range(k + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
 def seeds(words: np.ndarray, firsts: np.ndarray, lengths: list[int]):
     """(0, hashes, numbers of their first words) for each mask, and (n, ...) for runs of each n of ``lengths`` words."""
     row = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
@@ -96,15 +111,16 @@ def verify(test: np.ndarray, training: np.ndarray, window: np.ndarray) -> tuple[
         rows = np.flatnonzero(window == w)
         sums = [np.concatenate([np.zeros((len(rows), 1), np.int64), np.cumsum(x[rows], axis=1)], axis=1) for x in (equal & both, both)]
         same, whole = (s[:, w:] - s[:, :-w] for s in sums)
-        allowed = 0 if w < SPAN else w * SUBSTITUTIONS // WINDOW
-        same = np.where((whole == w) & (same >= w - allowed), same, -1)
+        same = np.where((whole == w) & (same >= w - replaceable(w)), same, -1)
         where[rows] = same.argmax(axis=1)
         best[rows] = same[np.arange(len(rows)), where[rows]]
     return best, where
 
 
 def _items(benchmark: DataFrame, min_words: int) -> DataFrame:
-    """The seeds of all items, of those with the same words of the smallest id: item_id, hash, test (context), item_word, window."""
+    """The seeds of all items, of those with the same words of the smallest id: item_id, hash, test (context), item_word, window, run."""
+    short = {n: parts(n) for n in range(min_words, SPAN)}
+    runs = sorted({size for some in short.values() for _, size in some})
 
     def same(batches):
         for b in pieces(batches, 1, 1 << 20):
@@ -117,27 +133,47 @@ def _items(benchmark: DataFrame, min_words: int) -> DataFrame:
             words, firsts = word_hashes(b.column(1).to_pylist())
             counts = np.diff(firsts)
             row = np.repeat(np.arange(len(counts)), counts)
-            ids = np.array(b.column(0).to_pylist(), np.int64)
-            # a run of words stands for the items of that length, the masks for the longer ones
-            for n, h, at in seeds(words, firsts, list(range(min_words, SPAN))):
-                use = counts[row[at]] == n if n else counts[row[at]] >= SPAN
+            # a run of words is a part of shorter items, the masks stand for the longer ones
+            for run, h, at in seeds(words, firsts, runs):
+                size, place = counts[row[at]], at - firsts[row[at]]
+                use = size >= SPAN
+                if run:
+                    use = np.zeros(len(at), bool)
+                    for n, some in short.items():
+                        for offset, m in some:
+                            use |= (size == n) & (place == offset) & (m == run)
                 h, at = h[use], at[use]
                 if len(h):
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(ids[row[at]]),
+                            b.column(0).take(pa.array(row[at])),
                             pa.array(h.view(np.int64)),
                             pa.array(contexts(words, firsts, at, row[at], _NO_TEST), pa.binary()),
                             pa.array(at - firsts[row[at]]),
                             pa.array(np.minimum(counts[row[at]], WINDOW)),
+                            pa.array(np.full(len(at), run)),
                         ],
-                        names=["item_id", "hash", "test", "item_word", "window"],
+                        names=["item_id", "hash", "test", "item_word", "window", "run"],
                     )
 
-    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).where("item_id is not null")
+    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
     keyed = cut(texts.mapInArrow(same, "item_id long, text string, same long"), "items")
     firsts = keyed.groupBy("same").agg(F.min("item_id").alias("item_id"))
-    return keyed.join(firsts, ["same", "item_id"], "left_semi").select("item_id", "text").mapInArrow(emit, "item_id long, hash long, test binary, item_word long, window long")
+    first = (firsts.same == keyed.same) & firsts.item_id.eqNullSafe(keyed.item_id)
+    return keyed.join(firsts, first, "left_semi").select("item_id", "text").mapInArrow(emit, "item_id long, hash long, test binary, item_word long, window long, run long")
+
+
+#: Test rows (of about 200 bytes) up to which they are sent to every executor; more are joined with salted keys.
+SENT_ROWS, SALTS = 200_000, 16
+
+
+def hash_join(hits: DataFrame, tests: DataFrame, n_tests: int) -> DataFrame:
+    """``hits`` with the tests of the same hash; a hash that many documents share is split in either way."""
+    if n_tests <= SENT_ROWS:
+        return hits.join(F.broadcast(tests), "hash")
+    salt = F.pmod(F.xxhash64("row_key", "word"), F.lit(SALTS)).cast("int").alias("salt")
+    each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    return hits.select("*", salt).join(tests.select("*", each), ["hash", "salt"]).drop("salt")
 
 
 def _filter(hashes: DataFrame) -> np.ndarray:
@@ -184,8 +220,8 @@ def _verified(docs: DataFrame, benchmark: DataFrame, min_words: int) -> tuple[Da
     spark = docs.sparkSession
     seeded = cut(_items(benchmark, min_words).withColumn("seed", F.xxhash64("hash", "test", "window")), "seeded")
     items = cut(seeded.groupBy("seed", "item_id").agg(F.min("item_word").alias("item_word")), "seed_items")
-    tests = cut(seeded.select("hash", "test", "window", "seed").distinct(), "seeds")
-    lengths = sorted(r[0] for r in tests.where(F.col("window") < SPAN).select("window").distinct().collect())
+    tests = cut(seeded.select("hash", "test", "window", "seed", "run").distinct(), "seeds")
+    lengths = sorted(r[0] for r in tests.where("run > 0").select("run").distinct().collect())
     bloom = spark.sparkContext.broadcast(_filter(tests.select("hash")))
 
     def training(batches):
@@ -226,7 +262,7 @@ def _verified(docs: DataFrame, benchmark: DataFrame, min_words: int) -> tuple[Da
                 names=["row_key", "doc_id", "seed", "word", "shift", "equal", "window"],
             )
 
-    pairs = hits.join(tests, "hash").select("row_key", "doc_id", "word", "training", "test", "window", "seed")
+    pairs = hash_join(hits, tests, tests.count()).select("row_key", "doc_id", "word", "training", "test", "window", "seed")
     return pairs.mapInArrow(check, "row_key long, doc_id long, seed long, word long, shift long, equal long, window long"), items
 
 

@@ -12,13 +12,13 @@ def words(text):
 def brute(texts, items, min_words=5):
     """(doc_id, item_id, most equal words) by comparing every window with every other."""
     out, seen = set(), set()
-    for item, text in sorted(items):
+    for item, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0)):
         w = [x for x in words(text) if x]
         if len(w) < min_words or tuple(w) in seen:
             continue
         seen.add(tuple(w))
         n = min(13, len(w))
-        allowed = n * 2 // 13 if n >= 11 else 0
+        allowed = n * 2 // 13
         for i, t in enumerate(texts):
             v = [x for x in words(t) if x]
             best = max((sum(a == b for a, b in zip(w[k : k + n], v[j : j + n])) for k in range(len(w) - n + 1) for j in range(len(v) - n + 1)), default=-1)
@@ -58,6 +58,25 @@ def test_same_items_and_repeated_rows(spark):
     assert [r.doc_id for r in d.decontaminate(rows, bench).collect()] == [2]
 
 
+def test_short_and_nameless_items(spark):
+    items = [(1, "one"), (2, "two three"), (None, "four five six seven eight nine"), (4, "a1 b2 c3 d4 e5 f6 g7 h8"), (None, "p q r s t u v w x y z a b c d e")]
+    texts = ["three two one", "x two three", "four five six seven eight nine", "a1 b2 c3 d4 e5 f6 g7 x8", "z1 b2 c3 d4 e5 f6 g7 h8", "a1 b2 c3 d4 x5 f6 g7 x8", "q r s t u v w x y z a b c d", None]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for least in (1, 5):
+        got = {(r.doc_id, r.item_id, r.equal_words) for r in d.overlaps(docs(spark, texts), bench, least).collect()}
+        assert got == brute(texts, items, least)
+    assert (3, 4, 7) in got and (2, None, 6) in got
+
+
+def test_hot_hashes_are_salted_alike(spark, monkeypatch):
+    r = random.Random(5)
+    items = [(k, " ".join(f"w{r.randrange(50)}" for _ in range(30))) for k in range(6)]
+    texts = ["intro words " + items[k % 6][1] for k in range(20)]
+    want = run(spark, texts, items)
+    monkeypatch.setattr(d, "SENT_ROWS", 0)
+    assert run(spark, texts, items) == want and len(want) >= 20
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     some = docs(spark, HARD)
