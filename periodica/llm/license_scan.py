@@ -3,10 +3,13 @@
 A text is lower-cased (A-Z), split into words of ASCII letters, digits and non-ASCII characters, and joined with single
 spaces. Base labels come from phrases whose words stand consecutively. Notices may hold up to ``k`` edits: split into
 ``k + 1`` parts, one part must stand unchanged (pigeonhole), so an Aho-Corasick pass over the exact parts locates all
-candidates, and the ``regex`` library's bounded-error matching verifies each candidate's neighbourhood and counts edits.
+candidates, and the ``regex`` library's bounded-error matching verifies each candidate's neighbourhood and counts edits. A
+notice begins and ends where no letter or digit goes on, so quotes, dashes and signs may stand against it, though the
+contract counts those outside ASCII to the words.
 
-Edge cases: null text counts as empty: no words, no labels, score 0. Texts are searched whole; repeated rows one by
-one; other columns are ignored. Equal best matches report the leftmost. Offsets are code points, ends exclusive.
+Edge cases: null text counts as empty: no words, no labels, score 0. Texts are searched whole, in time linear in their
+length; repeated rows one by one; other columns are ignored. Of overlapping matches of a notice that of fewest edits is
+reported, then the leftmost. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -75,40 +78,64 @@ def matcher():
     for part, places in at.items():
         auto.add_word(part, places)
     auto.make_automaton()
-    return auto, [regex.compile(rf"(?b)\b(?:{notice}){{e<={k}}}\b") for _, notice, k in NOTICES]
+    return auto, [regex.compile(rf"(?b)(?<!\w)(?:{notice}){{e<={k}}}(?!\w)") for _, notice, k in NOTICES]
 
 
 def best_matches(pattern, joined: str, start: int, end: int):
-    """The best match between two places, and those of the parts before and behind it, and so on."""
+    """The best match of the candidate between two places, and those of the parts before and behind it, and so on."""
+    inside = lambda at: 0 <= at < len(joined) and (joined[at].isalnum() or joined[at] == "_")
     parts = [(start, end)]
     while parts:
         a, b = parts.pop()
-        if m := pattern.search(joined, a, b):
-            yield m
-            parts += [(a, m.start()), (m.end(), b)]
+        # a cut inside a word must not look like a word's edge
+        part = joined[max(a - 1, 0) : b + 1]
+        shift, at = max(a - 1, 0), a - max(a - 1, 0)
+        while m := pattern.search(part, at):
+            first, last = m.start() + shift, m.end() + shift
+            if last <= b and not inside(last if last < len(joined) else -1):
+                yield first, last, sum(m.fuzzy_counts)
+                parts += [(a, first), (last, b)]
+                break
+            at = m.start() + 1
+
+
+def apart(matches: list) -> list:
+    """Of (start, end, edits) those that overlap none of fewer edits, or as many and further to the left."""
+    out, group, reach = [], [], -1
+    for m in [*sorted(matches), (1 << 62, 1 << 62, 0)]:
+        if m[0] >= reach and group:
+            taken: list = []
+            for x in sorted(group, key=lambda x: (x[2], x[0], x[1])):
+                k = bisect.bisect_left(taken, x)
+                if (k == 0 or taken[k - 1][1] <= x[0]) and (k == len(taken) or taken[k][0] >= x[1]):
+                    taken.insert(k, x)
+            out += taken
+            group = []
+        group.append(m)
+        reach = max(reach, m[1])
+    return out
 
 
 def notices_in(joined: str) -> list[tuple[int, int, int, int]]:
-    """(notice, start, end, edits) in ``joined``; of overlapping matches of a notice the first best one."""
+    """(notice, start, end, edits) in ``joined``."""
     auto, patterns = matcher()
-    near: dict[int, list[list[int]]] = {}
+    near: dict[int, set[int]] = {}
     for last, places in auto.iter(joined):
         for i, offset, size in places:
-            _, notice, k = NOTICES[i]
-            start = last + 1 - size - offset
-            a, b = max(0, start - k - 1), min(len(joined), start + len(notice) + k + 1)
-            runs = near.setdefault(i, [])
-            if runs and a <= runs[-1][1]:
-                runs[-1][0], runs[-1][1] = min(a, runs[-1][0]), max(b, runs[-1][1])
-            else:
-                runs.append([a, b])
+            near.setdefault(i, set()).add(last + 1 - size - offset)
     found = []
-    for i, runs in near.items():
-        for a, b in runs:
-            # a cut inside a word must not look like a word's edge
-            for m in best_matches(patterns[i], joined, a, b):
-                if (m.start() == 0 or joined[m.start() - 1] == " ") and (m.end() == len(joined) or joined[m.end()] == " "):
-                    found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+    for i, starts in near.items():
+        _, notice, k = NOTICES[i]
+        seen, done = set(), -len(joined) - len(notice)
+        for start in sorted(starts):
+            # seeds of one place may disagree by as many characters as there are edits
+            a, b = max(0, start - k - 1), min(len(joined), start + len(notice) + k + 1)
+            if (start, start + len(notice), 0) in seen or start < done:
+                continue
+            hits = set(best_matches(patterns[i], joined, a, b))
+            seen |= hits
+            done = max((y for x, y, e in hits if e == 0 and x <= start), default=done)
+        found += [(i, *m) for m in apart(list(seen))]
     return sorted(found)
 
 
@@ -120,8 +147,10 @@ def scan_text(text: str) -> tuple:
     for phrase, label in BASE:
         needle = b" " + phrase.encode() + b" "
         at = raw.find(needle)
+        n = counted = 0
         while at >= 0:
-            places.append(raw.count(b" ", 0, at))
+            n, counted = n + raw.count(b" ", counted, at), at
+            places.append(n)
             base.add(label)
             at = raw.find(needle, at + 1)
     joined = raw[1:-1].decode("utf-8", "surrogatepass")
@@ -135,7 +164,7 @@ def scan_text(text: str) -> tuple:
             labels.add(label)
             score = max(score, 1 - edits / len(notice))
             first, last = bisect.bisect_right(starts, a) - 1, bisect.bisect_right(starts, b - 1) - 1
-            spans.append(f"{label}:{original[first][0]}:{original[last][1]}:{edits}")
+            spans.append(f"{label}:{original[first][0] + a - starts[first]}:{original[last][0] + b - starts[last]}:{edits}")
     return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, ",".join(spans))
 
 

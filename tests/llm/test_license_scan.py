@@ -67,6 +67,63 @@ def test_pigeonhole_finds_every_match_within_the_bound():
             assert not plain or any(ls.NOTICES[i][1] == notice for i, *_ in ls.notices_in(t)), (notice, t)
 
 
+def brute_notices(joined):
+    """Every substring of about a notice's length that starts and ends at a word's edge, by edit distance."""
+    found = []
+    for i, (_, notice, k) in enumerate(ls.NOTICES):
+        def edits(a, b):
+            row = list(range(len(notice) + 1))
+            for x, c in enumerate(joined[a:b], 1):
+                row, up = [x], row
+                for y, d in enumerate(notice, 1):
+                    row.append(min(row[-1] + 1, up[y] + 1, up[y - 1] + (c != d)))
+            return row[-1]
+
+        edge = lambda at, side: not (0 <= at + side < len(joined) and re.match(r"\w", joined[at + side]))
+        for a in range(len(joined)):
+            if edge(a, -1):
+                for b in range(a + len(notice) - k, min(len(joined), a + len(notice) + k) + 1):
+                    if edge(b, 0) and (e := edits(a, b)) <= k:
+                        found.append((i, a, b, e))
+    return found
+
+
+def test_labels_and_spans_against_edit_distances():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            s = list(rng.choice(ls.NOTICES)[1])
+            for _ in range(rng.randint(0, 5)):
+                at = rng.randrange(len(s))
+                s[at : at + rng.randint(0, 1)] = rng.choice(["", "q", "“", " x"])
+            words += ["".join(s), rng.choice(["", "zz", "©", "license mit"])]
+        joined = " ".join(" ".join(words).split())
+        found, want = ls.notices_in(joined), brute_notices(joined)
+        assert set(found) <= set(want), joined
+        for i, a, b, e in want:  # whatever matches is found, or overlaps a match of that notice that is no worse
+            assert any(j == i and x < b and a < y and f <= e for j, x, y, f in found), (joined, i, a, b)
+
+
+def test_signs_against_a_notice():
+    for text, span in (("“Mozilla Public License”", "mpl:1:23:0"), ("©All rights reserved", "all-rights-reserved:1:20:0"), ("—Eclipse Public License—", "epl:1:23:0")):
+        assert ls.scan_text(text)[7] == span
+
+
+def test_many_notices_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        began = time.process_time()
+        assert ls.scan_text("all rights reserved " * n)[7].count(",") == n - 1
+        assert ls.scan_text("mit license " * n)[1] == n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0]
+
+
 def test_empty_table(spark):
     assert ls.scan(docs(spark, [])).count() == 0
 
