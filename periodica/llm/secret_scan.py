@@ -2,7 +2,8 @@
 
 Base kinds (``assign``, ``access``, ``hex``) are leftmost non-overlapping matches of fixed patterns. The lexer adds the
 kind ``literal``: it walks the assignment operators of a text, parses ``name op expression`` around each (identifiers,
-dotted names, quoted keys; quoted strings, bare values, constants, ``+`` chains), keeps an environment of constants so
+dotted names, quoted keys; strings in single, double or triple quotes with or without a prefix, bare values, constants,
+``+`` chains, and of calls the arguments without a name), takes elements and key-value attributes of markup, keeps an environment of constants so
 that a literal reaches the names it is assigned to later, and scores every literal by the sensitivity of its target
 name and by the look of the literal itself. Literals scoring ``min_score`` or more are reported where they are written.
 
@@ -44,7 +45,13 @@ PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|-+|changeme|change_me|your[_-].*|exa
 
 OPERATOR = re.compile(r":=|=>|[:=]")
 NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-$")
-QUOTED = re.compile(r'''"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)\'''')
+QUOTED = re.compile(
+    r'''(?:[rbfuRBFU]{1,2}(?=["']))?(?:"""((?:[^"\\]|\\.|"(?!""))*)"""|\'{3}((?:[^'\\]|\\.|'(?!''))*)\'{3}|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)')''', re.S
+)
+CALL = re.compile(r'''["'()]''')
+ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>([^<>]+)</\1\s*>")
+ATTRIBUTES = re.compile(r"""\b(?:key|name)\s*=\s*(["'])([\w.:-]+)\1\s+value\s*=\s*(["'])([^"'<>]*)\3""")
+VARIABLE = re.compile(r"[A-Z][A-Z0-9]*(_[A-Z0-9]+)*")
 IDENTIFIER = re.compile(r"[A-Za-z_$][\w.$]*", re.A)
 BARE = re.compile(r"[A-Za-z0-9+/_.~\-]+={0,2}")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -75,6 +82,10 @@ def look(n: float, counts: dict, sample: str, quoted: bool) -> float:
     return score if quoted else (score if classes >= 2 and any(c.isdigit() for c in counts) else 0.0)
 
 
+#: The mark of a call's argument: it must look like a secret on its own, as a bare value must.
+CALLED = 2
+
+
 class Constant:
     """The quoted literals of an assignment and, by reference, those of the constants that it names: never copied.
 
@@ -130,10 +141,43 @@ def _name_before(text: str, at: int, floor: int) -> str:
     return text[i:j].strip(".-$")
 
 
+def calls(text: str) -> dict[int, tuple[int, list]]:
+    """Of every bracket that opens: where it closes, and the strings right inside it that no name is given to; one pass."""
+    out: dict[int, tuple[int, list]] = {}
+    open_: list[tuple[int, list]] = []
+    at = 0
+    while m := CALL.search(text, at):
+        at = m.end()
+        if m[0] == "(":
+            open_.append((m.start(), []))
+        elif m[0] == ")":
+            if open_:
+                start, found = open_.pop()
+                out[start] = at, found
+        elif q := QUOTED.match(text, m.start()):
+            at = q.end()
+            k = m.start()
+            while k and text[k - 1] in " \t\n":
+                k -= 1
+            if open_ and text[k - 1] not in "=:":
+                open_[-1][1].append((q[q.lastindex], *q.span(q.lastindex)))
+    return out
+
+
 def assignments(text: str):
-    """(name, [(value, start, end, quoted)], references) of every assignment, in text order."""
+    """(name, [(value, start, end, quoted)], references) of every assignment, in text order; quoted: 1, of a call: 2."""
+    marked = []
+    if "</" in text:
+        marked += [(m.start(), m[1], m[2], *m.span(2)) for m in ELEMENT.finditer(text)]
+    if "value" in text:
+        marked += [(m.start(), m[2], m[4], *m.span(4)) for m in ATTRIBUTES.finditer(text)]
+    marked.sort(reverse=True)
+    inside = calls(text) if "(" in text else {}
     last = 0
     for m in OPERATOR.finditer(text):
+        while marked and marked[-1][0] <= m.start():
+            _, name, value, start, end = marked.pop()
+            yield name.replace(":", "."), [(value, start, end, True)], []
         at, pos = m.span()
         if at < last:
             continue
@@ -147,8 +191,13 @@ def assignments(text: str):
             while after < len(text) and text[after] in " \t":
                 after += 1
             if q := QUOTED.match(text, after):
-                k = 1 if q[1] is not None else 2
-                literals.append((q[k], *q.span(k), True))
+                literals.append((q[q.lastindex], *q.span(q.lastindex), True))
+            elif (q := IDENTIFIER.match(text, after)) and text[q.end() : q.end() + 1] == "(" and q.end() in inside:
+                # what stands in a call under a name of its own is an assignment of its own
+                literals += [(*x, CALLED) for x in inside[q.end()][1]]
+                after = inside[q.end()][0]
+                refs.append(q[0])
+                break
             elif (q := IDENTIFIER.match(text, after)) and not literals and text[q.end() : q.end() + 1] not in ("+", "/", "=", "-", "~"):
                 refs.append(q[0])
                 literals.append((q[0], *q.span(), False))
@@ -167,12 +216,14 @@ def assignments(text: str):
             after = k + 1
         if literals or refs:
             yield name, literals, refs
-            last = after if any(x[3] for x in literals) else pos
+            last = after if any(x[3] is True for x in literals) and not any(x[3] is CALLED for x in literals) else pos
+    for _, name, value, start, end in reversed(marked):
+        yield name.replace(":", "."), [(value, start, end, True)], []
 
 
 def literals_of(text: str, min_score: float = 0.5) -> list[tuple[int, int, float, str]]:
     """(start, end, score, name) of the literals that reach a sensitive name, constants propagated."""
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
     known: dict[str, Constant] = {}
     constants: list[Constant] = []
@@ -185,9 +236,9 @@ def literals_of(text: str, min_score: float = 0.5) -> list[tuple[int, int, float
     for at, (name, literals, refs) in enumerate(assignments(text)):
         s = name_score(name)
         for value, start, end, q in literals:
-            if s and not q and value not in known:
-                offer(start, end, s * literal_score(value, q), -at, name)
-        own = [x for x in literals if x[3]]
+            if s and (q is CALLED and not VARIABLE.fullmatch(value) or not q and value not in known):
+                offer(start, end, s * literal_score(value, False), -at, name)
+        own = [x for x in literals if x[3] is True]
         named = [c for r in refs if (c := known.get(r) or known.get(r.rsplit(".", 1)[-1]))]
         if own or named:
             # a name keeps the literals of its last assignment
@@ -222,7 +273,14 @@ def all_spans(text: str, min_score: float = 0.5) -> tuple[list, list, float]:
     """Base spans, all spans (base and added) and the best score of a literal."""
     base = base_spans(text)
     found = literals_of(text, min_score)
-    added = [(a, 3, b) for a, b, _, _ in found if not any(s <= a and b <= e for s, _, e in base)]
+    # a literal inside a base span is known already; both are in order, so one pass is enough
+    added, k, reach = [], 0, -1
+    for a, b, _, _ in found:
+        while k < len(base) and base[k][0] <= a:
+            reach = max(reach, base[k][2])
+            k += 1
+        if b > reach:
+            added.append((a, 3, b))
     return base, sorted(base + added), max((s for _, _, s, _ in found), default=0.0)
 
 

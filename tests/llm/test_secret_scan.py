@@ -56,6 +56,43 @@ def test_lexer_names_and_constants():
     assert found("The secret: nobody knows. Password: see below. a == b, c != d") == []
 
 
+def test_lexer_string_forms_calls_and_markup():
+    key = "q9Zt4LmP0aWx"
+    forms = ['signing_key = """{}"""', "signing_key = '''{}'''", "signing_key = f'{}'", 'signing_key = b"{}"', "<password>{}</password>", '<db:password type="x">{}</db:password>', '<add key="db.password" value="{}"/>']
+    forms += ['api_key = os.getenv("API_KEY", "{}")', 'c = Client(user="bob", client_secret="{}", x=1)', 'private_key = load(\n    "{}",\n)', '{{"secret_key": "{}"}}', "K = '{}'\nauth_secret = K"]
+    for form in forms:
+        assert found(form.format(key)) == [key], form
+    assert found('color = """q9Zt4LmP0aWx"""\n<color>q9Zt4LmP0aWx</color>\nx = os.getenv("API_KEY", "q9Zt4LmP0aWx")\npassword = input("type your password")') == []
+
+
+def test_literals_against_a_line_by_line_reading():
+    """Lines of one quoted value each: a value is found if its name alone is sensitive enough for its look."""
+    rng = random.Random(6)
+    names = ["password", "db_password", "color", "client.secret", "token_count", "authToken", "privateKey", "user", "apiKey", "note", "session_cookie"]
+    for _ in range(200):
+        want, lines = [], []
+        for _ in range(rng.randint(1, 8)):
+            name = rng.choice(names)
+            value = "".join(rng.choices("abcXYZ0189$/", k=rng.randint(4, 16)))
+            lines.append(rng.choice(['{} = "{}"', "{}: '{}'", '"{}": "{}",', "{} := f'{}'", '{}="""{}"""']).format(name, value))
+            if s.name_score(name) * s.literal_score(value, True) >= 0.5:
+                want.append(value)
+        assert found("\n".join(lines)) == want, lines
+
+
+def test_many_secrets_take_linear_time():
+    import time
+
+    for line in ('password = "q9Zt4LmP0aWx{}"\n', 'api_key = os.getenv("A", "q9Zt4LmP0aWx{}")\n', "x = f(", "secret = k{}\nk = 'aZ9'\n"):
+        took = []
+        for n in (2000, 8000):
+            text = "".join(line.replace("{}", str(k)) for k in range(n))
+            began = time.process_time()
+            s.all_spans(text)
+            took.append(time.process_time() - began)
+        assert took[1] < 8 * took[0] + 0.1, line
+
+
 def test_reassigned_constant_does_not_leak():
     assert found('K = "q9Zt4LmP0aWx"\nK = "hello there"\nsecret = K') == []
 
