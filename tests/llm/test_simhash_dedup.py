@@ -44,8 +44,8 @@ def check(spark, df, **params):
 
 
 def test_documents_against_brute_force(spark):
-    check(spark, table(spark, "/root/testdata/sf0.01", "documents"), shard_rows=64)
-    check(spark, table(spark, SF, "documents"), max_bits=9, shard_rows=16)
+    check(spark, table(spark, "/root/testdata/sf0.01", "documents"), most=64)
+    check(spark, table(spark, SF, "documents"), max_bits=3, most=64)
 
 
 def test_hard_texts_and_chain(spark):
@@ -56,11 +56,30 @@ def test_links_of_random_points(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(40)]
     fps = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 4))) for b in base for _ in range(40)})
-    rows = [(k, fp - (1 << 64) if fp >> 63 else fp, 0, 1) for k, fp in enumerate(fps)]
-    points = spark.createDataFrame(rows, "node long, fp long, fp2 long, size long")
-    roots = {r.node: r.root for r in components(sd.link(points, 2, shard_rows=100)).collect()}
+    rows = [(k, fp - (1 << 64) if fp >> 63 else fp) for k, fp in enumerate(fps)]
+    points = spark.createDataFrame(rows, "node long, fp long")
     want = brute_components(list(range(len(fps))), fps, 2)
-    assert {k: roots.get(k, k) for k in want} == want
+    for most in (sd.MOST, 30):
+        roots = {r.node: r.root for r in components(sd.bit_links(points, 2, most)).collect()}
+        assert {k: roots.get(k, k) for k in want} == want
+
+
+def test_copies_of_a_point_do_not_grow_and_crowded_shards_are_split(spark):
+    rng = np.random.default_rng(5)
+    for n in (1000, 8000):
+        fps = rng.integers(-(1 << 63), 1 << 63, n)
+        rows = spark.createDataFrame([(0, int(x), int(x), int(x), 64) for x in fps], "shard long, node long, fp long, rest long, width int")
+        dealt = sd.split_bits(rows, 3)
+        assert dealt.count() == 3 * n
+        assert {(r.width, r.c) for r in dealt.groupBy("width").count().withColumnRenamed("count", "c").collect()} == {(42, n), (43, 2 * n)}
+    # points that share a block: dealt again, they stand in shards of fewer
+    hot = spark.range(3000).selectExpr("0L as shard", "id as node", "id as fp", "id as rest", "64 as width")
+    once = sd.split_bits(hot, 3)
+    assert once.groupBy("shard").count().agg({"count": "max"}).first()[0] == 3000
+    twice = once
+    for _ in range(5):
+        twice = sd.split_bits(twice, 3)
+    assert twice.where("width < 12").groupBy("shard").count().agg({"count": "max"}).first()[0] <= 1 << 11
 
 
 def test_components_of_long_chain_and_hub(spark):
@@ -131,9 +150,8 @@ def test_near_copies_are_those_of_exact_similarity(spark):
     texts += ["", "a b", "a b", "a b c d e f", " ".join(["same line again here now"] * 9), " ".join(["same line again here now"] * 99)]
     want = brute_near(texts)
     assert 60 < len({*want.values()}) < len(texts) - 40
-    for size in (16384, 64):
-        got = {r.doc_id: r.component_id for r in sd.classes(docs(spark, texts), **sd.NEAR_COPIES, shard_rows=size).collect()}
-        assert got == want
+    got = {r.doc_id: r.component_id for r in sd.classes(docs(spark, texts), **sd.NEAR_COPIES).collect()}
+    assert got == want
 
 
 def test_large_group_of_near_copies_without_its_original(spark):
@@ -142,4 +160,31 @@ def test_large_group_of_near_copies_without_its_original(spark):
     texts = [" ".join(edited(rng, t, rng.choice((0.02, 0.06, 0.1)), False)) for _ in range(60)]
     want = brute_near(texts)
     assert 1 < len({*want.values()}) < 40
-    assert {r.doc_id: r.component_id for r in sd.classes(docs(spark, texts), **sd.NEAR_COPIES).collect()} == want
+    for most in (sd.MOST, 12, 2):
+        got = {r.doc_id: r.component_id for r in sd.classes(docs(spark, texts), **sd.NEAR_COPIES, most=most).collect()}
+        assert got == want
+
+
+def test_pivots_lose_no_link(spark, monkeypatch):
+    rng = random.Random(4)
+    t = [f"w{k}" for k in range(120)]
+    texts = [" ".join(edited(rng, t, rng.choice((0.05, 0.11, 0.15)), rng.random() < 0.5)) for _ in range(40)]
+    texts += [" ".join(f"x{rng.randrange(9**9)}" for _ in range(50)) for _ in range(10)]
+    want = brute_near(texts)
+    sets = sd.shingle_sets(docs(spark, texts), 5, 4, 2).select("doc_id", "node", "shingles").cache()
+    node = {r.node: r.doc_id for r in sets.collect()}
+    members = sets.selectExpr("1L as shard", "node").unionAll(sets.where("doc_id < 5").selectExpr("2L as shard", "node"))
+    for most, rounds in ((100, 6), (10, 6), (10, 1), (3, 2)):
+        monkeypatch.setattr(sd, "PIVOTS", rounds)
+        links = sd.pivot_links(members, sets.select("node", "shingles"), 0.8, most)
+        roots = {node[r.node]: node[r.root] for r in components(links).collect()}
+        groups = lambda root: {frozenset(i for i in range(50) if root(i) == r) for r in map(root, range(50))}
+        assert groups(lambda i: roots.get(i, i)) == groups(want.get)
+
+
+def test_clashing_columns_and_nulls(spark):
+    rows = [(1, "a b c d e f g", "x", 5), (1, "a b c d e f g", "y", 6), (2, "a b c d e f g", "z", 7), (None, None, "n", 8), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, copies string, row long")
+    out = sd.dedup(df, **sd.NEAR_COPIES)
+    assert out.columns == df.columns
+    assert sorted(r.doc_id or 0 for r in out.collect()) == [0, 1, 3]
