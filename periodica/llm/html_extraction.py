@@ -1,9 +1,10 @@
 """HTML extraction by a recurrent block labeller.
 
 A page becomes a sequence of leaf blocks: runs of text between block-level tags. Every block has a tag-path vector (tags
-and class or id words of its ancestors, hashed), a hashed-word vector and a few figures (length, links, sentence ends).
-A bidirectional LSTM in numpy reads the whole sequence in both directions, so each block is labelled in the context of
-the document, and the blocks labelled as the article's are joined.
+and class, id and role words of all its ancestors, hashed, and once more those of the nearest), a hashed-word vector and a few
+figures (length, links, sentence ends). A bidirectional LSTM in numpy reads the whole sequence in both directions, so each
+block is labelled in the context of the document, and the blocks labelled as the article's are joined. Pages of many blocks are
+read a stretch at a time with the state carried on, so that a worker holds the vectors of ``CHUNK`` blocks and not of a page.
 
 The labeller is trained here, on pages that ``pages_to_learn`` builds from a grammar of layouts with known labels; their
 number (``N_PAGES``) and the passes over them are fixed parameters, so training takes seconds, once per driver.
@@ -42,19 +43,21 @@ CLOSES = {
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SCOPES = frozenset("table ul ol dl td th body html article section div aside nav footer header main form".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*'|["'])*)(?:>|\Z)""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^>])*)(?:>|\Z)""", re.S)
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])|\Z", re.I) for name in RAW}
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SENTENCE = re.compile(r"[.!?…][\"'”»)]*(?:\s|$)")
 
-DEPTH, PATH_SIZE, WORD_SIZE, FIGURES, HIDDEN_SIZE = 10, 256, 64, 8, 20
-N_PAGES, PASSES, SEED = 1500, 7, 11
+FAR_SIZE, NEAR_SIZE, NEAR, WORD_SIZE, FIGURES, HIDDEN_SIZE = 224, 128, 3, 64, 8, 20
+PATH_SIZE = FAR_SIZE + NEAR_SIZE
+CHUNK = 1 << 13  # blocks
+N_PAGES, PASSES, SEED = 2400, 7, 11
 
 
 class Block:
-    """A leaf block: its path (a tuple of words, the nearest element's last), text, and the text inside links."""
+    """A leaf block: its path (the slots of its ancestors' words and of the nearest ones', as bits), text, and the text inside links."""
 
     __slots__ = ("path", "text", "linked", "label")
 
@@ -67,16 +70,21 @@ def path_words(tag: str, attributes: str) -> tuple[str, ...]:
     out = [f"<{tag}>"]
     if attributes:
         for m in MARKS.finditer(attributes):
-            out += [p.lower() for p in PARTS.findall(m[1])[:6]]
+            out += [p.lower() for p in PARTS.findall(m[1])]
         if HIDDEN.search(attributes):
             out.append("hidden")
     return tuple(out)
 
 
+@functools.lru_cache(1 << 14)
+def _bits(words: tuple[str, ...], size: int) -> int:
+    return functools.reduce(lambda a, w: a | 1 << _slot(w, size), words, 0)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
+    stack: list[tuple[str, int, int]] = []  # tag, bits of the whole path, bits of the element itself
     text: list[str] = []
     linked = links = silent = at = 0
 
@@ -86,12 +94,13 @@ def blocks_of(page: str) -> list[Block]:
             t = " ".join("".join(map(entities.unescape, text)).split())
             text.clear()
             if t:
-                out.append(Block(tuple(w for _, ws in stack[-DEPTH:] for w in ws), t, min(linked, len(t))))
+                near = functools.reduce(lambda a, e: a | e[2], stack[-NEAR:], 0)
+                out.append(Block((stack[-1][1] if stack else 0) | near << FAR_SIZE, t, min(linked, len(t))))
         linked = 0
 
     def pop(k):
         nonlocal links, silent
-        for tag, _ in stack[k:]:
+        for tag, _, _ in stack[k:]:
             links -= tag == "a"
             silent -= tag in SILENT
         del stack[k:]
@@ -133,7 +142,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if m[3].rstrip().endswith("/") and name in ("svg", "math"):
             continue
-        stack.append((name, path_words(name, m[3])))
+        words = path_words(name, m[3])
+        stack.append((name, (stack[-1][1] if stack else 0) | _bits(words, FAR_SIZE), _bits(words, NEAR_SIZE)))
         links += name == "a"
         silent += name in SILENT
         if name in RAW:
@@ -160,16 +170,14 @@ _SLOTS = _Slots()
 
 
 @functools.lru_cache(1 << 12)
-def _path_vector(path: tuple) -> np.ndarray:
-    v = np.zeros(PATH_SIZE, np.float32)
-    for w in path:
-        v[_slot(w, PATH_SIZE)] = 1
-    return v
+def _path_vector(path: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(path.to_bytes(PATH_SIZE // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    """A row per block: tag path, hashed words, figures."""
+def vectors(blocks: list[Block], first: int = 0, whole: int | None = None) -> np.ndarray:
+    """A row per block: tag path, hashed words, figures; ``blocks`` begin at the ``first`` of a page's ``whole`` number."""
     n = len(blocks)
+    whole = n if whole is None else whole
     if len(_SLOTS) > 1 << 18:
         _SLOTS.clear()
     words = [b.text.lower().split() for b in blocks]
@@ -177,8 +185,8 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     slots = np.fromiter(map(_SLOTS.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(sizes.sum()))
     counts = np.bincount(slots + np.repeat(np.arange(n) * WORD_SIZE, sizes), minlength=n * WORD_SIZE).reshape(n, WORD_SIZE)
     figures = [
-        (b.linked / len(b.text), sum(1 for _ in itertools.islice(SENTENCE.finditer(b.text), 3)) / 3, k == 0, k == n - 1, "©" in b.text, k / n)
-        for k, b in enumerate(blocks)
+        (b.linked / len(b.text), sum(1 for _ in itertools.islice(SENTENCE.finditer(b.text), 3)) / 3, k == 0, k == whole - 1, "©" in b.text, k / whole)
+        for k, b in enumerate(blocks, first)
     ]
     unit = counts / np.sqrt((counts * counts).sum(1, keepdims=True))
     return np.concatenate([np.stack([_path_vector(b.path) for b in blocks]), unit, np.log1p(sizes)[:, None] / 4, sizes[:, None] >= 15, figures], axis=1, dtype=np.float32)
@@ -200,11 +208,13 @@ class Labeller:
             self.p[f"b{d}"][h : 2 * h] = 1
         self.p["v"], self.p["s"], self.p["c"] = draw(2 * h), draw(n) * 0, np.zeros(1, np.float32)
 
-    def _read(self, x, d, keep=None):
-        """States after every step; x: (steps, pages, size)."""
+    def _read(self, x, d, keep=None, start=None, last=None):
+        """States after every step; x: (steps, pages, size). ``start``: (state, cell) to go on from; ``last`` is given those at the end."""
         h = HIDDEN_SIZE
         w, u, b = (self.p[k + d] for k in "wub")
         state = cell = np.zeros((x.shape[1], h), np.float32)
+        if start:
+            state, cell = start
         out = np.empty((*x.shape[:2], h), np.float32)
         for t in range(len(x)):
             g = x[t] @ w + state @ u + b
@@ -216,6 +226,21 @@ class Labeller:
                 keep.append((i, f, o, z, before, tc, state))
             state = o * tc
             out[t] = state
+        if last is not None:
+            last[:] = [state, cell]
+        return out
+
+    def scores_of_long(self, blocks: list[Block], chunk: int = CHUNK) -> np.ndarray:
+        """The scores of one page's blocks, read in stretches: forth, and then back."""
+        h, n = HIDDEN_SIZE, len(blocks)
+        out = np.full(n, self.p["c"][0], np.float32)
+        stretches = [(a, min(n, a + chunk)) for a in range(0, n, chunk)]
+        for d, v, way in (("f", self.p["v"][:h], 1), ("b", self.p["v"][h:], -1)):
+            carried: list = []
+            for a, z in stretches[::way]:
+                x = vectors(blocks[a:z], a, n)
+                states = self._read(x[::way, None, :], d, start=carried or None, last=carried)
+                out[a:z] += (states[::way, 0] @ v) + (x @ self.p["s"] if way > 0 else 0)
         return out
 
     def scores(self, x: np.ndarray, lengths: np.ndarray, keep=None) -> np.ndarray:
@@ -260,7 +285,10 @@ class Labeller:
     def label(self, pages: list[list[Block]], most: int = 1 << 14) -> list[np.ndarray]:
         """For each page a boolean per block: is it the article's? Pages of like length are read together."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-        order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
+        for k, blocks in enumerate(pages):
+            if len(blocks) > CHUNK:
+                out[k] = self.scores_of_long(blocks) > 0
+        order = sorted((k for k in range(len(pages)) if 0 < len(pages[k]) <= CHUNK), key=lambda k: len(pages[k]))
         while order:
             some = [order.pop()]
             steps = len(pages[some[0]])
@@ -436,8 +464,10 @@ class _Writer:
                     self.tag("<h3>")
                     self.put(r.choice(PHRASES["comments"]), False)
                     self.tag("</h3>")
+                if listed := r.random() < 0.4:
+                    self.tag(f'<ol class="{r.choice(("commentlist", "comment-list", "comments-list", "replies"))}">')
                 for _ in range(r.randint(1, 5)):
-                    inner = r.choice(("div", "li", "article", "section"))
+                    inner = "li" if listed else r.choice(("div", "li", "article", "section"))
                     self.tag(f"<{inner}{self.name('comments')}>")
                     if r.random() < 0.5:
                         self.tag("<span>" if r.random() < 0.5 else "<div>")
@@ -446,6 +476,7 @@ class _Writer:
                     self.tag("<p>")
                     self.put(self.prose(1, 5), False)
                     self.tag(f"</p></{inner}>")
+                self.tag("</ol>" if listed else "")
             elif kind == "form":
                 for _ in range(r.randint(1, 3)):
                     self.tag(r.choice(("<label>", "<p>", "<div>", "<fieldset>")))
@@ -520,8 +551,153 @@ class _Writer:
             self.part(r.choice(("aside", "comments", "ad")))
         self.tag(f"</{tag}>")
 
+    def heading(self, tag=None):
+        tag = tag or self.r.choice(("h1", "h1", "h2"))
+        self.tag(f"<{tag}{self.name('article') if self.r.random() < 0.2 else ''}>")
+        self.put(self.sentence(2, 10).rstrip("."), True)
+        self.tag(f"</{tag}>")
+
+    def body(self, low=1, high=9):
+        for _ in range(self.r.randint(low, high)):
+            self.paragraph()
+
+    def small(self, kind, tag="p"):
+        """A line that is not the article's."""
+        self.tag(f"<{tag}>")
+        self.put(self.r.choice(PHRASES[kind]) + (" " + self.prose(1, 1) if self.r.random() < 0.3 else ""), False)
+        self.tag(f"</{tag}>")
+
+    def of_tables(self):
+        """Cells for the masthead, the menu, the text and the last line, as pages were once built."""
+        r = self.r
+        self.tag('<table width="100%"><tr><td colspan=2>')
+        self.put(" ".join((r.choice(PHRASES["header"]), self.word())).title(), False)
+        self.tag(f'</td></tr><tr><td{r.choice(("", " width=150", " class=menu"))}>')
+        if r.random() < 0.5:
+            self.links("nav")
+        else:
+            for _ in range(r.randint(2, 7)):
+                self.tag(f'<a href="/{r.randint(1, 99)}">')
+                self.put(r.choice((r.choice(PHRASES["nav"]), self.word())), False)
+                self.tag(f"</a>{r.choice(('<br>', ' ', ' | '))}")
+        self.tag("</td><td>")
+        if r.random() < 0.8:
+            self.heading()
+        self.body()
+        self.tag("</td>")
+        if r.random() < 0.3:
+            self.tag("<td>")
+            self.links("aside")
+            self.tag("</td>")
+        self.tag("</tr><tr><td colspan=2>")
+        self.put(r.choice(PHRASES["footer"]) + (f" {self.word()}" if r.random() < 0.5 else ""), False)
+        self.tag("</td></tr></table>")
+
+    def bare(self):
+        """Text that stands in the body, with breaks, rules and paragraphs for all layout."""
+        r = self.r
+        if r.random() < 0.5:
+            self.links("nav")
+        if r.random() < 0.7:
+            self.heading()
+        for k in range(r.randint(1, 7)):
+            if r.random() < 0.5:
+                self.put(self.prose(1, 5), True)
+                self.tag(r.choice(("<br><br>", "<p>", "<hr>", "<br/><br/>\n")))
+            else:
+                self.paragraph()
+        if r.random() < 0.6:
+            self.tag("<hr>")
+            self.small("footer", r.choice(("p", "small", "address", "div")))
+
+    def questions(self):
+        """A question under its title, and answers to it; votes, names and remarks beside them."""
+        r = self.r
+        if r.random() < 0.6:
+            self.part("notice")
+        self.part(r.choice(("nav", "header")))
+        self.tag('<div id="question-header">' if r.random() < 0.6 else "<div>")
+        self.heading("h1")
+        self.tag("</div>")
+        for k in range(r.randint(2, 5)):
+            box = "question" if k == 0 else "answer"
+            self.tag(f'<div class="{box}">')
+            if r.random() < 0.7:
+                self.tag('<div class="vote">')
+                self.put(str(r.randint(0, 300)), False)
+                self.tag("</div>")
+            self.tag(f'<div class="{r.choice(("post-text", "body", "text", "post-body", "prose"))}">')
+            self.body(1, 3)
+            self.tag(f'</div><div class="{r.choice(("user-info", "meta", "signature", "byline"))}">')
+            self.put(f"{r.choice(('asked', 'answered', 'edited'))} {r.randint(1, 30)} {r.choice(('days ago', 'Jan', 'hours ago'))} {self.word()}", False)
+            self.tag("</div>")
+            if r.random() < 0.5:
+                self.part("comments")
+            self.tag("</div>")
+        self.part(r.choice(("aside", "footer", "nav")))
+
+    def manual(self):
+        """A page of documentation: a tree of links, the text with notes and code, links to the next page."""
+        r = self.r
+        self.tag('<div class="document">' if r.random() < 0.5 else "<div>")
+        if r.random() < 0.8:
+            self.part("nav")
+        self.tag(r.choice(('<div class="body" role="main">', '<main class="content">', '<div class="section" id="intro">', "<main>", '<div class="markdown-body">')))
+        self.heading("h1")
+        for k in range(r.randint(2, 9)):
+            if r.random() < 0.35:
+                kind = r.choice(("note", "warning", "tip", "important", "admonition"))
+                self.tag(f'<div class="{r.choice(("admonition ", "", "callout "))}{kind}">')
+                if r.random() < 0.7:
+                    self.tag(f'<p class="{r.choice(("admonition-title", "title", "label"))}">')
+                    self.put(kind.capitalize(), True)
+                    self.tag("</p>")
+                self.tag("<p>")
+                self.put(self.prose(1, 2), True)
+                self.tag("</p></div>")
+            self.paragraph()
+        self.tag("</main>" if r.random() < 0.5 else "</div>")
+        if r.random() < 0.6:
+            self.links("nav")
+        self.part("footer")
+        self.tag("</div>")
+
+    def journal(self):
+        """Divisions for all: a title, a line of date and name, the text, and what is beside it."""
+        r = self.r
+        self.tag(f'<div id="{r.choice(("page", "wrapper", "main", "container"))}">')
+        for kind, p in (("header", 0.7), ("nav", 0.7), ("aside", 0.3)):
+            if r.random() < p:
+                self.part(kind)
+        self.tag(f'<div class="{r.choice(("post", "entry", "hentry", "blog-post", "story", "single"))}">')
+        title = r.choice(("title", "post-title", "entry-title", "headline", "post-header"))
+        self.tag(f'<div class="{title}">')
+        self.put(self.sentence(2, 10).rstrip("."), True)
+        self.tag("</div>")
+        if r.random() < 0.7:
+            self.tag(f'<div class="{r.choice(("meta", "byline", "date", "post-meta", "info"))}">')
+            self.put(f"{r.choice(('Posted by', 'By', 'Published'))} {self.word().title()} {r.choice(('on', '·', '|'))} {r.randint(1, 30)}.{r.randint(1, 12)}.{r.randint(1999, 2030)}", False)
+            self.tag("</div>")
+        self.tag(f'<div class="{r.choice(("body", "post-body", "text", "entry", "content", "copy"))}">')
+        for _ in range(r.randint(1, 8)):
+            if r.random() < 0.3:
+                self.tag("<div>")
+                self.put(self.prose(1, 5), True)
+                self.tag("</div>")
+            else:
+                self.paragraph()
+        self.tag("</div></div>")
+        for kind, p in (("comments", 0.6), ("form", 0.3), ("aside", 0.5), ("footer", 0.8)):
+            if r.random() < p:
+                self.part(kind)
+        self.tag("</div>")
+
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.5:
+            self.tag(r.choice(("<!DOCTYPE html>", "")) + "<html><head><title>x</title></head><body>")
+            r.choice((self.of_tables, self.bare, self.questions, self.manual, self.journal))()
+            return "".join(self.out) + ("</body></html>" if r.random() < 0.9 else "")
         self.tag("<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body>")
         outer = r.random() < 0.4
         if outer:
