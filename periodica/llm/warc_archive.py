@@ -1,32 +1,47 @@
 """Content-addressed WARC archive.
 
 ``write`` stores every distinct payload once, under its SHA-256, and keeps the exact header block of every record in a
-table of its own; ``read`` joins the two and rebuilds the records byte for byte, verifying digests and lengths.
+table of its own. ``records`` joins the two and rebuilds every record byte for byte; ``export`` writes them as WARC files, in
+which each record ends with two line breaks, and ``read`` parses such files by the lengths that they state.
 
 Of records with equal payloads of ``min_revisit`` bytes or more, the one with the smallest page_id is the response and
-the others are revisits of it. A digest stands for one payload only: while writing, each group of equal digests must
-agree in length and in an independent hash, or the write fails.
+the others are revisits of it, without a block. A digest stands for one payload only: while writing, each group of equal
+digests must agree in length and in an independent hash, while rebuilding, each stored payload must have its digest, and
+while reading, each block must have the digest and the length of its header; else the job fails.
+
+Payloads are moved twice, once to meet their equals, of which a task hands on one copy, and once to meet the header of their
+response. Revisits meet digests and lengths only, so no payload is copied to the many pages that share it.
 
 Edge cases: a null html is an empty payload; a null url leaves out its header line, and line breaks in a url are
-percent-encoded; rows that repeat a page_id with the same payload are responses all; an empty table gives an empty
-archive. Other columns of the input are ignored. No task holds more than one copy of a payload that many pages share.
+percent-encoded; rows that repeat a page_id with the same payload are responses all, each with a record id of its own; rows
+without a page_id come last of their equals; an empty table gives an empty archive. Other columns of the input are ignored.
+Pages carry no time, so records bear that of the writing, unless a date is given.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+import time
 import uuid
+import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from periodica.llm.common import shared_dir, table
 
 CRLF = "\r\n"
+HTTP = CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=UTF-8", "", ""])
+REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+LAST = (1 << 63) - 1
 
 
-def _record_id(page_id: Column) -> Column:
-    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit(""))).cast("binary"))
-    return F.concat(F.lit("<urn:uuid:"), *[x for k, (a, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) for x in ([F.lit("-")] if k else []) + [F.substring(h, a, n)]], F.lit(">"))
+def _record_id(page_id: Column, digest: Column, copy: Column) -> Column:
+    h = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("none")), digest, copy.cast("string")).cast("binary"))
+    parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
 def _line(name: str, value: Column) -> Column:
@@ -36,89 +51,121 @@ def _line(name: str, value: Column) -> Column:
 
 def _keyed(pages: DataFrame) -> DataFrame:
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    return pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.length("payload").cast("long"))
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    return keyed.withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.length("payload").cast("long"))
 
 
-def write(pages: DataFrame, path: str, min_revisit: int = 100, date: str = "1970-01-01T00:00:00Z") -> None:
+def write(pages: DataFrame, path: str, min_revisit: int = 100, date: str | None = None) -> None:
     """Write ``path``/payloads and ``path``/headers."""
+    date = date or time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
     keyed = _keyed(pages)
+    order = F.coalesce("page_id", F.lit(LAST))
     payloads = keyed.groupBy("digest").agg(
         F.min("page_id").alias("first_page"),
-        F.min_by("payload", F.coalesce("page_id", F.lit((1 << 63) - 1))).alias("payload"),
+        F.min_by("payload", order).alias("payload"),
         F.min("n").alias("n"),
         F.max("n").alias("n_most"),
         F.min(F.xxhash64("payload")).alias("h"),
         F.max(F.xxhash64("payload")).alias("h_most"),
     )
     same = (F.col("n") == F.col("n_most")) & (F.col("h") == F.col("h_most"))
-    payloads = payloads.select(
-        F.when(same, F.col("digest")).otherwise(F.raise_error(F.lit("two payloads share a digest"))).alias("digest"),
-        "first_page",
-        "n",
-        "payload",
-    )
-    payloads.write.parquet(f"{path}/payloads")
+    stored = F.when(same, F.col("digest")).otherwise(F.raise_error(F.lit("two payloads share a digest")))
+    payloads.select(stored.alias("digest"), "first_page", "n", "payload").write.parquet(f"{path}/payloads")
 
-    spark = pages.sparkSession
-    first = spark.read.parquet(f"{path}/payloads").select("digest", "first_page")
+    first = pages.sparkSession.read.parquet(f"{path}/payloads").select("digest", "first_page")
+    copy = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url"))
+    rows = keyed.drop("payload").withColumn("copy", copy).join(first.hint("merge"), "digest")
     revisit = (F.col("n") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("first_page"))
-    url = F.regexp_replace(F.regexp_replace(F.col("url").cast("string"), "\r", "%0D"), "\n", "%0A")
+    url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     header = F.concat(
         F.lit("WARC/1.1" + CRLF),
         _line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        _line("WARC-Record-ID", _record_id(F.col("page_id"))),
+        _line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("digest"), F.col("copy"))),
         _line("WARC-Date", F.lit(date)),
         _line("WARC-Target-URI", url),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        _line("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-        _line("WARC-Refers-To", F.when(revisit, _record_id(F.col("first_page")))),
-        _line("Page-Id", F.col("page_id").cast("string")),
-        _line("Refers-To-Page-Id", F.when(revisit, F.col("first_page").cast("string"))),
-        _line("Content-Type", F.lit("text/html")),
-        _line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("n").cast("string"))),
+        _line("WARC-Profile", F.when(revisit, F.lit(REVISIT))),
+        _line("WARC-Refers-To", F.when(revisit, _record_id(F.col("first_page"), F.col("digest"), F.lit(1)))),
+        _line("X-Page-Id", F.col("page_id").cast("string")),
+        _line("X-Refers-To-Page-Id", F.when(revisit, F.col("first_page").cast("string"))),
+        _line("Content-Type", F.lit("application/http; msgtype=response")),
+        _line("Content-Length", F.when(revisit, F.lit(0).cast("long")).otherwise(F.col("n") + len(HTTP)).cast("string")),
         F.lit(CRLF),
     )
-    keyed.drop("payload").join(first, "digest").select(F.encode(header, "UTF-8").alias("header")).write.parquet(f"{path}/headers")
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: what its header says, the full payload, and the record's exact bytes.
-
-    A revisit's record block is empty; its payload comes from the store all the same. Raises if a stored payload does not
-    have its digest.
-    """
-    text = F.decode("header", "UTF-8")
-    at = lambda name: F.nullif(F.regexp_extract(text, rf"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
-    headers = spark.read.parquet(f"{path}/headers").select(
-        "header",
-        at("Page-Id").cast("long").alias("page_id"),
-        at("WARC-Type").alias("record_type"),
-        at("WARC-Target-URI").alias("url"),
-        at("WARC-Payload-Digest").alias("named"),
-        at("Refers-To-Page-Id").cast("long").alias("refers_to"),
-        at("Content-Length").cast("long").alias("content_length"),
-    )
-    headers = headers.withColumn("digest", F.regexp_replace("named", "^sha256:", "")).drop("named")
-    stored = spark.read.parquet(f"{path}/payloads").select(F.col("digest").alias("stored"), "payload")
-    block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    joined = headers.join(stored, F.col("digest") == F.col("stored")).withColumn("payload_digest", F.sha2("payload", 256))
-    whole = (F.col("payload_digest") == F.col("digest")) & (F.length(block) == F.col("content_length"))
-    return joined.select(
-        "page_id",
-        "url",
-        "record_type",
-        "refers_to",
-        "payload",
-        F.length("payload").cast("long").alias("payload_bytes"),
-        F.when(whole, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a stored payload does not have its digest"))).alias("payload_digest"),
-        F.concat("header", block, F.lit((CRLF * 2).encode())).alias("record"),
-    )
+    rows.select("digest", revisit.alias("revisit"), header.alias("header")).write.parquet(f"{path}/headers")
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """digest and the exact bytes of every record; a stored payload that does not have its digest fails the job."""
+    headers = spark.read.parquet(f"{path}/headers")
+    whole = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload does not have its digest")).cast("binary"))
+    stored = spark.read.parquet(f"{path}/payloads").select("digest", whole.alias("payload"))
+    responses = headers.where("not revisit").join(stored.hint("merge"), "digest")
+    responses = responses.select("digest", F.concat(F.encode("header", "UTF-8"), F.lit(HTTP.encode()), "payload").alias("record"))
+    return responses.unionAll(headers.where("revisit").select("digest", F.encode("header", "UTF-8").alias("record")))
+
+
+def export(rows: DataFrame, to: str, per_file: int = 20_000) -> None:
+    """Records (column record) as WARC files, compressed with gzip; a line of Spark's text writer is a record here."""
+    lines = rows.select(F.col("record").cast("string").alias("value"))
+    lines.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(to)
+
+
+def parse(data: bytes):
+    """(fields of the header, block) of every record of a WARC file."""
+    at = 0
+    while at < len(data):
+        end = data.index(b"\r\n\r\n", at)
+        version, *lines = data[at:end].decode("utf-8", "surrogateescape").split(CRLF)
+        if not re.fullmatch(r"WARC/1\.\d", version):
+            raise ValueError(f"no WARC record at byte {at}")
+        fields = dict(x.split(": ", 1) for x in lines)
+        start = end + 4
+        at = start + int(fields["Content-Length"])
+        if data[at : at + 4] != b"\r\n\r\n":
+            raise ValueError("a record's length is wrong")
+        yield fields, data[start:at]
+        at += 4
+
+
+SCHEMA = "page_id long, url string, record_type string, digest string, refers_to long, record_id string, payload_bytes long, payload binary"
+
+
+def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """One row per record of WARC files; bytes and length of its payload, which a revisit has none of."""
+
+    def run(frames):
+        for f in frames:
+            for content in f.content:
+                rows = []
+                unzip = zlib.decompressobj(31)
+                for h, block in parse(unzip.decompress(content) + unzip.flush()):
+                    digest = h["WARC-Payload-Digest"].removeprefix("sha256:")
+                    body = None
+                    if h["WARC-Type"] == "response":
+                        body = block[block.index(b"\r\n\r\n") + 4 :]
+                        if hashlib.sha256(body).hexdigest() != digest:
+                            raise ValueError("a record's payload does not have its digest")
+                    number = lambda k, h=h: int(h[k]) if k in h else None
+                    rows.append((number("X-Page-Id"), h.get("WARC-Target-URI"), h["WARC-Type"], digest, number("X-Refers-To-Page-Id"), h["WARC-Record-ID"], None if body is None else len(body), body if payloads else None))
+                for k in range(0, len(rows), 2000):
+                    d = pd.DataFrame(rows[k : k + 2000], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                    yield d.astype({c: "Int64" for c in ("page_id", "refers_to", "payload_bytes")})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    return files.select("content").mapInPandas(run, SCHEMA)
 
 
 def op5_warc_archive(spark, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "pages"), path)
-    return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    export(records(spark, path), f"{path}/files")
+    found = read(spark, f"{path}/files", payloads=False)
+    # a revisit's payload is its response's
+    whole = spark.read.parquet(f"{path}/payloads").select("digest", "n")
+    sized = found.where("record_type = 'revisit'").drop("payload_bytes").join(whole.hint("merge"), "digest").withColumnRenamed("n", "payload_bytes")
+    every = found.where("record_type = 'response'").unionByName(sized)
+    return every.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
 ORACLE = """

@@ -1,14 +1,22 @@
+import gzip
 import hashlib
+import pathlib
+
+import pytest
 
 from periodica.llm import warc_archive as w
 from tests.llm.helpers import SF, same
 
 SCHEMA = "page_id long, url string, html string, digest string, n int"
+LONG, SHORT = "<p>é\r\n\r\nWARC/1.1\r\n" * 40, "<p>"
+ROWS = [(5, "http://x/5", LONG, "d", 1), (3, None, LONG, "d", 1), (9, "http://x\r\nEvil: 1", LONG, "d", 1), (1, "u", SHORT, None, None), (2, "u", SHORT, "", 2)]
+ROWS += [(4, "u", None, "", 3), (6, "", "", "", 3), (3, None, LONG, "d", 1), (None, "u", LONG, None, 1), (None, None, "alone " * 30, None, 1)]
 
 
 def archive(spark, tmp_path, rows):
-    w.write(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/a")
-    return w.read(spark, f"file://{tmp_path}/a")
+    w.write(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/a", date="2020-01-02T03:04:05Z")
+    w.export(w.records(spark, f"file://{tmp_path}/a"), f"file://{tmp_path}/a/files")
+    return w.read(spark, f"file://{tmp_path}/a/files")
 
 
 def test_matches_sql(spark):
@@ -16,19 +24,52 @@ def test_matches_sql(spark):
 
 
 def test_round_trip_and_hard_rows(spark, tmp_path):
-    long, short = "<p>é" * 40, "<p>"
-    rows = [(5, "http://x/5", long, "d", 1), (3, None, long, "d", 1), (9, "http://x\r\nEvil: 1", long, "d", 1), (1, "u", short, None, None), (2, "u", short, "", 2), (4, "u", None, "", 3), (6, "", "", "", 3), (3, None, long, "d", 1)]
-    got = archive(spark, tmp_path, rows).collect()
-    assert len(got) == len(rows)
+    got = archive(spark, tmp_path, ROWS).collect()
+    assert sorted((r.page_id is None, r.page_id or 0) for r in got) == sorted((x[0] is None, x[0] or 0) for x in ROWS)
+    ids = [r.record_id for r in got]
+    assert len(set(ids)) == len(ids)
     for r in got:
-        html = next(x[2] for x in rows if x[0] == r.page_id) or ""
-        payload = html.encode()
-        assert bytes(r.payload) == payload and r.payload_bytes == len(payload) and r.payload_digest == hashlib.sha256(payload).hexdigest()
-        head, block = bytes(r.record).split(b"\r\n\r\n", 1)
-        assert head.startswith(b"WARC/1.1\r\n") and b"\r\nEvil" not in head
-        assert block == (b"" if r.record_type == "revisit" else payload) + b"\r\n\r\n"
-        assert (r.record_type, r.refers_to) == (("revisit", 3) if r.page_id in (5, 9) else ("response", None))
-    assert spark.read.parquet(f"file://{tmp_path}/a/payloads").count() == 3
+        texts = {(x[2] or "").encode() for x in ROWS if x[0] == r.page_id}
+        if r.record_type == "response":
+            assert bytes(r.payload) in texts and r.payload_bytes == len(r.payload) and r.digest == hashlib.sha256(r.payload).hexdigest()
+        else:
+            assert r.payload is None and r.digest == hashlib.sha256(LONG.encode()).hexdigest()
+        assert r.url is None or "\n" not in r.url
+        assert r.page_id is None or (r.record_type, r.refers_to) == (("revisit", 3) if r.page_id in (5, 9) else ("response", None))
+    assert sorted(r.record_type for r in got if r.page_id is None) == ["response", "revisit"]
+    assert spark.read.parquet(f"file://{tmp_path}/a/payloads").count() == 4
+
+
+def test_files_are_plain_warc(spark, tmp_path):
+    """Read by the rules of the format alone: version, header, a block of the stated length, two line breaks."""
+    archive(spark, tmp_path, ROWS)
+    seen = 0
+    for file in pathlib.Path(tmp_path, "a/files").glob("*.gz"):
+        data = gzip.decompress(file.read_bytes())
+        while data:
+            head, data = data.split(b"\r\n\r\n", 1)
+            lines = head.decode().split("\r\n")
+            fields = dict(x.split(": ", 1) for x in lines[1:])
+            assert lines[0] == "WARC/1.1" and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(fields) and "Evil" not in fields
+            block, data = data[: int(fields["Content-Length"])], data[int(fields["Content-Length"]) :]
+            assert data[:4] == b"\r\n\r\n"
+            data, seen = data[4:], seen + 1
+            if fields["WARC-Type"] == "response":
+                assert hashlib.sha256(block.split(b"\r\n\r\n", 1)[1]).hexdigest() == fields["WARC-Payload-Digest"].split(":")[1]
+            else:
+                assert block == b"" and fields["WARC-Refers-To"].startswith("<urn:uuid:")
+    assert seen == len(ROWS)
+
+
+def test_a_changed_payload_is_noticed(spark, tmp_path):
+    archive(spark, tmp_path, ROWS)
+    broken = spark.read.parquet(f"file://{tmp_path}/a/payloads").selectExpr("digest", "first_page", "n", "cast('x' as binary) as payload")
+    broken.write.parquet(f"file://{tmp_path}/b/payloads")
+    spark.read.parquet(f"file://{tmp_path}/a/headers").write.parquet(f"file://{tmp_path}/b/headers")
+    with pytest.raises(Exception, match="does not have its digest"):
+        w.records(spark, f"file://{tmp_path}/b").collect()
+    with pytest.raises(ValueError):
+        list(w.parse(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcdef\r\n\r\n"))
 
 
 def test_empty_table(spark, tmp_path):
