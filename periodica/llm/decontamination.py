@@ -163,17 +163,16 @@ def _items(benchmark: DataFrame, min_words: int) -> DataFrame:
     return keyed.join(firsts, first, "left_semi").select("item_id", "text").mapInArrow(emit, "item_id long, hash long, test binary, item_word long, window long, run long")
 
 
-#: Test rows (of about 200 bytes) up to which they are sent to every executor; more are joined with salted keys.
-SENT_ROWS, SALTS = 200_000, 16
+#: Parts into which the hits of one hash are split.
+SALTS = 8
 
 
-def hash_join(hits: DataFrame, tests: DataFrame, n_tests: int) -> DataFrame:
-    """``hits`` with the tests of the same hash; a hash that many documents share is split in either way."""
-    if n_tests <= SENT_ROWS:
-        return hits.join(F.broadcast(tests), "hash")
+def hash_join(hits: DataFrame, tests: DataFrame) -> DataFrame:
+    """``hits`` with the tests of the same hash. A hash that many documents share meets its tests in ``SALTS`` tasks: the tests,
+    a few for each word of the benchmark, are dealt to all of them, and never broadcast."""
     salt = F.pmod(F.xxhash64("row_key", "word"), F.lit(SALTS)).cast("int").alias("salt")
     each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    return hits.select("*", salt).join(tests.select("*", each), ["hash", "salt"]).drop("salt")
+    return hits.select("*", salt).join(tests.select("*", each).hint("merge"), ["hash", "salt"]).drop("salt")
 
 
 def _filter(hashes: DataFrame) -> np.ndarray:
@@ -262,7 +261,7 @@ def _verified(docs: DataFrame, benchmark: DataFrame, min_words: int) -> tuple[Da
                 names=["row_key", "doc_id", "seed", "word", "shift", "equal", "window"],
             )
 
-    pairs = hash_join(hits, tests, tests.count()).select("row_key", "doc_id", "word", "training", "test", "window", "seed")
+    pairs = hash_join(hits, tests).select("row_key", "doc_id", "word", "training", "test", "window", "seed")
     return pairs.mapInArrow(check, "row_key long, doc_id long, seed long, word long, shift long, equal long, window long"), items
 
 

@@ -68,12 +68,12 @@ def test_short_and_nameless_items(spark):
     assert (3, 4, 7) in got and (2, None, 6) in got
 
 
-def test_hot_hashes_are_salted_alike(spark, monkeypatch):
+def test_hot_hashes_are_split_alike(spark, monkeypatch):
     r = random.Random(5)
     items = [(k, " ".join(f"w{r.randrange(50)}" for _ in range(30))) for k in range(6)]
     texts = ["intro words " + items[k % 6][1] for k in range(20)]
     want = run(spark, texts, items)
-    monkeypatch.setattr(d, "SENT_ROWS", 0)
+    monkeypatch.setattr(d, "SALTS", 1)
     assert run(spark, texts, items) == want and len(want) >= 20
 
 
