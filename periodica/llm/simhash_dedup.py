@@ -104,7 +104,7 @@ def shingle_sets(docs: DataFrame, words: int, bands: int, rows: int) -> DataFram
         node = np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64).view(np.int64)
         return {"doc_id": ids, "fp": list(map(majority, sets)), "size": list(map(len, sets)), "node": node, "shingles": raw, "shards": [sketches(h, bands, rows) for h in sets]}
 
-    return map_rows(docs.select("doc_id", "text"), read, "doc_id long, fp long, size long, node long, shingles binary, shards array<bigint>")
+    return map_rows(docs.select("doc_id", "text"), read, "doc_id long, fp long, size long, node long, shingles binary, shards array<bigint>", 2 << 20)
 
 
 def distance(a, b) -> np.ndarray:
