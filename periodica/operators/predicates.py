@@ -48,3 +48,24 @@ def json_flag(c: str, path: str) -> Column:
 def reasons(**tests: Column) -> Column:
     """Names of the tests that hold, in order."""
     return F.filter(F.array(*(F.when(t, F.lit(n)) for n, t in tests.items())), lambda x: x.isNotNull())
+
+
+def records_of(records: DataFrame, people: DataFrame, key: str) -> DataFrame:
+    """Records of a key: ``unmatched::<name>`` names a person whatever the case, anything else is the person's id."""
+    name = key.removeprefix("unmatched::")
+    who = people.where(F.lower("c_name") == name.lower()) if name != key else people.where(F.col("c_custkey") == int(key))
+    return records.join(who.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+
+
+def in_scope(path: Column, prefix: str, year: int | None = None, people: list[str] | None = None, month: str | None = None) -> Column:
+    """Paths team/person/month-year/item under ``prefix``: of a year, of people, of months by prefix. A path of fewer than four
+    parts never matches a filter by name."""
+    part = F.split(path, "/")
+    test = path.startswith(prefix)
+    if year is not None:
+        test &= F.regexp_extract(F.try_element_at(part, F.lit(3)), r"-(\d{4})$", 1) == str(year)
+    if people is not None:
+        test &= (F.size(part) >= 4) & F.try_element_at(part, F.lit(2)).isin(*people)
+    if month is not None:
+        test &= (F.size(part) >= 4) & F.try_element_at(part, F.lit(3)).startswith(month)
+    return F.coalesce(test, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.functions import text
+from periodica.functions import names
 from periodica.operators import predicates as p
 from periodica.operators import relational as rel
 from periodica.plans.registry import query, table as t
@@ -135,12 +135,15 @@ def either_key_join(spark, sf_dir):
 
 @query()
 def fuzzy_resolve(spark, sf_dir):
-    """Names with a letter lost against the roster: blocks by first token and badge range, best score, gap rule of 8."""
-    roster = t(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    asked = roster.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("asked"), F.regexp_replace("s_name", "(?i)l", "").alias("said"))
-    block = lambda c: F.concat(F.substring(F.lower(c), 1, 2), F.substring(F.col(c), -4, 4))
-    pairs = asked.withColumn("b", block("said")).join(roster.withColumn("b", block("s_name")), "b")
-    scored = pairs.withColumn("score", text.name_scores("said", "s_name")).where("score >= 70")
-    best = scored.groupBy("asked").agg(F.max(F.struct("score", "s_suppkey")).alias("b"), F.sort_array(F.collect_list("score"), False).alias("s"))
-    sure = (F.size("s") == 1) | (F.get("s", F.lit(0)) - F.get("s", F.lit(1)) >= 8)
-    return best.select("asked", F.when(sure, F.col("b.s_suppkey")).alias("match"), F.when(sure, "matched").otherwise("ambiguous").alias("code"))
+    """Every part's name with a letter lost and its second word an initial, against the names of all parts: the one that it means, or none.
+
+    Names that agree share the start or the end of a token, which is what candidates have in common.
+    """
+    named = t(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"))
+    roster = named.select("id", F.col("p_name").alias("name"))
+    words = F.split("p_name", " ")
+    said = F.array_join(F.transform(words, lambda w, i: F.when(i == 1, F.substring(w, 1, 1)).when(i == 0, F.concat(F.substring(w, 1, 3), F.substring(w, F.lit(5), F.char_length(w)))).otherwise(w)), " ")
+    asked = named.select(F.col("id").alias("asked_id"), said.alias("said"))
+    found = names.resolve(asked, roster)
+    code = F.when(F.col("match").isNotNull(), "matched").when(F.col("n") > 1, "ambiguous").otherwise("no_match")
+    return found.select(F.col("asked_id").alias("asked"), "match", code.alias("code"))

@@ -8,27 +8,95 @@ import uuid
 from pyspark.sql import functions as F
 
 from periodica.plans.registry import query, table as t
-from periodica.streaming import ingest
+from periodica.streaming import ingest, state
 
 
 def _folder(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    """A new folder that driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-@query("""select event_type, count(*) as n, count(distinct event_id) as ids from events group by event_type""")
+def _events(spark, sf_dir):
+    return t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _ran(spark, stream, at: str):
+    """What a stream has written when it has read all there is."""
+    ingest.run(stream, f"{at}/state", path=f"{at}/out")
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+@query("""select event_type, count(*) as n, count(distinct event_id) as ids, round(sum(value), 2) as total from events group by event_type""")
 def stream_ingest(spark, sf_dir):
-    """Events read as a stream, upserted by id in micro-batches."""
-    events, at = t(spark, sf_dir, "events"), _folder(spark)
-    stream = ingest.source(spark, f"{sf_dir}/events.parquet*", events)
-    ingest.run(stream, f"{at}/state", each=ingest.upsert_into(f"{at}/table", ["event_id"]))
-    newest = spark.read.parquet(f"{at}/table")
-    newest = newest.where(F.col("v") == newest.agg(F.max("v")).first()[0])
-    return newest.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+    """Events in three files, each of the first two read again with changed values before the newer ones: upserted by id in micro-batches."""
+    at = _folder(spark)
+    e = _events(spark, sf_dir).withColumn("seen", F.lit(1))
+    old = e.where("event_id % 3 = 0").withColumn("value", F.lit(-1.0)).withColumn("seen", F.lit(0))
+    e.unionAll(old).repartitionByRange(3, "seen", "event_id").write.parquet(f"{at}/in")
+    stream = ingest.source(spark, f"{at}/in", e, 1)
+    ingest.run(stream, f"{at}/state", each=ingest.deltas_into(f"{at}/table", ["event_id"], "seen"))
+    newest = ingest.current(spark, f"{at}/table", ["event_id"], "seen")
+    return newest.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.round(F.sum("value"), 2).alias("total"))
 
 
 @query("""select strftime(time_bucket(interval 1 day, ts), '%Y-%m-%d') as day, event_type, count(*) as n from events group by 1, 2""")
 def daily_windows(spark, sf_dir):
-    """Tumbling windows of a day; the batch form of ``ingest.tumbling``, whose last windows stay open in a stream."""
-    days = ingest.tumbling(t(spark, sf_dir, "events"), "ts", "1 day", "event_type")
-    return days.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    """Tumbling windows of a day, as a stream; a last row of a later day closes those that are open."""
+    at = _folder(spark)
+    e = _events(spark, sf_dir).select("ts", "event_type")
+    flush = e.agg((F.max("ts") + F.expr("interval 3 days")).alias("ts")).withColumn("event_type", F.lit("flush"))
+    e.write.parquet(f"{at}/in")
+    flush.write.mode("append").parquet(f"{at}/in")
+    days = ingest.tumbling(ingest.source(spark, f"{at}/in", e), "ts", "1 day", "event_type")
+    return _ran(spark, days, at).where("event_type <> 'flush'").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("""with m as (select user_id, max(ts) as run from events where event_type = 'signup' group by user_id)
+          select event_id, case when run is null or e.ts > run then 'new' else 'covered' end as state from events e left join m using (user_id) where event_type <> 'signup'""")
+def late_stream(spark, sf_dir):
+    """Messages after the last run of their thread, with the run as keyed state."""
+    at = _folder(spark)
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("thread"), F.col("event_id").alias("id"), F.col("ts").alias("at"), F.when(F.col("event_type") == "signup", "run").otherwise("message").alias("kind"))
+    rows.coalesce(1).write.parquet(f"{at}/in")
+    out = _ran(spark, state.late_or_covered(ingest.source(spark, f"{at}/in", rows)), at)
+    return out.select(F.col("id").alias("event_id"), "state")
+
+
+@query("""select conv_id, turn from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 40""")
+def context_stream(spark, sf_dir):
+    """What is new in each thread, the newest forty; threads are read for the first time here."""
+    at = _folder(spark)
+    c = t(spark, sf_dir, "conversations")
+    rows = c.select(F.col("conv_id").alias("thread"), F.col("turn").alias("id"), F.timestamp_seconds("turn").alias("at"))
+    rows.coalesce(1).write.parquet(f"{at}/in")
+    out = _ran(spark, state.new_with_context(ingest.source(spark, f"{at}/in", rows)), at)
+    return out.select(F.col("thread").alias("conv_id"), F.col("id").alias("turn"))
+
+
+@query("""with g as (select user_id, max(ts) filter (event_type not in ('purchase', 'error')) as m, max(ts) filter (event_type in ('purchase', 'error')) as c from events group by user_id)
+          select user_id, case when c >= m then 'skip' else 'need' end as state from g""")
+def memo_stream(spark, sf_dir):
+    """Threads whose last check, with or without a finding, is as new as their newest message."""
+    at = _folder(spark)
+    kind = F.when(F.col("event_type") == "purchase", "found").when(F.col("event_type") == "error", "nothing").otherwise("message")
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("thread"), F.col("ts").alias("at"), kind.alias("kind"))
+    rows.coalesce(1).write.parquet(f"{at}/in")
+    return _ran(spark, state.memo(ingest.source(spark, f"{at}/in", rows)), at).select(F.col("thread").alias("user_id"), "state")
+
+
+@query("""with recursive e as (select user_id, event_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+               r as (select user_id, event_id, rn, true as allowed, [us] as held from e where rn = 1
+                     union all select e.user_id, e.event_id, e.rn, len(list_filter(held, lambda h: h > us - 86400000000)) < 3,
+                       case when len(list_filter(held, lambda h: h > us - 86400000000)) < 3 then list_append(held, us) else held end from r join e on e.user_id = r.user_id and e.rn = r.rn + 1)
+          select event_id, allowed from r""")
+def rate_stream(spark, sf_dir):
+    """At most three events of a user in any day; refused ones don't count."""
+    at = _folder(spark)
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").alias("at"))
+    rows.coalesce(1).write.parquet(f"{at}/in")
+    return _ran(spark, state.limited(ingest.source(spark, f"{at}/in", rows), 3, 86400), at).select(F.col("id").alias("event_id"), "allowed")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from periodica.functions import text as x
+from periodica.functions import letters, text as x
 from periodica.operators import relational as rel
 from periodica.plans.registry import query, table as t
 
@@ -30,9 +30,12 @@ def keyword_score(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", score.cast("long").alias("score"))
 
 
-@query(r"""select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) > 0 as has_email from documents""")
+@query(r"""with m as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) as a, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), 1) as i from documents),
+                f as (select doc_id, lower(a) as a, min(i) as i from m group by all)
+           select doc_id, string_agg(a, ',' order by i) as emails from documents left join f using (doc_id) group by doc_id""")
 def email_scan(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", (F.size(x.emails(F.col("text"))) > 0).alias("has_email"))
+    """The addresses of a text, each once, in order of appearance."""
+    return t(spark, sf_dir, "documents").select("doc_id", F.nullif(F.array_join(x.emails(F.col("text")), ","), F.lit("")).alias("emails"))
 
 
 @query()
@@ -42,7 +45,8 @@ def html_flatten(spark, sf_dir):
 
 @query()
 def scrubbed(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", x.scrub("text").alias("text"))
+    """Mail texts without addresses, secrets and telephone numbers; look-arounds are beyond the SQL side, ``scrubbed_addresses`` counts there."""
+    return t(spark, sf_dir, "documents").select("doc_id", letters.scrub(F.col("text")).alias("text"))
 
 
 @query(r"""select regexp_extract(url, '^https?://([^/]+)', 1) as host, regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1) as folder, count(*) as pages,

@@ -49,11 +49,12 @@ def asof_purchase(spark, sf_dir):
 
 
 @query("""with m as (select user_id, max(ts) as run from events where event_type = 'signup' group by user_id)
-          select e.event_id, case when run is null then 'new' when e.ts <= run then 'covered' else 'late' end as state from events e left join m using (user_id)""")
+          select e.event_id, case when run is null then 'new' when event_type = 'error' or e.ts <= run then 'covered' else 'late' end as state from events e left join m using (user_id)""")
 def extracted_threshold(spark, sf_dir):
-    e = t(spark, sf_dir, "events")
-    runs = e.where("event_type = 'signup'").groupBy("user_id").agg(F.max("ts").alias("run"))
-    state = F.when(F.col("run").isNull(), "new").when(F.col("ts") <= F.col("run"), "covered").otherwise("late")
+    """Messages by the last run of their thread; one without a time (errors here) passes as covered."""
+    e = t(spark, sf_dir, "events").withColumn("ts", F.when(F.col("event_type") != "error", F.col("ts")))
+    runs = t(spark, sf_dir, "events").where("event_type = 'signup'").groupBy("user_id").agg(F.max("ts").alias("run"))
+    state = F.when(F.col("run").isNull(), "new").when(F.col("ts").isNull() | (F.col("ts") <= F.col("run")), "covered").otherwise("late")
     return e.join(runs, "user_id", "left").select("event_id", state.alias("state"))
 
 

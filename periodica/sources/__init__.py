@@ -1 +1 @@
-"""Subpackage."""
+"""Readers and writers of mails, workbooks, folders and archives."""
