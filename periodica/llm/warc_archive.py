@@ -70,11 +70,12 @@ def write(pages: DataFrame, path: str, min_revisit: int = 100, date: str | None
     )
     same = (F.col("n") == F.col("n_most")) & (F.col("h") == F.col("h_most"))
     stored = F.when(same, F.col("digest")).otherwise(F.raise_error(F.lit("two payloads share a digest")))
-    payloads.select(stored.alias("digest"), "first_page", "n", "payload").write.parquet(f"{path}/payloads")
+    payloads.select(stored.alias("digest"), "first_page", "n", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
     first = pages.sparkSession.read.parquet(f"{path}/payloads").select("digest", "first_page")
+    # rows of a digest lie together after the join, so numbering them moves nothing
     copy = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url"))
-    rows = keyed.drop("payload").withColumn("copy", copy).join(first.hint("merge"), "digest")
+    rows = keyed.drop("payload").join(first.hint("merge"), "digest").withColumn("copy", copy)
     revisit = (F.col("n") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("first_page"))
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     header = F.concat(
@@ -92,7 +93,7 @@ def write(pages: DataFrame, path: str, min_revisit: int = 100, date: str | None
         _line("Content-Length", F.when(revisit, F.lit(0).cast("long")).otherwise(F.col("n") + len(HTTP)).cast("string")),
         F.lit(CRLF),
     )
-    rows.select("digest", revisit.alias("revisit"), header.alias("header")).write.parquet(f"{path}/headers")
+    rows.select("digest", revisit.alias("revisit"), header.alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
