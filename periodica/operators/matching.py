@@ -46,3 +46,14 @@ def renamed(old: DataFrame, new: DataFrame, same: list[str], name: str, order: s
     """Rows of ``new`` with ``renamed_from``: the first old row that agrees in ``same`` and is called otherwise."""
     first = old.groupBy(*same).agg(F.min(F.struct(order, name)).alias("_o"))
     return new.join(first, same, "left").withColumn("renamed_from", F.when(F.col(f"_o.{name}") != F.col(name), F.col(f"_o.{name}"))).drop("_o")
+
+
+def labelled_items(labels: DataFrame, items: DataFrame, group: str, label: str, name: str, place: str) -> DataFrame:
+    """``labels`` with ``item``: the place of the first item of the group that the label means. A number in the label (``item 3``) comes
+    before an equal name, and that before a name inside the label or the label inside a name; case does not count."""
+    low, called = F.lower(F.trim(label)), F.lower(F.trim(name))
+    number = F.nullif(F.regexp_extract(low, r"\bitem[ _#-]*(\d+)\b", 1), F.lit("")).try_cast("long")
+    rank = F.when(F.col(place) == number, 0).when(low == called, 1).when(low.contains(called) | called.contains(low), 2)
+    pairs = labels.select(group, label).distinct().join(items.select(group, name, place), group).withColumn("_rank", rank).where("_rank is not null")
+    best = pairs.groupBy(group, label).agg(F.min(F.struct("_rank", place)).alias("_b")).select(group, label, F.col(f"_b.{place}").alias("item"))
+    return labels.join(best, [group, label], "left")

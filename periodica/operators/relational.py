@@ -96,3 +96,24 @@ def name_collisions(df: DataFrame, folder: str, name: str, order: str) -> DataFr
     n = F.row_number().over(Window.partitionBy(folder, name).orderBy(order))
     stem, suffix = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
     return df.withColumn("_n", n).withColumn("stored_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), suffix))).drop("_n")
+
+
+def dated_names(df: DataFrame, folder: str, name: str, taken: DataFrame, day: Column, order: str) -> DataFrame:
+    """``stored_name`` that overwrites nothing: the name while it is free, then with a date, then with (2), (3) ... behind the date.
+
+    ``taken``: folder and name of what is there, one row each.
+    """
+    stem, suffix = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
+    dated = F.concat(stem, F.lit("_"), F.date_format(day, "yyyy-MM-dd"))
+    there = taken.select(F.col(folder), F.col(name).alias("_taken")).groupBy(folder).agg(F.collect_set("_taken").alias("_taken"))
+    free = ~F.coalesce(F.array_contains("_taken", F.col(name)), F.lit(False))
+    rows = df.join(there, folder, "left").withColumn("_n", F.row_number().over(Window.partitionBy(folder, name).orderBy(order)) - F.when(free, 1).otherwise(0))
+    again = F.size(F.filter(F.coalesce("_taken", F.array().cast("array<string>")), lambda x: x.startswith(dated)))
+    k = F.col("_n") + again
+    rows = rows.withColumn("stored_name", F.when(F.col("_n") == 0, F.col(name)).otherwise(F.concat(dated, F.when(k > 1, F.concat(F.lit(" ("), k.cast("string"), F.lit(")"))).otherwise(""), suffix)))
+    return rows.drop("_n", "_taken")
+
+
+def row_json(df: DataFrame) -> DataFrame:
+    """A JSON object a row, nulls written out."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from periodica.functions import sheets
 from periodica.operators import matching as m
 from periodica.operators import ordering as o
 from periodica.operators import predicates as p
+from periodica.operators import relational as rel
 from periodica.plans.registry import query, table as t
 
 
@@ -265,3 +267,27 @@ def newest_finished(spark, sf_dir):
     """Of each user only the three newest finished tasks."""
     done = t(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "error"))
     return o.first_k(done, ["user_id"], [F.desc("ts"), F.desc("event_id")], 3).select("event_id", "user_id")
+
+
+@query("""with i as (select conv_id, turn, role from conversations), l as (select conv_id, case conv_id % 3 when 0 then 'Item #2' when 1 then 'USER' else 'the assistant said' end as label from (select distinct conv_id from conversations)),
+               r as (select conv_id, label, turn, case when conv_id % 3 = 0 then case when turn = 2 then 0 end when conv_id % 3 = 1 then case when role = 'user' then 1 end when role = 'assistant' then 2 end as rank from l join i using (conv_id))
+          select conv_id, label, min_by(turn, (rank, turn)) filter (rank is not null) as item from l left join r using (conv_id, label) group by conv_id, label""")
+def resolved_labels(spark, sf_dir):
+    """Which turn a label means: a number, a name, or a name inside it."""
+    c = t(spark, sf_dir, "conversations")
+    k = F.col("conv_id") % 3
+    labels = c.select("conv_id").distinct().withColumn("label", F.when(k == 0, "Item #2").when(k == 1, "USER").otherwise("the assistant said"))
+    return m.labelled_items(labels, c, "conv_id", "label", "role", "turn")
+
+
+@query("""select n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","region":' || case when n_regionkey = 0 then 'null' else cast(n_regionkey as varchar) end || '}' as row from nation""")
+def json_rows(spark, sf_dir):
+    n = t(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.nullif(F.col("n_regionkey"), F.lit(0)).alias("region"))
+    return rel.row_json(n).select(F.get_json_object("row", "$.n_nationkey").cast("int").alias("n_nationkey"), "row")
+
+
+@query("""select user_id, string_agg(event_type, ',' order by event_type) as twice from (select user_id, event_type from events where ts < timestamp '2024-01-03' group by all having count(*) > 1) group by user_id""")
+def duplicates_in_lists(spark, sf_dir):
+    """Values that a user's list holds twice or more."""
+    g = t(spark, sf_dir, "events").where("ts < '2024-01-03'").groupBy("user_id").agg(F.collect_list("event_type").alias("l"))
+    return g.select("user_id", F.array_join(F.sort_array(sheets.duplicates(F.col("l"))), ",").alias("twice")).where("twice <> ''")

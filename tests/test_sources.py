@@ -1,12 +1,15 @@
 """Mails, workbooks and folders: written, read back, and broken."""
 
 import io
+import json
 import zipfile
 from email.message import EmailMessage
 
 from pyspark.sql import functions as F
 
-from periodica.sources import mail, vault, workbooks
+from periodica.operators import relational
+from periodica.sources import mail, mailbox, vault, workbooks
+from periodica.streaming import ingest
 
 
 def letter(subject, text, *parts, html=None):
@@ -112,3 +115,29 @@ def test_vault(spark, tmp_path):
     z = zipfile.ZipFile(io.BytesIO(parts["Ann"]))
     assert z.testzip() is None and {n: z.read(n) for n in z.namelist()} == {"team/Ann/May-2024/a.txt": b"aaa", "team/Ann/June-2023/b.txt": b"bb"}
     assert zipfile.ZipFile(io.BytesIO(parts["Bob"])).namelist() == ["team/Bob/May-2024/c.txt"]
+
+
+def test_mailbox(spark, tmp_path):
+    def put(name, *hours):
+        lines = [json.dumps({"message_id": f"m{h}", "conversation_id": "c" if h % 2 else "d", "received_at": f"2024-01-01T{h:02}:00:00+00:00"}) for h in hours]
+        (tmp_path / "box" / name).write_text("\n".join(lines))
+
+    (tmp_path / "box").mkdir()
+    put("a.jsonl", 1, 2, 3, 5)
+    box = str(tmp_path / "box")
+    assert [r.message_id for r in mailbox.mailbox(spark, box, page=2).collect()] == ["m5", "m3", "m2", "m1"]
+    assert [r.message_id for r in mailbox.mailbox(spark, box, page=2, cap=3).collect()] == ["m5", "m3", "m2"]
+    assert [r.message_id for r in mailbox.mailbox(spark, box, since="2024-01-01T02:00:00+00:00").collect()] == ["m5", "m3"]
+    assert [r.message_id for r in mailbox.conversation(mailbox.mailbox(spark, box), "c", 2).collect()] == ["m1", "m3"]
+    for hours in ((), (7,)):
+        if hours:
+            put("b.jsonl", *hours)
+        ingest.run(mailbox.mailbox(spark, box, stream=True), f"{tmp_path}/state", path=f"{tmp_path}/out")
+    assert sorted(r.message_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["m1", "m2", "m3", "m5", "m7"]
+
+
+def test_names_that_overwrite_nothing(spark):
+    df = spark.createDataFrame([("f", "a.pdf", 1), ("f", "a.pdf", 2), ("f", "b.pdf", 3), ("g", "a.pdf", 4), ("f", "c", 5)], "folder string, name string, id int")
+    taken = spark.createDataFrame([("f", "a.pdf"), ("f", "a_2024-01-02.pdf"), ("f", "c")], "folder string, name string")
+    got = {r.id: r.stored_name for r in relational.dated_names(df, "folder", "name", taken, F.lit("2024-01-02").cast("date"), "id").collect()}
+    assert got == {1: "a_2024-01-02 (2).pdf", 2: "a_2024-01-02 (3).pdf", 3: "b.pdf", 4: "a.pdf", 5: "c_2024-01-02"}
