@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from periodica.functions import names
+from periodica.operators import matching
 from periodica.operators import predicates as p
 from periodica.operators import relational as rel
 from periodica.plans.registry import query, table as t
@@ -147,3 +148,33 @@ def fuzzy_resolve(spark, sf_dir):
     found = names.resolve(asked, roster)
     code = F.when(F.col("match").isNotNull(), "matched").when(F.col("n") > 1, "ambiguous").otherwise("no_match")
     return found.select(F.col("asked_id").alias("asked"), "match", code.alias("code"))
+
+
+@query("""select c_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day from customer
+          left join (select * from orders where year(o_orderdate) = 1998 qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1) on o_custkey = c_custkey""")
+def roster_grid(spark, sf_dir):
+    """The whole roster, each with its last record of a year or none."""
+    filed = p.period(t(spark, sf_dir, "orders"), "o_orderdate", 1998).select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate")
+    grid = matching.last_wins(t(spark, sf_dir, "customer").select("c_custkey"), filed, "c_custkey", F.desc("o_orderdate"), F.desc("o_orderkey"))
+    return grid.select("c_custkey", "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+
+
+@query("""select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')
+          and lower(c_name) not in (select 'customer#' || lpad(cast(user_id as varchar), 9, '0') from events where event_type = 'purchase')""")
+def missing_by_two_keys(spark, sf_dir):
+    """People that a record names neither by id nor by name."""
+    by_id = t(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    by_name = t(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.concat(F.lit("customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("name"))
+    left = t(spark, sf_dir, "customer").select("c_custkey", F.lower("c_name").alias("name"))
+    return left.join(by_id, "c_custkey", "left_anti").join(by_name, "name", "left_anti").select("c_custkey")
+
+
+@query("""with g as (select event_type, user_id, count(*) as n from events group by all)
+          select event_type, cast(sum(n) as bigint) as n, case when event_type in ('error', 'purchase') then string_agg(user_id || ':' || n, ',' order by user_id) filter (user_id < 10) end as by_user from g group by event_type""")
+def status_counts(spark, sf_dir):
+    """Counts by status, and for two of them by a second key as a map."""
+    g = t(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    second = F.col("event_type").isin("error", "purchase") & (F.col("user_id") < 10)
+    s = g.groupBy("event_type").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.when(second, F.struct("user_id", "n")))).alias("m"))
+    said = F.array_join(F.transform(F.sort_array(F.map_entries("m")), lambda x: F.concat_ws(":", x["key"], x["value"])), ",")
+    return s.select("event_type", "n", F.nullif(said, F.lit("")).alias("by_user"))

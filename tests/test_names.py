@@ -144,3 +144,33 @@ def test_updates(spark):
     old, new = (spark.createDataFrame([r], "k int, aco string, dco string, name string") for r in ((1, "A1", "D1", "x"), (1, "A2", None, " ")))
     c = updates.field_changes(old, new, "k", ["name"], ("aco", "dco")).first().changes
     assert [(x.field, x.old, x.new) for x in c] == [("aco", "A1", "A2"), ("dco", "D1", None)]
+
+
+def test_sheet_rules(spark):
+    from periodica.functions import sheets as s
+
+    lists = {b: "array<string>" for b in s.ALL}
+    schema = "id int, year int, month int, period_type string, missing_days array<string>, uncertain_days array<struct<date: string, reason: string>>, " + ", ".join(f"{k} {v}" for k, v in lists.items())
+    blank = {b: None for b in s.ALL}
+    rows = [
+        {"id": 1, "year": 2024, "month": 6, "period_type": "full_month", "missing_days": ["31", "3", "x"], "uncertain_days": [{"date": "2024-06-05", "reason": "smudged"}, {"date": "2024-06-05", "reason": "other"}, {"date": "2024-06-01", "reason": "?"}],
+         **blank, "annual": [" 2024-06-01", "2024-06-01", "6 June"], "sick": ["2024-06-01"], "remote": ["2024-06-03"], "working_days": ["2024-06-03", "2024-06-08", "2024-07-01"], "weekend_days": ["2024-06-08"]},
+        {"id": 2, "year": None, "month": None, "period_type": None, "missing_days": ["31", "40"], "uncertain_days": None, **blank},
+    ]
+    df = spark.createDataFrame([tuple(r[c.split()[0]] for c in ["id", "year", "month", "period_type", "missing_days", "uncertain_days", *s.ALL]) for r in rows], schema)
+    got = {r.id: r for r in s.normalise(df, F.array(F.lit("2024-06-08"), F.lit("2024-06-09"))).collect()}
+    a = got[1]
+    assert (a.annual, a.sick, a.remote, a.working_days, a.weekend_days) == (["2024-06-01"], [], ["2024-06-03"], ["2024-07-01"], ["2024-06-08"])
+    assert a.missing_days == [3] and [tuple(u) for u in a.uncertain_days] == [("2024-06-05", "smudged")] and len(a.unaccounted) == 30 - 4
+    assert len(a.issues) == 4 and any("6 June" in x for x in a.issues) and any("annual and sick" in x for x in a.issues) and any("uncertain" in x for x in a.issues) and any("outside" in x for x in a.issues)
+    assert got[2].missing_days == [31] and got[2].unaccounted == [] and got[2].issues == []
+    r = one(spark, d=s.duplicates(F.array(F.lit("a"), F.lit("b"), F.lit("a"), F.lit("a"))), g=s.gate(F.lit(0), F.lit(None).cast("boolean"), F.lit(True), F.lit(True), F.lit(True), F.lit(True)), v=s.valid_period(F.lit(None).cast("int"), F.lit(1)), f=s.focus_month(2023, F.lit(datetime.date(2024, 5, 1))), h=s.focus_month(2024, F.lit(datetime.date(2024, 5, 1))))
+    assert (r.d, r.g.accepted, r.g.blockers, r.v, r.f, r.h) == (["a"], False, ["person matched"], False, 12, 5)
+
+
+def test_labels_of_items(spark):
+    from periodica.operators import matching as m
+
+    items = spark.createDataFrame([(1, 1, "May sheet.pdf"), (1, 2, "june"), (2, 1, None)], "g int, place int, name string")
+    labels = spark.createDataFrame([(1, "Item 2"), (1, "JUNE"), (1, "the june sheet"), (1, "zzz"), (2, "x"), (1, None)], "g int, label string")
+    assert {r.label: r.item for r in m.labelled_items(labels, items, "g", "label", "name", "place").collect()} == {"Item 2": 2, "JUNE": 2, "the june sheet": 2, "zzz": None, "x": None, None: None}
