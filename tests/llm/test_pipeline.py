@@ -39,3 +39,23 @@ def test_planted_cases(spark, tmp_path):
     for x in c.run(spark, str(tmp_path)).collect():
         found[x.doc_id] = found.get(x.doc_id, 0) + x.length
     assert found == tokens
+
+
+def test_hard_rows_and_empty_tables(spark, tmp_path):
+    r = random.Random(6)
+    say = lambda n: " ".join("".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(n))
+    a, b, c_, long = (f"{say(n)}. {say(12)}." for n in (30, 30, 30, 20_000))
+    rows = [(1, a, 1, "x"), (1, a, 2, "x"), (2, b, None, None), (None, c_, 3, "y"), (None, c_, 4, "y"), (3, None, 5, "z"), (None, None, None, None), (4, "", 6, ""), (5, long, 7, "l"), (6, a + " ", 8, "copy")]
+    schema = "doc_id long, text string, copies long, kept string"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for some in (rows, []):
+        docs = spark.createDataFrame(some, schema)
+        for name, stage in c.STAGES[:-1]:
+            at = f"{tmp_path}/{name}{len(some)}"
+            stage(spark, docs, str(tmp_path)).write.parquet(at)
+            docs = spark.read.parquet(at)
+            assert docs.columns == ["doc_id", "text", "copies", "kept"]
+        left = sorted((x.doc_id or 0, len(x.text)) for x in docs.collect())
+        assert left == ([(0, len(c_)), (0, len(c_)), (1, len(a)), (2, len(b)), (5, len(long))] if some else [])
+        packed = c.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert {x.doc_id for x in packed.collect()} == ({None, 1, 2, 5} if some else set())

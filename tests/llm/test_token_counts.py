@@ -38,3 +38,9 @@ def test_shared_prefixes_and_empty(spark):
     words = ["a", "ab", "abc", "abcab", "b", "zz", "abz"]
     assert tc.trie_counts(words, scores, 3, -9.0) == {w: plain(w, scores, 3, -9.0) for w in words}
     assert tc.count(docs(spark, [])).count() == 0
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    df = docs(spark, ["some words here", None]).selectExpr("*", "1 as n_tokens", "'x' as n_pretokens")
+    got = sorted((r.doc_id, r.n_pretokens, r.n_tokens > 0) for r in tc.count(df.unionAll(df)).collect())
+    assert got == [(0, 3, True)] * 2 + [(1, 0, False)] * 2
