@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline of five stages over ``documents``.
+
+Every stage but the last returns the columns of its input, whatever they are called, and ``n_chars`` follows the text where the
+text changes. A null text counts as empty and goes in the first stage, as does an empty one. Rows that repeat are judged one by
+one, and the near-duplicate stage keeps one of them; rows without an id can't be told apart and stay. An empty table gives no
+rows at any stage. Texts are taken whole.
+"""
 
 from __future__ import annotations
 
