@@ -174,3 +174,20 @@ def test_labels_of_items(spark):
     items = spark.createDataFrame([(1, 1, "May sheet.pdf"), (1, 2, "june"), (2, 1, None)], "g int, place int, name string")
     labels = spark.createDataFrame([(1, "Item 2"), (1, "JUNE"), (1, "the june sheet"), (1, "zzz"), (2, "x"), (1, None)], "g int, label string")
     assert {r.label: r.item for r in m.labelled_items(labels, items, "g", "label", "name", "place").collect()} == {"Item 2": 2, "JUNE": 2, "the june sheet": 2, "zzz": None, "x": None, None: None}
+
+
+def test_cid_references(spark):
+    kind = "array<struct<filename: string, content_type: string, size: long, cid: string, is_inline: boolean>>"
+    u = "0a1b2c3d-0a1b-0a1b-0a1b-0a1b2c3d4e5f"
+    rows = [
+        ("cid:image001.png@01D9", [("image001.png", None, None, None, None)], "file:image001.png"), ("cid:abc", [("x.png", None, None, "<ABC>", None)], "file:x.png"),
+        (f"cid:{u}", [("y.png", None, None, None, None), (f"pic_{u.upper()}.png", None, None, None, None)], f"file:pic_{u.upper()}.png"), ("cid:zzz and cid:zzz", [("x.png", None, None, "c", None)], " and "), ("none", None, "none"),
+    ]
+    df = spark.createDataFrame([(h, a) for h, a, _ in rows], f"h string, a {kind}").coalesce(1)
+    assert [r[0] for r in df.select(l.resolved_cids(F.col("h"), F.col("a"))).collect()][:4] == [w for _, _, w in rows][:4]
+    from periodica.functions import sheets as s
+
+    one_ = spark.createDataFrame([(["2024-01-01"], ["2024-01-02"], None)], "annual array<string>, sick array<string>, working_days array<string>")
+    rest = {b: F.array().cast("array<string>") for b in s.ALL if b not in one_.columns}
+    r = one_.withColumns(rest).select(s.sheet_summary(F.struct(*s.ALL)).alias("x")).first().x
+    assert (r.leave, r.working, r.weekend) == (2, 0, 0)
