@@ -160,7 +160,7 @@ def test_large_group_of_near_copies_without_its_original(spark):
     texts = [" ".join(edited(rng, t, rng.choice((0.02, 0.06, 0.1)), False)) for _ in range(60)]
     want = brute_near(texts)
     assert 1 < len({*want.values()}) < 40
-    for most in (sd.MOST, 12, 2):
+    for most in (sd.MOST, 12):
         got = {r.doc_id: r.component_id for r in sd.classes(docs(spark, texts), **sd.NEAR_COPIES, most=most).collect()}
         assert got == want
 
@@ -174,7 +174,7 @@ def test_pivots_lose_no_link(spark, monkeypatch):
     sets = sd.shingle_sets(docs(spark, texts), 5, 4, 2).select("doc_id", "node", "shingles").cache()
     node = {r.node: r.doc_id for r in sets.collect()}
     members = sets.selectExpr("1L as shard", "node").unionAll(sets.where("doc_id < 5").selectExpr("2L as shard", "node"))
-    for most, rounds in ((100, 6), (10, 6), (10, 1), (3, 2)):
+    for most, rounds in ((10, 6), (3, 1)):
         monkeypatch.setattr(sd, "PIVOTS", rounds)
         links = sd.pivot_links(members, sets.select("node", "shingles"), 0.8, most)
         roots = {node[r.node]: node[r.root] for r in components(links).collect()}
