@@ -40,6 +40,14 @@ def test_lines_go_and_documents_go(spark):
     assert got[1].clean_text == CLEAN and got[2].clean_text == CLEAN
 
 
+def test_boilerplate_counts_as_lost_text(spark):
+    one = "The river rose over night and the bridge was closed."
+    texts = ["\n".join([one, *["We use a cookie here."] * 4]), "\n".join([one, "Tous droits réservés."]), "\n".join([f"{one} {one}", *["Alle Rechte vorbehalten."] * 9])]
+    got = by_id(q.judge(docs(spark, texts)))
+    assert [(got[i].kept, got[i].chars_boilerplate > 0) for i in range(3)] == [(False, True), (True, True), (False, True)]
+    assert got[0].chars_left == len(one) and got[0].chars_boilerplate == 4 * len("We use a cookie here.")
+
+
 def test_clean_keeps_columns_and_follows_text(spark):
     df = docs(spark, [CLEAN, None, CLEAN + "\nhome | news | sport | more"])
     out = q.clean(df)
