@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Whitespace of the word contracts, as a regular expression class.
 WS = r"\x20\x09-\x0D"
@@ -84,6 +85,22 @@ def cut(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: Column, keep: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with ``number``, from 0 in the order given, gapless.
+
+    A range sort numbers the rows of each partition; the partitions' counts, one row each, are summed up and added. No task sees
+    more than its range, whatever repeats.
+    """
+    at = F.monotonically_increasing_id()
+    rows = cut(df.sort(*order).select(*(keep or df.columns), at.alias("_at")), "numbered")
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    # one row a partition of the sort: of a bounded size
+    return rows.join(F.broadcast(before), part == F.col("_part")).withColumn("number", F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)).drop("_at", "_part", "_before")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
