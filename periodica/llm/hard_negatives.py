@@ -219,7 +219,7 @@ def whole_vectors(embeddings: DataFrame) -> DataFrame:
     fit = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("long")
     vector = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
-    return embeddings.where(fit).select("vec_id", label.alias("label"), vector.alias("vector"))
+    return embeddings.where(fit & F.col("vec_id").isNotNull() & F.col("label").isNotNull()).select("vec_id", label.alias("label"), vector.alias("vector"))
 
 
 def op12_hard_negatives(spark, sf_dir: str) -> DataFrame:
