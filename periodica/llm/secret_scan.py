@@ -2,13 +2,14 @@
 
 Base kinds (``assign``, ``access``, ``hex``) are leftmost non-overlapping matches of fixed patterns. The lexer adds the
 kind ``literal``: it walks the assignment operators of a text, parses ``name op expression`` around each (identifiers,
-dotted names, quoted keys; strings in single, double or triple quotes with or without a prefix, bare values, constants,
-``+`` chains, and of calls the arguments without a name), takes elements and key-value attributes of markup, keeps an environment of constants so
-that a literal reaches the names it is assigned to later, and scores every literal by the sensitivity of its target
+dotted names, quoted keys; strings in single, double or triple quotes with or without a prefix, templates, bare values, constants,
+``+`` chains over lines, strings side by side in brackets, indented blocks, strings of lists and of maps, and of calls the arguments without
+a name), takes elements and key-value attributes of markup, ``#define`` and name-value entries, keeps an environment of constants so that a literal reaches the names it is assigned to later, and scores every literal by the sensitivity of its target
 name and by the look of the literal itself. Literals scoring ``min_score`` or more are reported where they are written.
 
 Edge cases: null text counts as empty and has no spans; texts are scanned whole, in time linear in their length;
-repeated rows are scanned one by one; other columns of the input are ignored by ``scan`` and kept by ``redact``.
+repeated rows are scanned one by one; an empty table gives no rows; other columns of the input are ignored by ``scan`` and kept by
+``redact``.
 Offsets are code points, ends exclusive.
 """
 
@@ -32,7 +33,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 # Parts of names and what they say about the value.
 SENSITIVE = {
-    "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "token": 0.9, "apikey": 1.0,
+    "password": 1.0, "passwords": 1.0, "secrets": 1.0, "tokens": 0.9, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "token": 0.9, "apikey": 1.0,
     "credential": 0.9, "credentials": 0.9, "auth": 0.6, "authorization": 0.8, "bearer": 0.8, "private": 0.6, "privatekey": 1.0,
     "accesskey": 1.0, "secretkey": 1.0, "signingkey": 0.9, "encryptionkey": 0.9, "connectionstring": 0.7, "cookie": 0.5,
 }
@@ -45,12 +46,18 @@ PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|-+|changeme|change_me|your[_-].*|exa
 
 OPERATOR = re.compile(r":=|=>|[:=]")
 NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-$")
-QUOTED = re.compile(
-    r'''(?:[rbfuRBFU]{1,2}(?=["']))?(?:"""((?:[^"\\]|\\.|"(?!""))*)"""|\'{3}((?:[^'\\]|\\.|'(?!''))*)\'{3}|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)')''', re.S
-)
-CALL = re.compile(r'''["'()]''')
+PREFIX = re.compile(r"""[rbfuRBFU]{0,2}(?=["'`])""")
+#: What a string may hold before it ends: triple-quoted ones and templates anything, others no end of a line.
+BODIES = {q: re.compile(rf"(?:[^{q[0]}\\{'' if len(q) == 3 or q == '`' else chr(92) + 'n'}]|\\.|{q[0]}(?!{q[0]}{q[0]}))*+" if len(q) == 3 else rf"(?:[^{q}\\{'' if q == '`' else chr(92) + 'n'}]|\\.)*+", re.S) for q in ('"""', "'''", '"', "'", "`")}
+BRACKETS = re.compile(r"""["'()\[\]{}]""")
+CLOSERS = {")": "(", "]": "[", "}": "{"}
+SPACE = re.compile(r"(?:[ \t]|\\\r?\n)*+")
+ANY_SPACE = re.compile(r"(?:\s|\\\r?\n)*+")
+BLOCK_MARK = re.compile(r"[|>][+-]?\d?[ \t]*\r?\n")
 ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>([^<>]+)</\1\s*>")
 ATTRIBUTES = re.compile(r"""\b(?:key|name)\s*=\s*(["'])([\w.:-]+)\1\s+value\s*=\s*(["'])([^"'<>]*)\3""")
+DEFINE = re.compile(r"""^[ \t]*#[ \t]*define[ \t]+(\w+)[ \t]+(?=["'])""", re.M)
+ENTRY = re.compile(r"""\bname:[ \t]*["']?([A-Za-z_][\w.-]*)["']?[ \t]*\r?\n[ \t]*value:[ \t]*(?:"([^"\n]*)"|'([^'\n]*)'|([^\s"'#{]+))""")
 VARIABLE = re.compile(r"[A-Z][A-Z0-9]*(_[A-Z0-9]+)*")
 IDENTIFIER = re.compile(r"[A-Za-z_$][\w.$]*", re.A)
 BARE = re.compile(r"[A-Za-z0-9+/_.~\-]+={0,2}")
@@ -141,38 +148,120 @@ def _name_before(text: str, at: int, floor: int) -> str:
     return text[i:j].strip(".-$")
 
 
-def calls(text: str) -> dict[int, tuple[int, list]]:
-    """Of every bracket that opens: where it closes, and the strings right inside it that no name is given to; one pass."""
-    out: dict[int, tuple[int, list]] = {}
-    open_: list[tuple[int, list]] = []
-    at = 0
-    while m := CALL.search(text, at):
+class Quotes:
+    """The strings of a text. What didn't end for one quote is not read again for the next, so that any pattern takes linear time."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.failed: dict[str, tuple[int, int]] = {}  # by kind of quote: between these places no string of that kind ends
+
+    def match(self, at: int) -> tuple[int, int, int] | None:
+        """(start of the value, its end, end of the string) of the string that begins at ``at``, with a prefix or without."""
+        m = PREFIX.match(self.text, at)
+        if not m:
+            return None
         at = m.end()
-        if m[0] == "(":
-            open_.append((m.start(), []))
-        elif m[0] == ")":
+        quote = self.text[at]
+        for q in (quote * 3, quote) if quote != "`" else (quote,):
+            if not self.text.startswith(q, at):
+                continue
+            first, last = self.failed.get(q, (0, -1))
+            if first <= at < last:
+                continue
+            end = BODIES[q].match(self.text, at + len(q)).end()
+            if self.text.startswith(q, end):
+                return at + len(q), end, end + len(q)
+            self.failed[q] = at, end
+        return None
+
+
+class Bracket:
+    """Where a bracket closes, and the strings right inside it: those that no name is given to, and the values of its names.
+
+    ``joined``: only white space stands between them, so that they are one string.
+    """
+
+    __slots__ = ("kind", "end", "bare", "valued", "joined", "seen")
+
+    def __init__(self, kind: str, seen: int):
+        self.kind, self.end, self.bare, self.valued, self.joined, self.seen = kind, -1, (), (), True, seen
+
+    def add(self, valued: bool, value: str, start: int, end: int) -> None:
+        if valued:
+            self.valued = self.valued or []
+            self.valued.append((value, start, end))
+        else:
+            self.bare = self.bare or []
+            self.bare.append((value, start, end))
+
+
+def brackets(text: str, quotes: Quotes) -> dict[int, Bracket]:
+    """Every bracket that closes, by where it opens; one pass."""
+    out: dict[int, Bracket] = {}
+    open_: list[tuple[int, Bracket]] = []
+    at = 0
+    while m := BRACKETS.search(text, at):
+        here, at = m.start(), m.end()
+        c = m[0]
+        if c in "([{":
+            open_.append((here, Bracket(c, at)))
+        elif c in CLOSERS:
+            if open_ and open_[-1][1].kind == CLOSERS[c]:
+                start, b = open_.pop()
+                b.joined &= not text[b.seen : here].strip()
+                b.end = at
+                out[start] = b
+                if open_:
+                    open_[-1][1].joined = False
+        elif q := quotes.match(here):
+            at = q[2]
             if open_:
-                start, found = open_.pop()
-                out[start] = at, found
-        elif q := QUOTED.match(text, m.start()):
-            at = q.end()
-            k = m.start()
-            while k and text[k - 1] in " \t\n":
-                k -= 1
-            if open_ and text[k - 1] not in "=:":
-                open_[-1][1].append((q[q.lastindex], *q.span(q.lastindex)))
+                b = open_[-1][1]
+                k = here
+                while k > b.seen and text[k - 1] in " \t\r\n":
+                    k -= 1
+                b.joined &= k == b.seen
+                b.add(text[k - 1] in "=:>", text[q[0] : q[1]], q[0], q[1])
+                b.seen = at
     return out
 
 
-def assignments(text: str):
-    """(name, [(value, start, end, quoted)], references) of every assignment, in text order; quoted: 1, of a call: 2."""
-    marked = []
+def _block(text: str, at: int, end: int) -> tuple[list, int]:
+    """The lines of an indented block behind the mark at ``at``..``end``, those without white space in them, and where it ends."""
+    line = text.rfind("\n", 0, at) + 1
+    indent = len(text[line:at]) - len(text[line:at].lstrip(" -"))
+    found, k = [], end
+    while k < len(text):
+        stop = text.find("\n", k)
+        stop = len(text) if stop < 0 else stop
+        own = text[k:stop].strip()
+        if own and len(text[k:stop]) - len(text[k:stop].lstrip(" ")) <= indent:
+            break
+        if own and not any(c.isspace() for c in own):
+            start = text.index(own, k)
+            found.append((own, start, start + len(own), True))
+        k = stop + 1
+    return found, min(k, len(text))
+
+
+def marked_values(text: str, quotes: Quotes) -> list[tuple]:
+    """(place, name, value, start, end) of elements, of key and value attributes, of ``#define`` and of name and value entries."""
+    out = []
     if "</" in text:
-        marked += [(m.start(), m[1], m[2], *m.span(2)) for m in ELEMENT.finditer(text)]
+        out += [(m.start(), m[1], m[2], *m.span(2)) for m in ELEMENT.finditer(text)]
     if "value" in text:
-        marked += [(m.start(), m[2], m[4], *m.span(4)) for m in ATTRIBUTES.finditer(text)]
-    marked.sort(reverse=True)
-    inside = calls(text) if "(" in text else {}
+        out += [(m.start(), m[2], m[4], *m.span(4)) for m in ATTRIBUTES.finditer(text)]
+        out += [(m.start(), m[1], m[m.lastindex], *m.span(m.lastindex)) for m in ENTRY.finditer(text)]
+    if "define" in text:
+        out += [(m.start(), m[1], text[q[0] : q[1]], q[0], q[1]) for m in DEFINE.finditer(text) if (q := quotes.match(m.end()))]
+    return sorted(out)
+
+
+def assignments(text: str):
+    """(name, [(value, start, end, quoted)], references) of every assignment, in text order; quoted: 1, of a call: 2."""
+    quotes = Quotes(text)
+    marked = marked_values(text, quotes)[::-1]
+    inside = brackets(text, quotes) if any(c in text for c in "([{") else {}
     last = 0
     for m in OPERATOR.finditer(text):
         while marked and marked[-1][0] <= m.start():
@@ -187,33 +276,46 @@ def assignments(text: str):
         if not name or not (name[0].isalpha() or name[0] == "_"):
             continue
         literals, refs, after = [], [], pos
+        apart = []  # strings of a list or a map: each a value of its own
         while True:
-            while after < len(text) and text[after] in " \t":
-                after += 1
-            if q := QUOTED.match(text, after):
-                literals.append((q[q.lastindex], *q.span(q.lastindex), True))
+            after = SPACE.match(text, after).end()
+            if q := quotes.match(after):
+                literals.append((text[q[0] : q[1]], q[0], q[1], True))
+                after = q[2]
+            elif not literals and (q := BLOCK_MARK.match(text, after)):
+                literals, after = _block(text, at, q.end())
+                break
+            elif (b := inside.get(after)) and (b.bare or b.valued):
+                if b.kind == "(" and b.joined:
+                    literals += [(*x, True) for x in b.bare]
+                elif b.kind != "(":
+                    apart += [(*x, True) for x in (b.valued if b.kind == "{" else b.bare)]
+                    break
+                after = b.end
             elif (q := IDENTIFIER.match(text, after)) and text[q.end() : q.end() + 1] == "(" and q.end() in inside:
                 # what stands in a call under a name of its own is an assignment of its own
-                literals += [(*x, CALLED) for x in inside[q.end()][1]]
-                after = inside[q.end()][0]
+                literals += [(*x, CALLED) for x in inside[q.end()].bare]
+                after = inside[q.end()].end
                 refs.append(q[0])
                 break
             elif (q := IDENTIFIER.match(text, after)) and not literals and text[q.end() : q.end() + 1] not in ("+", "/", "=", "-", "~"):
                 refs.append(q[0])
                 literals.append((q[0], *q.span(), False))
+                after = q.end()
             elif (q := IDENTIFIER.match(text, after)) and literals:
                 refs.append(q[0])
+                after = q.end()
             elif q := BARE.match(text, after):
                 literals.append((q[0], *q.span(), False))
+                after = q.end()
             else:
                 break
-            after = q.end()
-            k = after
-            while k < len(text) and text[k] in " \t":
-                k += 1
+            k = ANY_SPACE.match(text, after).end() if literals and literals[-1][3] is True else SPACE.match(text, after).end()
             if text[k : k + 1] != "+":
                 break
-            after = k + 1
+            after = ANY_SPACE.match(text, k + 1).end()
+        for x in apart:
+            yield name, [x], []
         if literals or refs:
             yield name, literals, refs
             last = after if any(x[3] is True for x in literals) and not any(x[3] is CALLED for x in literals) else pos
@@ -223,7 +325,7 @@ def assignments(text: str):
 
 def literals_of(text: str, min_score: float = 0.5) -> list[tuple[int, int, float, str]]:
     """(start, end, score, name) of the literals that reach a sensitive name, constants propagated."""
-    if "=" not in text and ":" not in text and "</" not in text:
+    if "=" not in text and ":" not in text and "</" not in text and "define" not in text:
         return []
     known: dict[str, Constant] = {}
     constants: list[Constant] = []

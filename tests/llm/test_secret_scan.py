@@ -65,6 +65,55 @@ def test_lexer_string_forms_calls_and_markup():
     assert found('color = """q9Zt4LmP0aWx"""\n<color>q9Zt4LmP0aWx</color>\nx = os.getenv("API_KEY", "q9Zt4LmP0aWx")\npassword = input("type your password")') == []
 
 
+def test_lexer_pieces_blocks_lists_and_entries():
+    key, other = "q9Zt4LmP0aWx", "Zk38smLq0P"
+    one = ["#define API_KEY \"{}\"", "const secretKey = `{}`", "- name: SIGNING_KEY\n  value: {}", "name: 'db.password'\n  value: \"{}\"", "private_key: >-\n    {}\n", "api_key = (\n  '{}'\n)"]
+    for form in one:
+        assert found(form.format(key)) == [key], form
+    two = ['signing_key = ("{}"\n   "{}")', "private_key: |\n  {}\n  {}\nother: x", 'secrets = ["{}", "{}"]', 'CREDENTIALS = {{"a": "{}", "b": "{}"}}', 'private_key = "{}" \\\n   + "{}"', 'private_key = "{}" +\n  "{}"']
+    for form in two:
+        assert found(form.format(key, other)) == [key, other], form
+    assert found("private_key: |\n  -----BEGIN PRIVATE KEY-----\n  q9Zt4LmP0aWxAA\n  -----END PRIVATE KEY-----\nuser: Zk38smLq0P") == ["q9Zt4LmP0aWxAA"]
+    for harmless in ('colors = ["q9Zt4LmP0aWx"]', "#define COLOR \"q9Zt4LmP0aWx\"", "name: COLOR\n  value: q9Zt4LmP0aWx", 'color = ("q9Zt4L"\n "mP0aWx")', "text: |\n  q9Zt4LmP0aWx\n", "`q9Zt4LmP0aWx`"):
+        assert found(harmless) == [], harmless
+
+
+def test_strings_against_a_character_by_character_reading():
+    """Any mix of quotes, escapes and line ends: a string is where reading on from its quote finds its end."""
+
+    def plain(t, at):
+        q = t[at]
+        for mark in (q * 3, q):
+            if t.startswith(mark, at):
+                k = at + len(mark)
+                while k < len(t) and not t.startswith(mark, k) and (len(mark) == 3 or q == "`" or t[k] != "\n"):
+                    k += 2 if t[k] == "\\" and k + 1 < len(t) else 1
+                if t.startswith(mark, k):
+                    return at + len(mark), k, k + len(mark)
+        return None
+
+    rng = random.Random(8)
+    for _ in range(1500):
+        t = "".join(rng.choice(['"', '"', "'", "\\", "\n", "a", "`"]) for _ in range(rng.randint(1, 24))) + "z"
+        quotes = s.Quotes(t)
+        for at in range(len(t)):
+            if t[at] in "\"'":
+                assert quotes.match(at) == plain(t, at), (t, at)
+
+
+def test_any_pattern_takes_linear_time():
+    import time
+
+    for pattern in ('\\"""\n', "\\'", '\\"', '"""', "'\"", "`", "x = `", 'x = """', '(["', 'x=("a" ', "{[(", "private_key: |\n x\n", 'x = "\\\n', "\'\'\'\\", 'a="b" + ', '#define A "', 'k = f("a", '):
+        took = []
+        for n in (100_000, 400_000):
+            text = "x = f(\n" + pattern * (n // len(pattern))
+            began = time.process_time()
+            s.all_spans(text)
+            took.append(time.process_time() - began)
+        assert took[1] < 8 * took[0] + 0.2, pattern
+
+
 def test_literals_against_a_line_by_line_reading():
     """Lines of one quoted value each: a value is found if its name alone is sensitive enough for its look."""
     rng = random.Random(6)
