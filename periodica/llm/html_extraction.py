@@ -11,7 +11,8 @@ number (``N_PAGES``) and the passes over them are fixed parameters, so training
 
 Edge cases: a null or empty html, or one without the article's blocks, gives an empty text; broken tags, open comments
 and open elements end with the page; whole pages are read, however long; repeated rows are extracted one by one; an empty
-table gives no rows; other columns are ignored. Text inside scripts, styles and the like never becomes a block.
+table gives no rows; other columns, such as a ``text`` or ``n_chars`` of the pages' own, are ignored. Text inside scripts, styles and
+the like never becomes a block; a head ends at the first text or element that can't stand in it.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split()
 )
+HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())  # what may stand in a head
 CLOSES = {
     "p": {"p"}, "li": {"p", "li"}, "dt": {"p", "dt", "dd"}, "dd": {"p", "dt", "dd"}, "tr": {"p", "td", "th", "tr"}, "td": {"p", "td", "th"},
     "th": {"p", "td", "th"}, "option": {"option"},
@@ -107,6 +109,8 @@ def blocks_of(page: str) -> list[Block]:
 
     while m := TAG.search(page, at):
         a, b = m.span()
+        if silent and stack[-1][0] == "head" and page[at:a].strip():
+            pop(len(stack) - 1)
         if a > at and not silent:
             text.append(page[at:a])
             if links:
@@ -116,6 +120,8 @@ def blocks_of(page: str) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
+        if silent and not m[1] and name not in HEAD and stack[-1][0] == "head":
+            pop(len(stack) - 1)  # its end tag may be left out
         if name in INLINE and name != "a" or name == "br":
             if name == "br" and not silent:
                 text.append(" ")
@@ -148,6 +154,8 @@ def blocks_of(page: str) -> list[Block]:
         silent += name in SILENT
         if name in RAW:
             at = RAW_END[name].search(page, at).start()
+    if silent and stack[-1][0] == "head" and page[at:].strip():
+        pop(len(stack) - 1)
     if at < len(page) and not silent:
         text.append(page[at:])
     flush()
@@ -716,12 +724,31 @@ class _Writer:
         return "".join(self.out) + ("</div>" if outer else "") + ("</body></html>" if r.random() < 0.9 else "")
 
 
+_NAMED = re.compile(r' (?:class|id)="([^"]*)"')
+_SPOKEN = re.compile(r"<(/?)(?:article|main|section|nav|header|footer|aside)(?=[\s>])")
+
+
+def renamed(page: str, r: random.Random) -> str:
+    """A marked page as it would be without telling names: some lose them, or get those of a style compiler; some have ``div`` for all."""
+    way = r.random()
+    if way < 0.1:
+        page = _NAMED.sub("", page)
+    elif way < 0.2:
+        salt = str(r.random())
+        page = _NAMED.sub(lambda m: f' class="{" ".join(f"css-{zlib.crc32((salt + w).encode()):x}"[:10] for w in m[1].split())}"', page)
+    if r.random() < 0.15:
+        page = _SPOKEN.sub(r"<\1div", page)
+    if r.random() < 0.1 and len(re.findall(r"<p[ >]", page)) == page.count("</p>"):
+        page = re.sub(r"<(/?)p(?=[ >])", r"<\1div", page)
+    return page
+
+
 def pages_to_learn(n: int, seed: int) -> list[tuple[str, list[Block]]]:
     """(html, labelled blocks) of ``n`` pages from the grammar of layouts."""
     r = random.Random(seed)
     out = []
     while len(out) < n:
-        marked = _Writer(r).page()
+        marked = renamed(_Writer(r).page(), r)
         blocks = blocks_of(marked)
         for b in blocks:
             b.label = "M\x00" in b.text

@@ -48,3 +48,36 @@ LAYOUTS = {
     "pager": (_page(f"<div id='content'><h1>{T}</h1>{P}</div><div class='pagination'><a href=/1>Previous</a> <a href=/2>Next page</a></div>"), f"{T}\n{ALL}"),
     "nothing": (_page("<script>go()</script>"), ""),
 }
+
+D = "The bridge carries the only road between the two halves of the town, and buses now take a way round of eleven miles."
+L = "".join(f'<a href="/{k}">{w}</a> ' for k, w in enumerate(("Start", "Politics", "Weather", "Letters", "Jobs")))
+THREE = f"{A}\n{B}\n{D}"
+
+
+def _divs(*texts, of="<div>{}</div>"):
+    return "".join(of.format(t) for t in texts)
+
+
+#: Layouts of which the grammar has none: other nestings, other names, other languages' names, other orders.
+UNSEEN = {
+    "spans in divs": (_page(f"<div>{L}</div><div><div><h1>{T}</h1>{_divs(A, B, D, of='<div><span>{}</span></div>')}</div></div><div>{FOOT}</div>"), f"{T}\n{THREE}"),
+    "german names": (_page(f"<div id='kopf'>Talblatt</div><div id='navigation-links'>{NAV}</div><div id='inhalt'><h1>{T}</h1>{P}</div><div id='fuss'>{FOOT}</div>"), f"{T}\n{ALL}"),
+    "french names": (_page(f"<div class='entete'>Le Journal</div><ul class='rubriques'><li><a href=/>Accueil</a><li><a href=/m>Monde</a></ul><div class='corps'><h2>{T}</h2>{P}</div><div class='pied'>{FOOT}</div>"), f"{T}\n{ALL}"),
+    "names of a compiler": (_page(f"<div class='x1f9a'>{L}</div><div class='x7c2b'><h1 class='xaa1'>{T}</h1>{_divs(A, B, D, of=chr(60) + 'p class=\"x55e\">{}</p>')}</div><div class='x9d0'>{FOOT}</div>"), f"{T}\n{THREE}"),
+    "numbered ids": (_page(f"<div id='d1'>{NAV}</div><div id='d2'><h1>{T}</h1>{P}</div><div id='d3'>{FOOT}</div>"), f"{T}\n{ALL}"),
+    "title after text's box begins": (_page(f"<div><nav>{NAV}</nav></div><div><div><div><h1>{T}</h1></div><div>{P}</div></div></div>"), f"{T}\n{ALL}"),
+    "section per paragraph": (_page(f"<main><h1>{T}</h1>{_divs(A, B, D, of='<section><p>{}</p></section>')}</main><footer>{FOOT}</footer>"), f"{T}\n{THREE}"),
+    "definition list": (_page(f"<nav>{NAV}</nav><article><h1>{T}</h1><p>{A}</p><dl><dt>Span</dt><dd>Ninety feet, of stone</dd><dt>Built</dt><dd>In the year 1790</dd></dl><p>{B}</p></article>"), f"{T}\n{A}\nSpan\nNinety feet, of stone\nBuilt\nIn the year 1790\n{B}"),
+    "menu behind the text": (_page(f"<main><h1>{T}</h1>{P}</main><nav>{NAV}</nav>"), f"{T}\n{ALL}"),
+    "mail list page": (_page(f"<div>{L}</div><h1>{T}</h1><pre>{A}</pre><pre>{B}</pre><hr><div>{FOOT}</div>"), f"{T}\n{A}\n{B}"),
+    "center and font": (_page(f"<center><font size=5>The Valley Paper</font></center><p>{L}</p><h2>{T}</h2><p><font face=arial>{A}</font></p><p><font face=arial>{B}</font></p><center><small>{FOOT}</small></center>"), f"{T}\n{A}\n{B}"),
+    "text by breaks in a cell": (_page(f"<table><tr><td>{NAV}</td><td>{A}<br><br>{B}<br></td></tr></table>"), f"{A} {B}"),
+    "caption": (_page(f"<article><h1>{T}</h1><figure><img src=a.jpg><figcaption>The bridge in April, seen from the mill on the east side.</figcaption></figure>{P}</article><footer>{FOOT}</footer>"), f"{T}\nThe bridge in April, seen from the mill on the east side.\n{ALL}"),
+    "skip link": (_page(f"<a href='#m'>Skip to content</a><header>{L}</header><main id=m><h1>{T}</h1>{P}</main><footer>{FOOT}</footer>"), f"{T}\n{ALL}"),
+    "roles": (_page(f"<div role=banner>The Valley Paper</div><div role=navigation>{NAV}</div><div role=main><h1>{T}</h1>{P}</div><div role=contentinfo>{FOOT}</div>"), f"{T}\n{ALL}"),
+    "press release": (_page(f"<div class='topline'>{L}</div><div class='release'><h1>{T}</h1><h2>Work begins in May</h2>{P}</div><div class='bottomline'>{FOOT}</div>"), f"{T}\nWork begins in May\n{ALL}"),
+    "long list": (_page(f"<nav>{NAV}</nav><article><h1>{T}</h1><ol><li>{A}</li><li>{B}</li><li>{D}</li></ol></article>"), f"{T}\n{THREE}"),
+    "two columns": (_page(f"<div class='cols'><div class='c1'>{NAV}</div><div class='c2'><h1>{T}</h1><p>{A}</p><p>{D}</p></div></div><div class='end'>{FOOT}</div>"), f"{T}\n{A}\n{D}"),
+    "consent at the end": (_page(f"<article><h1>{T}</h1>{P}</article><div class='consent'><p>We use cookies to improve your experience.</p><a href=#>Accept all</a></div>"), f"{T}\n{ALL}"),
+    "no end tags": (f"<html><head><title>{T}</title><body><nav>{NAV}</nav><article><h1>{T}</h1><p>{A}<p>{B}<p>{D}", f"{T}\n{THREE}"),
+}

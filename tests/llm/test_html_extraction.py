@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 
 from periodica.llm import html_extraction as x
 from tests.llm.helpers import SF
-from tests.llm.layouts import LAYOUTS
+from tests.llm.layouts import LAYOUTS, UNSEEN, A, B
 
 
 def by_hand(page):
@@ -56,6 +56,34 @@ def test_pages_of_many_blocks_are_read_in_stretches():
             assert np.allclose(net.scores(rows, lengths)[:, 0], net.scores_of_long(blocks, 3), atol=1e-3)
 
 
+def test_a_head_without_an_end():
+    text = f"{A}\n{B}"
+    for head in ("<head><title>T</title>", "<head><meta charset=utf-8><link rel=x href=y>", "<head><title>T</title><style>p{}</style><noscript>no</noscript>", "<head>", ""):
+        for body in ("<body>", "<BODY class='home'>", ""):
+            assert x.main_texts([f"<!DOCTYPE html><html>{head}{body}<article><p>{A}</p><p>{B}</p></article>"], x.labeller()) == [text], (head, body)
+    assert [b.text for b in x.blocks_of(f"<html><head><title>T</title>{A}<p>{B}")] == [A, B]
+    assert [b.text for b in x.blocks_of(f"<head><title>T</title><b>x</b> {A}")] == [f"x {A}"]
+    assert x.blocks_of("<head><title>T</title><script>a</script>  ") == []
+
+
+def test_layouts_that_nothing_was_learned_from(capsys):
+    """Twenty ordinary layouts of which the grammar has none: every text is there, and of all lines at most one in ten is lost or added."""
+    net, whole, wrong, lines = x.labeller(), 0, 0, 0
+    for name, (page, text) in UNSEEN.items():
+        got = x.main_texts([page], net)[0]
+        whole += got == text
+        lines += len(text.split("\n"))
+        off = set(got.split("\n")) ^ set(text.split("\n"))
+        wrong += len(off)
+        with capsys.disabled():
+            if off:
+                print(name, [z[:30] for z in off])
+        assert got, name
+    with capsys.disabled():
+        print(f"unseen layouts: {whole} of {len(UNSEEN)} exact, {wrong} of {lines} lines wrong")
+    assert len(UNSEEN) >= 20 and wrong <= lines / 10
+
+
 def test_path_words_are_whole():
     assert "last" in x.path_words("div", 'class="one two three four five six seven last"')
     deep = "<div class='sidebar'>" + "<div>" * 40 + "text"
