@@ -1,20 +1,37 @@
-"""Do two names mean the same person? Similarity, short forms, and the ranking of candidates."""
+"""Which person of a roster a name said means: candidates by keys and by tiles, the score of each, and the ranking.
+
+Two names agree if they are equal, if one is a short form of the other, or if they are alike (``similarity``). Candidates for short forms
+and equal names meet by keys that every such pair shares. Alike names meet in tiles: the distinct names of both sides are cut into tiles of
+at most ``TILE`` names by length, only tiles of compatible lengths meet, and matrix products over the characters rule out nearly all
+of a tile's pairs before any is scored. No pair that agrees is lost, and no group is larger than two tiles.
+"""
 
 from __future__ import annotations
 
-import re
+import math
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-# What stands where no name could be read, the thresholds of agreement, and the lead a best candidate needs.
+from periodica.functions import similarity
+
+# What stands where no name could be read, and the lead a best candidate needs.
 PLACEHOLDERS = (
-    "john doe|jane doe|john smith|first last|firstname lastname|employee name|full name|name|employee|test|testing|sample"
-    "|n/a|na|none|unknown|xxxx|xxx|abc|string"
-).split("|")
-RATIO, TOKEN_RATIO, SUBSET, LEAD = 82, 70, 93.0, 8
+    "john doe", "jane doe", "john smith", "first last", "firstname lastname", "employee name", "full name", "name", "employee", "test",
+    "testing", "sample", "n/a", "na", "none", "unknown", "xxxx", "xxx", "abc", "string",
+)
+LEAD = 8
+
+TILE = 2048
+#: Sorted words that are alike by ``TOKEN_RATIO`` are at most so many times as long as one another.
+STRETCH = (200 - similarity.TOKEN_RATIO) / similarity.TOKEN_RATIO + 1e-6
+#: Names of more words give a key for each word, others one for each pair of words.
+MANY_WORDS = 16
+
+SCORED = "said string, name string, score double"
 
 
 def is_placeholder(name: Column) -> Column:
@@ -23,146 +40,193 @@ def is_placeholder(name: Column) -> Column:
     return n.isin(*PLACEHOLDERS) | (F.char_length(F.regexp_replace(n, r"\P{L}", "")) < 2)
 
 
-def tokens(name: str) -> list[str]:
-    return [w for w in re.split(r"[^a-z0-9]+", name.lower()) if w]
+def _scored(said: list | pa.Array, name: pa.Array, i: np.ndarray, j: np.ndarray, names: similarity.Names) -> pa.RecordBatch:
+    """Rows (said, name, score) of the pairs (i, j) that agree; i and j are rows of ``names``, said and name its two halves."""
+    score = np.round(similarity.scores(names, i, j), 4)
+    ok = np.flatnonzero(~np.isnan(score))
+    return pa.RecordBatch.from_arrays([said.take(pa.array(i[ok])), name.take(pa.array(j[ok])), pa.array(score[ok])], names=["said", "name", "score"])
+
+
+def scored_pairs(pairs: DataFrame) -> DataFrame:
+    """(said, name, score) of the rows (said, name) that agree."""
+
+    def run(batches):
+        for b in batches:
+            both = pa.concat_arrays([b.column(0), b.column(1)]).dictionary_encode()
+            at, texts = both.indices.to_numpy(), both.dictionary
+            yield _scored(texts, texts, at[: b.num_rows], at[b.num_rows :], similarity.Names(texts.to_pylist()))
+
+    return pairs.select("said", "name").where("said is not null and name is not null").mapInArrow(run, SCORED)
+
+
+# --- candidates by keys: short forms and equal names ---
+
+
+def _words(name: Column) -> Column:
+    return F.filter(F.split(F.lower(F.trim(name)), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def _word_keys(word: Column, shorter: bool) -> Column:
+    """What two words that match have in common: three letters, the word itself if it has fewer, or an initial of one and the other's."""
+    n, first = F.char_length(word), F.substring(word, 1, 1)
+    whole = F.concat(F.least(n, F.lit(3)).cast("string"), F.substring(word, 1, 3))
+    mixed = F.concat(F.when((n == 1) == F.lit(shorter), F.lit("i")).otherwise(F.lit("f")), first)
+    return F.array(whole, mixed)
+
+
+def _pair_keys(x: Column, y: Column, shorter: bool) -> Column:
+    both = lambda a: F.transform(_word_keys(y, shorter), lambda b: F.concat_ws("|", F.least(a, b), F.greatest(a, b)))
+    return F.flatten(F.transform(_word_keys(x, shorter), both))
+
+
+def short_keys(name: Column) -> Column:
+    """Keys of a name as the shorter one of a pair: of its two longest words, or of its only one."""
+    def of(words):
+        by_size = F.array_sort(words, lambda a, b: F.char_length(b) - F.char_length(a))
+        one = F.transform(_word_keys(F.get(words, F.lit(0)), True), lambda k: F.concat(F.lit("last:"), k))
+        pairs = F.transform(_pair_keys(F.get(by_size, F.lit(0)), F.get(by_size, F.lit(1)), True), lambda k: F.concat(F.lit("pair:"), k))
+        single = F.transform(_word_keys(F.get(by_size, F.lit(0)), True), lambda k: F.concat(F.lit("word:"), k))
+        return F.when(F.size(words) == 0, F.array().cast("array<string>")).when(F.size(words) == 1, one).otherwise(F.concat(pairs, single))
+
+    return F.concat(F.array(F.concat(F.lit("="), F.lower(F.trim(name)))), of(_words(name)))
+
 
+def long_keys(name: Column) -> Column:
+    """Keys of a name as the longer one: of every pair of its words, and of its last word."""
+    def of(words):
+        last = F.transform(_word_keys(F.element_at(words, -1), False), lambda k: F.concat(F.lit("last:"), k))
+        pairs = F.flatten(F.transform(words, lambda x, i: F.flatten(F.transform(F.slice(words, i + 2, MANY_WORDS), lambda y: _pair_keys(x, y, False)))))
+        single = F.flatten(F.transform(words, lambda w: _word_keys(w, False)))
+        named = F.when(F.size(words) > MANY_WORDS, F.transform(single, lambda k: F.concat(F.lit("word:"), k))).otherwise(F.transform(pairs, lambda k: F.concat(F.lit("pair:"), k)))
+        return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.concat(last, named))
 
-def same_token(a: str, b: str) -> bool:
-    """Equal, a prefix of three letters or more, or the other's initial."""
-    short, long = sorted((a, b), key=len)
-    return a == b or len(short) != 2 and long.startswith(short)
+    return F.concat(F.array(F.concat(F.lit("="), F.lower(F.trim(name)))), of(_words(name)))
 
 
-def subset_names(a: str, b: str) -> bool:
-    """Each token of the shorter name matches another token of the longer one; a single token must be the surname."""
-    short, long = sorted((tokens(a), tokens(b)), key=len)
-    if len(short) < 2:
-        return bool(short) and same_token(short[0], long[-1])
-    left = list(long)
-    for s in short:
-        hit = next((w for w in left if same_token(s, w)), None)
-        if hit is None:
-            return False
-        left.remove(hit)
-    return True
+def keyed_pairs(said: DataFrame, names: DataFrame) -> DataFrame:
+    """(said, name) of all pairs of which one can be a short form of the other, and of the equal ones."""
 
+    def by(a, b):
+        left = said.select("said", F.explode(F.array_distinct(a(F.col("said")))).alias("key"))
+        return left.join(names.select("name", F.explode(F.array_distinct(b(F.col("name")))).alias("key")), "key").select("said", "name")
 
-def ratio(a: str, b: str) -> float:
-    """100 x twice the longest common subsequence over both lengths."""
-    if not a or not b:
-        return 100.0 if a == b else 0.0
-    row = [0] * (len(b) + 1)
-    for c in a:
-        before = 0
-        for k, d in enumerate(b, 1):
-            before, row[k] = row[k], before + 1 if c == d else max(row[k], row[k - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    return by(short_keys, long_keys).unionAll(by(long_keys, short_keys)).distinct()
 
 
-def partial(a: str, b: str) -> float:
-    """The best ratio of the shorter string with a part of the longer one of that length at most."""
-    short, long = sorted((a, b), key=len)
-    n = len(short)
-    return max((ratio(short, long[max(0, k) : k + n]) for k in range(1 - n, len(long))), default=0.0) if n else 0.0
+# --- candidates by tiles: names that are alike ---
 
 
-def token_ratios(a: str, b: str, measure=ratio) -> tuple[float, float]:
-    """The measure of the sorted tokens, and the best one of shared tokens against each side's."""
-    s, t = sorted(a.split()), sorted(b.split())
-    both = " ".join(sorted(set(s) & set(t)))
-    left, right = (" ".join([*both.split(), *sorted(set(x) - set(y))]) for x, y in ((s, t), (t, s)))
-    shared = max(measure(both, left), measure(both, right)) if both else 0.0
-    return measure(" ".join(s), " ".join(t)), max(shared, measure(left, right))
+def _tiled(names: DataFrame, column: str) -> tuple[DataFrame, dict[int, int]]:
+    """``names`` with the class of their length and a tile in it, and the number of tiles of each class."""
+    size = F.char_length(F.array_join(F.array_sort(F.filter(F.split(F.lower(F.trim(column)), r"\s+"), lambda w: w != "")), " "))
+    of = names.select(column, size.alias("size")).where("size > 0").withColumn("kind", F.floor(F.log("size") / math.log(STRETCH)).cast("int"))
+    # a row for each class of length: at most some tens of them
+    tiles = {r.kind: -(-r.n // TILE) for r in of.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    many = F.create_map(*(F.lit(int(x)) for kv in tiles.items() for x in kv)) if tiles else F.create_map().cast("map<int,int>")
+    return of.select(column, "kind", F.pmod(F.xxhash64(column), F.element_at(many, F.col("kind"))).cast("int").alias("tile")), tiles
 
 
-def weighted(a: str, b: str) -> float:
-    """The best of the plain and, at a discount, the token ratios; of strings of unlike length, of parts of the longer one."""
-    if not a or not b:
-        return 0.0
-    longer = max(len(a), len(b)) / min(len(a), len(b))
-    if longer < 1.5:
-        return max(ratio(a, b), 0.95 * max(token_ratios(a, b)))
-    scale = 0.9 if longer < 8 else 0.6
-    return max(ratio(a, b), scale * partial(a, b), 0.95 * scale * max(token_ratios(a, b, partial)))
+def _met(names: DataFrame, column: str, tiles: dict[int, int], mine: str, other: str) -> DataFrame:
+    """Each name in every meeting of its tile with a tile of the other side."""
+    others = {k: [(c, t) for c in (k - 1, k, k + 1) for t in range(tiles.get(c, 0))] for k in range(min(tiles, default=0) - 1, max(tiles, default=-1) + 2)}
+    pairs = F.lit(None).cast("array<struct<k:int,t:int>>")
+    for k, met in others.items():
+        if met:
+            pairs = F.when(F.col("kind") == k, F.array(*(F.struct(F.lit(c).alias("k"), F.lit(t).alias("t")) for c, t in met))).otherwise(pairs)
+    each = names.withColumn("met", F.explode(pairs))
+    own = [F.col("kind").alias(f"{mine}_kind"), F.col("tile").alias(f"{mine}_tile")]
+    return each.select(column, *own, F.col("met.k").alias(f"{other}_kind"), F.col("met.t").alias(f"{other}_tile"))
 
 
-def agree(said: str, name: str) -> bool:
-    a, b = said.strip().lower(), name.strip().lower()
-    if not a or not b:
-        return False
-    return a == b or weighted(a, b) >= RATIO and token_ratios(a, b)[0] >= TOKEN_RATIO or subset_names(a, b)
+def alike_pairs(said: DataFrame, names: DataFrame) -> DataFrame:
+    """(said, name, score) of all pairs that are alike; distinct ``said`` and ``name``."""
+    a, a_tiles = _tiled(said, "said")
+    b, b_tiles = _tiled(names, "name")
+    if not a_tiles or not b_tiles:
+        return said.sparkSession.createDataFrame([], SCORED)
+    key = ["a_kind", "a_tile", "b_kind", "b_tile"]
 
+    def tile(x: pa.Table, y: pa.Table) -> pa.Table:
+        n, m = x.num_rows, y.num_rows
+        if not n or not m:
+            return pa.table({"said": pa.array([], pa.string()), "name": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        texts = pa.chunked_array([*x["said"].chunks, *y["name"].chunks]).combine_chunks()
+        prepared = similarity.Names(texts.to_pylist())
+        i, j = similarity.may_agree(prepared, np.arange(n), np.arange(n, n + m))
+        return pa.Table.from_batches([_scored(texts, texts, i, j + n, prepared)])
 
-def score(said: str, name: str) -> float:
-    a, b = said.strip().lower(), name.strip().lower()
-    return max(weighted(a, b), SUBSET if subset_names(a, b) else 0.0)
+    left, right = _met(a, "said", b_tiles, "a", "b"), _met(b, "name", a_tiles, "b", "a")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(tile, SCORED)
 
 
-@F.pandas_udf(DoubleType())
-def agreement(said: pd.Series, name: pd.Series) -> pd.Series:
-    """The score of names that agree, null for others."""
-    return pd.Series([round(score(a, b), 4) if a is not None and b is not None and agree(a, b) else None for a, b in zip(said, name)], dtype="float64")
+def agreeing(said: DataFrame, names: DataFrame) -> DataFrame:
+    """(said, name, score) of every pair that agrees, of distinct ``said`` and distinct ``name``."""
+    return scored_pairs(keyed_pairs(said, names)).unionAll(alike_pairs(said, names)).distinct()
 
 
-def block_keys(name: Column) -> Column:
-    """What names that agree have in common: the first or last three letters of a token, or a short token whole."""
-    words = F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda w: w != "")
-    ends = F.transform(words, lambda w: F.concat(F.lit("<"), F.substring(w, 1, 3)))
-    return F.array_distinct(F.concat(ends, F.transform(words, lambda w: F.concat(F.lit(">"), F.substring(w, -3, 3)))))
+# --- who is meant ---
 
 
 def resolve(asked: DataFrame, roster: DataFrame, key: str | None = None) -> DataFrame:
     """asked_id, match, n: the roster row (id, name) that a name said means, and how many agree with it.
 
     One that agrees is the match; of several the best if it leads by ``LEAD``. With ``key`` only rows of the same key are
-    candidates; else names are compared if they share a block. Distinct names said are compared once.
+    candidates. Distinct names are compared once, however many say or bear them.
     """
-    said = asked.where(F.col("said").isNotNull()).select("said", *([key] if key else [])).distinct()
+    keys = [key] if key else []
+    said = asked.where(F.col("said").isNotNull()).select("said", *keys).distinct()
+    people = roster.where(F.col("name").isNotNull()).groupBy("name", *keys).agg(F.min("id").alias("id"), F.count("*").alias("bearers"))
     if key:
-        pairs = said.join(roster, key)
+        pairs = said.join(people.select("name", key), key)
+        found = pairs.join(scored_pairs(pairs.select("said", "name").distinct()), ["said", "name"])
     else:
-        a, b = said.withColumn("block", F.explode(block_keys(F.col("said")))), roster.withColumn("block", F.explode(block_keys(F.col("name"))))
-        pairs = a.join(b, "block").select("said", "id", "name").distinct()
-    scored = pairs.withColumn("score", agreement("said", "name")).where("score is not null")
-    w = Window.partitionBy("said", *([key] if key else [])).orderBy(F.desc("score"), "id")
-    best = scored.withColumn("rank", F.row_number().over(w)).withColumn("gap", F.col("score") - F.lead("score").over(w))
-    best = best.withColumn("n", F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("rank = 1")
+        found = agreeing(said, people.select("name"))
+    found = found.join(people, ["name", *keys])
+    by_said = Window.partitionBy("said", *keys)
+    order = by_said.orderBy(F.desc("score"), "id")
+    gap = F.when(F.col("bearers") > 1, F.lit(0.0)).otherwise(F.col("score") - F.lead("score").over(order))
+    best = found.withColumn("gap", gap).withColumn("n", F.sum("bearers").over(by_said)).withColumn("rank", F.row_number().over(order)).where("rank = 1")
     sure = F.when(F.col("gap").isNull() | (F.col("gap") >= LEAD), F.col("id"))
-    best = best.select("said", *([key] if key else []), sure.alias("match"), "n")
-    return asked.join(best, ["said", *([key] if key else [])], "left").select("asked_id", "match", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    best = best.select("said", *keys, sure.alias("match"), "n")
+    return asked.join(best, ["said", *keys], "left").select("asked_id", "match", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def match_people(asked: DataFrame, roster: DataFrame) -> DataFrame:
     """asked_id, match, code of every row of ``asked`` (asked_id, badge, name; optionally hint, a roster id).
 
-    Roster: id, badge, name. The name decides first (the hinted person, then the one person that it means), then the badge
-    with the name; a badge without a name that agrees is no match.
+    Roster: id, badge, name. The name decides first (the hinted person if it agrees, then the one person that it means), then the badge
+    with the name; a badge without a name that agrees is no match. Codes: ``email_and_name`` for the hinted person, ``id_and_name``
+    where the badge is the person's own or decided, else ``name_primary``; ``ambiguous_id``, ``no_match`` and ``no_identity`` without one.
     """
     hint = F.col("hint") if "hint" in asked.columns else F.lit(None).cast(dict(roster.dtypes)["id"])
-    rows = asked.select("asked_id", F.nullif(F.upper(F.trim("badge")), F.lit("")).alias("badge"), F.when(~is_placeholder(F.col("name")), F.lower(F.trim("name"))).alias("said"), hint.alias("hint"))
-    people = roster.select("id", F.upper(F.trim("badge")).alias("badge"), "name")
-    hinted = rows.join(people.select(F.col("id").alias("hint"), F.col("name").alias("hinted_name")), "hint")
-    hinted = hinted.where(agreement("said", "hinted_name").isNotNull()).select("asked_id", F.col("hint").alias("by_hint"))
+    badge = F.nullif(F.upper(F.trim("badge")), F.lit(""))
+    rows = asked.select("asked_id", badge.alias("badge"), F.when(~is_placeholder(F.col("name")), F.lower(F.trim("name"))).alias("said"), hint.alias("hint"))
+    people = roster.select("id", badge.alias("badge"), "name")
+    hinted = rows.join(people.select(F.col("id").alias("hint"), "name"), "hint").select("asked_id", "hint", "said", "name")
+    agrees = scored_pairs(hinted.select("said", "name").distinct())
+    hinted = hinted.join(agrees, ["said", "name"]).select("asked_id", F.col("hint").alias("by_hint"))
     by_name = resolve(rows.select("asked_id", "said"), people.select("id", "name")).select("asked_id", F.col("match").alias("by_name"))
-    by_badge = resolve(rows.select("asked_id", "said", "badge"), people, "badge").select("asked_id", F.col("match").alias("by_badge"))
+    by_badge = resolve(rows.select("asked_id", "said", "badge"), people.where("badge is not null"), "badge").select("asked_id", F.col("match").alias("by_badge"))
     shared = people.groupBy("badge").agg(F.count("*").alias("sharing"))
     found = rows.join(hinted, "asked_id", "left").join(by_name, "asked_id", "left").join(by_badge, "asked_id", "left").join(shared, "badge", "left")
+    found = found.withColumn("named", F.coalesce("by_hint", "by_name")).join(people.select(F.col("id").alias("named"), F.col("badge").alias("own")), "named", "left")
     code = (
         F.when(F.col("badge").isNull() & F.col("said").isNull(), "no_identity")
-        .when(F.coalesce("by_hint", "by_name").isNotNull(), "name_primary")
+        .when(F.col("by_hint").isNotNull(), "email_and_name")
+        .when(F.col("named").isNotNull(), F.when(F.col("badge") == F.col("own"), "id_and_name").otherwise("name_primary"))
         .when(F.col("said").isNull() | F.col("sharing").isNull(), "no_match")
         .when(F.col("by_badge").isNotNull(), "id_and_name")
         .when(F.col("sharing") > 1, "ambiguous_id")
         .otherwise("no_match")
     )
-    match = F.when(code.isin("name_primary", "id_and_name"), F.coalesce("by_hint", "by_name", "by_badge"))
+    match = F.when(code.isin("email_and_name", "name_primary", "id_and_name"), F.coalesce("named", "by_badge"))
     return found.select("asked_id", match.alias("match"), code.alias("code"))
 
 
 def by_address(asked: DataFrame, roster: DataFrame) -> DataFrame:
-    """asked_id, match, address: the roster row (id, addresses) of the first candidate address (asked: asked_id, candidates)
-    that anyone has; of several people the one of the smallest id."""
+    """asked_id, match, address of every row of ``asked`` (asked_id, candidates): the roster row (id, addresses) of the first candidate
+    address that anyone has, null if nobody has any; of several people the one of the smallest id."""
     known = roster.select("id", F.explode("addresses").alias("address")).groupBy("address").agg(F.min("id").alias("id"))
     each = asked.select("asked_id", F.posexplode("candidates").alias("place", "address")).join(known, "address")
     first = each.groupBy("asked_id").agg(F.min(F.struct("place", "id", "address")).alias("m"))
-    return first.select("asked_id", F.col("m.id").alias("match"), "m.address")
+    return asked.select("asked_id").join(first, "asked_id", "left").select("asked_id", F.col("m.id").alias("match"), "m.address")

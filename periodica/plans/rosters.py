@@ -138,7 +138,7 @@ def either_key_join(spark, sf_dir):
 def fuzzy_resolve(spark, sf_dir):
     """Every part's name with a letter lost and its second word an initial, against the names of all parts: the one that it means, or none.
 
-    Names that agree share the start or the end of a token, which is what candidates have in common.
+    Every pair that agrees is a candidate; tests compare the result with scoring all pairs.
     """
     named = t(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"))
     roster = named.select("id", F.col("p_name").alias("name"))
