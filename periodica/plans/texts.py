@@ -15,7 +15,8 @@ def exact_dedup(spark, sf_dir):
     return g.agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
 
 
-@query(r"""with f as (select doc_id, trim(regexp_replace(regexp_replace(lower(text), '(?m)^.*\bapproved\b.*$', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) as p from documents)
+@query(r"""with f as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '\b(approved\s*by|approval\s*date|date\s*(of\s*)?approval)\s*:?\s*[^\n]*', ' ', 'g'),
+                           '\b(approval|approved|approver|signature|signed|signatory|stamp|line\s*manager|manager|lm|status|submitted|pending|present)\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) as p from documents)
            select md5(p) as fingerprint, count(*) as copies, min(doc_id) as first_doc from f where length(p) >= 40 group by p having count(*) > 1""")
 def fingerprint_groups(spark, sf_dir):
     f = t(spark, sf_dir, "documents").select("doc_id", x.fingerprint(F.col("text")).alias("p")).where(F.char_length("p") >= 40)
