@@ -72,16 +72,29 @@ def touched(table: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(batch.select(*keys).distinct(), keys, "left_semi")
 
 
-def run(stream: DataFrame, checkpoint: str, every: str | None = None, **sink):
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def run(stream: DataFrame, checkpoint: str, every: str | None = None, empty_batches: bool = True, **sink):
     """Everything that is there now, in micro-batches; a later call goes on from the checkpoint. With ``every`` a query that goes on
-    by itself, a batch each interval, is started and returned; one query at a time holds a checkpoint."""
-    writer = stream.writeStream.option("checkpointLocation", checkpoint)
-    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    writer = writer.foreachBatch(sink["each"]) if "each" in sink else writer.format("parquet").option("path", sink["path"]).outputMode("append")
-    q = writer.start()
-    if every:
-        return q
-    q.awaitTermination()
+    by itself, a batch each interval, is started and returned; one query at a time holds a checkpoint.
+
+    ``empty_batches``: whether batches without rows run too, which close windows and fire timers. State with a time to live asks for
+    one more batch for ever, so a run that is to end takes none.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(EMPTY_BATCHES)
+    conf.set(EMPTY_BATCHES, str(empty_batches).lower())
+    try:
+        writer = stream.writeStream.option("checkpointLocation", checkpoint)
+        writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+        writer = writer.foreachBatch(sink["each"]) if "each" in sink else writer.format("parquet").option("path", sink["path"]).outputMode("append")
+        q = writer.start()
+        if every:
+            return q
+        q.awaitTermination()
+    finally:
+        conf.set(EMPTY_BATCHES, before)
     return None
 
 

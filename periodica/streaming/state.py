@@ -1,115 +1,199 @@
-"""Keyed state in streams: the last run of a thread, what is new in it with a little context, and rates."""
+"""Keyed state in streams, by processors with value, list and map state: the last run of a thread, what is new in it, memos, rates, counters.
+
+A key that no row has touched for ``keep`` seconds is forgotten, so state doesn't grow with the age of a stream: by a time to live
+where any row must be judged however late it is, by an event-time timer where only a width of time matters. The rows of one key in
+one batch are read together; the stream's ``maxFilesPerTrigger`` bounds a batch.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 Rows = Iterator[pd.DataFrame]
+#: State of a key is kept for a month after its last row, unless asked otherwise.
+KEEP = 30 * 86400
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _keyed(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, time: str = "ProcessingTime") -> DataFrame:
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # state of several variables needs it
+    return stream.groupBy(key).transformWithStateInPandas(processor, schema, "Append", time)
+
+
+def _us(at) -> int | None:
+    return None if pd.isna(at) else int(pd.Timestamp(at).value // 1000)
+
+
+class _Processor(StatefulProcessor):
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open(handle, self.keep * 1000)
 
+    def open(self, handle: StatefulProcessorHandle, keep_ms: int) -> None:
+        raise NotImplementedError
 
-def _keyed(stream: DataFrame, keys: list[str], step: Callable, schema: str, state: str) -> DataFrame:
-    return stream.groupBy(*keys).applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
-def late_or_covered(stream: DataFrame) -> DataFrame:
+class _Late(_Processor):
+    def open(self, handle, keep_ms):
+        self.run = handle.getValueState("run", "at long", keep_ms)
+
+    def handleInputRows(self, key, rows: Rows, timerValues):
+        found = self.run.get()
+        run, messages = found[0] if found else None, []
+        for part in rows:
+            runs = part.loc[part.kind == "run", "at"].dropna()
+            if len(runs):
+                run = max(_us(runs.max()), run or 0) if run is not None else _us(runs.max())
+            messages.append(part.loc[part.kind == "message", ["id", "at"]])
+        if run is not None:
+            self.run.update((run,))
+        m = pd.concat(messages)
+        if not len(m):
+            return
+        late = [(at := _us(x)) is not None and (run is None or at > run) for x in m["at"]]
+        yield pd.DataFrame({"thread": key[0], "id": m["id"], "at": m["at"], "state": ["new" if x else "covered" for x in late]})
+
+
+def late_or_covered(stream: DataFrame, keep: int = KEEP) -> DataFrame:
     """thread, id, at, state: a thread's messages (kind message) after its last run (kind run) are new, others covered.
 
     A message of no time passes as covered, and one of a thread that never ran is new. Runs of a batch count for the messages
     of that batch by time. State: the newest run of each thread.
     """
+    return _keyed(stream, "thread", _Late(keep), "thread long, id long, at timestamp, state string")
 
-    def step(key: tuple, frames: Rows, state: GroupState) -> Rows:
-        run = state.get[0] if state.exists else None
-        rows = pd.concat(frames)
-        runs = rows.loc[rows.kind == "run", "at"].dropna()
-        if len(runs):
-            newest = int(runs.max().value // 1000)
-            run = newest if run is None else max(run, newest)
-        if run is not None:
-            state.update((run,))
-        m = rows[rows.kind == "message"]
-        late = [not pd.isna(at) and (run is None or at.value // 1000 > run) for at in m["at"]]
-        yield pd.DataFrame({"thread": key[0], "id": m.id, "at": m["at"], "state": ["new" if x else "covered" for x in late]})
-
-    return _keyed(stream, ["thread"], step, "thread long, id long, at timestamp, state string", "run long")
 
+class _Context(_Processor):
+    def __init__(self, keep: int, before: int, most: int):
+        super().__init__(keep)
+        self.before, self.most = before, most
 
-def new_with_context(stream: DataFrame, before: int = 2, most: int = 40) -> DataFrame:
-    """thread, id, at, fresh: of each thread what came since the last batch, the newest ``most`` of it with the ``before``
-    messages ahead of it. State: the watermark of the thread and its last ``before`` messages, no more."""
+    def open(self, handle, keep_ms):
+        self.mark = handle.getValueState("mark", "at long", keep_ms)
+        self.last = handle.getListState("last", "id long, at long", keep_ms)
 
-    def step(key: tuple, frames: Rows, state: GroupState) -> Rows:
-        mark, ids, times = state.get if state.exists else (None, [], [])
-        rows = pd.concat(frames).drop_duplicates("id").sort_values(["at", "id"])
-        us = [int(t.value // 1000) for t in rows["at"]]
-        new = [(i, t) for i, t in zip(rows.id.tolist(), us) if mark is None or t > mark]
+    def handleInputRows(self, key, rows: Rows, timerValues):
+        found = self.mark.get()
+        mark = found[0] if found else None
+        all_ = pd.concat(list(rows)).dropna(subset=["at"]).drop_duplicates("id").sort_values(["at", "id"])
+        new = [(i, t) for i, t in zip(all_["id"].tolist(), map(_us, all_["at"])) if mark is None or t > mark]
         if not new:
             return
-        shown = [*((i, t, False) for i, t in zip(ids, times)), *((i, t, True) for i, t in new)][-most:]
-        last = [*zip(ids, times), *new][-before:]
-        state.update((max(t for _, t in new), [i for i, _ in last], [t for _, t in last]))
+        ahead = [tuple(x) for x in self.last.get()]
+        shown = [*((i, t, False) for i, t in ahead), *((i, t, True) for i, t in new)][-self.most :]
+        self.mark.update((new[-1][1],))
+        self.last.put([*ahead, *new][-self.before :])
         yield pd.DataFrame({"thread": key[0], "id": [x[0] for x in shown], "at": pd.to_datetime([x[1] for x in shown], unit="us", utc=True), "fresh": [x[2] for x in shown]})
 
-    return _keyed(stream, ["thread"], step, "thread long, id long, at timestamp, fresh boolean", "mark long, ids array<long>, times array<long>")
 
-
-def limited(stream: DataFrame, most: int, width_s: int) -> DataFrame:
-    """key, id, allowed: at most ``most`` events of a key in any ``width_s`` seconds; one exactly so old is out, and refused
-    ones don't count. State: times of the allowed ones within the width, ``most`` of them at most."""
-
-    def step(key: tuple, frames: Rows, state: GroupState) -> Rows:
-        held = list(state.get[0]) if state.exists else []
-        rows, ok = pd.concat(frames).sort_values(["at", "id"]), []
-        for at in rows["at"]:
-            now = int(at.value // 1000)
-            held = [t for t in held if t > now - width_s * 1_000_000]
-            ok.append(len(held) < most)
-            if ok[-1]:
-                held.append(now)
-        state.update((held,))
-        yield pd.DataFrame({"key": key[0], "id": rows.id, "allowed": ok})
-
-    return _keyed(stream, ["key"], step, "key long, id long, allowed boolean", "held array<long>")
+def new_with_context(stream: DataFrame, before: int = 2, most: int = 40, keep: int = KEEP) -> DataFrame:
+    """thread, id, at, fresh: of each thread what came since the last batch, the newest ``most`` of it with the ``before``
+    messages ahead of it. Messages of no time, and those not newer than what was seen, aren't new. State: the newest time of the
+    thread and its last ``before`` messages, no more."""
+    return _keyed(stream, "thread", _Context(keep, before, most), "thread long, id long, at timestamp, fresh boolean")
+
+
+class _Memo(_Processor):
+    def open(self, handle, keep_ms):
+        self.times = handle.getMapState("times", "kind string", "at long", keep_ms)
+
+    def handleInputRows(self, key, rows: Rows, timerValues):
+        seen = {k[0]: v[0] for k, v in self.times.iterator()}
+        for part in rows:
+            kinds = part["kind"].where(part["kind"] == "message", "check")
+            for kind, at in part["at"].groupby(kinds).max().dropna().items():
+                seen[kind] = max(_us(at), seen.get(kind, _us(at)))
+        for kind, at in seen.items():
+            self.times.updateValue((kind,), (at,))
+        skip = len(seen) == 2 and seen["check"] >= seen["message"]
+        yield pd.DataFrame({"thread": [key[0]], "state": ["skip" if skip else "need"]})
 
 
-def memo(stream: DataFrame) -> DataFrame:
-    """thread, state: skip a thread whose check (with or without a finding) is as new as its newest message, else it is needed.
+def memo(stream: DataFrame, keep: int = KEEP) -> DataFrame:
+    """thread, state after each batch that has rows of it: skip a thread whose check (with or without a finding) is as new as its
+    newest message, else it is needed.
 
-    Rows: thread, at, kind (message, found, nothing). State: the newest of each kind of time.
+    Rows: thread, at, kind (message, found, nothing). State: the newest message and the newest check.
     """
+    return _keyed(stream, "thread", _Memo(keep), "thread long, state string")
 
-    def step(key: tuple, frames: Rows, state: GroupState) -> Rows:
-        message, check = state.get if state.exists else (None, None)
-        rows = pd.concat(frames)
-        for at, kind in zip(rows["at"], rows.kind):
-            t = int(at.value // 1000)
-            if kind == "message":
-                message = t if message is None else max(message, t)
-            else:
-                check = t if check is None else max(check, t)
-        state.update((message, check))
-        skip = message is not None and check is not None and check >= message
-        yield pd.DataFrame({"thread": [key[0]], "state": ["skip" if skip else "need"]})
 
-    return _keyed(stream, ["thread"], step, "thread long, state string", "message long, checked long")
+class _Limit(_Processor):
+    def __init__(self, keep: int, most: int):
+        super().__init__(keep)
+        self.most = most
 
+    def open(self, handle, keep_ms):
+        self.held = handle.getListState("held", "at long")
 
-def counters(stream: DataFrame) -> DataFrame:
-    """run, total, done, failed, complete after every batch: state of a run is its counters (rows: run, kind, n).
+    def handleInputRows(self, key, rows: Rows, timerValues):
+        held, ok = [x[0] for x in self.held.get()], []
+        all_ = pd.concat(list(rows)).sort_values(["at", "id"])
+        for now in map(_us, all_["at"]):
+            held = [t for t in held if t > now - self.keep * 1_000_000]
+            ok.append(len(held) < self.most)
+            if ok[-1]:
+                held.append(now)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held:
+            self.held.put([(t,) for t in held])
+            self.handle.registerTimer(held[-1] // 1000 + self.keep * 1000)
+        yield pd.DataFrame({"key": key[0], "id": all_["id"], "allowed": ok})
 
-    Rows of kind total set how many tasks the run has; a run is complete when done and failed reach it.
-    """
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.held.clear()
+        return iter(())
 
-    def step(key: tuple, frames: Rows, state: GroupState) -> Rows:
-        n = dict(zip(("total", "done", "failed"), state.get if state.exists else (0, 0, 0)))
-        rows = pd.concat(frames)
-        for kind, k in zip(rows.kind, rows.n):
-            n[kind] += int(k)
-        state.update(tuple(n.values()))
-        yield pd.DataFrame({"run": [key[0]], **{k: [v] for k, v in n.items()}, "complete": [0 < n["total"] <= n["done"] + n["failed"]]})
 
-    return _keyed(stream, ["run"], step, "run long, total long, done long, failed long, complete boolean", "total long, done long, failed long")
+def limited(stream: DataFrame, most: int, width_s: int, late: str = "1 day") -> DataFrame:
+    """key, id, allowed: at most ``most`` events of a key in any ``width_s`` seconds; one exactly so old is out, and refused
+    ones don't count. Events over ``late`` behind the newest of earlier batches get no answer.
+
+    State: times of the allowed ones within the width, ``most`` of them at most; a timer drops them when the width has passed.
+    """
+    return _keyed(stream.withWatermark("at", late), "key", _Limit(width_s, most), "key long, id long, allowed boolean", "EventTime")
+
+
+class _Counters(_Processor):
+    NAMES = ("total", "skipped", "done", "failed", "stopped")
+
+    def open(self, handle, keep_ms):
+        self.n = handle.getMapState("n", "kind string", "n long", keep_ms)
+        self.state = handle.getValueState("state", "stop boolean, final string", keep_ms)
+
+    def handleInputRows(self, key, rows: Rows, timerValues):
+        n = dict.fromkeys(self.NAMES, 0) | {k[0]: v[0] for k, v in self.n.iterator()}
+        stop, final = self.state.get() or (False, None)
+        asked = stop
+        for part in rows:
+            for kind, k in part.groupby("kind")["n"].sum().items():
+                if kind == "stop":
+                    asked = True
+                else:  # a task that begins after a stop was asked for ends at once
+                    n["stopped" if stop and kind in ("done", "failed") else kind] += int(k)
+        if final is None and 0 < n["total"] <= n["skipped"] + n["done"] + n["failed"] + n["stopped"]:
+            final = "stopped" if asked else "completed"
+        for kind, k in n.items():
+            self.n.updateValue((kind,), (k,))
+        self.state.update((asked, final))
+        yield pd.DataFrame({"run": [key[0]], **{k: [v] for k, v in n.items()}, "state": [final or ("stopping" if asked else "running")]})
+
+
+def counters(stream: DataFrame, keep: int = KEEP) -> DataFrame:
+    """run, total, skipped, done, failed, stopped, state after every batch that has rows (run, kind, n) of it.
+
+    Rows of kind total add work to a run, also while it runs; a row of kind stop asks it to end: tasks of later batches count as
+    stopped. It is final, completed or stopped, when all kinds reach the total, and stays so.
+    """
+    return _keyed(stream, "run", _Counters(keep), "run long, total long, skipped long, done long, failed long, stopped long, state string")

@@ -21,7 +21,7 @@ def fed(spark, folder, batches, schema, make):
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
         stream = make(ingest.source(spark, f"{folder}/in", spark.createDataFrame([], schema), 1))
-        ingest.run(stream, f"{folder}/state", each=lambda df, n, k=k: df.write.mode("overwrite").parquet(f"{folder}/out/b={k * 100 + n}"))
+        ingest.run(stream, f"{folder}/state", empty_batches=False, each=lambda df, n, k=k: df.write.mode("overwrite").parquet(f"{folder}/out/b={k * 100 + n}"))
     whole = spark.read.parquet(f"{folder}/out").collect()
     return {k: [r for r in whole if r.b // 100 == k] for k in range(len(batches))}
 
@@ -43,11 +43,29 @@ def test_limits_and_counters_and_memo(spark, tmp_path):
     got = fed(spark, f"{tmp_path}/a", [[(1, 1, at(0)), (1, 2, at(0.5)), (1, 3, at(0.6))], [(1, 4, at(1.0)), (1, 5, at(1.1))]], "key long, id long, at timestamp", lambda s: state.limited(s, 2, 3600))
     assert {r.id: r.allowed for k in got for r in got[k]} == {1: True, 2: True, 3: False, 4: True, 5: False}
     got = fed(spark, f"{tmp_path}/b", [[(1, "total", 3), (1, "done", 1)], [(1, "failed", 1)], [(1, "done", 1)]], "run long, kind string, n long", state.counters)
-    assert [(r.done, r.failed, r.complete) for k in got for r in got[k]] == [(1, 0, False), (1, 1, False), (2, 1, True)]
+    assert [(r.done, r.failed, r.state) for k in got for r in got[k]] == [(1, 0, "running"), (1, 1, "running"), (2, 1, "completed")]
+    got = fed(spark, f"{tmp_path}/d", [[(1, "total", 3), (1, "done", 1)], [(1, "stop", 1)], [(1, "done", 1), (1, "failed", 1)], [(1, "total", 9)]], "run long, kind string, n long", state.counters)
+    assert [(r.total, r.done, r.stopped, r.state) for k in got for r in got[k]] == [(3, 1, 0, "running"), (3, 1, 0, "stopping"), (3, 1, 2, "stopped"), (12, 1, 2, "stopped")]
     got = fed(spark, f"{tmp_path}/c", [[(1, at(1), "message")], [(1, at(2), "nothing")], [(1, at(3), "message")]], "thread long, at timestamp, kind string", state.memo)
     assert [r.state for k in got for r in got[k]] == ["need", "skip", "need"]
 
 
+def test_keys_are_forgotten(spark, tmp_path):
+    """A timer drops what a width has passed; a time to live drops what was not touched, and leaves no state."""
+    left = lambda folder, name: spark.read.format("statestore").option("stateVarName", name).load(f"{folder}/state").count()
+    a = f"{tmp_path}/a"
+    got = fed(spark, a, [[(1, 1, at(0)), (1, 2, at(0.1)), (2, 3, at(0))], [(3, 4, at(90))], [(3, 5, at(180))]], "key long, id long, at timestamp", lambda s: state.limited(s, 2, 3600, "1 hour"))
+    assert {r.id: r.allowed for k in got for r in got[k]} == dict.fromkeys(range(1, 6), True)
+    assert left(a, "held") <= 2  # of key 3 alone
+    b, schema = f"{tmp_path}/b", "thread long, id long, at timestamp, kind string"
+    slow = lambda s: state.late_or_covered(s, keep=1)
+    got = fed(spark, b, [[(1, 1, at(5), "run"), (2, 2, at(5), "run")]], schema, slow)
+    assert left(b, "run") == 2
+    __import__("time").sleep(1.5)
+    got = fed(spark, b, [[(1, 3, at(4), "message")]], schema, slow)
+    assert [r.state for k in got for r in got[k]] == ["new"] and left(b, "run") == 0
+
+
 def test_deltas_of_three_batches_and_a_run_again(spark, tmp_path):
     schema, table = "id long, at timestamp, v string, known string", f"{tmp_path}/table"
     batches = [[(1, at(1), "a", "k1"), (2, at(1), "b", None), (1, at(3), "c", None)], [(1, at(2), "late", None), (3, at(2), "d", None)], [(2, at(4), "e", "k2"), (3, at(2), "same time", None)]]
