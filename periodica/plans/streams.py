@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from periodica.operators.stored import folder
 from periodica.plans.registry import query, table as t
+from periodica.sources import mailbox
 from periodica.streaming import ingest, state
 
 #: Files that a batch is written to, and read from.
@@ -120,3 +121,23 @@ def counter_stream(spark, sf_dir):
     e = _events(spark, sf_dir).select(F.col("user_id").alias("run"), (F.col("event_id") % 4).alias("b"), kind.alias("kind"), F.lit(1).cast("long").alias("n"))
     stops = e.where("run % 3 = 0").select("run", F.lit(1).cast("long").alias("b"), F.lit("stop").alias("kind"), F.lit(1).cast("long").alias("n")).distinct()
     return _in_batches(spark, e.unionAll(stops), F.col("b"), state.counters).withColumnRenamed("run", "user_id")
+
+
+@query("""select user_id, count(*) as n, min(event_id) as first, max(event_id) as last, sum(case when event_type = 'error' then 1 else 0 end)::bigint as errors from events group by user_id""")
+def mailbox_stream(spark, sf_dir):
+    """A mailbox that is delivered in three parts, each with the last messages of the one before, read by a stream that looks back ten minutes:
+    every message once, upserted by id."""
+    at = folder(spark, "mail")
+    e = _events(spark, sf_dir)
+    last = e.agg(F.max("event_id")).first()[0] or 0
+    i = F.col("event_id")
+    part = F.floor(3 * i / (last + 1)) + F.when((i + 5 <= last) & (F.floor(3 * i / (last + 1)) < F.floor(3 * (i + 5) / (last + 1))), 1).otherwise(0)
+    stamp = F.date_format(F.timestamp_seconds(60 * i), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    mails = e.select(part.alias("part"), i.cast("string").alias("message_id"), F.col("user_id").cast("string").alias("conversation_id"), stamp.alias("received_at"), F.col("event_type").alias("subject"))
+    for k in range(3):
+        mails.where(F.col("part") == k).drop("part").write.mode("append").json(f"{at}/box")
+        stream = mailbox.mailbox(spark, f"{at}/box", stream=True, overlap=600, page=1000, span=5000)
+        ingest.run(stream, f"{at}/state", each=ingest.deltas_into(f"{at}/table", ["message_id"], "received_at"))
+    m = ingest.current(spark, f"{at}/table", ["message_id"], "received_at").withColumn("id", F.col("message_id").cast("long"))
+    g = m.groupBy(F.col("conversation_id").cast("long").alias("user_id"))
+    return g.agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.count_if(F.col("subject") == "error").alias("errors"))

@@ -1,8 +1,17 @@
-"""A mailbox as a data source: pages of messages after a cursor, newest first, behind one interface for any store of mail."""
+"""A mailbox as a data source: messages in order of (time, id) after a cursor, in spans that tasks read, behind one interface for any store.
+
+A cursor is the time and the id of a message, so messages of one time are told apart. A stream's offset is the cursor of the newest message;
+a batch is all that lies between two cursors, cut into spans of ``span`` messages, and nothing in between is left out. With ``overlap``
+a batch begins so many seconds earlier, for mail that arrives out of order; what it reads again is told by its id (``ingest.once``,
+``ingest.deltas_into``).
+"""
 
 from __future__ import annotations
 
+import bisect
+import collections
 import datetime
+import functools
 import json
 import pathlib
 from abc import ABC, abstractmethod
@@ -13,82 +22,150 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "message_id string, conversation_id string, sender string, subject string, received_at timestamp, body string"
-PAGE, CAP, THREAD_CAP = 50, 5000, 200
-BEGIN = "1970-01-01T00:00:00+00:00"
+PAGE, CAP, THREAD_CAP, SPAN = 50, 5000, 200, 500
+
+#: (time in UTC, id): ordered as messages are.
+Cursor = tuple[datetime.datetime, str]
+BEGIN: Cursor = (datetime.datetime(1970, 1, 1, tzinfo=datetime.UTC), "")
+
+
+def cursor(row: tuple) -> Cursor:
+    return row[4], row[0] or ""
+
+
+def written(at: Cursor) -> dict:
+    return {"at": at[0].isoformat(), "id": at[1]}
+
+
+def read(at: dict) -> Cursor:
+    return datetime.datetime.fromisoformat(at["at"]), at["id"]
 
 
 class Store(ABC):
     """Where mail comes from."""
 
     @abstractmethod
-    def page(self, since: datetime.datetime, number: int, size: int) -> list[tuple]:
-        """Rows of ``SCHEMA`` received after ``since``, newest first, a page at a time; an empty page ends the list."""
+    def page(self, after: Cursor, until: Cursor | None, size: int) -> list[tuple]:
+        """The first ``size`` rows of ``SCHEMA`` behind ``after`` and up to ``until``, oldest first; an empty page ends the list."""
 
-    def messages(self, since: datetime.datetime, size: int, cap: int) -> Iterator[tuple]:
-        """All pages, ``cap`` messages at most: the newest."""
-        number = 0
-        while number * size < cap and (rows := self.page(since, number, size)):
-            yield from rows[: cap - number * size]
-            number += 1
+    @abstractmethod
+    def newest(self) -> Cursor | None:
+        """The cursor of the newest message; None in an empty mailbox."""
+
+    def messages(self, after: Cursor, until: Cursor | None, size: int) -> Iterator[tuple]:
+        while rows := self.page(after, until, size):
+            yield from rows
+            after = cursor(rows[-1])
+
+    def spans(self, after: Cursor, until: Cursor, size: int, span: int) -> Iterator[tuple[Cursor, Cursor]]:
+        """Cursors that cut what lies between two of them into spans; one is held at a time."""
+        begin, n, last = after, 0, after
+        for row in self.messages(after, until, size):
+            n, last = n + 1, cursor(row)
+            if n == span:
+                yield begin, last
+                begin, n = last, 0
+        if n:
+            yield begin, last
+
+
+@functools.lru_cache(4)
+def _sorted(files: tuple) -> tuple[list, list]:
+    """Rows and cursors of JSON files, in order; read once as long as the files are the same."""
+    rows = []
+    for path, *_ in files:
+        for line in pathlib.Path(path).read_text().splitlines():
+            m = json.loads(line)
+            at = datetime.datetime.fromisoformat(m["received_at"])
+            at = at.replace(tzinfo=datetime.UTC) if at.tzinfo is None else at.astimezone(datetime.UTC)
+            rows.append((m["message_id"], m.get("conversation_id"), m.get("sender"), m.get("subject"), at, m.get("body")))
+    rows.sort(key=cursor)
+    return rows, [cursor(r) for r in rows]
 
 
 class Folder(Store):
-    """Files of JSON lines in a folder."""
+    """Files of JSON lines in a folder that all machines see: a mailbox for trials."""
 
     def __init__(self, path: str):
-        self.path = pathlib.Path(path.removeprefix("file:"))
+        self.path = pathlib.Path("/" + path.removeprefix("file:").lstrip("/"))
+
+    def _all(self) -> tuple[list, list]:
+        return _sorted(tuple((str(f), s.st_mtime_ns, s.st_size) for f in sorted(self.path.glob("[!._]*.json*")) for s in (f.stat(),)))
 
-    def page(self, since, number, size):
-        rows = []
-        for file in sorted(self.path.glob("*.json*")):
-            for line in file.read_text().splitlines():
-                m = json.loads(line)
-                at = datetime.datetime.fromisoformat(m["received_at"])
-                if at > since:
-                    rows.append((m["message_id"], m.get("conversation_id"), m.get("sender"), m.get("subject"), at, m.get("body")))
-        rows.sort(key=lambda r: (r[4], r[0]), reverse=True)
-        return rows[number * size : (number + 1) * size]
+    def page(self, after, until, size):
+        rows, at = self._all()
+        first = bisect.bisect_right(at, after)
+        return rows[first : min(first + size, len(at) if until is None else bisect.bisect_right(at, until))]
+
+    def newest(self):
+        at = self._all()[1]
+        return at[-1] if at else None
 
 
 STORES = {"folder": Folder}
 
 
 class Span(InputPartition):
-    def __init__(self, after: str, until: str | None):
+    def __init__(self, after: Cursor, until: Cursor):
         self.after, self.until = after, until
 
 
 class _Reader(DataSourceReader):
+    """The newest ``cap`` messages after ``since``, newest first."""
+
     def __init__(self, options):
         self.store = STORES[options.get("store", "folder")](options["path"])
-        self.since, self.size, self.cap = options.get("since", BEGIN), int(options.get("page", PAGE)), int(options.get("cap", CAP))
+        since = options.get("since")
+        self.since = (datetime.datetime.fromisoformat(since), "\U0010ffff") if since else BEGIN
+        self.size, self.cap, self.span = int(options.get("page", PAGE)), int(options.get("cap", CAP)), int(options.get("span", SPAN))
+        self.overlap, self.limit = float(options.get("overlap", 0)), int(options.get("limit", 0))
 
     def partitions(self):
-        return [Span(self.since, None)]
+        newest = self.store.newest()
+        if newest is None:
+            return []
+        last = collections.deque(map(cursor, self.store.messages(self.since, newest, self.size)), maxlen=self.cap + 1)
+        begin = last[0] if len(last) > self.cap else self.since
+        return [Span(*s) for s in self.store.spans(begin, newest, self.size, self.span)][::-1]
 
     def read(self, span):
-        until = datetime.datetime.fromisoformat(span.until) if span.until else None
-        for row in self.store.messages(datetime.datetime.fromisoformat(span.after), self.size, self.cap):
-            if until is None or row[4] <= until:
-                yield row
+        yield from reversed(list(self.store.messages(span.after, span.until, self.size)))  # ``span`` messages at most
 
 
 class _Stream(_Reader, DataSourceStreamReader):
-    """The offset is the newest time that was seen; a batch takes what came since, and the checkpoint keeps the cursor."""
+    """All messages in order. ``limit``: a batch that follows another of the same run ends after so many messages; the rest is the next one's."""
 
-    def initialOffset(self):
-        return {"at": self.since}
+    known: Cursor | None = None
 
-    def latestOffset(self, *_):
-        newest = self.store.page(datetime.datetime.fromisoformat(self.since), 0, 1)
-        return {"at": newest[0][4].isoformat() if newest else self.since}
+    def initialOffset(self):
+        self.known = self.since
+        return written(self.since)
+
+    def latestOffset(self):
+        newest = self.store.newest()
+        if newest is None or (self.known and newest < self.known):
+            return written(self.known or self.since)
+        if self.limit and self.known:
+            for k, row in enumerate(self.store.messages(self.known, newest, self.size), 1):
+                if k == self.limit:
+                    return written(cursor(row))
+        return written(newest)
 
     def partitions(self, start, end):
-        return [Span(start["at"], end["at"])]
+        after, until = read(start), read(end)
+        self.known = until
+        if after >= until:
+            return []
+        if self.overlap and after > BEGIN:
+            after = max(self.since, (after[0] - datetime.timedelta(seconds=self.overlap), ""))
+        return [Span(*s) for s in self.store.spans(after, until, self.size, self.span)]
+
+    def read(self, span):
+        yield from self.store.messages(span.after, span.until, self.size)
 
 
 class Mailbox(DataSource):
-    """``spark.read.format("mailbox").option("path", ...)``; options store, since, page and cap. Also a stream."""
+    """``spark.read.format("mailbox").option("path", ...)``; options store, since, page, span, cap, and for streams overlap and limit."""
 
     @classmethod
     def name(cls):

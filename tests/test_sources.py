@@ -136,6 +136,37 @@ def test_mailbox(spark, tmp_path):
     assert sorted(r.message_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["m1", "m2", "m3", "m5", "m7"]
 
 
+def test_a_mailbox_loses_no_message(spark, tmp_path):
+    """More messages than a page, a span or a limit; equal times; mail that arrives late; runs again from the checkpoint."""
+    box = tmp_path / "box"
+    box.mkdir()
+    put = lambda name, rows: (box / name).write_text("\n".join(json.dumps({"message_id": i, "received_at": f"2024-01-01T00:{m:02}:00+00:00"}) for i, m in rows))
+    put("a.jsonl", [(f"m{k:02}", k // 4) for k in range(20)])
+    seen = []
+
+    def go(**options):
+        before = len(seen)
+        stream = mailbox.mailbox(spark, str(box), stream=True, page=3, span=4, **options)
+        ingest.run(stream, f"{tmp_path}/state", each=lambda df, n: seen.extend(r.message_id for r in df.collect()))
+        return sorted(seen[before:])
+
+    assert go() == [f"m{k:02}" for k in range(20)] and go() == []
+    put("b.jsonl", [(f"n{k:02}", 4 if k < 2 else 9) for k in range(12)])  # two of the time that was the newest, behind it by id
+    assert go() == [f"n{k:02}" for k in range(12)]
+    put("c.jsonl", [("late", 7), ("z", 9)])
+    assert go(overlap=180) == ["late", *(f"n{k:02}" for k in range(2, 12)), "z"]
+    assert len(set(seen)) == 34
+    plan = mailbox._Stream({"path": str(box), "page": "3", "span": "4", "limit": "6"})
+    start, ends = plan.initialOffset(), []
+    while (end := plan.latestOffset()) != start:
+        spans = plan.partitions(start, end)
+        ends.append(sum(len(list(plan.read(x))) for x in spans))
+        start = end
+    assert ends == [6] * 5 + [4] and all(len(list(plan.read(x))) <= 4 for x in spans)
+    assert mailbox.mailbox(spark, str(box), page=2, span=3, cap=10).count() == 10
+    assert [r.message_id for r in mailbox.mailbox(spark, str(box), span=3, cap=4).collect()] == ["z", "n11", "n10", "n09"]
+
+
 def test_names_that_overwrite_nothing(spark):
     df = spark.createDataFrame([("f", "a.pdf", 1), ("f", "a.pdf", 2), ("f", "b.pdf", 3), ("g", "a.pdf", 4), ("f", "c", 5)], "folder string, name string, id int")
     taken = spark.createDataFrame([("f", "a.pdf"), ("f", "a_2024-01-02.pdf"), ("f", "c")], "folder string, name string")
