@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from periodica.functions import dates as d
+from periodica.functions import daybits as bits
 
 # The lists of a sheet in the order in which the first to claim a date keeps it, and what may stand beside work.
 BUCKETS = "annual remote sick maternity unpaid absent public_holiday other".split()
@@ -37,78 +38,102 @@ def claims(sheet_lists: list[str]) -> Column:
     return F.concat(*(of(k, b) for k, b in enumerate(sheet_lists)))
 
 
+def _apart(a: str, b: str) -> bool:
+    """Whether a date may not be in both lists."""
+    return a != b and {a, b} not in ({"working_days", x} for x in BESIDE_WORK)
+
+
 def normalise(sheets: DataFrame, weekends: Column | None = None) -> DataFrame:
     """``sheets`` (year, month, period_type, missing_days, uncertain_days, and the lists) with clean lists, ``unaccounted`` and ``issues``.
 
     A date belongs to the first list that claims it; work and work elsewhere may share one, of which the first list keeps it.
     Dates of another month stay and are flagged. ``weekends``: dates that the calendar says are weekends, which decide between
     work and weekend. Missing days outside the month go. Days that no list has are unaccounted, of whole months only.
+
+    The month's days are sets of bits; dates of other months and those in conflict, few as a rule, are read one by one.
     """
-    owner = lambda c: F.get(F.filter(F.col("_claims"), lambda x: x["date"] == c["date"]), F.lit(0))["bucket"]
+    y, m, nothing = F.col("year"), F.col("month"), F.array().cast("array<string>")
+    begins = F.col("_begins")
     iso = lambda c: c["date"].rlike(d.ISO)
-    s = sheets.withColumn("_all", claims(ALL)).withColumn("_claims", F.filter("_all", iso))
+    known = weekends if weekends is not None else nothing
+    s = sheets.withColumns({"_begins": bits.prefix(y, m), "_weekends": known, "_all": claims(ALL)})
+    s = s.withColumns({f"_m{k}": bits.bits(trimmed(F.col(b)), begins) for k, b in enumerate(ALL)} | {"_we": bits.bits(F.col("_weekends"), begins)})
+    work, rest = ALL.index("working_days"), ALL.index("weekend_days")
+    own = {k: bits.less(F.col(f"_m{k}"), bits.union(*(F.col(f"_m{i}") for i in range(k)))) for k in range(len(ALL))}
+    s = s.withColumns({f"_o{k}": c for k, c in own.items()})
+    s = s.withColumn("_wrong_bits", F.col(f"_o{work}").bitwiseAND(F.col("_we")))
+    clash = []
+    for k, b in enumerate(ALL):
+        for i, a in enumerate(ALL[:k]):
+            if _apart(a, b):
+                both = F.col(f"_o{i}").bitwiseAND(F.col(f"_m{k}"))
+                clash.append(bits.less(both, F.col("_wrong_bits")) if a in DAYS and b in DAYS else both)
+    s = s.withColumns({"_clash_bits": bits.union(*clash), "_mine": bits.union(*(F.col(f"_m{k}") for k in range(len(ALL))))})
+
+    # one by one: what is no date, what is of another month, and what two lists claim
     bad = F.transform(F.filter("_all", lambda c: ~iso(c)), lambda c: F.concat(F.lit("not a date: "), c["date"], F.lit(" ("), c["bucket"], F.lit(")")))
-    twice = F.filter("_claims", lambda c: (owner(c) != c["bucket"]) & ~compatible(owner(c), c["bucket"]))
+    odd = F.filter("_all", lambda c: iso(c) & (~bits.within(c["date"], begins) | bits.holds(F.col("_clash_bits"), c["date"], begins)))
+    s = s.withColumns({"_bad": bad, "_claims": odd})
+    owner = lambda c: F.get(F.filter(F.col("_claims"), lambda x: x["date"] == c["date"]), F.lit(0))["bucket"]
+    far = lambda c: ~bits.within(c["date"], begins)
+    s = s.withColumn("_wrong", F.array_intersect("_weekends", F.transform(F.filter("_claims", lambda c: far(c) & (c["bucket"] == "working_days") & (owner(c) == "working_days")), lambda c: c["date"])))
+    wrong = lambda c: F.array_contains("_wrong", c["date"]) | bits.holds(F.col("_wrong_bits"), c["date"], begins)
+    settled = lambda c: wrong(c) & c["bucket"].isin(*DAYS) & owner(c).isin(*DAYS)
+    twice = F.filter("_claims", lambda c: (owner(c) != c["bucket"]) & ~compatible(owner(c), c["bucket"]) & ~settled(c))
     say = lambda c: F.concat(F.lit("date in two categories: "), c["date"], F.lit(" in "), owner(c), F.lit(" and "), c["bucket"])
-    known = weekends if weekends is not None else F.array().cast("array<string>")
-    s = s.withColumn("_weekends", known).withColumn("_bad", bad)
-    wrong = F.array_intersect("_weekends", F.transform(F.filter("_claims", lambda c: (c["bucket"] == "working_days") & (owner(c) == "working_days")), lambda c: c["date"]))
-    s = s.withColumn("_wrong", wrong)
-    settled = lambda c: F.array_contains("_wrong", c["date"]) & c["bucket"].isin(*DAYS) & owner(c).isin(*DAYS)
-    s = s.withColumn("_twice", F.array_distinct(F.transform(F.filter(twice, lambda c: ~settled(c)), say)))
-    own = lambda b: F.array_sort(F.array_distinct(F.transform(F.filter("_claims", lambda c: (c["bucket"] == b) & (owner(c) == b)), lambda c: c["date"])))
-    lists = {b: own(b) for b in ALL}
-    lists["working_days"] = F.array_except(lists["working_days"], "_wrong")
-    lists["weekend_days"] = F.array_sort(F.array_union(lists["weekend_days"], "_wrong"))
-    s = s.withColumns({f"_new_{b}": c for b, c in lists.items()})
+    s = s.withColumn("_twice", F.array_distinct(F.transform(twice, say)))
+    away = lambda b: F.array_sort(F.array_distinct(F.transform(F.filter("_claims", lambda c: far(c) & (c["bucket"] == b) & (owner(c) == b)), lambda c: c["date"])))
+    s = s.withColumns({f"_a{k}": F.when(F.size("_claims") == 0, nothing).otherwise(away(b)) for k, b in enumerate(ALL)})
+    s = s.withColumns({f"_a{work}": F.array_except(f"_a{work}", "_wrong"), f"_a{rest}": F.array_sort(F.array_union(f"_a{rest}", "_wrong"))})
+    s = s.withColumns({f"_o{work}": bits.less(F.col(f"_o{work}"), F.col("_wrong_bits")), f"_o{rest}": F.col(f"_o{rest}").bitwiseOR(F.col("_wrong_bits"))})
+    here = {k: bits.days(F.col(f"_o{k}"), begins) for k in range(len(ALL))}
+    s = s.withColumns({f"_new_{b}": F.when(F.size(f"_a{k}") == 0, here[k]).otherwise(F.array_sort(F.concat(here[k], f"_a{k}"))) for k, b in enumerate(ALL)})
 
     # uncertain days are those that no list has; of equal dates the first reason stays
     unsure = F.filter(F.transform(F.coalesce("uncertain_days", F.array().cast("array<struct<date: string, reason: string>>")), lambda u: F.struct(F.trim(u["date"]).alias("date"), F.substring(F.coalesce(u["reason"], F.lit("")), 1, 200).alias("reason"))), iso)
-    free = F.filter(unsure, lambda u: ~F.exists("_claims", lambda c: c["date"] == u["date"]))
+    claimed = lambda u: bits.holds(F.col("_mine"), u["date"], begins) | F.exists("_claims", lambda c: c["date"] == u["date"])
+    of = lambda u: F.coalesce(owner(u), *(F.when(bits.holds(own[k], u["date"], begins), F.lit(b)) for k, b in enumerate(ALL)))
+    free = F.filter(unsure, lambda u: ~claimed(u))
     first = F.filter(F.transform(free, lambda u, i: F.when(~F.exists(F.slice(free, 1, i), lambda v: v["date"] == u["date"]), u)), lambda u: u.isNotNull())
-    clash = F.transform(F.filter(unsure, lambda u: F.exists("_claims", lambda c: c["date"] == u["date"])), lambda u: F.concat(F.lit("date in two categories: "), u["date"], F.lit(" in "), owner(u), F.lit(" and uncertain_days")))
-    s = s.withColumn("_uncertain", F.array_sort(first)).withColumn("_clash", clash)
+    also = F.transform(F.filter(unsure, claimed), lambda u: F.concat(F.lit("date in two categories: "), u["date"], F.lit(" in "), of(u), F.lit(" and uncertain_days")))
+    s = s.withColumn("_uncertain", F.array_sort(first)).withColumn("_also", also)
 
-    y, m = F.col("year"), F.col("month")
     last = d.days_in_month(y, m)
-    days = F.filter(F.transform(F.coalesce("missing_days", F.array().cast("array<string>")), lambda x: F.trim(x.cast("string")).try_cast("int")), lambda n: n.between(1, F.coalesce(last, F.lit(31))))
+    missing = F.filter(F.transform(F.coalesce("missing_days", nothing), lambda x: F.trim(x.cast("string")).try_cast("int")), lambda n: n.between(1, F.coalesce(last, F.lit(31))))
     dated = y.isNotNull() & m.isNotNull()
-    outside = [F.when(dated & (F.size(d.outside(F.col(f"_new_{b}"), y, m)) > 0), F.concat(F.size(d.outside(F.col(f"_new_{b}"), y, m)).cast("string"), F.lit(f" date(s) outside the month in {b}"))) for b in ALL]
-    whole = dated & (F.col("period_type") == "full_month")
-    nothing = F.array().cast("array<string>")
-    unaccounted = F.when(whole, d.unaccounted(y, m, *(F.col(f"_new_{b}") for b in ALL), F.transform("_uncertain", lambda u: u["date"]))).otherwise(nothing)
-    issues = F.concat("_bad", "_twice", "_clash", F.filter(F.array(*outside), lambda x: x.isNotNull()))
-    new = {b: F.col(f"_new_{b}") for b in ALL} | {"uncertain_days": F.col("_uncertain"), "missing_days": F.array_sort(F.array_distinct(days)), "unaccounted": unaccounted, "issues": issues}
+    outside = [F.when(dated & (F.size(d.outside(F.col(f"_a{k}"), y, m)) > 0), F.concat(F.size(d.outside(F.col(f"_a{k}"), y, m)).cast("string"), F.lit(f" date(s) outside the month in {b}"))) for k, b in enumerate(ALL)]
+    told = bits.union(*(F.col(f"_o{k}") for k in range(len(ALL))), bits.bits(F.transform("_uncertain", lambda u: u["date"]), begins))
+    unaccounted = F.when(dated & (F.col("period_type") == "full_month"), bits.days(bits.less(bits.whole(last), told), begins)).otherwise(nothing)
+    issues = F.concat("_bad", "_twice", "_also", F.filter(F.array(*outside), lambda x: x.isNotNull()))
+    new = {b: F.col(f"_new_{b}") for b in ALL} | {"uncertain_days": F.col("_uncertain"), "missing_days": F.array_sort(F.array_distinct(missing)), "unaccounted": unaccounted, "issues": issues}
     return s.select(*(new.pop(c).alias(c) if c in new else F.col(c) for c in sheets.columns), *(c.alias(n) for n, c in list(new.items())))
 
 
 def mismatches(sheets: DataFrame, calendars: DataFrame) -> DataFrame:
     """person, year, month and ``flags`` where timesheets say other weekends or holidays than the calendar (month, year,
-    weekdays, holidays: a small table, one row a month). Only days that a sheet said something about are compared; an empty
+    weekdays, holidays; one row a month). Only days that a sheet said something about are compared; an empty
     list of the calendar is not configured and compares nothing."""
     y, m = F.col("year"), F.col("month")
+    begins = bits.prefix(y, m)
     listed = F.coalesce("weekdays", F.array().cast("array<string>"))
-    calendar = calendars.select(y, m, F.filter(d.spine(y, m), lambda x: F.array_contains(listed, F.date_format(F.to_date(x), "EEEE"))).alias("we"), F.coalesce("holidays", F.array().cast("array<string>")).alias("ph"))
-    flat = lambda c: F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>")))))
-    missing = F.transform(F.coalesce("missing_days", F.array().cast("array<int>")), lambda n: F.date_format(d.try_date(y, m, n), "yyyy-MM-dd"))
-    unsure = F.transform("uncertain_days", lambda u: u["date"])
-    g = sheets.where("kind = 'timesheet'").groupBy("person", "year", "month").agg(
-        *(flat(F.col(b)).alias(b) for b in ALL), flat(F.concat(F.coalesce(unsure, F.array().cast("array<string>")), missing)).alias("_said")
-    )
-    g = g.join(F.broadcast(calendar), ["year", "month"])
-    here = lambda c: F.filter(c, lambda x: F.substring(x, 1, 7) == F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0")))
-    we, ph, work = (here(F.col(c)) for c in ("weekend_days", "public_holiday", "working_days"))
-    leave = F.flatten(F.array(*(F.col(b) for b in BUCKETS)))
-    scope = here(F.concat(leave, F.col("_said"), F.col("working_days"), F.col("weekend_days")))
+    marked = F.filter(d.spine(y, m), lambda x: F.array_contains(listed, F.date_format(F.to_date(x), "EEEE")))
+    calendar = calendars.select(y, m, bits.bits(marked, begins).alias("we"), bits.bits(F.col("holidays"), begins).alias("ph"), F.size(F.coalesce("holidays", F.array().cast("array<string>"))).alias("named"))
+    numbers = F.aggregate(F.coalesce("missing_days", F.array().cast("array<int>")), F.lit(0), lambda acc, n: acc.bitwiseOR(F.when(n.between(1, 31), bits.of_day(n)).otherwise(F.lit(0))))
+    said = bits.bits(F.transform("uncertain_days", lambda u: u["date"]), begins).bitwiseOR(numbers)
+    g = sheets.where("kind = 'timesheet'").groupBy("person", "year", "month").agg(*(F.bit_or(bits.bits(F.col(b), begins)).alias(b) for b in ALL), F.bit_or(said).alias("_said"))
+    g = g.join(calendar, ["year", "month"])
+    we, ph, work = F.col("weekend_days"), F.col("public_holiday"), F.col("working_days")
+    leave = bits.union(*(F.col(b) for b in BUCKETS))
+    scope = bits.union(leave, F.col("_said"), work, we)
     tests = [
-        ("weekend marked as working", "we", F.array_intersect("we", work)),
-        ("weekend not in the calendar", "we", F.array_except(we, "we")),
-        ("weekend not listed", "we", F.array_except(F.array_intersect("we", scope), F.concat(we, leave, work))),
-        ("holiday not listed", "ph", F.array_except(F.array_intersect("ph", scope), ph)),
-        ("holiday not in the calendar", "ph", F.array_except(ph, "ph")),
+        ("weekend marked as working", F.col("we") != 0, F.col("we").bitwiseAND(work)),
+        ("weekend not in the calendar", F.col("we") != 0, bits.less(we, F.col("we"))),
+        ("weekend not listed", F.col("we") != 0, bits.less(F.col("we").bitwiseAND(scope), bits.union(we, leave, work))),
+        ("holiday not listed", F.col("named") > 0, bits.less(F.col("ph").bitwiseAND(scope), ph)),
+        ("holiday not in the calendar", F.col("named") > 0, bits.less(ph, F.col("ph"))),
     ]
-    shown = lambda c: F.concat(F.array_join(F.slice(F.array_sort(c), 1, 8), ", "), F.when(F.size(c) > 8, F.lit(" …")).otherwise(""))
-    flags = F.filter(F.array(*(F.when((F.size(side) > 0) & (F.size(c) > 0), F.concat(F.lit(f"{say}: "), shown(c))) for say, side, c in tests)), lambda x: x.isNotNull())
+    shown = lambda c: F.concat(F.array_join(F.slice(bits.days(c, begins), 1, 8), ", "), F.when(F.bit_count(c) > 8, F.lit(" …")).otherwise(""))
+    flags = F.filter(F.array(*(F.when(told & (c != 0), F.concat(F.lit(f"{name}: "), shown(c))) for name, told, c in tests)), lambda x: x.isNotNull())
     return g.select("person", "year", "month", flags.alias("flags"))
 
 
@@ -128,17 +153,21 @@ def crossing(sheets: DataFrame) -> DataFrame:
 
 def month_union(sheets: DataFrame, order: str) -> DataFrame:
     """One row per person and month: lists united, reasons of uncertain days by the first sheet, missing and unaccounted days,
-    covered days, period types and issues in order of appearance."""
-    listed = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    in_order = lambda c: F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(order, F.col(c).alias("v")))), lambda x: x["v"])))
-    unsure = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order), F.col("uncertain_days").alias("v")))), lambda x: x["v"]))
+    covered days, period types and issues in order of appearance. Days of the month are united as bits, others as lists."""
+    begins = bits.prefix(F.col("year"), F.col("month"))
+    sets = [*ALL, "unaccounted"]
+    in_order = lambda c: F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.size(c) > 0, F.struct(order, F.col(c).alias("v"))))), lambda x: x["v"])))
+    unsure = F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.size("uncertain_days") > 0, F.struct(F.col(order), F.col("uncertain_days").alias("v"))))), lambda x: x["v"]))
+    far = {b: bits.elsewhere(F.col(b), begins) for b in sets}
     g = sheets.groupBy("person", "year", "month").agg(
-        *(listed(b).alias(b) for b in ALL), unsure.alias("_u"), listed("missing_days").alias("missing_days"), listed("unaccounted").alias("unaccounted"),
+        *(F.bit_or(bits.bits(F.col(b), begins)).alias(b) for b in sets), *(F.flatten(F.collect_set(F.when(F.size(c) > 0, c))).alias(f"_{b}") for b, c in far.items()),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("missing_days")))).alias("missing_days"), unsure.alias("_u"),
         F.sum("days_covered").alias("days_covered"), F.sort_array(F.collect_set("period_type")).alias("period_types"), in_order("issues").alias("issues"),
     )
+    g = g.withColumns({b: F.when(F.size(f"_{b}") == 0, bits.days(F.col(b), begins)).otherwise(F.array_sort(F.array_distinct(F.concat(bits.days(F.col(b), begins), f"_{b}")))) for b in sets})
     first = F.filter(F.transform("_u", lambda u, i: F.when(~F.exists(F.slice(F.col("_u"), 1, i), lambda v: v["date"] == u["date"]), u)), lambda u: u.isNotNull())
     tag = F.concat(F.lit("group:"), F.substring(F.sha1(F.concat_ws("|", "person", F.coalesce("month", F.lit(0)), F.coalesce("year", F.lit(0)))), 1, 12))
-    return g.withColumn("uncertain_days", F.array_sort(first)).withColumn("tag", tag).drop("_u")
+    return g.withColumn("uncertain_days", F.array_sort(first)).withColumn("tag", tag).drop("_u", *(f"_{b}" for b in sets))
 
 
 def identities(sheets: DataFrame, senders: DataFrame) -> DataFrame:

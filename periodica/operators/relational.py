@@ -65,9 +65,13 @@ def since(df: DataFrame, key: str, order: str, marks: DataFrame, mark: str, befo
 
 
 def diff(old: DataFrame, new: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:
-    """keys, change (add, update, unchanged, missing) and the fields that differ; a blank new value never erases."""
-    o = old.select(*keys, F.struct(*compared).alias("_o"), F.lit(True).alias("_in_old"))
-    n = new.select(*keys, F.struct(*compared).alias("_n"), F.lit(True).alias("_in_new"))
+    """keys, change (add, update, unchanged, missing) and the fields that differ; a blank new value never erases.
+
+    Texts are trimmed, and empty ones say nothing, on both sides.
+    """
+    said = lambda df: F.struct(*(F.nullif(F.trim(c), F.lit("")).alias(c) if dict(df.dtypes)[c] == "string" else F.col(c) for c in compared))
+    o = old.select(*keys, said(old).alias("_o"), F.lit(True).alias("_in_old"))
+    n = new.select(*keys, said(new).alias("_n"), F.lit(True).alias("_in_new"))
     fields = F.filter(
         F.array(*(F.when(F.col(f"_n.{c}").isNotNull() & ~F.col(f"_n.{c}").eqNullSafe(F.col(f"_o.{c}")), F.lit(c)) for c in compared)), lambda x: x.isNotNull()
     )

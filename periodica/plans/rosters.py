@@ -99,7 +99,7 @@ def office_rollup(spark, sf_dir):
 def dimension_diff(spark, sf_dir):
     part = t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
     k = F.col("p_partkey")
-    brand = F.when(k % 3 == 0, F.concat(F.upper("p_brand"), F.lit("!"))).when(k % 11 == 0, F.lit(None)).otherwise(F.col("p_brand"))
+    brand = F.when(k % 3 == 0, F.concat(F.upper("p_brand"), F.lit("!"))).when(k % 11 == 0, F.when(k % 2 == 0, F.lit("  "))).otherwise(F.concat(F.col("p_brand"), F.lit(" ")))
     new = part.where(k % 4 != 0).select(k, brand.alias("p_brand"), F.when(k % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("p_size"))
     return rel.diff(part.where(k % 5 != 0), new, ["p_partkey"], ["p_brand", "p_size"])
 

@@ -1,4 +1,4 @@
-"""Months of days: sheets of suppliers over lineitem (returned: annual, not returned: working, accepted: remote), unions, conflicts."""
+"""Months of days: a sheet for each supplier, month and line number of lineitem, whole; unions, conflicts, calendars."""
 
 from __future__ import annotations
 
@@ -7,72 +7,98 @@ from pyspark.sql import functions as F
 from periodica.functions import letters, sheets as s
 from periodica.plans.registry import query, table as t
 
+MODES = {"AIR": 0, "RAIL": 1, "SHIP": 2, "FOB": 3}
 DAY = "strftime(l_shipdate, '%Y-%m-%d')"
 
 
 def _sheets(spark, sf_dir):
-    """A sheet per supplier, month and line number: its days by return flag."""
-    rows = t(spark, sf_dir, "lineitem").where("l_shipdate >= '1998-01-01' and l_shipdate < '1998-04-01'")
-    days = lambda f: F.sort_array(F.collect_set(F.when(F.col("l_returnflag") == f, F.date_format("l_shipdate", "yyyy-MM-dd"))))
+    """Days by return flag (annual, working, remote); how a part comes and when it is received are drawn from its number: rail is a weekend, ships a holiday too, what comes by air makes a sick day when it is
+    received, in another month at times; FOB gives a missing day."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    days = lambda test, c="l_shipdate": F.sort_array(F.collect_set(F.when(test, day(c))))
+    rows = t(spark, sf_dir, "lineitem").withColumns({"_mode": F.col("l_partkey") % 7, "_got": F.date_add("l_shipdate", (F.col("l_partkey") % 20 + 1).cast("int"))})
+    flag, mode = (lambda f: F.col("l_returnflag") == f), (lambda m: F.col("_mode") == MODES[m])
     g = rows.groupBy(F.col("l_suppkey").cast("string").alias("person"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), F.col("l_linenumber").alias("seq"))
-    g = g.agg(days("R").alias("annual"), days("N").alias("working_days"), days("A").alias("remote"), F.count("*").alias("days_covered"))
-    none = F.array().cast("array<string>")
-    rest = {b: none for b in s.ALL if b not in ("annual", "working_days", "remote")}
-    more = {"period_type": F.when(F.col("seq") == 1, "full_month").otherwise("week"), "missing_days": none, "uncertain_days": F.array().cast("array<struct<date: string, reason: string>>"),
-            "kind": F.lit("timesheet"), "name": F.concat(F.lit("sheet "), "seq")}
+    late = mode("FOB") & (F.trunc("_got", "month") == F.trunc("l_shipdate", "month"))
+    g = g.agg(
+        days(flag("R")).alias("annual"), days(flag("N")).alias("working_days"), days(flag("A")).alias("remote"), days(mode("AIR"), "_got").alias("sick"), days(mode("RAIL")).alias("weekend_days"),
+        days(mode("SHIP")).alias("public_holiday"), F.sort_array(F.collect_set(F.when(late, F.dayofmonth("_got").cast("string")))).alias("missing_days"), F.count("*").alias("days_covered"),
+    )
+    rest = {b: F.array().cast("array<string>") for b in s.ALL if b not in g.columns}
+    whole = (F.col("seq") == 1) | ((F.col("seq") == 2) & (F.col("person").cast("long") % 3 == 0))
+    more = {"period_type": F.when(whole, "full_month").otherwise("week"), "uncertain_days": F.array().cast("array<struct<date: string, reason: string>>"), "kind": F.lit("timesheet"), "name": F.concat(F.lit("sheet "), "seq")}
     return g.withColumns(rest | more)
 
 
-SHEETS = f"""d as (select l_suppkey, month(l_shipdate) as month, l_linenumber as seq, {DAY} as day, l_returnflag as f from lineitem where l_shipdate >= timestamp '1998-01-01' and l_shipdate < timestamp '1998-04-01'),
-             u as (select l_suppkey, month, seq, day, bool_or(f = 'R') as a, bool_or(f = 'N') as w, bool_or(f = 'A') as r from d group by all)"""
+# claims by number of the list, the list that owns each, and what a sheet's lists hold
+CLAIMS = f"""l as (select l_suppkey as s, year(l_shipdate) as y, month(l_shipdate) as m, l_linenumber as q, l_returnflag as f, case l_partkey % 7 when 0 then 'AIR' when 1 then 'RAIL' when 2 then 'SHIP' when 3 then 'FOB' end as mode, {DAY} as day, strftime(l_shipdate + to_days((l_partkey % 20 + 1)::int), '%Y-%m-%d') as got from lineitem),
+    c as (select s, y, m, q, case f when 'R' then 0 when 'A' then 1 else 8 end as k, day from l union select s, y, m, q, 2, got from l where mode = 'AIR'
+          union select s, y, m, q, 9, day from l where mode = 'RAIL' union select s, y, m, q, 6, day from l where mode = 'SHIP'),
+    o as (select *, min(k) over (partition by s, y, m, q, day) as o, day[:7] = y || '-' || lpad(m::varchar, 2, '0') as here from c),
+    x as (select s, y, m, q, day, o, k from o where k <> o and not (o in (1, 6) and k = 8)),
+    a as (select s, y, m, q, k, count(*) as n from o where k = o and not here group by all)"""
+LISTS = {"annual": 0, "remote": 1, "sick": 2, "public_holiday": 6, "working_days": 8, "weekend_days": 9}
+LISTED = ", ".join(f"string_agg(distinct day, ',' order by day) filter (k = o and k = {k}) as {n}" for n, k in LISTS.items())
+TOLD = "u as (select s, y, m, q, count(distinct day) filter (here) as n, list(distinct day) filter (here) as told from o group by all)"
 
 
-@query(f"""with {SHEETS}, c as (select *, a as annual, r and not a as remote, w and not a and not r as working from u)
-           select cast(l_suppkey as varchar) as person, month, seq, string_agg(day, ',' order by day) filter (annual) as annual, string_agg(day, ',' order by day) filter (remote) as remote,
-                  string_agg(day, ',' order by day) filter (working) as working, count(*) filter (a and r) + count(*) filter (a and w) as issues,
-                  case when seq = 1 then day(last_day(make_date(1998, month, 1))) - count(*) else 0 end as unaccounted
-           from c group by l_suppkey, month, seq""")
+def _joined(*names):
+    return [F.nullif(F.array_join(n, ","), F.lit("")).alias(n) for n in names]
+
+
+@query(f"""with {CLAIMS}, {TOLD}, i as (select s, y, m, q, count(*) as n from (select s, y, m, q from x union all select s, y, m, q from a) group by all)
+           select s::varchar as person, y as year, m as month, q as seq, {LISTED}, coalesce(any_value(i.n), 0) as issues,
+                  case when q = 1 or (q = 2 and s % 3 = 0) then day(last_day(make_date(y, m, 1))) - any_value(u.n) else 0 end as unaccounted
+           from o join u using (s, y, m, q) left join i using (s, y, m, q) group by s, y, m, q""")
 def normalised_sheets(spark, sf_dir):
     """Clean lists: a day belongs to the first list that claims it; whole months tell the days that no list has."""
     n = s.normalise(_sheets(spark, sf_dir))
-    j = lambda c: F.nullif(F.array_join(c, ","), F.lit(""))
-    return n.select("person", "month", "seq", j("annual").alias("annual"), j("remote").alias("remote"), j("working_days").alias("working"), F.size("issues").cast("long").alias("issues"), F.size("unaccounted").cast("long").alias("unaccounted"))
+    return n.select("person", "year", "month", "seq", *_joined(*LISTS), F.size("issues").cast("long").alias("issues"), F.size("unaccounted").cast("long").alias("unaccounted"))
 
 
-@query(f"""with {SHEETS}, g as (select l_suppkey, month, day, bool_or(a) as a, bool_or(r and not a) as r, bool_or(w and not a and not r) as w from u group by all),
-                p as (select l_suppkey, month, count(distinct seq) as sheets from u group by all), n as (select l_suppkey, month(l_shipdate) as month, count(*) as n from lineitem where l_shipdate >= timestamp '1998-01-01' and l_shipdate < timestamp '1998-04-01' group by all)
-           select 'group:' || substr(sha1(l_suppkey || '|' || month || '|1998'), 1, 12) as tag, string_agg(day, ',' order by day) filter (a) as annual, string_agg(day, ',' order by day) filter (w) as working, any_value(n) as days_covered
-           from g join n using (l_suppkey, month) group by l_suppkey, month""")
+@query(f"""with {CLAIMS}, {TOLD},
+                w as (select s, y, m, string_agg(distinct d, ',' order by d) as unaccounted from (select s, y, m, told, unnest(list_transform(range(1, day(last_day(make_date(y, m, 1))) + 1), lambda k: y || '-' || lpad(m::varchar, 2, '0') || '-' || lpad(k::varchar, 2, '0'))) as d
+                      from u where q = 1 or (q = 2 and s % 3 = 0)) where not list_contains(coalesce(told, []), d) group by all),
+                i as (select s, y, m, count(*) as n from (select distinct s, y, m, day || '/' || o || '/' || k from x union all select distinct s, y, m, n || '/' || k from a) group by all),
+                n as (select s, y, m, count(*) as n, string_agg(distinct case when q = 1 or (q = 2 and s % 3 = 0) then 'full_month' else 'week' end, ',' order by case when q = 1 or (q = 2 and s % 3 = 0) then 'full_month' else 'week' end) as period_types,
+                        string_agg(distinct day(got::date), ',' order by day(got::date)) filter (mode = 'FOB' and got[:7] = day[:7]) as missing_days from l group by all)
+           select 'group:' || substr(sha1(s || '|' || m || '|' || y), 1, 12) as tag, {LISTED}, any_value(w.unaccounted) as unaccounted, any_value(n.missing_days) as missing_days, any_value(n.n) as days_covered, any_value(n.period_types) as period_types, coalesce(any_value(i.n), 0) as issues
+           from o join n using (s, y, m) left join w using (s, y, m) left join i using (s, y, m) group by s, y, m""")
 def month_union(spark, sf_dir):
     """All sheets of a person and month in one row; lists are united, conflicts between sheets are only flagged."""
     g = s.month_union(s.normalise(_sheets(spark, sf_dir)), "seq")
-    j = lambda c: F.nullif(F.array_join(c, ","), F.lit(""))
-    return g.select("tag", j("annual").alias("annual"), j("working_days").alias("working"), "days_covered")
+    return g.select("tag", *_joined(*LISTS, "unaccounted", "missing_days", "period_types"), "days_covered", F.size("issues").cast("long").alias("issues"))
 
 
-@query(f"""with {SHEETS} select cast(l_suppkey as varchar) as person, month, day as date, concat_ws(',', case when bool_or(a) then 'annual' end, case when bool_or(r) then 'remote' end, case when bool_or(w) then 'working_days' end) as buckets
-           from u group by l_suppkey, month, day having count(distinct seq) > 1 and bool_or(a) and (bool_or(r) or bool_or(w))""")
+@query(f"""with {CLAIMS} select s::varchar as person, y as year, m as month, day as date, count(distinct k) as buckets from c group by s, y, m, day
+           having count(distinct q) > 1 and count(distinct k) > 1 and not (count(distinct k) = 2 and bool_or(k = 8) and bool_or(k in (1, 6)))""")
 def crossing_sheets(spark, sf_dir):
-    """Days that two sheets of a month put in lists that don't go together; work elsewhere beside work does."""
-    return s.crossing(_sheets(spark, sf_dir)).select("person", "month", "date", F.array_join("buckets", ",").alias("buckets"))
+    """Days that two sheets of a month put in lists that don't go together; work elsewhere or on a holiday beside work does."""
+    return s.crossing(_sheets(spark, sf_dir)).select("person", "year", "month", "date", F.size("buckets").cast("long").alias("buckets"))
 
 
-@query(f"""with {SHEETS} select cast(l_suppkey as varchar) as person, month, false as overlap, nullif(count(distinct seq), 1) as fold from u group by l_suppkey, month""")
+@query(f"""with {CLAIMS}, n as (select s, y, m, count(distinct q) as n, count(distinct q) filter (q = 1 or (q = 2 and s % 3 = 0)) as whole from l group by all)
+           select s::varchar as person, y as year, m as month, n > 1 and whole > 1 as overlap, case when n > 1 and whole < 2 then n end as fold from n""")
 def folded_sheets(spark, sf_dir):
-    return s.folds(_sheets(spark, sf_dir)).select("person", "month", "overlap", "fold")
+    """Two sheets that claim the whole month overlap; parts of a month are merged."""
+    return s.folds(_sheets(spark, sf_dir)).select("person", "year", "month", "overlap", "fold")
+
+
+def _flag(name, test):
+    some = f"list_sort(list(distinct day) filter ({test}))"
+    return f"case when count(distinct day) filter ({test}) > 0 then '{name}: ' || array_to_string({some}[:8], ', ') || case when count(distinct day) filter ({test}) > 8 then ' …' else '' end end"
 
 
-@query(f"""with {SHEETS}, g as (select l_suppkey, month, day, bool_or(a) as a, bool_or(r) as r, bool_or(w) as w from u group by all),
-                x as (select *, dayofweek(cast(day as date)) in (0, 6) as we from g)
-           select cast(l_suppkey as varchar) as person, month, string_agg(day, ', ' order by day) filter (we and w) as working_weekends, cast(count(*) filter (day = '1998-01-01') as int) as holidays_missing
-           from x group by l_suppkey, month""")
+@query(f"""with {CLAIMS}, z as (select s, y, m, day, k from o where here union select s, y, m, got, 10 from l where mode = 'FOB' and got[:7] = day[:7]),
+                d as (select s, y, m, day, bool_or(k < 8) as leave, bool_or(k = 8) as work, bool_or(k = 9) as off, bool_or(k = 6) as ph, dayofweek(day::date) in (0, 6) as we, day[6:] = '01-01' as holiday from z group by all)
+           select s::varchar as person, y as year, m as month, concat_ws('; ', {", ".join(_flag(*x) for x in (("weekend marked as working", "we and work"), ("weekend not in the calendar", "off and not we"), ("weekend not listed", "we and not off and not leave and not work"), ("holiday not listed", "holiday and not ph"), ("holiday not in the calendar", "ph and not holiday")))}) as flags
+           from d group by s, y, m""")
 def calendar_mismatches(spark, sf_dir):
-    """What sheets say against the calendar; here how the flags begin, of at most eight days each."""
+    """What sheets say against a calendar of weekends and a holiday on the first of January: five kinds of flags, of at most eight days each."""
     sheets = _sheets(spark, sf_dir)
-    calendar = sheets.sparkSession.range(1, 4).select(F.lit(1998).alias("year"), F.col("id").cast("int").alias("month"), F.array(F.lit("Saturday"), F.lit("Sunday")).alias("weekdays"), F.array(F.lit("1998-01-01")).alias("holidays"))
-    m = s.mismatches(sheets, calendar)
-    flag = lambda k: F.get(F.filter("flags", lambda x: x.startswith(k)), F.lit(0))
-    return m.select("person", "month", F.substring(flag("weekend marked as working: "), 28, 1000).alias("working_weekends"), F.when(flag("holiday not listed").isNotNull(), 1).otherwise(0).alias("holidays_missing"))
+    months = t(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month")).distinct()
+    calendar = months.withColumns({"weekdays": F.array(F.lit("Saturday"), F.lit("Sunday")), "holidays": F.array(F.concat(F.col("year").cast("string"), F.lit("-01-01")))})
+    return s.mismatches(sheets, calendar).select("person", "year", "month", F.array_join("flags", "; ").alias("flags"))
 
 
 @query("""with n as (select conv_id, count(distinct case when role <> 'user' then role end) as n, min(case when role <> 'user' then role end) as sole from conversations group by conv_id)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zlib
 
@@ -11,18 +12,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _below(root: str) -> int:
+    """Where, in a path without its scheme, the part below ``root`` begins (from 1)."""
+    return len(re.sub(r"^[a-z]+:/*", "/", root).rstrip("/")) + 2
+
+
 def listed(spark: SparkSession, root: str) -> DataFrame:
     """path (below ``root``), length and modificationTime of every file, without reading one; roots that begin with _ or . are hidden."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     below = F.regexp_replace("path", r"^[a-z]+:/*", "/")
-    at = len(root.split(":", 1)[-1].rstrip("/").replace("//", "/")) + 2
+    at = _below(root)
     return files.select(F.substring(below, at, 1 << 20).alias("path"), "length", "modificationTime").where(~F.col("path").rlike(r"^[_.]"))
 
 
 def contents(spark: SparkSession, root: str) -> DataFrame:
     """The same with the content; Spark reads the files in as many tasks as there are, each task few at a time."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    at = len(root.split(":", 1)[-1].rstrip("/").replace("//", "/")) + 2
+    at = _below(root)
     return files.select(F.substring(F.regexp_replace("path", r"^[a-z]+:/*", "/"), at, 1 << 20).alias("path"), "length", "content").where(~F.col("path").rlike(r"^[_.]"))
 
 
