@@ -301,19 +301,21 @@ def test_survivors_against_a_loop(spark, monkeypatch):
 
 
 def test_the_bound_of_grams_loses_no_near_pair():
-    rng, checked = random.Random(9), 0
-    for _ in range(4000):
-        a = "".join(rng.choice("abcdefgh ijkl") for _ in range(rng.randrange(40, 160)))
+    rng, checked, long = random.Random(9), 0, 0
+    for k in range(4000):
+        letters = "abcdefgh ijkl" * 9 + "qxz07"
+        a = "".join(rng.choice(letters) for _ in range(rng.randrange(40, 160) if k % 4 else rng.randrange(200, 700)))
         b = list(a)
-        for _ in range(rng.randrange(max(2, len(a) // 9))):
+        for _ in range(rng.randrange(max(2, len(a) // 9 if len(a) < 200 else 12))):
             k = rng.randrange(len(b))
             b[k : k + rng.randrange(2)] = [rng.choice("abcdefgh xyz") for _ in range(rng.randrange(2))]
         b = "".join(b)
         if min(len(a), len(b)) >= 40 and SequenceMatcher(None, a, b).ratio() >= near.NEAR:
             g = near.grams([a, b])
             checked += 1
-            assert abs(g[0] - g[1]).sum() <= near.bound(len(a), len(b)) and min(len(a), len(b)) >= near.LEAST * max(len(a), len(b)) - 1e-9
-    assert checked > 500
+            long += len(b) >= 200
+            assert abs(g[0] - g[1]).sum() <= near.bound(len(a), len(b), near.rare(b)) and min(len(a), len(b)) >= near.LEAST * max(len(a), len(b)) - 1e-9
+    assert checked > 500 and long > 50, (checked, long)
 
 
 def test_parts_of_links(spark):
