@@ -7,13 +7,13 @@ one batch are read together; the stream's ``maxFilesPerTrigger`` bounds a batch.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-Rows = Iterator[pd.DataFrame]
+Rows = Iterator[Row]
 #: State of a key is kept for a month after its last row, unless asked otherwise.
 KEEP = 30 * 86400
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -21,11 +21,15 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 def _keyed(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, time: str = "ProcessingTime") -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # state of several variables needs it
-    return stream.groupBy(key).transformWithStateInPandas(processor, schema, "Append", time)
+    return stream.groupBy(key).transformWithState(processor, schema, "Append", time)
 
 
-def _us(at) -> int | None:
-    return None if pd.isna(at) else int(pd.Timestamp(at).value // 1000)
+def _us(at: datetime.datetime | None) -> int | None:
+    return None if at is None else round(at.timestamp() * 1_000_000)
+
+
+def _at(us: int) -> datetime.datetime:
+    return datetime.datetime.fromtimestamp(us // 1_000_000).replace(microsecond=us % 1_000_000)
 
 
 class _Processor(StatefulProcessor):
@@ -50,18 +54,16 @@ class _Late(_Processor):
     def handleInputRows(self, key, rows: Rows, timerValues):
         found = self.run.get()
         run, messages = found[0] if found else None, []
-        for part in rows:
-            runs = part.loc[part.kind == "run", "at"].dropna()
-            if len(runs):
-                run = max(_us(runs.max()), run or 0) if run is not None else _us(runs.max())
-            messages.append(part.loc[part.kind == "message", ["id", "at"]])
+        for r in rows:
+            at = _us(r.at)
+            if r.kind == "message":
+                messages.append((r.id, r.at, at))
+            elif r.kind == "run" and at is not None:
+                run = at if run is None else max(run, at)
         if run is not None:
             self.run.update((run,))
-        m = pd.concat(messages)
-        if not len(m):
-            return
-        late = [(at := _us(x)) is not None and (run is None or at > run) for x in m["at"]]
-        yield pd.DataFrame({"thread": key[0], "id": m["id"], "at": m["at"], "state": ["new" if x else "covered" for x in late]})
+        for i, time, at in messages:
+            yield Row(thread=key[0], id=i, at=time, state="new" if at is not None and (run is None or at > run) else "covered")
 
 
 def late_or_covered(stream: DataFrame, keep: int = KEEP) -> DataFrame:
@@ -85,15 +87,18 @@ class _Context(_Processor):
     def handleInputRows(self, key, rows: Rows, timerValues):
         found = self.mark.get()
         mark = found[0] if found else None
-        all_ = pd.concat(list(rows)).dropna(subset=["at"]).drop_duplicates("id").sort_values(["at", "id"])
-        new = [(i, t) for i, t in zip(all_["id"].tolist(), map(_us, all_["at"])) if mark is None or t > mark]
+        times: dict[int, int] = {}
+        for r in rows:
+            if r.at is not None:
+                times.setdefault(r.id, _us(r.at))
+        new = [(i, t) for t, i in sorted((t, i) for i, t in times.items()) if mark is None or t > mark]
         if not new:
             return
         ahead = [tuple(x) for x in self.last.get()]
-        shown = [*((i, t, False) for i, t in ahead), *((i, t, True) for i, t in new)][-self.most :]
         self.mark.update((new[-1][1],))
         self.last.put([*ahead, *new][-self.before :])
-        yield pd.DataFrame({"thread": key[0], "id": [x[0] for x in shown], "at": pd.to_datetime([x[1] for x in shown], unit="us", utc=True), "fresh": [x[2] for x in shown]})
+        for i, t, fresh in [*((i, t, False) for i, t in ahead), *((i, t, True) for i, t in new)][-self.most :]:
+            yield Row(thread=key[0], id=i, at=_at(t), fresh=fresh)
 
 
 def new_with_context(stream: DataFrame, before: int = 2, most: int = 40, keep: int = KEEP) -> DataFrame:
@@ -109,14 +114,14 @@ class _Memo(_Processor):
 
     def handleInputRows(self, key, rows: Rows, timerValues):
         seen = {k[0]: v[0] for k, v in self.times.iterator()}
-        for part in rows:
-            kinds = part["kind"].where(part["kind"] == "message", "check")
-            for kind, at in part["at"].groupby(kinds).max().dropna().items():
-                seen[kind] = max(_us(at), seen.get(kind, _us(at)))
+        for r in rows:
+            if (at := _us(r.at)) is not None:
+                kind = "message" if r.kind == "message" else "check"
+                seen[kind] = max(at, seen.get(kind, at))
         for kind, at in seen.items():
             self.times.updateValue((kind,), (at,))
         skip = len(seen) == 2 and seen["check"] >= seen["message"]
-        yield pd.DataFrame({"thread": [key[0]], "state": ["skip" if skip else "need"]})
+        yield Row(thread=key[0], state="skip" if skip else "need")
 
 
 def memo(stream: DataFrame, keep: int = KEEP) -> DataFrame:
@@ -137,19 +142,19 @@ class _Limit(_Processor):
         self.held = handle.getListState("held", "at long")
 
     def handleInputRows(self, key, rows: Rows, timerValues):
-        held, ok = [x[0] for x in self.held.get()], []
-        all_ = pd.concat(list(rows)).sort_values(["at", "id"])
-        for now in map(_us, all_["at"]):
+        held, said = [x[0] for x in self.held.get()], []
+        for now, i in sorted((_us(r.at), r.id) for r in rows):
             held = [t for t in held if t > now - self.keep * 1_000_000]
-            ok.append(len(held) < self.most)
-            if ok[-1]:
+            said.append((i, len(held) < self.most))
+            if said[-1][1]:
                 held.append(now)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if held:
             self.held.put([(t,) for t in held])
             self.handle.registerTimer(held[-1] // 1000 + self.keep * 1000)
-        yield pd.DataFrame({"key": key[0], "id": all_["id"], "allowed": ok})
+        for i, ok in said:
+            yield Row(key=key[0], id=i, allowed=ok)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.held.clear()
@@ -176,18 +181,17 @@ class _Counters(_Processor):
         n = dict.fromkeys(self.NAMES, 0) | {k[0]: v[0] for k, v in self.n.iterator()}
         stop, final = self.state.get() or (False, None)
         asked = stop
-        for part in rows:
-            for kind, k in part.groupby("kind")["n"].sum().items():
-                if kind == "stop":
-                    asked = True
-                else:  # a task that begins after a stop was asked for ends at once
-                    n["stopped" if stop and kind in ("done", "failed") else kind] += int(k)
+        for r in rows:
+            if r.kind == "stop":
+                asked = True
+            else:  # a task that begins after a stop was asked for ends at once
+                n["stopped" if stop and r.kind in ("done", "failed") else r.kind] += r.n
         if final is None and 0 < n["total"] <= n["skipped"] + n["done"] + n["failed"] + n["stopped"]:
             final = "stopped" if asked else "completed"
         for kind, k in n.items():
             self.n.updateValue((kind,), (k,))
         self.state.update((asked, final))
-        yield pd.DataFrame({"run": [key[0]], **{k: [v] for k, v in n.items()}, "state": [final or ("stopping" if asked else "running")]})
+        yield Row(run=key[0], **n, state=final or ("stopping" if asked else "running"))
 
 
 def counters(stream: DataFrame, keep: int = KEEP) -> DataFrame:
