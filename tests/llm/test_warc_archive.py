@@ -63,7 +63,7 @@ def test_files_are_plain_warc(spark, tmp_path):
 
 def test_a_changed_payload_is_noticed(spark, tmp_path):
     archive(spark, tmp_path, ROWS)
-    broken = spark.read.parquet(f"file://{tmp_path}/a/payloads").selectExpr("digest", "first_page", "n", "cast('x' as binary) as payload")
+    broken = spark.read.parquet(f"file://{tmp_path}/a/payloads").selectExpr("digest", "n", "copies", "cast('x' as binary) as payload")
     broken.write.parquet(f"file://{tmp_path}/b/payloads")
     spark.read.parquet(f"file://{tmp_path}/a/headers").write.parquet(f"file://{tmp_path}/b/headers")
     with pytest.raises(Exception, match="does not have its digest"):
@@ -74,3 +74,28 @@ def test_a_changed_payload_is_noticed(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert archive(spark, tmp_path, []).count() == 0
+
+
+def test_a_payload_of_many_pages_is_spread(spark, tmp_path, monkeypatch):
+    """Half of all pages empty, and one page many times: records meet several copies of a payload, each with an id of its own."""
+    monkeypatch.setattr(w, "PER_COPY", 50)
+    rows = [(k, "u", "", None, None) for k in range(300)] + [(1000, "u", LONG, None, None)] * 120 + [(2000 + k, None, LONG, None, None) for k in range(80)] + [(None, None, "", None, None)] * 40
+    got = archive(spark, tmp_path, rows).collect()
+    assert len(got) == len({r.record_id for r in got}) == 540
+    assert sum(r.record_type == "revisit" for r in got) == 80 and {r.refers_to for r in got if r.record_type == "revisit"} == {1000}
+    files = [gzip.decompress(f.read_bytes()) for f in pathlib.Path(tmp_path, "a/files").glob("*.gz")]
+    fields = [h for f in files for h, _ in w.parse(f)]
+    assert {h["WARC-Refers-To"] for h in fields if "WARC-Refers-To" in h} <= {h["WARC-Record-ID"] for h in fields if h["WARC-Type"] == "response"}
+    assert {r.copies for r in spark.read.parquet(f"file://{tmp_path}/a/payloads").collect()} == {4, 7}
+
+
+def test_files_of_many_members_and_broken_ones():
+    record = lambda body: b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
+    bodies = [b"", b"a\r\n\r\nWARC/1.1\r\n", b"x" * 300_000]
+    members = b"".join(gzip.compress(record(b)) for b in bodies)
+    for data, step in ((members, 7), (members, 1 << 16), (gzip.compress(b"".join(map(record, bodies))), 1000)):
+        assert [block for _, block in w.parse(w.inflated(data, step))] == bodies
+    for wrong in (members[:-9], members + b"junk"):
+        with pytest.raises(Exception):
+            list(w.parse(w.inflated(wrong)))
+    assert list(w.parse(w.inflated(b""))) == []
