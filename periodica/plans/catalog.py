@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from periodica.plans import changes, files, letters, lists, records, rosters, sheets, streams, texts, threads, tools  # noqa: F401  they register their queries
+from periodica.plans import changes, exports, files, letters, lists, records, rosters, sheets, streams, texts, threads, tools  # noqa: F401  they register their queries
 from periodica.plans.registry import QUERIES, SQL, Query
 
 

@@ -1,13 +1,9 @@
-"""Folders of files: listings, contents, sizes by scope, archives, and what retention lets go."""
+"""Folders of files: listings, contents, sizes by scope, and what retention lets go (``sinks`` writes, archives and deletes)."""
 
 from __future__ import annotations
 
-import io
 import re
-import struct
-import zlib
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,40 +49,3 @@ def scope_size(files: DataFrame, scope: Column) -> DataFrame:
 def expired(files: DataFrame, now: Column, days: int = 60) -> DataFrame:
     """Files older than ``days``: what a purge deletes."""
     return files.where(F.col("modificationTime") < now - F.make_interval(days=F.lit(days)))
-
-
-def archived(files: DataFrame, key: str) -> DataFrame:
-    """key, part, chunk: each key's files (path, content) as one stored zip archive, an entry a row and the directory last.
-
-    Entries are written where they lie, and their places come from a running sum; only the directory, of a hundred bytes a
-    file, is made of all rows of a key. Chunks in order of ``part`` are the archive.
-    """
-    from pyspark.sql import Window
-
-    head = lambda name, crc, n: struct.pack("<4sHHHHHIIIHH", b"PK\3\4", 20, 0x800, 0, 0, 33, crc, n, n, len(name), 0) + name
-
-    def entries(frames):
-        for f in frames:
-            rows = []
-            for k, path, raw in zip(f[key], f.path, f.content):
-                raw, name = bytes(raw), path.encode()
-                rows.append((k, path, zlib.crc32(raw), len(raw), head(name, zlib.crc32(raw), len(raw)) + raw))
-            yield pd.DataFrame(rows, columns=[key, "path", "crc", "n", "chunk"])
-
-    kind = dict(files.dtypes)[key]
-    e = files.select(key, "path", "content").mapInPandas(entries, f"{key} {kind}, path string, crc long, n long, chunk binary")
-    w = Window.partitionBy(key).orderBy("path")
-    e = e.withColumn("part", F.row_number().over(w)).withColumn("at", F.sum(F.length("chunk")).over(w) - F.length("chunk"))
-
-    def directory(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, out = rows.sort_values("part"), io.BytesIO()
-        for r in rows.itertuples():
-            name = r.path.encode()
-            out.write(struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\1\2", 20, 20, 0x800, 0, 0, 33, r.crc, r.n, r.n, len(name), 0, 0, 0, 0, 0, r.at) + name)
-        size, at = out.tell(), int(rows["at"].iloc[-1] + rows.size_.iloc[-1])
-        out.write(struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, len(rows), len(rows), size, at, 0))
-        return pd.DataFrame({key: rows[key].iloc[:1].to_list(), "part": [len(rows) + 1], "chunk": [out.getvalue()]})
-
-    rows = e.select(key, "part", "path", "crc", "n", "at", F.length("chunk").cast("long").alias("size_"))
-    last = rows.groupBy(key).applyInPandas(directory, f"{key} {kind}, part int, chunk binary")
-    return e.select(key, "part", "chunk").unionByName(last)

@@ -22,6 +22,28 @@ HEADERS = {
     "manager": ("account managers name", "salesman"), "contact": ("contact no.", "mobile number"), "address": ("email", "email id"),
 }
 
+# The columns of a month's report in order, what a person's state is called, and the colours of the states that need attention.
+PERSON = {
+    "employee_id": "Employee ID", "employee_name": "Employee Name", "dco_number": "DCO Number", "account_manager": "Account Manager",
+    "location": "Location", "project": "Project", "employee_email": "Email", "contact_no": "Contact",
+}
+STATE = {
+    "status": "Status", "month_label": "Month", "year": "Year", "validation_status": "Validation", "approval_status": "Approval",
+    "source_file_count": "Source Files",
+}
+LISTS = {
+    "annual": ("Annual Leave Count", "Annual Leave Dates"), "remote": ("Remote / WFH Count", "Remote / WFH Dates"), "sick": ("Sick Leave Count", "Sick Leave Dates"),
+    "maternity": ("Maternity Leave Count", "Maternity Leave Dates"), "unpaid": ("Unpaid Leave Count", "Unpaid Leave Dates"), "absent": ("Absent Count", "Absent Dates"),
+    "public_holiday": ("Public Holiday Count", "Public Holiday Dates"), "other": ("Other Leave Count", "Other Leave Dates"),
+    "working": ("Working Days Count", "Working Dates"), "weekend": ("Weekend Days Count", "Weekend Dates"),
+}
+STORED, NOT_STORED, NOT_RECEIVED = "Received & Stored", "Received & Not Stored", "Not Received"
+FILLS = {NOT_RECEIVED: "FFC7CE", NOT_STORED: "FFEB9C"}
+FONTS = {NOT_RECEIVED: "9C0006", NOT_STORED: "9C6500"}
+HEAD_STYLE = ("1E3A5F", "FFFFFF", "head")
+#: Rows that a sheet has room for, the header not counted.
+MOST_ROWS = (1 << 20) - 1
+
 
 def _column(ref: str) -> int:
     n = 0
@@ -105,29 +127,45 @@ def roster(rows: DataFrame) -> DataFrame:
     return found.where("badge is not null or name is not null").withColumn("badge", F.regexp_replace("badge", r"^(\d+)\.0$", "$1"))
 
 
-def written(grid: list[list], fills: list[str | None] | None = None, sheet: str = "Sheet1") -> bytes:
-    """A workbook of one sheet: text and numbers, a fill by row, widths after the first fifty rows."""
-    colours = sorted({f for f in fills or [] if f})
+def written(grid: list[list], fills: list[str | None] | None = None, sheet: str = "Sheet1", fonts: list[str | None] | None = None, wrap_from: int | None = None, head: bool = False) -> bytes:
+    """A workbook of one sheet: text and numbers, a fill and a font colour by row, widths after the first fifty rows.
+
+    Columns from ``wrap_from`` wrap their text; ``head`` makes the first row a header that stays in view.
+    """
+    fills, fonts = fills or [None] * len(grid), fonts or [None] * len(grid)
     name = lambda k: (name(k // 26 - 1) if k >= 26 else "") + chr(65 + k % 26)
+    style = lambda r, k: HEAD_STYLE if head and r == 1 else (fills[r - 1], fonts[r - 1], wrap_from is not None and k >= wrap_from)
+    styles = {(None, None, False): 0}
     body = []
     for r, row in enumerate(grid, 1):
-        fill = (fills or [None] * len(grid))[r - 1]
-        s = f' s="{colours.index(fill) + 1}"' if fill else ""
-        cell = lambda k, v, r=r, s=s: f'<c r="{name(k)}{r}"{s}><v>{v}</v></c>' if isinstance(v, (int, float)) and not isinstance(v, bool) else f'<c r="{name(k)}{r}"{s} t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
-        body.append(f'<row r="{r}">{"".join(cell(k, v) for k, v in enumerate(row) if v is not None)}</row>')
-    widths = [max((len(str(x[k])) for x in grid[:50] if k < len(x) and x[k] is not None), default=8) + 2 for k in range(max(map(len, grid), default=0))]
-    cols = "".join(f'<col min="{k}" max="{k}" width="{min(w, 60)}" customWidth="1"/>' for k, w in enumerate(widths, 1))
+        cells_ = []
+        for k, v in enumerate(row):
+            if v is not None:
+                n = styles.setdefault(style(r, k), len(styles))
+                at = f'<c r="{name(k)}{r}"' + (f' s="{n}"' if n else "")
+                number = isinstance(v, (int, float)) and not isinstance(v, bool)
+                cells_.append(f"{at}><v>{v}</v></c>" if number else f'{at} t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>')
+        body.append(f'<row r="{r}"{" ht=\"28\" customHeight=\"1\"" if head and r == 1 else ""}>{"".join(cells_)}</row>')
+    across = range(max(map(len, grid), default=0))
+    longest = [max((len(str(x[k])) for x in grid[: 51 if head else 50] if k < len(x) and x[k] is not None), default=8) + 2 for k in across]
+    widths = [max(10, min(44, w)) if head else min(w, 60) for w in longest]
+    cols = "".join(f'<col min="{k}" max="{k}" width="{w}" customWidth="1"/>' for k, w in enumerate(widths, 1))
+    pane = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>' if head else ""
+    colours, inks = sorted({f for f, *_ in styles if f}), sorted({c for _, c, _ in styles if c})
     space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     fill_xml = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{c}"/></patternFill></fill>' for c in colours)
-    formats = "".join(f'<xf numFmtId="0" fontId="0" fillId="{k + 2}" borderId="0" applyFill="1"/>' for k in range(len(colours)))
+    font_xml = "".join(f'<font>{"<b/>" if head and c == HEAD_STYLE[1] else ""}<color rgb="{c}"/></font>' for c in inks)
+    align = {False: "", True: '<alignment vertical="top" wrapText="1"/>', "head": '<alignment horizontal="center" vertical="center" wrapText="1"/>'}
+    place = lambda among, c, first: among.index(c) + first if c else 0
+    formats = "".join(f'<xf numFmtId="0" fontId="{place(inks, c, 1)}" fillId="{place(colours, f, 2)}" borderId="0" applyFill="1" applyFont="1" applyAlignment="1">{align[w]}</xf>' for f, c, w in styles)
     files = {
         "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/></Types>',
         "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
         "xl/workbook.xml": f'<workbook {space} xmlns:r="{rel}"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="{rel}/styles" Target="styles.xml"/></Relationships>',
-        "xl/styles.xml": f'<styleSheet {space}><fonts count="1"><font/></fonts><fills count="{len(colours) + 2}"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fill_xml}</fills><borders count="1"><border/></borders><cellXfs count="{len(colours) + 1}"><xf numFmtId="0" fontId="0" fillId="0" borderId="0"/>{formats}</cellXfs></styleSheet>',
-        "xl/worksheets/sheet1.xml": f'<worksheet {space}>{f"<cols>{cols}</cols>" if cols else ""}<sheetData>{"".join(body)}</sheetData></worksheet>',
+        "xl/styles.xml": f'<styleSheet {space}><fonts count="{len(inks) + 1}"><font/>{font_xml}</fonts><fills count="{len(colours) + 2}"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fill_xml}</fills><borders count="1"><border/></borders><cellXfs count="{len(styles)}">{formats}</cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": f'<worksheet {space}>{pane}{f"<cols>{cols}</cols>" if cols else ""}<sheetData>{"".join(body)}</sheetData></worksheet>',
     }
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -148,3 +186,45 @@ def write_by(df: DataFrame, key: str, order: str, fill: str | None = None) -> Da
         return pd.DataFrame({key: rows[key].iloc[:1].to_list(), "content": [written(grid, fills)]})
 
     return df.groupBy(key).applyInPandas(book, f"{key} {dict(df.dtypes)[key]}, content binary")
+
+
+def month_report(people: DataFrame, records: DataFrame, received: DataFrame) -> DataFrame:
+    """The 34 columns of a month's report for every person and period of ``people``, with ``period`` and ``pk``.
+
+    ``people`` has year, month, pk and the columns of ``PERSON``; ``records`` year, month, pk, the lists of ``LISTS``, validation_status,
+    approval_status and source_file_count, and of a person the columns that it knows; ``received`` year, month and pk of what was sent.
+    A person with a record has its values for id, name, reference and manager; without one the counts are 0 and the lists empty.
+    """
+    keys = ["year", "month", "pk"]
+    own = [c for c in ("employee_id", "employee_name", "dco_number", "account_manager") if c in records.columns]
+    filed = records.select(*keys, F.struct(*own, *LISTS, "validation_status", "approval_status", "source_file_count").alias("r"))
+    sent = received.select(*keys).distinct().withColumn("_sent", F.lit(True))
+    rows = people.join(filed, keys, "left").join(sent, keys, "left")
+    has = F.col("r").isNotNull()
+    said = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    person = {n: said(F.when(has, F.col(f"r.{n}")).otherwise(F.col(n)) if n in own else F.col(n)) for n in PERSON}
+    first = F.make_date("year", "month", F.lit(1))
+    state = {
+        "status": F.when(has, STORED).when(F.col("_sent"), NOT_STORED).otherwise(NOT_RECEIVED), "month_label": F.date_format(first, "MMMM"), "year": F.col("year"),
+        "validation_status": said(F.col("r.validation_status")), "approval_status": said(F.col("r.approval_status")), "source_file_count": F.coalesce("r.source_file_count", F.lit(0)),
+    }
+    listed = {n: F.sort_array(F.coalesce(f"r.{n}", F.array().cast("array<string>"))) for n in LISTS}
+    named = [c.alias(PERSON[n]) for n, c in person.items()] + [c.alias(STATE[n]) for n, c in state.items()]
+    named += [F.size(c).alias(LISTS[n][0]) for n, c in listed.items()] + [F.array_join(c, ", ").alias(LISTS[n][1]) for n, c in listed.items()]
+    return rows.select(F.date_format(first, "MMM yyyy").alias("period"), "pk", *named)
+
+
+def write_reports(report: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """period, book and ``content``: the report of a period as a workbook, more than one where a sheet has no room for all rows."""
+    columns = [*PERSON.values(), *STATE.values(), *(c for c, _ in LISTS.values()), *(d for _, d in LISTS.values())]
+    by_name = Window.partitionBy("period").orderBy(F.lower(PERSON["employee_name"]), "pk")
+    numbered = report.withColumn("_n", F.row_number().over(by_name)).withColumn("book", F.floor((F.col("_n") - 1) / most))
+
+    def book(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_n")
+        grid = [columns, *([x.item() if hasattr(x, "item") else x for x in r] for r in rows[columns].astype(object).itertuples(index=False, name=None))]
+        status = rows[STATE["status"]]
+        content = written(grid, [None, *map(FILLS.get, status)], key[0][:31], [None, *map(FONTS.get, status)], len(columns) - len(LISTS), head=True)
+        return pd.DataFrame({"period": [key[0]], "book": [key[1]], "content": [content]})
+
+    return numbered.groupBy("period", "book").applyInPandas(book, "period string, book long, content binary")
