@@ -43,7 +43,7 @@ def fixed_batches(df: DataFrame, keys: list[str], order: list[Column], size: int
 def weighted_batches(df: DataFrame, key: str, order: str, weight: str, most: int) -> DataFrame:
     """``batch``: filled in ``order`` until the next row would bring its weight over ``most``; a heavier row stands alone.
 
-    Each key's rows are folded in one array, so a key should be a thread or folder, not a table.
+    Each key's rows are folded in one array, so a key should be a thread or folder; ``greedy.batches`` takes keys of any length.
     """
     rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(weight).cast("long").alias("w")))).alias("rows"))
     zero = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("held"), F.array().cast("array<bigint>").alias("out"))
@@ -58,7 +58,7 @@ def weighted_batches(df: DataFrame, key: str, order: str, weight: str, most: int
 
 
 def spans_apart(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Of each key's spans those that begin at or behind the end of the last one taken, by start and end."""
+    """Of each key's spans those that begin at or behind the end of the last one taken, by start and end; ``greedy.apart`` takes keys of any length."""
     rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")))).alias("rows"))
     zero = F.array().cast("array<struct<s: bigint, e: bigint>>")
     taken = F.aggregate("rows", zero, lambda acc, x: F.when(F.coalesce(F.try_element_at(acc, F.lit(-1))["e"], F.lit(-1)) <= x["s"], F.array_append(acc, x)).otherwise(acc))

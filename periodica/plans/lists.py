@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from periodica.functions import sheets
-from periodica.operators import matching as m
+from periodica.operators import greedy, matching as m
 from periodica.operators import ordering as o
 from periodica.operators import predicates as p
 from periodica.operators import relational as rel
@@ -291,3 +291,25 @@ def duplicates_in_lists(spark, sf_dir):
     """Values that a user's list holds twice or more."""
     g = t(spark, sf_dir, "events").where("ts < '2024-01-03'").groupBy("user_id").agg(F.collect_list("event_type").alias("l"))
     return g.select("user_id", F.array_join(F.sort_array(sheets.duplicates(F.col("l"))), ",").alias("twice")).where("twice <> ''")
+
+
+@query("""with recursive l as (select l_returnflag, l_orderkey * 10 + l_linenumber as s, l_orderkey * 10 + l_linenumber + cast(floor(l_extendedprice / 10) as bigint) as e from lineitem),
+               b as (select l_returnflag, min({'s': s, 'e': e}) as x from l group by all
+                     union all select b.l_returnflag, min({'s': l.s, 'e': l.e}) from b join l on l.l_returnflag = b.l_returnflag and l.s >= b.x.e group by all)
+          select l_returnflag, x.s as s, x.e as e from b""")
+def flags_apart(spark, sf_dir):
+    """Spans of three keys that hold a third of the table each."""
+    s = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    spans = t(spark, sf_dir, "lineitem").select("l_returnflag", s.alias("s"), (s + F.floor(F.col("l_extendedprice") / 10)).alias("e"))
+    return greedy.apart(spans, "l_returnflag", "s", "e")
+
+
+@query("""with recursive r as (select coalesce(source, '') as source, doc_id, coalesce(n_chars, 0) as w, row_number() over (partition by source order by doc_id, coalesce(n_chars, 0)) as rn from documents),
+               b as (select source, doc_id, rn, 0 as batch, w as held from r where rn = 1
+                     union all select r.source, r.doc_id, r.rn, case when held + w > 20000 then batch + 1 else batch end, case when held + w > 20000 then w else held + w end
+                     from b join r on r.source = b.source and r.rn = b.rn + 1)
+          select source, doc_id, batch from b""")
+def source_batches(spark, sf_dir):
+    """Documents of each source, however many, in batches of up to 20,000 characters."""
+    d = t(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", "n_chars")
+    return greedy.batches(d, "source", "doc_id", "n_chars", 20_000)
