@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from periodica.operators import ordering, updates as u
+from periodica.operators.stored import folder
 from periodica.plans.registry import query, table as t
+from periodica.streaming.tablelog import TableLog
 
 
 @query("""with o as (select s_suppkey, s_name, s_nationkey, case when s_acctbal < 0 then s_suppkey end as filed from supplier)
@@ -109,3 +111,18 @@ def replaced_items(spark, sf_dir):
     new = F.struct(F.array_max("items")["k"].alias("k"), F.lit("new").alias("v"))
     items = ordering.replace_or_append(F.col("items"), "k", new)
     return g.select("o_custkey", F.array_join(F.transform(items, lambda x: F.concat_ws(":", x["k"].cast("string"), x["v"])), ",").alias("items"))
+
+
+@query("""select o_orderkey, case when o_orderkey % 2 = 1 then 'X' else o_orderstatus end as status, case when o_orderkey % 2 = 1 then 2 else 1 end as at from orders where o_orderkey % 3 <> 0 union all select o_orderkey, 'back', 9 from orders where o_orderkey % 15 = 0""")
+def table_log(spark, sf_dir):
+    """Orders as a log: updates, deletes, a batch that runs again, what comes late, some buckets compacted, and keys that come back."""
+    orders, log = t(spark, sf_dir, "orders"), TableLog(spark, folder(spark, "log"), ["o_orderkey"], "at")
+    rows = lambda which, status, at: orders.where(which).select("o_orderkey", F.expr(status).alias("status"), F.lit(at).alias("at"))
+    log.append(rows("true", "o_orderstatus", 1), 0)
+    for _ in range(2):
+        log.append(rows("o_orderkey % 2 = 1", "'X'", 2), 1)
+    log.append(rows("o_orderkey % 3 = 0", "null", 5), 2, F.lit(True))
+    log.compact(3, buckets=list(range(8)))
+    log.append(rows("o_orderkey % 3 = 0", "'late'", 4), 4)
+    log.append(rows("o_orderkey % 15 = 0", "'back'", 9), 5)
+    return log.current()
