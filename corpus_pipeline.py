@@ -45,7 +45,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Fingerprints, fuzzy matches and token ids are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
+#: Fingerprints, fuzzy matches and token ids are beyond SQL; tests/llm/test_pipeline_brute_force.py has a brute-force version.
 ORACLE_SQL = None
 
 
