@@ -399,3 +399,12 @@ def test_cid_references(spark):
     rest = {b: F.array().cast("array<string>") for b in s.ALL if b not in one_.columns}
     r = one_.withColumns(rest).select(s.sheet_summary(F.struct(*s.ALL)).alias("x")).first().x
     assert (r.leave, r.working, r.weekend) == (2, 0, 0)
+
+
+def test_a_picture_marked_as_one_of_the_body_decorates(spark):
+    """However large it is, if the mail has a document."""
+    kind = "filename: string, content_type: string, size: long, cid: string, is_inline: boolean"
+    rows = [("scan.jpg", "image/jpeg", 90000, None, True), ("scan.jpg", "image/jpeg", 90000, None, False), ("scan.jpg", "image/jpeg", 90000, None, None), ("scan.pdf", "application/pdf", 90000, None, True)]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], f"k int, a struct<{kind}>").coalesce(1)
+    got = df.select(l.decorative(F.col("a"), F.lit(True)), l.decorative(F.col("a"), F.lit(False))).collect()
+    assert [tuple(r) for r in got] == [(True, False), (False, False), (False, False), (False, False)]
