@@ -408,3 +408,14 @@ def test_a_picture_marked_as_one_of_the_body_decorates(spark):
     df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], f"k int, a struct<{kind}>").coalesce(1)
     got = df.select(l.decorative(F.col("a"), F.lit(True)), l.decorative(F.col("a"), F.lit(False))).collect()
     assert [tuple(r) for r in got] == [(True, False), (False, False), (False, False), (False, False)]
+
+
+def test_words_end_at_letters_beyond_ascii(spark):
+    """A closing and an approval as in the SQL: what is no ASCII letter, digit or underscore ends a word."""
+    said = "A line that is long enough to stay, and more"
+    cut = said + "\n\n[signature-redacted]"
+    texts = {f"{said}\nBestä auf Deutsch": cut, f"{said}\nThanksé": cut, f"{said}\nBest_of": f"{said}\nBest_of", f"{said}\nBest2": f"{said}\nBest2", "Please see äapprovedä\nThanks": "Please see äapprovedä\nThanks", "Please see xapproved\nThanks": "Please see xapproved\n\n[signature-redacted]"}
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").coalesce(1)
+    got = [r[0] for r in df.select(l.without_signature(F.col("t"))).collect()]
+    assert got == list(texts.values())
+    assert one(spark, p=x.fingerprint(F.lit("öpendingö Ann says xpending"))).p == "ann says xpending"
