@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import functools
 import io
+import itertools
 import re
 import zipfile
+from collections.abc import Callable, Iterable
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 CELLS = "path string, sheet string, row int, cells array<string>, fills array<string>"
+CELL_TYPES = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())]
 
 # Columns of a roster and the headers that name them.
 HEADERS = {
@@ -41,23 +46,91 @@ STORED, NOT_STORED, NOT_RECEIVED = "Received & Stored", "Received & Not Stored",
 FILLS = {NOT_RECEIVED: "FFC7CE", NOT_STORED: "FFEB9C"}
 FONTS = {NOT_RECEIVED: "9C0006", NOT_STORED: "9C6500"}
 HEAD_STYLE = ("1E3A5F", "FFFFFF", "head")
-#: Rows that a sheet has room for, the header not counted.
-MOST_ROWS = (1 << 20) - 1
+#: Rows that a sheet has room for, the header not counted, and columns.
+MOST_ROWS, MOST_COLUMNS = (1 << 20) - 1, 1 << 14
+#: Rows that are values of Python at once.
+PER_BATCH = 1000
 
 
-def _column(ref: str) -> int:
+@functools.lru_cache(MOST_COLUMNS)
+def _column(letters: str) -> int:
     n = 0
-    for c in re.match(r"[A-Z]+", ref)[0]:
+    for c in letters:
         n = 26 * n + ord(c) - 64
     return n - 1
 
 
 def _place(ref: str) -> tuple[int, int]:
-    return int(re.search(r"\d+", ref)[0]), _column(ref)
+    letters = ref.rstrip("0123456789")
+    return int(ref[len(letters) :]), _column(letters)
+
+
+def _merged(sheet) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """First and last place of the merged ranges of a sheet, which stand behind its rows."""
+    tail, chunk = b"", sheet.read(1 << 20)
+    while chunk and b"mergeCell" not in tail + chunk:
+        tail, chunk = chunk[-16:], sheet.read(1 << 20)
+    if not chunk:
+        return []
+    sheet.seek(0)
+    found = []
+    for _, e in ElementTree.iterparse(sheet):
+        if e.tag == _NS + "mergeCell":
+            a, b = (e.get("ref").split(":") * 2)[:2]
+            found.append((_place(a), _place(b)))
+        if e.tag in (_NS + "row", _NS + "mergeCell"):
+            e.clear()
+    return found
+
+
+def _rows(sheet, shared: list[str], colours: list[str | None], columns: int):
+    """(row, cells by column) of a sheet, a row at a time."""
+    rows = None
+    for event, e in ElementTree.iterparse(sheet, ("start", "end")):
+        if event == "start":
+            rows = e if e.tag == _NS + "sheetData" else rows
+        elif e.tag == _NS + "row":
+            grid: dict[int, dict[int, tuple]] = {}
+            for c in e.iter(_NS + "c"):
+                r, k = _place(c.get("r"))
+                if k < columns:
+                    kind, style = c.get("t"), int(c.get("s", 0))
+                    if kind == "inlineStr":
+                        text = "".join([t.text or "" for t in c.iter(_NS + "t")])
+                    else:
+                        text = c.findtext(_NS + "v") or None
+                    grid.setdefault(r, {})[k] = (shared[int(text)] if kind == "s" and text is not None else text, colours[style] if style < len(colours) else None)
+            yield from grid.items()
+            rows.clear()
+
+
+def _filled(rows, merged: list, most: int, columns: int):
+    """``rows`` with merged ranges filled from their first cell."""
+    waiting, firsts, at = sorted(merged), {}, 0
+    last = max((min(b[0], most) for _, b in merged), default=0)
+
+    def fill(r: int, row: dict) -> dict:
+        for m in [m for m in firsts if m[1][0] < r]:
+            del firsts[m]
+        while waiting and waiting[0][0][0] <= r:
+            a, b = waiting.pop(0)
+            firsts[a, b] = row.get(a[1], (None, None)) if a[0] == r else (None, None)
+        for ((_, c0), (_, c1)), first in firsts.items():
+            for k in range(c0, min(c1, columns - 1) + 1):
+                row[k] = first
+        return row
+
+    for r, row in rows:
+        for gap in range(at + 1, min(r, last + 1)):
+            yield gap, fill(gap, {})
+        at = r
+        yield r, fill(r, row)
+    for gap in range(at + 1, last + 1):
+        yield gap, fill(gap, {})
 
 
 def cells(raw: bytes, rows: int = 500, columns: int = 50):
-    """(sheet, row, values, fills) of a workbook, merged ranges filled from their first cell; what is no workbook has none."""
+    """(sheet, row, values, fills) of a workbook, a row at a time, merged ranges filled from their first cell; what is no workbook has none."""
     try:
         book = zipfile.ZipFile(io.BytesIO(raw))
         root = ElementTree.fromstring(book.read("xl/workbook.xml"))
@@ -76,35 +149,29 @@ def cells(raw: bytes, rows: int = 500, columns: int = 50):
         colours = [fills[int(x.get("fillId", 0))] for x in formats] if formats is not None and fills else [None]
     for sheet in root.iter(_NS + "sheet"):
         target = links[sheet.get(_REL)].lstrip("/")
-        data = ElementTree.fromstring(book.read(target if target.startswith("xl/") else f"xl/{target}"))
-        grid: dict[int, dict[int, tuple]] = {}
-        for c in data.iter(_NS + "c"):
-            r, k = _place(c.get("r"))
-            if r <= rows and k < columns:
-                v, kind = c.find(_NS + "v"), c.get("t")
-                text = "".join(t.text or "" for t in c.iter(_NS + "t")) if kind == "inlineStr" else v.text if v is not None else None
-                style = int(c.get("s", 0))
-                grid.setdefault(r, {})[k] = (shared[int(text)] if kind == "s" and text is not None else text, colours[style] if style < len(colours) else None)
-        for merged in data.iter(_NS + "mergeCell"):
-            a, b = (merged.get("ref").split(":") * 2)[:2]
-            (r0, c0), (r1, c1) = _place(a), _place(b)
-            for r in range(r0, min(r1, rows) + 1):
-                for k in range(c0, min(c1, columns - 1) + 1):
-                    grid.setdefault(r, {})[k] = grid.get(r0, {}).get(c0, (None, None))
-        for r in sorted(grid):
-            width = max(grid[r]) + 1
-            yield sheet.get("name"), r, [grid[r].get(k, (None,))[0] for k in range(width)], [grid[r].get(k, (None, None))[1] for k in range(width)]
+        target = target if target.startswith("xl/") else f"xl/{target}"
+        with book.open(target) as f:
+            merged = _merged(f)
+        with book.open(target) as f:
+            for r, row in _filled(_rows(f, shared, colours, columns), merged, rows, columns):
+                if r > rows:
+                    break
+                if row:
+                    width = max(row) + 1
+                    yield sheet.get("name"), r, [row.get(k, (None,))[0] for k in range(width)], [row.get(k, (None, None))[1] for k in range(width)]
 
 
 def read(files: DataFrame, rows: int = 500, columns: int = 50) -> DataFrame:
     """One row per row of every sheet of the files (path, content): values and fill colours as lists."""
 
-    def run(frames):
-        for f in frames:
-            for path, raw in zip(f.path, f.content):
-                yield pd.DataFrame([(path, *x) for x in cells(bytes(raw or b""), rows, columns)], columns=["path", "sheet", "row", "cells", "fills"])
+    def run(batches):
+        for b in batches:
+            for path, raw in zip(b["path"], b["content"]):
+                found = ((path.as_py(), *x) for x in cells(raw.as_py() or b"", rows, columns))
+                while some := list(itertools.islice(found, PER_BATCH)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), CELL_TYPES)], names=["path", "sheet", "row", "cells", "fills"])
 
-    return files.select("path", "content").mapInPandas(run, CELLS)
+    return files.select(F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content")).mapInArrow(run, CELLS)
 
 
 def as_text(rows: DataFrame) -> DataFrame:
@@ -127,65 +194,86 @@ def roster(rows: DataFrame) -> DataFrame:
     return found.where("badge is not null or name is not null").withColumn("badge", F.regexp_replace("badge", r"^(\d+)\.0$", "$1"))
 
 
-def written(grid: list[list], fills: list[str | None] | None = None, sheet: str = "Sheet1", fonts: list[str | None] | None = None, wrap_from: int | None = None, head: bool = False) -> bytes:
+def written(grid: Iterable[list], fills: Iterable[str | None] | None = None, sheet: str = "Sheet1", fonts: Iterable[str | None] | None = None, wrap_from: int | None = None, head: bool = False) -> bytes:
     """A workbook of one sheet: text and numbers, a fill and a font colour by row, widths after the first fifty rows.
 
-    Columns from ``wrap_from`` wrap their text; ``head`` makes the first row a header that stays in view.
+    Columns from ``wrap_from`` wrap their text; ``head`` makes the first row a header that stays in view. Rows are taken one at a time.
     """
-    fills, fonts = fills or [None] * len(grid), fonts or [None] * len(grid)
-    name = lambda k: (name(k // 26 - 1) if k >= 26 else "") + chr(65 + k % 26)
-    style = lambda r, k: HEAD_STYLE if head and r == 1 else (fills[r - 1], fonts[r - 1], wrap_from is not None and k >= wrap_from)
+    none = itertools.repeat(None)
+    rows = zip(grid, none if fills is None else fills, none if fonts is None else fonts)
+    first = list(itertools.islice(rows, 51 if head else 50))
+    across = range(max((len(x) for x, _, _ in first), default=0))
+    longest = [max((len(str(x[k])) for x, _, _ in first if k < len(x) and x[k] is not None), default=8) + 2 for k in across]
+    widths = [max(10, min(44, w)) if head else min(w, 60) for w in longest]
+    cols = "".join(f'<col min="{k}" max="{k}" width="{w}" customWidth="1"/>' for k, w in enumerate(widths, 1))
+    name = functools.cache(lambda k: (name(k // 26 - 1) if k >= 26 else "") + chr(65 + k % 26))
     styles = {(None, None, False): 0}
-    body = []
-    for r, row in enumerate(grid, 1):
+    pane = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>' if head else ""
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def line(r: int, row: list, fill: str | None, font: str | None) -> str:
         cells_ = []
         for k, v in enumerate(row):
-            if v is not None:
-                n = styles.setdefault(style(r, k), len(styles))
+            if v is not None and v == v:  # NaN is no value
+                style = HEAD_STYLE if head and r == 1 else (fill, font, wrap_from is not None and k >= wrap_from)
+                n = styles.setdefault(style, len(styles))
                 at = f'<c r="{name(k)}{r}"' + (f' s="{n}"' if n else "")
                 number = isinstance(v, (int, float)) and not isinstance(v, bool)
                 cells_.append(f"{at}><v>{v}</v></c>" if number else f'{at} t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>')
-        body.append(f'<row r="{r}"{" ht=\"28\" customHeight=\"1\"" if head and r == 1 else ""}>{"".join(cells_)}</row>')
-    across = range(max(map(len, grid), default=0))
-    longest = [max((len(str(x[k])) for x in grid[: 51 if head else 50] if k < len(x) and x[k] is not None), default=8) + 2 for k in across]
-    widths = [max(10, min(44, w)) if head else min(w, 60) for w in longest]
-    cols = "".join(f'<col min="{k}" max="{k}" width="{w}" customWidth="1"/>' for k, w in enumerate(widths, 1))
-    pane = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>' if head else ""
-    colours, inks = sorted({f for f, *_ in styles if f}), sorted({c for _, c, _ in styles if c})
-    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    fill_xml = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{c}"/></patternFill></fill>' for c in colours)
-    font_xml = "".join(f'<font>{"<b/>" if head and c == HEAD_STYLE[1] else ""}<color rgb="{c}"/></font>' for c in inks)
-    align = {False: "", True: '<alignment vertical="top" wrapText="1"/>', "head": '<alignment horizontal="center" vertical="center" wrapText="1"/>'}
-    place = lambda among, c, first: among.index(c) + first if c else 0
-    formats = "".join(f'<xf numFmtId="0" fontId="{place(inks, c, 1)}" fillId="{place(colours, f, 2)}" borderId="0" applyFill="1" applyFont="1" applyAlignment="1">{align[w]}</xf>' for f, c, w in styles)
-    files = {
-        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/></Types>',
-        "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": f'<workbook {space} xmlns:r="{rel}"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="{rel}/styles" Target="styles.xml"/></Relationships>',
-        "xl/styles.xml": f'<styleSheet {space}><fonts count="{len(inks) + 1}"><font/>{font_xml}</fonts><fills count="{len(colours) + 2}"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fill_xml}</fills><borders count="1"><border/></borders><cellXfs count="{len(styles)}">{formats}</cellXfs></styleSheet>',
-        "xl/worksheets/sheet1.xml": f'<worksheet {space}>{pane}{f"<cols>{cols}</cols>" if cols else ""}<sheetData>{"".join(body)}</sheetData></worksheet>',
-    }
+        return f'<row r="{r}"{" ht=\"28\" customHeight=\"1\"" if head and r == 1 else ""}>{"".join(cells_)}</row>'
+
     out = io.BytesIO()
+    opening = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as f:
+            f.write(f'{opening}<worksheet {space}>{pane}{f"<cols>{cols}</cols>" if cols else ""}<sheetData>'.encode())
+            for r, x in enumerate(itertools.chain(first, rows), 1):
+                f.write(line(r, *x).encode())
+            f.write(b"</sheetData></worksheet>")
+        colours, inks = sorted({f for f, *_ in styles if f}), sorted({c for _, c, _ in styles if c})
+        fill_xml = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{c}"/></patternFill></fill>' for c in colours)
+        font_xml = "".join(f'<font>{"<b/>" if head and c == HEAD_STYLE[1] else ""}<color rgb="{c}"/></font>' for c in inks)
+        align = {False: "", True: '<alignment vertical="top" wrapText="1"/>', "head": '<alignment horizontal="center" vertical="center" wrapText="1"/>'}
+        place = lambda among, c, first: among.index(c) + first if c else 0
+        formats = "".join(f'<xf numFmtId="0" fontId="{place(inks, c, 1)}" fillId="{place(colours, f, 2)}" borderId="0" applyFill="1" applyFont="1" applyAlignment="1">{align[w]}</xf>' for f, c, w in styles)
+        files = {
+            "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/></Types>',
+            "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+            "xl/workbook.xml": f'<workbook {space} xmlns:r="{rel}"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="{rel}/styles" Target="styles.xml"/></Relationships>',
+            "xl/styles.xml": f'<styleSheet {space}><fonts count="{len(inks) + 1}"><font/>{font_xml}</fonts><fills count="{len(colours) + 2}"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fill_xml}</fills><borders count="1"><border/></borders><cellXfs count="{len(styles)}">{formats}</cellXfs></styleSheet>',
+        }
         for path, text in files.items():
-            z.writestr(path, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
+            z.writestr(path, opening + text)
     return out.getvalue()
 
 
+def _books(rows: DataFrame, keys: list[str], order: str, columns: list[str], schema: str, book: Callable[[dict, Iterable[dict]], bytes]) -> DataFrame:
+    """``keys`` and ``content``: a workbook for each of ``keys``, whose rows ``book`` takes one at a time, in ``order``."""
+    placed = rows.select(*keys, order, *(c for c in columns if c not in (*keys, order))).repartition(*keys).sortWithinPartitions(*keys, order)
+    names = [*keys, "content"]
+
+    def run(batches):
+        # a few rows at a time become values
+        lines = (r for b in batches for k in range(0, b.num_rows, PER_BATCH) for r in b.slice(k, PER_BATCH).to_pylist())
+        for key, of in itertools.groupby(lines, lambda r: tuple(r[k] for k in keys)):
+            content = book(dict(zip(keys, key)), of)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*key, content), kinds)], names=names)
+
+    kinds = [field.type for field in to_arrow_schema(placed.select(*keys).schema)] + [pa.binary()]
+    return placed.mapInArrow(run, schema)
+
+
 def write_by(df: DataFrame, key: str, order: str, fill: str | None = None) -> DataFrame:
     """key and ``content``: a workbook for each key, its rows in ``order`` under a header, filled by the column ``fill``."""
     columns = [c for c in df.columns if c not in (key, fill)]
 
-    def book(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        values = rows[columns].astype(object).where(rows[columns].notna(), None)
-        grid = [columns, *([x.item() if hasattr(x, "item") else x for x in r] for r in values.itertuples(index=False, name=None))]
-        fills = [None, *(rows[fill].where(rows[fill].notna(), None) if fill else [None] * len(rows))]
-        return pd.DataFrame({key: rows[key].iloc[:1].to_list(), "content": [written(grid, fills)]})
+    def book(of: dict, rows: Iterable[dict]) -> bytes:
+        mine, theirs = itertools.tee(rows)  # read in step: nothing is held
+        return written(itertools.chain([columns], ([r[c] for c in columns] for r in mine)), itertools.chain([None], (r[fill] if fill else None for r in theirs)))
 
-    return df.groupBy(key).applyInPandas(book, f"{key} {dict(df.dtypes)[key]}, content binary")
+    return _books(df, [key], order, [*columns, *([fill] if fill else [])], f"{key} {dict(df.dtypes)[key]}, content binary", book)
 
 
 def month_report(people: DataFrame, records: DataFrame, received: DataFrame) -> DataFrame:
@@ -220,11 +308,12 @@ def write_reports(report: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     by_name = Window.partitionBy("period").orderBy(F.lower(PERSON["employee_name"]), "pk")
     numbered = report.withColumn("_n", F.row_number().over(by_name)).withColumn("book", F.floor((F.col("_n") - 1) / most))
 
-    def book(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_n")
-        grid = [columns, *([x.item() if hasattr(x, "item") else x for x in r] for r in rows[columns].astype(object).itertuples(index=False, name=None))]
-        status = rows[STATE["status"]]
-        content = written(grid, [None, *map(FILLS.get, status)], key[0][:31], [None, *map(FONTS.get, status)], len(columns) - len(LISTS), head=True)
-        return pd.DataFrame({"period": [key[0]], "book": [key[1]], "content": [content]})
+    def book(of: dict, rows: Iterable[dict]) -> bytes:
+        values, fills, fonts = itertools.tee(rows, 3)  # read in step: nothing is held
+        status = STATE["status"]
+        return written(
+            itertools.chain([columns], ([r[c] for c in columns] for r in values)), itertools.chain([None], (FILLS.get(r[status]) for r in fills)), of["period"][:31],
+            itertools.chain([None], (FONTS.get(r[status]) for r in fonts)), len(columns) - len(LISTS), head=True,
+        )
 
-    return numbered.groupBy("period", "book").applyInPandas(book, "period string, book long, content binary")
+    return _books(numbered, ["period", "book"], "_n", columns, "period string, book long, content binary", book)

@@ -166,3 +166,24 @@ def test_names_that_overwrite_nothing(spark):
     taken = spark.createDataFrame([("f", "a.pdf"), ("f", "a_2024-01-02.pdf"), ("f", "c")], "folder string, name string")
     got = {r.id: r.stored_name for r in relational.dated_names(df, "folder", "name", taken, F.lit("2024-01-02").cast("date"), "id").collect()}
     assert got == {1: "a_2024-01-02 (2).pdf", 2: "a_2024-01-02 (3).pdf", 3: "b.pdf", 4: "a.pdf", 5: "c_2024-01-02"}
+
+
+def test_workbooks_are_written_and_read_a_row_at_a_time():
+    import tracemalloc
+
+    raw = workbooks.written(([f"{r} of {k}" for k in range(20)] for r in range(3000)), ("FFFFFF00" for _ in range(3000)))
+    tracemalloc.start()
+    assert sum(len(v) for _, _, v, _ in workbooks.cells(raw, rows=3000)) == 60_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20, peak
+
+
+def test_merged_cells_beyond_the_rows():
+    raw = workbooks.written([["a", "b", "c"], ["c", "d"]])
+    book = zipfile.ZipFile(io.BytesIO(raw))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name in book.namelist():
+            z.writestr(name, book.read(name).replace(b"</sheetData>", b'</sheetData><mergeCells><mergeCell ref="C1:C1"/><mergeCell ref="B2:C4"/></mergeCells>'))
+    assert [r[1:3] for r in workbooks.cells(out.getvalue())] == [(1, ["a", "b", "c"]), (2, ["c", "d", "d"]), (3, [None, "d", "d"]), (4, [None, "d", "d"])]
