@@ -129,7 +129,7 @@ def _filled(rows, merged: list, most: int, columns: int):
         yield gap, fill(gap, {})
 
 
-def cells(raw: bytes, rows: int = 500, columns: int = 50):
+def cells(raw: bytes, rows: int = MOST_ROWS + 1, columns: int = MOST_COLUMNS):
     """(sheet, row, values, fills) of a workbook, a row at a time, merged ranges filled from their first cell; what is no workbook has none."""
     try:
         book = zipfile.ZipFile(io.BytesIO(raw))
@@ -161,7 +161,7 @@ def cells(raw: bytes, rows: int = 500, columns: int = 50):
                     yield sheet.get("name"), r, [row.get(k, (None,))[0] for k in range(width)], [row.get(k, (None, None))[1] for k in range(width)]
 
 
-def read(files: DataFrame, rows: int = 500, columns: int = 50) -> DataFrame:
+def read(files: DataFrame, rows: int = MOST_ROWS + 1, columns: int = MOST_COLUMNS) -> DataFrame:
     """One row per row of every sheet of the files (path, content): values and fill colours as lists."""
 
     def run(batches):

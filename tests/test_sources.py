@@ -168,12 +168,18 @@ def test_names_that_overwrite_nothing(spark):
     assert got == {1: "a_2024-01-02 (2).pdf", 2: "a_2024-01-02 (3).pdf", 3: "b.pdf", 4: "a.pdf", 5: "c_2024-01-02"}
 
 
+def test_every_row_of_a_long_roster_is_read(spark):
+    df = spark.range(1200).select((F.col("id") % 2).alias("k"), F.col("id").alias("Emp ID"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("Full Name"))
+    found = workbooks.roster(workbooks.read(workbooks.write_by(df, "k", "Emp ID").select(F.col("k").cast("string").alias("path"), "content")))
+    assert {(r.path, r.badge, r.name) for r in found.collect()} == {(str(k % 2), str(k), f"n{k}") for k in range(1200)}
+
+
 def test_workbooks_are_written_and_read_a_row_at_a_time():
     import tracemalloc
 
     raw = workbooks.written(([f"{r} of {k}" for k in range(20)] for r in range(3000)), ("FFFFFF00" for _ in range(3000)))
     tracemalloc.start()
-    assert sum(len(v) for _, _, v, _ in workbooks.cells(raw, rows=3000)) == 60_000
+    assert sum(len(v) for _, _, v, _ in workbooks.cells(raw)) == 60_000
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 4 << 20, peak
