@@ -15,17 +15,26 @@ def last_wins(left: DataFrame, right: DataFrame, key: str, *order: Column) -> Da
 
 def by_priority(left: DataFrame, right: DataFrame, left_id: str, right_id: str, *rules: tuple[str, str], veto: str | None = None) -> DataFrame:
     """``left`` with ``match`` and ``rule``: the smallest id of ``right`` by the first rule (a name and a key column that both
-    have) that finds one. With ``veto`` a later rule takes no row whose value in that column is known on both sides and differs."""
-    hits = None
-    for n, (name, key) in enumerate(rules):
-        r = right.where(F.col(key).isNotNull()).select(F.col(key), F.col(right_id).alias("match"), *([F.col(veto).alias("_veto")] if veto and veto != key else []))
-        found = left.join(r, key)
+    have) that finds one. With ``veto`` a later rule takes no row whose value in that column is known on both sides and differs.
+
+    Rows of a key are never paired: a row of ``left`` meets the smallest id of its key, under a veto those of the rows that say nothing
+    and of those that say the same.
+    """
+    least = lambda r, *by: r.groupBy(*by).agg(F.min(right_id).alias("_match"))
+    found = left
+    for n, (_, key) in enumerate(rules):
+        r = right.where(F.col(key).isNotNull())
+        ids = {"any": least(r, key)}
         if veto and veto != key:
-            found = found.where(F.col(veto).isNull() | F.col("_veto").isNull() | (F.col(veto) == F.col("_veto")))
-        found = found.groupBy(left_id).agg(F.min("match").alias("match")).withColumn("_n", F.lit(n)).withColumn("rule", F.lit(name))
-        hits = found if hits is None else hits.unionAll(found)
-    best = hits.groupBy(left_id).agg(F.min(F.struct("_n", "match", "rule")).alias("b")).select(left_id, "b.match", "b.rule")
-    return left.join(best, left_id, "left")
+            ids = {"any": least(r, key), "silent": least(r.where(F.col(veto).isNull()), key), "same": least(r.where(F.col(veto).isNotNull()), key, veto)}
+        for kind, of in ids.items():
+            found = found.join(of.withColumnRenamed("_match", f"_{kind}"), [key, veto] if kind == "same" else [key], "left")
+        match = F.col("_any") if len(ids) == 1 else F.when(F.col(veto).isNull(), F.col("_any")).otherwise(F.least("_silent", "_same"))
+        found = found.withColumn(f"_found{n}", match).drop(*(f"_{kind}" for kind in ids))
+    each = [(name, F.col(f"_found{n}")) for n, (name, _) in enumerate(rules)]
+    rule = F.coalesce(*(F.when(c.isNotNull(), F.lit(name)) for name, c in each))
+    found = found.withColumns({"match": F.coalesce(*(c for _, c in each)), "rule": rule})
+    return found.select(*left.columns, "match", "rule")
 
 
 def all_or_none(asked: DataFrame, known: DataFrame, group: str, name: str, value: str) -> DataFrame:

@@ -419,3 +419,26 @@ def test_words_end_at_letters_beyond_ascii(spark):
     got = [r[0] for r in df.select(l.without_signature(F.col("t"))).collect()]
     assert got == list(texts.values())
     assert one(spark, p=x.fingerprint(F.lit("öpendingö Ann says xpending"))).p == "ann says xpending"
+
+
+def test_lookups_by_priority_pair_no_rows(spark):
+    """A badge that all have: the same matches as all pairs give, without them."""
+    from periodica.operators import matching as m
+
+    left = [(k, None if k % 3 == 0 else k % 7, None if k % 11 == 0 else k % 2) for k in range(60)]
+    right = [(100 - k, None if k % 4 == 0 else k % 9 + 3, None if k % 5 == 0 else k % 2) for k in range(40)]
+    a, b = spark.createDataFrame(left, "event int, pk int, k int"), spark.createDataFrame(right, "id int, pk int, k int")
+    df = m.by_priority(a, b, "event", "id", ("pk", "pk"), ("badge", "k"), veto="pk")
+    want = {}
+    for e, pk, k in left:
+        by_pk = [i for i, p, _ in right if pk is not None and p == pk]
+        by_k = [i for i, p, q in right if k is not None and q == k and (p is None or pk is None or p == pk)]
+        want[e] = (min(by_pk), "pk") if by_pk else (min(by_k), "badge") if by_k else (None, None)
+    assert {r.event: (r.match, r.rule) for r in df.collect()} == want
+
+    def rights(plan):
+        found = [plan.right().nodeName()] if plan.nodeName() == "Join" else []
+        return found + [x for k in range(plan.children().size()) for x in rights(plan.children().apply(k))]
+
+    # what is joined has a row for each key
+    assert set(rights(df._jdf.queryExecution().optimizedPlan())) == {"Aggregate"}
