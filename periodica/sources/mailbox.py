@@ -23,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "message_id string, conversation_id string, sender string, subject string, received_at timestamp, body string"
 PAGE, CAP, THREAD_CAP, SPAN = 50, 5000, 200, 500
+#: Bytes of a file that a task reads.
+RANGE = 16 << 20
 
 #: (time in UTC, id): ordered as messages are.
 Cursor = tuple[datetime.datetime, str]
@@ -41,6 +43,19 @@ def read(at: dict) -> Cursor:
     return datetime.datetime.fromisoformat(at["at"]), at["id"]
 
 
+class Span(InputPartition):
+    def __init__(self, after: Cursor, until: Cursor):
+        self.after, self.until = after, until
+
+
+class Range(Span):
+    """Bytes of a file, for the messages in them between two cursors."""
+
+    def __init__(self, after: Cursor, until: Cursor, path: str, begin: int, end: int):
+        super().__init__(after, until)
+        self.path, self.begin, self.end = path, begin, end
+
+
 class Store(ABC):
     """Where mail comes from."""
 
@@ -68,29 +83,54 @@ class Store(ABC):
         if n:
             yield begin, last
 
+    def splits(self, after: Cursor, until: Cursor, size: int, span: int) -> Iterator[Span]:
+        """What tasks read of a batch, in any order; together all that lies between two cursors."""
+        return (Span(*s) for s in self.spans(after, until, size, span))
+
+    def split(self, span: Span, size: int) -> Iterator[tuple]:
+        return self.messages(span.after, span.until, size)
+
+
+def _row(line: bytes | str) -> tuple:
+    m = json.loads(line)
+    at = datetime.datetime.fromisoformat(m["received_at"])
+    at = at.replace(tzinfo=datetime.UTC) if at.tzinfo is None else at.astimezone(datetime.UTC)
+    return m["message_id"], m.get("conversation_id"), m.get("sender"), m.get("subject"), at, m.get("body")
+
+
+@functools.lru_cache(1 << 16)
+def _newest(path: str, *_) -> Cursor | None:
+    """The newest cursor of a file, whose lines are read one at a time; once as long as the file is the same."""
+    with open(path, "rb") as f:
+        return max((cursor(_row(x)) for x in f if x.strip()), default=None)
+
 
 @functools.lru_cache(4)
 def _sorted(files: tuple) -> tuple[list, list]:
     """Rows and cursors of JSON files, in order; read once as long as the files are the same."""
     rows = []
     for path, *_ in files:
-        for line in pathlib.Path(path).read_text().splitlines():
-            m = json.loads(line)
-            at = datetime.datetime.fromisoformat(m["received_at"])
-            at = at.replace(tzinfo=datetime.UTC) if at.tzinfo is None else at.astimezone(datetime.UTC)
-            rows.append((m["message_id"], m.get("conversation_id"), m.get("sender"), m.get("subject"), at, m.get("body")))
+        with open(path, "rb") as f:
+            rows += [_row(x) for x in f if x.strip()]
     rows.sort(key=cursor)
     return rows, [cursor(r) for r in rows]
 
 
 class Folder(Store):
-    """Files of JSON lines in a folder that all machines see: a mailbox for trials."""
+    """Files of JSON lines in a folder that all machines see: a mailbox for trials.
+
+    Tasks of a stream read ranges of bytes of the files and hold a line at a time. Reading in order (``page``: batches, and streams with a
+    ``limit``) sorts all messages in memory.
+    """
 
     def __init__(self, path: str):
         self.path = pathlib.Path("/" + path.removeprefix("file:").lstrip("/"))
 
+    def _files(self) -> tuple[tuple[str, int, int], ...]:
+        return tuple((str(f), s.st_mtime_ns, s.st_size) for f in sorted(self.path.glob("[!._]*.json*")) for s in (f.stat(),))
+
     def _all(self) -> tuple[list, list]:
-        return _sorted(tuple((str(f), s.st_mtime_ns, s.st_size) for f in sorted(self.path.glob("[!._]*.json*")) for s in (f.stat(),)))
+        return _sorted(self._files())
 
     def page(self, after, until, size):
         rows, at = self._all()
@@ -98,16 +138,26 @@ class Folder(Store):
         return rows[first : min(first + size, len(at) if until is None else bisect.bisect_right(at, until))]
 
     def newest(self):
-        at = self._all()[1]
-        return at[-1] if at else None
+        return max((at for f in self._files() if (at := _newest(*f))), default=None)
 
+    def splits(self, after, until, size, span):
+        # a file without anything newer than ``after`` has nothing to read
+        for f in self._files():
+            if (at := _newest(*f)) and at > after:
+                for begin in range(0, f[2], RANGE):
+                    yield Range(after, until, f[0], begin, begin + RANGE)
 
-STORES = {"folder": Folder}
+    def split(self, span, size):
+        with open(span.path, "rb") as f:
+            if span.begin:  # a line belongs to the range in which it begins
+                f.seek(span.begin - 1)
+                f.readline()
+            while f.tell() < span.end and (line := f.readline()):
+                if line.strip() and span.after < cursor(row := _row(line)) <= span.until:
+                    yield row
 
 
-class Span(InputPartition):
-    def __init__(self, after: Cursor, until: Cursor):
-        self.after, self.until = after, until
+STORES = {"folder": Folder}
 
 
 class _Reader(DataSourceReader):
@@ -158,10 +208,10 @@ class _Stream(_Reader, DataSourceStreamReader):
             return []
         if self.overlap and after > BEGIN:
             after = max(self.since, (after[0] - datetime.timedelta(seconds=self.overlap), ""))
-        return [Span(*s) for s in self.store.spans(after, until, self.size, self.span)]
+        return list(self.store.splits(after, until, self.size, self.span))
 
     def read(self, span):
-        yield from self.store.messages(span.after, span.until, self.size)
+        yield from self.store.split(span, self.size)
 
 
 class Mailbox(DataSource):

@@ -193,3 +193,25 @@ def test_merged_cells_beyond_the_rows():
         for name in book.namelist():
             z.writestr(name, book.read(name).replace(b"</sheetData>", b'</sheetData><mergeCells><mergeCell ref="C1:C1"/><mergeCell ref="B2:C4"/></mergeCells>'))
     assert [r[1:3] for r in workbooks.cells(out.getvalue())] == [(1, ["a", "b", "c"]), (2, ["c", "d", "d"]), (3, [None, "d", "d"]), (4, [None, "d", "d"])]
+
+
+def test_ranges_of_files_hold_every_message_once(tmp_path, monkeypatch):
+    """A stream's tasks read bytes of files: each line by one of them, whatever the cuts, and no file is read whole."""
+    import datetime
+    import json
+
+    from periodica.sources import mailbox
+
+    at = lambda k: datetime.datetime(2024, 1, 1, 0, k % 60, k // 60, tzinfo=datetime.UTC)
+    for n in range(2):
+        lines = [json.dumps({"message_id": f"é{k:03d}", "received_at": at(k).isoformat(), "body": "x" * (k % 5)}) for k in range(n, 200, 2)]
+        (tmp_path / f"{n}.json").write_text("\n".join(lines) + ("\n" if n else ""))
+    monkeypatch.setattr(mailbox, "_sorted", None)
+    store = mailbox.Folder(str(tmp_path))
+    after, until = (at(59), "é059"), store.newest()
+    for size in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(mailbox, "RANGE", size)
+        got = [r[0] for s in store.splits(mailbox.BEGIN, until, 50, 500) for r in store.split(s, 50)]
+        assert sorted(got) == [f"é{k:03d}" for k in range(200)]
+    assert until == max((at(k), f"é{k:03d}") for k in range(200))
+    assert {r[0] for s in store.splits(after, until, 50, 500) for r in store.split(s, 50)} == {f"é{k:03d}" for k in range(200) if (at(k), f"é{k:03d}") > after}
