@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEPTH = 4
+#: Mails that a task parses or builds at once.
+MAILS = 200
 PART = "name string, content_type string, size long, cid string, is_inline boolean, content binary"
 MESSAGE = f"path string, subject string, from_ string, to string, date timestamp, body_text string, body_html string, attachments array<struct<{PART.replace(' string', ': string').replace(' long', ': long').replace(' boolean', ': boolean').replace(' binary', ': binary')}>>"
 ITEM = "path string, label string, depth int, place int, content_type string, content binary"
@@ -50,11 +52,18 @@ def parse(raw: bytes) -> dict:
     return out
 
 
+def _few(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of ``frames``, ``MAILS`` at a time: what is parsed or built of them is held no longer."""
+    for f in frames:
+        for k in range(0, len(f), MAILS):
+            yield f.iloc[k : k + MAILS]
+
+
 def messages(files: DataFrame) -> DataFrame:
     """One row per file (path, content). What is no mail at all gives a row without headers; a broken date is null."""
 
     def run(frames):
-        for f in frames:
+        for f in _few(frames):
             rows = [{"path": p, **parse(bytes(c or b""))} for p, c in zip(f.path, f.content)]
             yield pd.DataFrame(rows, columns=["path", "subject", "from_", "to", "date", "body_text", "body_html", "attachments"]).assign(date=lambda d: pd.to_datetime(d.date, utc=True))
 
@@ -103,7 +112,7 @@ def rebuilt(mails: DataFrame) -> DataFrame:
     """id and ``content``: the native bytes where they are (column raw), else a mail built from subject, sender, to, date, text, html."""
 
     def run(frames):
-        for f in frames:
+        for f in _few(frames):
             g = f.astype(object).where(f.notna(), None)
             content = [bytes(r.raw) if r.raw is not None else built(r.subject, r.sender, r.to, r.date, r.text, r.html) for r in g.itertuples()]
             yield pd.DataFrame({"id": f.id, "content": content})

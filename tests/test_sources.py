@@ -215,3 +215,13 @@ def test_ranges_of_files_hold_every_message_once(tmp_path, monkeypatch):
         assert sorted(got) == [f"é{k:03d}" for k in range(200)]
     assert until == max((at(k), f"é{k:03d}") for k in range(200))
     assert {r[0] for s in store.splits(after, until, 50, 500) for r in store.split(s, 50)} == {f"é{k:03d}" for k in range(200) if (at(k), f"é{k:03d}") > after}
+
+
+def test_a_few_mails_are_parsed_at_once(spark, monkeypatch):
+    """No frame of a task has more mails than ``MAILS``, however many a batch brings; all are there."""
+    import pandas as pd
+
+    sizes = [len(f) for f in mail._few(iter([pd.DataFrame({"path": range(450)}), pd.DataFrame({"path": range(3)}), pd.DataFrame({"path": []})]))]
+    assert sizes == [200, 200, 50, 3]
+    raw = spark.range(450).coalesce(1).select(F.col("id").cast("string").alias("path"), F.concat(F.lit("Subject: "), F.col("id").cast("string"), F.lit("\n\nx")).cast("binary").alias("content"))
+    assert {(r.path, r.subject) for r in mail.messages(raw).select("path", "subject").collect()} == {(str(k), str(k)) for k in range(450)}
