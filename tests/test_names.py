@@ -318,6 +318,33 @@ def test_the_bound_of_grams_loses_no_near_pair():
     assert checked > 500 and long > 50, (checked, long)
 
 
+def test_a_match_is_decided_as_the_matcher_does(monkeypatch):
+    rng, said = random.Random(12), []
+    for turn in range(1500):
+        letters = rng.choice(["abcdefgh ijkl" * 9 + "qxz07", "ab ", "aaaaab"])
+        a = "".join(rng.choice(letters) for _ in range(rng.randrange(40, 150) if turn % 3 else rng.randrange(190, 600)))
+        b = list(a)
+        for _ in range(rng.randrange(max(2, len(a) // 9))):
+            k = rng.randrange(len(b))
+            b[k : k + rng.randrange(2)] = [rng.choice("abcdefgh xyz") for _ in range(rng.randrange(2))]
+        b = "".join(b)
+        said.append(near.Learned(b).near(a))
+        assert said[-1] == (SequenceMatcher(None, a, b).ratio() >= near.NEAR), (a, b)
+    assert 300 < sum(said) < 1200
+
+
+def test_long_texts_of_the_same_words_are_not_linked():
+    """Five hundred counts of grams of long texts are much alike, whatever they say: all of them met in one part."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(900)]
+    texts = [" ".join(rng.choice(words) for _ in range(1500)) for _ in range(12)]
+    texts += [texts[0].replace(words[0], words[1]), texts[3][:-40]]
+    sketch = [near.np.minimum(g, 65535).astype("uint16").tobytes() + near.np.uint32(near.rare(t)).tobytes() for g, t in zip(near.grams(texts), texts)]
+    rows = near.pa.table({"id": list(range(len(texts))), "size": [len(t) for t in texts], "sketch": sketch, "text": texts})
+    u, v = near.tile_links(rows, rows, True)
+    assert {tuple(sorted(x)) for x in zip(u.tolist(), v.tolist())} == {(0, 12), (3, 13)}
+
+
 def test_parts_of_links(spark):
     links = [(5, 4), (4, 3), (3, 2), (9, 8), (7, 7), *((k, k + 1) for k in range(100, 140)), *((500, k) for k in range(501, 560))]
     got = {r.id: r.root for r in near.parts(spark.createDataFrame(links, "u long, v long")).collect()}
