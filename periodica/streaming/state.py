@@ -174,12 +174,11 @@ class _Counters(_Processor):
     NAMES = ("total", "skipped", "done", "failed", "stopped")
 
     def open(self, handle, keep_ms):
-        self.n = handle.getMapState("n", "kind string", "n long", keep_ms)
-        self.state = handle.getValueState("state", "stop boolean, final string", keep_ms)
+        self.state = handle.getValueState("state", f"stop boolean, final string, {', '.join(f'{k} long' for k in self.NAMES)}", keep_ms)
 
     def handleInputRows(self, key, rows: Rows, timerValues):
-        n = dict.fromkeys(self.NAMES, 0) | {k[0]: v[0] for k, v in self.n.iterator()}
-        stop, final = self.state.get() or (False, None)
+        stop, final, *counts = self.state.get() or (False, None, *(0 for _ in self.NAMES))
+        n = dict(zip(self.NAMES, counts))
         asked = stop
         for r in rows:
             if r.kind == "stop":
@@ -188,9 +187,7 @@ class _Counters(_Processor):
                 n["stopped" if stop and r.kind in ("done", "failed") else r.kind] += r.n
         if final is None and 0 < n["total"] <= n["skipped"] + n["done"] + n["failed"] + n["stopped"]:
             final = "stopped" if asked else "completed"
-        for kind, k in n.items():
-            self.n.updateValue((kind,), (k,))
-        self.state.update((asked, final))
+        self.state.update((asked, final, *n.values()))
         yield Row(run=key[0], **n, state=final or ("stopping" if asked else "running"))
 
 
