@@ -110,16 +110,16 @@ def new_with_context(stream: DataFrame, before: int = 2, most: int = 40, keep: i
 
 class _Memo(_Processor):
     def open(self, handle, keep_ms):
-        self.times = handle.getMapState("times", "kind string", "at long", keep_ms)
+        self.times = handle.getValueState("times", "message long, check long", keep_ms)
 
     def handleInputRows(self, key, rows: Rows, timerValues):
-        seen = {k[0]: v[0] for k, v in self.times.iterator()}
+        seen = {k: v for k, v in zip(("message", "check"), self.times.get() or ()) if v is not None}
         for r in rows:
             if (at := _us(r.at)) is not None:
                 kind = "message" if r.kind == "message" else "check"
                 seen[kind] = max(at, seen.get(kind, at))
-        for kind, at in seen.items():
-            self.times.updateValue((kind,), (at,))
+        if seen:
+            self.times.update((seen.get("message"), seen.get("check")))
         skip = len(seen) == 2 and seen["check"] >= seen["message"]
         yield Row(thread=key[0], state="skip" if skip else "need")
 
