@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from periodica.operators import ordering
@@ -108,3 +109,48 @@ def test_tools(spark):
     assert run(spark.range(2), skip=("skipped",)).count() == 4
     assert [n for n, _ in run.notes] == ["broken", "skipped", "needed"]
     assert ordering.first_k(spark.range(5), [], [F.asc("id")], 2).count() == 2
+
+
+class CountedState:
+    """A handle and a state of one key: counts the round trips to the store."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_a_batch_of_a_key_takes_few_calls_to_the_store():
+    at = lambda s: datetime.datetime.fromtimestamp(s)
+    some = [
+        (state._Memo(9), [[Row(kind="message", at=at(1)), Row(kind="found", at=at(2))], [Row(kind="message", at=at(3))]], 2),
+        (state._Counters(9), [[Row(kind="total", n=2), Row(kind="done", n=1), Row(kind="failed", n=1)], [Row(kind="stop", n=1)]], 2),
+        (state._Limit(9, 2), [[Row(id=1, at=at(1)), Row(id=2, at=at(2)), Row(id=3, at=at(3))], [Row(id=4, at=at(11)), Row(id=5, at=at(12))]], 4),
+    ]
+    said = []
+    for processor, batches, most in some:
+        store = CountedState()
+        processor.init(store)
+        for rows in batches:
+            store.calls = 0
+            said.append([tuple(r) for r in processor.handleInputRows((7,), iter(rows), None)])
+            assert store.calls <= most
+    assert said[:4] == [[(7, "skip")], [(7, "need")], [(7, 2, 0, 1, 1, 0, "completed")], [(7, 2, 0, 1, 1, 0, "completed")]]
+    assert said[4:] == [[(7, 1, True), (7, 2, True), (7, 3, False)], [(7, 4, True), (7, 5, True)]] and store.timers == {21000}
