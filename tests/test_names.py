@@ -233,6 +233,13 @@ def test_files_and_labels(spark):
     assert (r.a, r.b, r.c, r.d, r.e, r.m, r.k, r.s, r.f, r.j) == ("pdf", "xlsx", "eml", "unknown", "xlsx", "application/pdf", "text/x", "3.0 MB", "7", None)
 
 
+def test_a_period_hint_looks_for_each_pattern_once(spark):
+    d = spark.createDataFrame([("for may. 2024",), ("Sept 2024",), ("foo 2024",), ("13/2024 2024-05",), ("2024-13 5/2024",), ("7 2024",), (None,)], "h string").withColumn("p", l.period_hint(F.col("h")))
+    assert [tuple(r.p) if r.p else None for r in d.collect()] == [(2024, 5), (2024, 9), None, (2024, 5), (2024, 5), None, None]
+    said = d.select("p.year", "p.month")._jdf.queryExecution().optimizedPlan().toString()
+    assert said.lower().count("regexp_extract") <= 12  # six groups, each for two fields at most
+
+
 def test_dates_and_attendance(spark):
     text = "2024-01-02 08:30 to 17:00, 3 Jan 2024 Weekend, January 4, 2024 sick, 2024-02-31 and 5/Feb/2024 9:00"
     r = one(spark, d=l.dates_in(F.lit(text)), a=l.attendance(F.lit(text)), none=l.dates_in(F.lit("none")))
