@@ -5,21 +5,39 @@ from __future__ import annotations
 import email
 import email.policy
 import email.utils
-from collections.abc import Iterator
+import functools
+import itertools
+from collections.abc import Iterable, Iterator
 from email.message import EmailMessage
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEPTH = 4
-#: Mails that a task parses or builds at once.
-MAILS = 200
+#: Mails that a task parses or builds at once, and bytes of parts that it gathers before it gives them away.
+MAILS, HELD = 200, 8 << 20
 PART = "name string, content_type string, size long, cid string, is_inline boolean, content binary"
 MESSAGE = f"path string, subject string, from_ string, to string, date timestamp, body_text string, body_html string, attachments array<struct<{PART.replace(' string', ': string').replace(' long', ': long').replace(' boolean', ': boolean').replace(' binary', ': binary')}>>"
 ITEM = "path string, label string, depth int, place int, content_type string, content binary"
 
 
+@functools.lru_cache(4096)
+def _header(name: str, value: str):
+    return email.policy.default.header_fetch_parse(name, value)
+
+
+class _Policy(email.policy.EmailPolicy):
+    """Reads a header of the same name and value once: a message asks for its content type some twenty times."""
+
+    def header_fetch_parse(self, name, value):
+        return value if hasattr(value, "name") else _header(name, value)
+
+
+_READ, _WRITE = _Policy(), _Policy(linesep="\r\n")
+
+
 def _parts(m) -> Iterator[tuple]:
     """Leaves of a message; a message in it is one leaf."""
     if m.get_content_type() == "message/rfc822":
@@ -33,7 +51,7 @@ def _parts(m) -> Iterator[tuple]:
 
 
 def parse(raw: bytes) -> dict:
-    m = email.message_from_bytes(raw, policy=email.policy.default)
+    m = email.message_from_bytes(raw, policy=_READ)
     out = {"subject": m.get("Subject"), "from_": m.get("From"), "to": m.get("To"), "date": None, "body_text": None, "body_html": None, "attachments": []}
     try:
         at = email.utils.parsedate_to_datetime(m["Date"]) if m["Date"] else None
@@ -52,6 +70,11 @@ def parse(raw: bytes) -> dict:
     return out
 
 
+def _tasks(mails: DataFrame) -> int:
+    """Mails are small and take long: a number of tasks that isn't lowered to suit the bytes."""
+    return int(mails.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _few(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The rows of ``frames``, ``MAILS`` at a time: what is parsed or built of them is held no longer."""
     for f in frames:
@@ -88,17 +111,25 @@ def flattened(files: DataFrame, depth: int = DEPTH) -> DataFrame:
                 yield f"{label}/{a['name']}", at, a["content_type"], a["content"]
 
     def run(frames):
+        frame = functools.partial(pd.DataFrame, columns=["path", "label", "depth", "place", "content_type", "content"])
+        rows, held = [], 0
         for f in frames:
             for path, content in zip(f.path, f.content):
-                rows = [(path, label, at, k, kind, c) for k, (label, at, kind, c) in enumerate(walk(bytes(content or b""), "", 0))]
-                yield pd.DataFrame(rows, columns=["path", "label", "depth", "place", "content_type", "content"])
+                for k, (label, at, kind, c) in enumerate(walk(bytes(content or b""), "", 0)):
+                    rows.append((path, label, at, k, kind, c))
+                    held += len(c)
+                    if held > HELD or len(rows) >= 10 * MAILS:
+                        yield frame(rows)
+                        rows, held = [], 0
+        if rows:
+            yield frame(rows)
 
     return files.select("path", "content").mapInPandas(run, ITEM)
 
 
 def built(subject: str | None, sender: str | None, to: str | None, date: str | None, text: str | None, html: str | None) -> bytes:
     """A mail of the columns that are left of it."""
-    m = EmailMessage(policy=email.policy.SMTP)
+    m = EmailMessage(policy=_WRITE)
     for name, value in (("Subject", subject), ("From", sender), ("To", to), ("Date", date)):
         if value:
             m[name] = " ".join(value.split())
@@ -117,22 +148,43 @@ def rebuilt(mails: DataFrame) -> DataFrame:
             content = [bytes(r.raw) if r.raw is not None else built(r.subject, r.sender, r.to, r.date, r.text, r.html) for r in g.itertuples()]
             yield pd.DataFrame({"id": f.id, "content": content})
 
-    return mails.select("id", "raw", "subject", "sender", "to", "date", "text", "html").mapInPandas(run, "id long, content binary")
+    wanted = mails.select("id", "raw", "subject", "sender", "to", "date", "text", "html")
+    return wanted.repartition(_tasks(mails)).mapInPandas(run, "id long, content binary")
+
+
+def bundle(mails: Iterable[bytes]) -> bytes:
+    """One mail that holds others, each a message in it."""
+    out = EmailMessage(policy=_WRITE)
+    out.make_mixed()
+    for raw in mails:
+        part = EmailMessage(policy=_WRITE)
+        part.set_content(email.message_from_bytes(bytes(raw), policy=_READ))
+        out.attach(part)
+    return out.as_bytes()
 
 
 def bundled(mails: DataFrame, thread: str, order: str) -> DataFrame:
     """thread and ``content``: one mail that holds the thread's mails (column content), oldest first, each a message in it."""
 
-    def bundle(rows: pd.DataFrame) -> pd.DataFrame:
-        out = EmailMessage(policy=email.policy.SMTP)
-        out.make_mixed()
-        for raw in rows.sort_values(order, kind="stable").content:
-            part = EmailMessage(policy=email.policy.SMTP)
-            part.set_content(email.message_from_bytes(bytes(raw), policy=email.policy.default))
-            out.attach(part)
-        return pd.DataFrame({thread: rows[thread].iloc[:1].to_list(), "content": [out.as_bytes()]})
-
-    return mails.groupBy(thread).applyInPandas(bundle, f"{thread} {dict(mails.dtypes)[thread]}, content binary")
+    def run(batches):
+        first = next(batches, None)
+        if first is None:
+            return
+        give = lambda keys, contents: pa.RecordBatch.from_arrays([pa.array(keys, first.schema.field(0).type), pa.array(contents, pa.binary())], names=[thread, "content"])
+        rows = itertools.chain.from_iterable(zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for b in itertools.chain([first], batches))
+        keys, contents, held = [], [], 0
+        for key, of in itertools.groupby(rows, key=lambda r: r[0]):
+            keys.append(key)
+            contents.append(bundle(raw for _, raw in of))
+            held += len(contents[-1])
+            if held > HELD or len(keys) >= MAILS:
+                yield give(keys, contents)
+                keys, contents, held = [], [], 0
+        yield give(keys, contents)
+
+    # the mails of a thread follow one another in a task, which bundles one thread at a time
+    by_thread = mails.select(thread, order, "content").repartition(_tasks(mails), thread).sortWithinPartitions(thread, F.col(order).asc_nulls_last())
+    return by_thread.select(thread, "content").mapInArrow(run, f"{thread} {dict(mails.dtypes)[thread]}, content binary")
 
 
 def text_items(spark, path: str, most: int = 20_000) -> DataFrame:

@@ -61,6 +61,21 @@ def test_rebuilt_and_bundled(spark):
     assert [a["name"] for a in mail.parse(out[7])["attachments"]] == ["first.eml", "second.eml"] and len(mail.parse(out[8])["attachments"]) == 1
 
 
+def test_mails_are_read_in_few_frames_and_headers_once(spark, monkeypatch):
+    mails = spark.range(300).selectExpr("id", "id % 60 as thread", "cast(null as binary) as raw", "concat('s', id) as subject", "'a@x.org' as sender", "'b@x.org' as to", "cast(null as string) as date", "'t' as text", "cast(null as string) as html")
+    made = mail.rebuilt(mails).withColumn("thread", F.col("id") % 60)
+    assert made.rdd.getNumPartitions() == 4
+    whole = mail.bundled(made, "thread", "id")
+    assert whole.rdd.getNumPartitions() == 4  # as many tasks as are asked for, however few bytes there are
+    got = mail.flattened(whole.selectExpr("cast(thread as string) as path", "content")).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("place", "label"))).alias("l")).collect()
+    assert {int(r.path): [x.label for x in r.l] for r in got} == {t: [f"/s{t + 60 * k}.eml/body_text" for k in range(5)] for t in range(60)}
+    raw, asked = letter("once", "read", ("a.pdf", b"%PDF a"), letter("in", "it")).as_bytes(), []
+    read = mail.email.headerregistry.HeaderRegistry.__call__
+    monkeypatch.setattr(mail.email.headerregistry.HeaderRegistry, "__call__", lambda self, name, value: asked.append((name, value)) or read(self, name, value))
+    mail.parse(raw)
+    assert len(asked) == len(set(asked))
+
+
 def test_text_items(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"abc \xff" + b"x" * 30_000)
     r = mail.text_items(spark, str(tmp_path)).first()
