@@ -153,7 +153,9 @@ def alike_pairs(said: DataFrame, names: DataFrame) -> DataFrame:
         texts = pa.chunked_array([*x["said"].chunks, *y["name"].chunks]).combine_chunks()
         prepared = similarity.Names(texts.to_pylist())
         i, j = similarity.may_agree(prepared, np.arange(n), np.arange(n, n + m))
-        return pa.Table.from_batches([_scored(texts, texts, i, j + n, prepared)])
+        # short forms and equal names, which need not be alike by their words, meet by keys
+        i, j = similarity.by_words(prepared, i, j + n)
+        return pa.Table.from_batches([_scored(texts, texts, i, j, prepared)])
 
     left, right = _met(a, "said", b_tiles, "a", "b"), _met(b, "name", a_tiles, "b", "a")
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(tile, SCORED)

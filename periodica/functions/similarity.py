@@ -234,24 +234,27 @@ def scores(names: Names, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
+def by_words(names: Names, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose sorted words are as alike as names that are alike have them."""
+    ok = [Pairs(names, i[k : k + PAIRS], j[k : k + PAIRS]).sorted_words() >= TOKEN_RATIO for k in range(0, len(i), PAIRS)]
+    ok = np.concatenate([np.zeros(0, bool), *ok])
+    return i[ok], j[ok]
+
+
 # --- which pairs can agree by likeness ---
 
-#: Classes that characters are put in, and how many of a class are told apart.
-CLASSES, TIMES, WORD_BITS = 40, 3, 192
+#: Classes that characters are put in, how many of a class are told apart, and pairs that are looked at once.
+CLASSES, TIMES, HITS = 40, 3, 1 << 16
 
 
-def sketch(names: Names) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bags, rest, words, size): by class of character whether there is one, two, three; how many more there are; bits of the words;
-    the length of the sorted words."""
+def sketch(names: Names) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bags, rest, size): by class of character whether there is one, two, three; how many more there are; the length of the sorted words."""
     n = len(names.raw.sizes)
     codes = names.sorted.codes
     row, col = np.nonzero(codes)
     counts = np.bincount(row * CLASSES + codes[row, col] % CLASSES, minlength=n * CLASSES).reshape(n, CLASSES)
     bags = (counts[:, :, None] > np.arange(TIMES)).reshape(n, -1).astype(np.float32)
-    words = np.zeros((n, WORD_BITS), np.float32)
-    row, col = np.nonzero(names.words)
-    words[row, names.words[row, col] % WORD_BITS] = 1
-    return bags, np.maximum(counts - TIMES, 0).sum(1), words, names.sorted.sizes
+    return bags, np.maximum(counts - TIMES, 0).sum(1), names.sorted.sizes
 
 
 def may_agree(names: Names, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,17 +264,53 @@ def may_agree(names: Names, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, n
     0.35 of both lengths in common; and of names of like length either the plain or a sorted one is ``RATIO`` alike, with 0.41 of both
     lengths in common, or a word is shared.
     """
-    bags, rest, words, size = sketch(names)
+    bags, rest, size = sketch(names)
     raw = names.raw.sizes
-    held = bags[i] @ bags[j].T + np.minimum(rest[i][:, None], rest[j])
-    both = size[i][:, None] + size[j]
-    ok = held >= TOKEN_RATIO / 200 * both - 1e-3
-    a, b = raw[i][:, None], raw[j]
-    unlike = np.maximum(a, b) >= 1.5 * np.minimum(a, b)
-    # blanks at word ends may count in the plain ratio, though not in the sorted words
-    blanks = (a - size[i][:, None]) + (b - size[j])
     once = np.maximum(names.unique.sizes - 1, 0)
-    near = (held + blanks >= RATIO / 200 * (a + b) - 1e-3) | (held >= RATIO / 190 * (once[i][:, None] + once[j]) - 1e-3)
-    ok &= unlike | near | (words[i] @ words[j].T > 0)
-    ok &= (a > 0) & (b > 0)
-    return np.nonzero(ok)
+    a, b = raw[i], raw[j]
+    unlike = max(a.max(initial=0), b.max(initial=0)) >= 1.5 * min(a.min(initial=1 << 30), b.min(initial=1 << 30))
+    hit = np.zeros((len(i), len(j)), bool)
+    if unlike:
+        hit |= np.maximum(a[:, None], b) >= 1.5 * np.minimum(a[:, None], b)
+    _mark_shared(hit, names.words[i], names.words[j])
+    # one product gives what is in common less what is asked for, as the rest of the one side bounds what both rests share
+    blanks = raw - size
+    for need in (RATIO / 200 * raw - blanks, RATIO / 190 * once):
+        more = (rest[i] - need[i])[:, None].astype(np.float32)
+        left = np.concatenate([bags[i], more, np.ones_like(more)], 1)
+        right = np.concatenate([bags[j], np.ones((len(j), 1), np.float32), -need[j][:, None].astype(np.float32)], 1)
+        hit |= left @ right.T >= -1e-2
+    x, y = np.nonzero(hit)
+    keep = [np.zeros(0, np.int64)]
+    for k in range(0, len(x), HITS):
+        keep.append(k + np.flatnonzero(_passes(bags, rest, size, raw, once, names.words, i[x[k : k + HITS]], j[y[k : k + HITS]])))
+    keep = np.concatenate(keep)
+    return x[keep], y[keep]
+
+
+def _mark_shared(hit: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Set where a row of ``x`` and one of ``y`` have a word in common."""
+    def of(words):
+        row, col = np.nonzero(words)
+        ids = words[row, col]
+        order = np.argsort(ids, kind="stable")
+        known, first = np.unique(ids[order], return_index=True)
+        return known, np.split(row[order], first[1:])
+
+    (known_x, rows_x), (known_y, rows_y) = of(x), of(y)
+    for p, q in zip(*np.intersect1d(known_x, known_y, assume_unique=True, return_indices=True)[1:]):
+        hit[np.ix_(rows_x[p], rows_y[q])] = True
+
+
+def _passes(bags, rest, size, raw, once, words, i, j) -> np.ndarray:
+    """Of each pair whether it can agree."""
+    held = np.einsum("ij,ij->i", bags[i], bags[j]) + np.minimum(rest[i], rest[j])
+    a, b = raw[i], raw[j]
+    ok = (a > 0) & (b > 0) & (held >= TOKEN_RATIO / 200 * (size[i] + size[j]) - 1e-3)
+    unlike = np.maximum(a, b) >= 1.5 * np.minimum(a, b)
+    blanks = (a - size[i]) + (b - size[j])
+    near = (held + blanks >= RATIO / 200 * (a + b) - 1e-3) | (held >= RATIO / 190 * (once[i] + once[j]) - 1e-3)
+    shared = np.zeros(len(i), bool)
+    rows = np.flatnonzero(ok & ~unlike & ~near)
+    shared[rows] = ((words[i[rows]][:, :, None] == words[j[rows]][:, None, :]) & (words[i[rows]] != 0)[:, :, None]).any((1, 2))
+    return ok & (unlike | near | shared)

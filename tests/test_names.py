@@ -240,6 +240,29 @@ def test_a_period_hint_looks_for_each_pattern_once(spark):
     assert said.lower().count("regexp_extract") <= 12  # six groups, each for two fields at most
 
 
+def test_a_tile_of_names_takes_little_and_loses_none():
+    import tracemalloc
+
+    import numpy as np
+
+    words = ["".join(chr(97 + (k * 7 + 5 * i * i + k // 26 * i) % 26) for i in range(8)) for k in range(3000)]
+    said = [f"{words[k]} {words[(k * 3 + 1) % 3000]} {words[(k * 5 + 2) % 3000]}" for k in range(2048)]
+    n = similarity.Names(said + [s + "e" for s in said])
+    i, j = np.arange(2048), np.arange(2048, 4096)
+    tracemalloc.start()
+    x, y = similarity.may_agree(n, i, j)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(zip(range(2048), range(2048))) <= set(zip(x.tolist(), y.tolist()))
+    assert peak < 130 << 20  # five matrices of eight bytes a pair, as they were held at once, are 160 MB
+    few = similarity.Names(["al b", "maria anna", "a b c", "o'neil smith"] * 5 + ["al", "anna maria", "ana mara", "smith", "x", "oneil smyth"])
+    i, j = np.repeat(np.arange(20), 6), np.tile(np.arange(20, 26), 20)
+    score = similarity.scores(few, i, j)
+    alike = ~np.isnan(score) & (similarity.Pairs(few, i, j).sorted_words() >= similarity.TOKEN_RATIO)
+    x, y = similarity.by_words(few, *(lambda p, q: (p, q + 20))(*similarity.may_agree(few, np.arange(20), np.arange(20, 26))))
+    assert set(zip(i[alike].tolist(), j[alike].tolist())) <= set(zip(x.tolist(), y.tolist()))
+
+
 def test_dates_and_attendance(spark):
     text = "2024-01-02 08:30 to 17:00, 3 Jan 2024 Weekend, January 4, 2024 sick, 2024-02-31 and 5/Feb/2024 9:00"
     r = one(spark, d=l.dates_in(F.lit(text)), a=l.attendance(F.lit(text)), none=l.dates_in(F.lit("none")))
