@@ -72,7 +72,8 @@ def normalise(sheets: DataFrame, weekends: Column | None = None) -> DataFrame:
 
     # one by one: what is no date, what is of another month, and what two lists claim
     bad = F.transform(F.filter("_all", lambda c: ~iso(c)), lambda c: F.concat(F.lit("not a date: "), c["date"], F.lit(" ("), c["bucket"], F.lit(")")))
-    odd = F.filter("_all", lambda c: iso(c) & (~bits.within(c["date"], begins) | bits.holds(F.col("_clash_bits"), c["date"], begins)))
+    # the set is computed once, not for each date
+    odd = F.get(F.transform(F.array("_clash_bits"), lambda both: F.filter("_all", lambda c: iso(c) & (~bits.within(c["date"], begins) | bits.holds(both, c["date"], begins)))), F.lit(0))
     s = s.withColumns({"_bad": bad, "_claims": odd})
     owner = lambda c: F.get(F.filter(F.col("_claims"), lambda x: x["date"] == c["date"]), F.lit(0))["bucket"]
     far = lambda c: ~bits.within(c["date"], begins)
@@ -156,18 +157,25 @@ def month_union(sheets: DataFrame, order: str) -> DataFrame:
     covered days, period types and issues in order of appearance. Days of the month are united as bits, others as lists."""
     begins = bits.prefix(F.col("year"), F.col("month"))
     sets = [*ALL, "unaccounted"]
-    in_order = lambda c: F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.size(c) > 0, F.struct(order, F.col(c).alias("v"))))), lambda x: x["v"])))
-    unsure = F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.size("uncertain_days") > 0, F.struct(F.col(order), F.col("uncertain_days").alias("v"))))), lambda x: x["v"]))
-    far = {b: bits.elsewhere(F.col(b), begins) for b in sets}
-    g = sheets.groupBy("person", "year", "month").agg(
-        *(F.bit_or(bits.bits(F.col(b), begins)).alias(b) for b in sets), *(F.flatten(F.collect_set(F.when(F.size(c) > 0, c))).alias(f"_{b}") for b, c in far.items()),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("missing_days")))).alias("missing_days"), unsure.alias("_u"),
-        F.sum("days_covered").alias("days_covered"), F.sort_array(F.collect_set("period_type")).alias("period_types"), in_order("issues").alias("issues"),
+    far = F.array(*(bits.elsewhere(F.col(b), begins) for b in sets))
+    nothing = F.array().cast("array<array<string>>")
+    # one list of what is not bits, for all lists together: each aggregate of objects costs a group more than its few rows do
+    rows = sheets.withColumn("_far", far).withColumn("_far", F.when(F.exists("_far", lambda x: F.size(x) > 0), F.col("_far")).otherwise(nothing))
+    g = rows.groupBy("person", "year", "month").agg(
+        *(F.bit_or(bits.bits(F.col(b), begins)).alias(b) for b in sets), F.sum("days_covered").alias("days_covered"),
+        F.collect_list(F.struct(F.col(order).alias("at"), "uncertain_days", "issues", "missing_days", "period_type", "_far")).alias("_rows"),
     )
+    of = lambda c: F.flatten(F.transform(F.sort_array(F.transform(F.filter("_rows", lambda x: F.size(x[c]) > 0), lambda x: F.struct(x["at"].alias("at"), x[c].alias("v")))), lambda x: x["v"]))
+    known = lambda c: F.filter(F.transform("_rows", lambda x: x[c]), lambda x: x.isNotNull())
+    g = g.withColumns({
+        "missing_days": F.array_sort(F.array_distinct(F.flatten(known("missing_days")))), "_u": of("uncertain_days"), "issues": F.array_distinct(of("issues")),
+        "period_types": F.array_sort(F.array_distinct(known("period_type"))), "_away": F.filter(F.transform("_rows", lambda x: x["_far"]), lambda x: F.size(x) > 0),
+    })
+    g = g.withColumns({f"_{b}": F.flatten(F.transform("_away", lambda x: F.get(x, F.lit(k)))) for k, b in enumerate(sets)})  # noqa: B023
     g = g.withColumns({b: F.when(F.size(f"_{b}") == 0, bits.days(F.col(b), begins)).otherwise(F.array_sort(F.array_distinct(F.concat(bits.days(F.col(b), begins), f"_{b}")))) for b in sets})
     first = F.filter(F.transform("_u", lambda u, i: F.when(~F.exists(F.slice(F.col("_u"), 1, i), lambda v: v["date"] == u["date"]), u)), lambda u: u.isNotNull())
     tag = F.concat(F.lit("group:"), F.substring(F.sha1(F.concat_ws("|", "person", F.coalesce("month", F.lit(0)), F.coalesce("year", F.lit(0)))), 1, 12))
-    return g.withColumn("uncertain_days", F.array_sort(first)).withColumn("tag", tag).drop("_u", *(f"_{b}" for b in sets))
+    return g.withColumn("uncertain_days", F.array_sort(first)).withColumn("tag", tag).drop("_u", "_rows", "_away", *(f"_{b}" for b in sets))
 
 
 def identities(sheets: DataFrame, senders: DataFrame) -> DataFrame:

@@ -88,3 +88,26 @@ def test_stream_takes_each_key_once(spark, tmp_path):
     stream = ingest.once(ingest.source(spark, f"{tmp_path}/in", df, 1), "at", "id")
     ingest.run(stream, f"{tmp_path}/state", path=f"{tmp_path}/out")
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_months_are_united_by_one_list_aggregate(spark):
+    from periodica.functions import sheets as s
+
+    lists = {b: [] for b in s.ALL}
+    base = lists | {"person": "p", "year": 2024, "month": 5, "period_type": "week", "days_covered": 1, "uncertain_days": [], "missing_days": [], "unaccounted": [], "issues": []}
+    rows = [
+        base | {"seq": 2, "annual": ["2024-05-02", "2024-06-09"], "sick": ["2024-04-30"], "issues": ["b", "a"], "missing_days": [4, 2], "uncertain_days": [("2024-05-07", "late")]},
+        base | {"seq": 1, "annual": ["2024-05-01", "2024-06-09"], "issues": ["c", "b"], "missing_days": [2], "uncertain_days": [("2024-05-07", "first")], "period_type": "full_month"},
+        base | {"seq": 3, "working_days": ["2024-05-03"], "missing_days": None, "period_type": None},
+        base | {"seq": 1, "month": 6},
+    ]
+    texts = ", ".join(f"{b} array<string>" for b in s.ALL)
+    d = spark.createDataFrame(rows, f"person string, year int, month int, seq int, period_type string, days_covered long, {texts}, uncertain_days array<struct<date: string, reason: string>>, missing_days array<int>, unaccounted array<string>, issues array<string>")
+    g = s.month_union(d, "seq")
+    got = {r.month: r for r in g.collect()}
+    m = got[5]
+    assert (m.annual, m.sick, m.working_days, m.remote) == (["2024-05-01", "2024-05-02", "2024-06-09"], ["2024-04-30"], ["2024-05-03"], [])
+    assert (m.issues, m.missing_days, m.period_types, m.days_covered) == (["c", "b", "a"], [2, 4], ["full_month", "week"], 3)
+    assert [tuple(u) for u in m.uncertain_days] == [("2024-05-07", "first")] and got[6].issues == got[6].annual == []
+    said = g._jdf.queryExecution().optimizedPlan().toString()
+    assert said.count("collect_list(") + said.count("collect_set(") == 1
