@@ -44,10 +44,20 @@ def holds(mask: Column, date: Column, begins: Column) -> Column:
     return within(date, begins) & (mask.bitwiseAND(bit(date)) != 0)
 
 
+def _members(mask: Column) -> Column:
+    """(bit, day, text) of the days of a set, in order, out of a constant list."""
+    month = F.array(*(F.struct(F.lit(1 << (k - 1)).alias("bit"), F.lit(k).alias("day"), F.lit(f"{k:02}").alias("text")) for k in range(1, 32)))
+    return F.filter(month, lambda x: mask.bitwiseAND(x["bit"]) != 0)
+
+
+def numbers(mask: Column) -> Column:
+    """The days of a set, in order."""
+    return F.transform(_members(mask), lambda x: x["day"])
+
+
 def days(mask: Column, begins: Column) -> Column:
     """The dates of a set, in order."""
-    some = F.filter(F.sequence(F.lit(1), F.lit(31)), lambda k: mask.bitwiseAND(of_day(k)) != 0)
-    dated = F.transform(some, lambda k: F.concat(begins, F.lpad(k.cast("string"), 2, "0")))
+    dated = F.transform(_members(mask), lambda x: F.concat(begins, x["text"]))
     return F.when(mask == 0, F.array().cast("array<string>")).otherwise(dated)
 
 

@@ -145,11 +145,30 @@ def folds(sheets: DataFrame) -> DataFrame:
 
 
 def crossing(sheets: DataFrame) -> DataFrame:
-    """person, year, month, date, buckets: dates that different sheets put in lists that don't go together."""
-    each = sheets.select("person", "year", "month", "name", F.inline(claims(ALL))).where(F.col("date").rlike(d.ISO))
-    by = each.groupBy("person", "year", "month", "date").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"), F.count_distinct("name").alias("sheets"))
-    clash = F.exists("buckets", lambda a: F.exists("buckets", lambda b: (a != b) & ~compatible(a, b)))
-    return by.where((F.col("sheets") > 1) & clash).drop("sheets")
+    """person, year, month, date, buckets: dates that different sheets put in lists that don't go together.
+
+    Days of the sheet's month are sets of bits in one row; any other date has a row of its own, as its only day. A day is of several
+    sheets if one ahead by name has it too: groups hold numbers, not lists, and are read one row at a time.
+    """
+    begins = bits.prefix(F.col("year"), F.col("month"))
+    of = lambda b: F.when(F.size(b) > 0, bits.bits(trimmed(F.col(b)), begins)).otherwise(F.lit(0))
+    month = F.struct(F.lit(None).cast("string").alias("_at"), *(of(b).alias(b) for b in ALL))
+    one = lambda c, k: F.when(c["k"] == k, F.lit(1)).otherwise(F.lit(0))
+    others = F.filter(claims(ALL), lambda c: c["date"].rlike(d.ISO) & ~bits.within(c["date"], begins))
+    others = F.transform(others, lambda c: F.struct(c["date"].alias("_at"), *(one(c, k).alias(b) for k, b in enumerate(ALL))))
+    keys, claimed = ["person", "year", "month", "_at"], bits.union(*(F.col(b) for b in ALL))
+    each = sheets.select("person", "year", "month", "name", F.inline(F.concat(F.array(month), others))).where(claimed != 0)
+    named = each.repartition(*keys).groupBy(*keys, "name").agg(*(F.bit_or(b).alias(b) for b in ALL))
+    ahead = Window.partitionBy(*keys).orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
+    named = named.withColumn("_own", F.when(F.col("name").isNotNull(), claimed).otherwise(F.lit(0)))
+    named = named.withColumn("_shared", F.col("_own").bitwiseAND(F.coalesce(F.bit_or("_own").over(ahead), F.lit(0))))
+    by = named.groupBy(*keys).agg(*(F.bit_or(b).alias(b) for b in [*ALL, "_shared"]))
+    clash = bits.union(*(F.col(a).bitwiseAND(F.col(b)) for k, b in enumerate(ALL) for a in ALL[:k] if _apart(a, b)))
+    by = by.withColumn("_days", F.col("_shared").bitwiseAND(clash)).where("_days <> 0")
+    by = by.select(*keys, *ALL, F.explode(bits.numbers(F.col("_days"))).alias("_day"))
+    buckets = F.filter(F.array(*(F.when(F.col(b).bitwiseAND(bits.of_day(F.col("_day"))) != 0, F.lit(b)) for b in sorted(ALL))), lambda x: x.isNotNull())
+    date = F.coalesce("_at", F.concat(begins, F.lpad(F.col("_day").cast("string"), 2, "0")))
+    return by.select("person", "year", "month", date.alias("date"), buckets.alias("buckets"))
 
 
 def month_union(sheets: DataFrame, order: str) -> DataFrame:

@@ -111,3 +111,33 @@ def test_months_are_united_by_one_list_aggregate(spark):
     assert [tuple(u) for u in m.uncertain_days] == [("2024-05-07", "first")] and got[6].issues == got[6].annual == []
     said = g._jdf.queryExecution().optimizedPlan().toString()
     assert said.count("collect_list(") + said.count("collect_set(") == 1
+
+
+def test_crossing_groups_hold_numbers_not_lists(spark):
+    """Sheets of one name or none, dates of other months and of no month, against a reading by hand; no aggregate gathers a list."""
+    import itertools
+    import random
+
+    from periodica.functions import sheets as s
+    from periodica.plans import sheets as plans
+
+    r = random.Random(7)
+    days = ["2024-02-01", " 2024-02-16", "2024-02-17", "2024-02-29", "2024-02-31", "2024-02-32", "2024-02-00", "2024-03-01", "no date", None]
+    rows = []
+    for _ in range(120):
+        lists = [r.choice([None, [], r.sample(days, 2)]) if b in ("annual", "remote", "other", "working_days", "weekend_days") else [] for b in s.ALL]
+        rows.append((r.choice(["a", None]), *r.choice([(2024, 2), (2024, 2), (None, 2)]), r.choice(["x", "x", "y", None]), *lists))
+    for few in (rows[:9], rows):
+        df = spark.createDataFrame(few, "person string, year int, month int, name string, " + ", ".join(f"{b} array<string>" for b in s.ALL))
+        seen = {}
+        for person, year, month, name, *lists in few:
+            for b, dates in zip(s.ALL, lists):
+                for x in dates or ():
+                    if x and (x := x.strip())[:2] == "20":
+                        names, buckets = seen.setdefault((person, year, month, x), (set(), set()))
+                        buckets.add(b)
+                        names.update([name] if name else [])
+        want = {(*k, *sorted(b)) for k, (n, b) in seen.items() if len(n) > 1 and any(s._apart(*two) for two in itertools.combinations(b, 2))}
+        assert want and {(x.person, x.year, x.month, x.date, *x.buckets) for x in s.crossing(df).collect()} == want
+    for plan in (s.crossing(df), plans.crossing_sheets(spark, "/root/testdata/sf0.001")):
+        assert "collect_" not in plan._jdf.queryExecution().executedPlan().toString()
