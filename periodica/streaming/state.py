@@ -12,6 +12,7 @@ import datetime
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 Rows = Iterator[Row]
@@ -48,32 +49,47 @@ class _Processor(StatefulProcessor):
         pass
 
 
+#: Threads of neighbouring numbers that are read together, 2 to this power: what a call to the state store costs is theirs in common.
+BLOCK = 4
+
+
 class _Late(_Processor):
     def open(self, handle, keep_ms):
-        self.run = handle.getValueState("run", "at long", keep_ms)
+        self.keep_ms = keep_ms
+        self.runs = handle.getListState("run", "thread long, at long, touched long", keep_ms)
 
     def handleInputRows(self, key, rows: Rows, timerValues):
-        found = self.run.get()
-        run, messages = found[0] if found else None, []
-        for r in rows:
-            at = _us(r.at)
-            if r.kind == "message":
-                messages.append((r.id, r.at, at))
-            elif r.kind == "run" and at is not None:
-                run = at if run is None else max(run, at)
-        if run is not None:
-            self.run.update((run,))
-        for i, time, at in messages:
-            yield Row(thread=key[0], id=i, at=time, state="new" if at is not None and (run is None or at > run) else "covered")
+        now, messages, touched = timerValues.getCurrentProcessingTimeInMs(), [], set()
+        found = {thread: (at, last) for thread, at, last in self.runs.get()}
+        live = {thread: (at, last) for thread, (at, last) in found.items() if last + self.keep_ms > now}
+        runs = {thread: at for thread, (at, _) in live.items()}
+        for _, thread, i, at, kind in rows:
+            touched.add(thread)
+            if kind == "message":
+                messages.append((thread, i, at))
+            elif kind == "run" and at is not None:
+                runs[thread] = max(at, runs.get(thread, at))
+        live |= {thread: (runs[thread], now) for thread in touched if thread in runs}
+        if live:
+            if live != found:
+                self.runs.put([(thread, at, last) for thread, (at, last) in live.items()])
+        elif found:
+            self.runs.clear()
+        for thread, i, at in messages:
+            yield Row(thread=thread, id=i, at=at, state="new" if at is not None and (thread not in runs or at > runs[thread]) else "covered")
 
 
 def late_or_covered(stream: DataFrame, keep: int = KEEP) -> DataFrame:
     """thread, id, at, state: a thread's messages (kind message) after its last run (kind run) are new, others covered.
 
     A message of no time passes as covered, and one of a thread that never ran is new. Runs of a batch count for the messages
-    of that batch by time. State: the newest run of each thread.
+    of that batch by time. State: the newest run of each thread, and when a row last touched it; sixteen threads of neighbouring
+    numbers are a key.
     """
-    return _keyed(stream, "thread", _Late(keep), "thread long, id long, at timestamp, state string")
+    block = F.call_function("shiftright", F.col("thread"), F.lit(BLOCK))
+    rows = stream.select(block.alias("block"), "thread", "id", F.unix_micros("at").alias("at"), "kind")
+    out = _keyed(rows, "block", _Late(keep), "thread long, id long, at long, state string")
+    return out.select("thread", "id", F.timestamp_micros("at").alias("at"), "state")
 
 
 class _Context(_Processor):

@@ -154,3 +154,57 @@ def test_a_batch_of_a_key_takes_few_calls_to_the_store():
             assert store.calls <= most
     assert said[:4] == [[(7, "skip")], [(7, "need")], [(7, 2, 0, 1, 1, 0, "completed")], [(7, 2, 0, 1, 1, 0, "completed")]]
     assert said[4:] == [[(7, 1, True), (7, 2, True), (7, 3, False)], [(7, 4, True), (7, 5, True)]] and store.timers == {21000}
+
+
+def test_neighbouring_threads_share_a_key(spark, tmp_path):
+    """Thirty-three threads and rows of none take four keys, and each has a run of its own."""
+    schema = "thread long, id long, at timestamp, kind string"
+    threads = [*range(-1, 32), None]
+    runs = [(k, 100, at(5 + (k or 0) % 3), "run") for k in threads]
+    got = fed(spark, str(tmp_path), [runs, [(k, n, at(n), "message") for k in threads for n in (5, 6, 7, 8)]], schema, state.late_or_covered)
+    want = {(k, n, "new" if n > 5 + (k or 0) % 3 else "covered") for k in threads for n in (5, 6, 7, 8)}
+    assert {(r.thread, r.id, r.state) for k in got for r in got[k]} == want
+    held = spark.read.format("statestore").option("stateVarName", "run").load(f"{tmp_path}/state")
+    assert held.select("key").distinct().count() == 4 and held.count() == len(threads)
+
+
+def test_threads_of_a_key_are_forgotten_one_by_one():
+    class Held:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def getListState(self, *_):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.calls += 1
+            self.rows = rows
+
+        def clear(self):
+            self.put([])
+
+    class Now:
+        def __init__(self, s):
+            self.s = s
+
+        def getCurrentProcessingTimeInMs(self):
+            return self.s * 1000
+
+    held, late = Held(), state._Late(10)
+    late.init(held)
+
+    def batch(s, *rows):
+        held.calls = 0
+        said = [(r.thread, r.state) for r in late.handleInputRows((0,), (Row(block=0, thread=k, id=1, at=t, kind=kind) for k, t, kind in rows), Now(s))]
+        assert held.calls <= 2
+        return said
+
+    assert batch(0, *((k, 50, "run") for k in range(16))) == [] and len(held.rows) == 16
+    assert batch(6, (1, 40, "message"), (1, None, "message")) == [(1, "covered")] * 2 and len(held.rows) == 16
+    assert batch(12, (1, 40, "message"), (2, 40, "message")) == [(1, "covered"), (2, "new")]
+    assert [r[0] for r in held.rows] == [1]
+    assert batch(30, (3, 40, "message")) == [(3, "new")] and held.rows == []
