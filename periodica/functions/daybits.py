@@ -46,7 +46,7 @@ def holds(mask: Column, date: Column, begins: Column) -> Column:
 
 def _members(mask: Column) -> Column:
     """(bit, day, text) of the days of a set, in order, out of a constant list."""
-    month = F.array(*(F.struct(F.lit(1 << (k - 1)).alias("bit"), F.lit(k).alias("day"), F.lit(f"{k:02}").alias("text")) for k in range(1, 32)))
+    month = F.expr("array(" + ", ".join(f"named_struct('bit', {1 << (k - 1)}, 'day', {k}, 'text', '{k:02}')" for k in range(1, 32)) + ")")
     return F.filter(month, lambda x: mask.bitwiseAND(x["bit"]) != 0)
 
 
