@@ -52,62 +52,121 @@ def normalise(sheets: DataFrame, weekends: Column | None = None) -> DataFrame:
 
     The month's days are sets of bits; dates of other months and those in conflict, few as a rule, are read one by one.
     """
-    y, m, nothing = F.col("year"), F.col("month"), F.array().cast("array<string>")
+    s = settled(marked(sheets, weekends))
+    own = [*sheets.columns, *(c for c in (*ALL, "uncertain_days", "missing_days", "unaccounted", "issues") if c not in sheets.columns)]
+    return s.select(*(listed(c).alias(c) if c in SETS else F.col(c) for c in own))
+
+
+#: The lists and the days that none has, by number: settled sheets have ``_b0`` and so on, and ``_far`` (k, date) for dates that are no days of the month; null: none.
+SETS = [*ALL, "unaccounted"]
+FAR = "array<struct<k: int, date: string>>"
+
+
+def listed(name: str) -> Column:
+    """A list of a settled sheet, or of a union of them, as dates in order."""
+    k = SETS.index(name)
+    here, far = bits.days(F.col(f"_b{k}"), bits.prefix(F.col("year"), F.col("month"))), F.transform(F.filter("_far", lambda x: x["k"] == k), lambda x: x["date"])
+    return F.when(F.col("_far").isNull(), here).otherwise(F.array_sort(F.array_distinct(F.concat(here, far))))
+
+
+def _some(test: Column, found: Column, kind: str = "array<string>") -> Column:
+    """``found``, which is computed only where ``test`` says that there is any."""
+    return F.when(test, found).otherwise(F.array().cast(kind))
+
+
+def marked(sheets: DataFrame, weekends: Column | None = None) -> DataFrame:
+    """Sheets of lists with what ``settled`` reads: the lists as bits, and the claims that are read one by one."""
     begins = F.col("_begins")
     iso = lambda c: c["date"].rlike(d.ISO)
-    known = weekends if weekends is not None else nothing
-    s = sheets.withColumns({"_begins": bits.prefix(y, m), "_weekends": known, "_all": claims(ALL)})
-    s = s.withColumns({f"_m{k}": bits.bits(trimmed(F.col(b)), begins) for k, b in enumerate(ALL)} | {"_we": bits.bits(F.col("_weekends"), begins)})
-    work, rest = ALL.index("working_days"), ALL.index("weekend_days")
-    own = {k: bits.less(F.col(f"_m{k}"), bits.union(*(F.col(f"_m{i}") for i in range(k)))) for k in range(len(ALL))}
-    s = s.withColumns({f"_o{k}": c for k, c in own.items()})
-    s = s.withColumn("_wrong_bits", F.col(f"_o{work}").bitwiseAND(F.col("_we")))
-    clash = []
-    for k, b in enumerate(ALL):
-        for i, a in enumerate(ALL[:k]):
-            if _apart(a, b):
-                both = F.col(f"_o{i}").bitwiseAND(F.col(f"_m{k}"))
-                clash.append(bits.less(both, F.col("_wrong_bits")) if a in DAYS and b in DAYS else both)
-    s = s.withColumns({"_clash_bits": bits.union(*clash), "_mine": bits.union(*(F.col(f"_m{k}") for k in range(len(ALL))))})
-
-    # one by one: what is no date, what is of another month, and what two lists claim
+    known = weekends if weekends is not None else F.array().cast("array<string>")
+    s = sheets.withColumns({"_begins": bits.prefix(F.col("year"), F.col("month")), "_weekends": known, "_all": claims(ALL)})
+    s = _owned(s.withColumns({f"_m{k}": bits.bits(trimmed(F.col(b)), begins) for k, b in enumerate(ALL)} | {"_we": bits.bits(F.col("_weekends"), begins)}))
     bad = F.transform(F.filter("_all", lambda c: ~iso(c)), lambda c: F.concat(F.lit("not a date: "), c["date"], F.lit(" ("), c["bucket"], F.lit(")")))
     # the set is computed once, not for each date
     odd = F.get(F.transform(F.array("_clash_bits"), lambda both: F.filter("_all", lambda c: iso(c) & (~bits.within(c["date"], begins) | bits.holds(both, c["date"], begins)))), F.lit(0))
-    s = s.withColumns({"_bad": bad, "_claims": odd})
+    return s.withColumns({"_bad": bad, "_claims": odd}).drop("_all")
+
+
+def marked_bits(sheets: DataFrame) -> DataFrame:
+    """The same of sheets whose lists, of dates in order, are given as bits, with ``_far`` (k, date) for the dates of other months, null where there are none."""
+    begins = F.col("_begins")
+    s = sheets.withColumns({"_begins": bits.prefix(F.col("year"), F.col("month")), "_weekends": F.array().cast("array<string>"), "_we": F.lit(0)} | {f"_m{k}": F.col(b) for k, b in enumerate(ALL)})
+    s, kind = _owned(s), "array<struct<k: int, i: int, bucket: string, date: string>>"
+    claim = lambda k, i, b, date: F.struct(F.lit(k).alias("k"), i.cast("int").alias("i"), F.lit(b).alias("bucket"), date.alias("date"))
+
+    def of(k: int, b: str) -> Column:
+        both = F.col(f"_m{k}").bitwiseAND(F.col("_clash_bits"))
+        here = F.transform(bits.numbers(both), lambda n: claim(k, n, b, F.concat(begins, F.lpad(n.cast("string"), 2, "0"))))
+        far = F.transform(F.filter("_far", lambda x: x["k"] == k), lambda x, i: claim(k, i + 31, b, x["date"]))
+        return F.concat(_some(both != 0, here, kind), _some(F.col("_far").isNotNull(), far, kind))
+
+    odd = _some((F.col("_clash_bits") != 0) | F.col("_far").isNotNull(), F.concat(*(of(k, b) for k, b in enumerate(ALL))), kind)
+    return s.withColumns({"_bad": F.array().cast("array<string>"), "_claims": odd}).drop("_far")
+
+
+def _owned(s: DataFrame) -> DataFrame:
+    """Of each list the days that are its own, the days of work that are weekends, and those that lists claim which don't go together."""
+    m = [F.col(f"_m{k}") for k in range(len(ALL))]
+    s = s.withColumns({f"_o{k}": bits.less(m[k], bits.union(*m[:k])) for k in range(len(ALL))})
+    s = s.withColumn("_wrong_bits", F.col(f"_o{ALL.index('working_days')}").bitwiseAND(F.col("_we")))
+    clash = []
+    for k, b in enumerate(ALL):
+        apart, beside = ([F.col(f"_o{i}") for i, a in enumerate(ALL[:k]) if _apart(a, b) and (a in DAYS and b in DAYS) == x] for x in (False, True))
+        clash.append(m[k].bitwiseAND(bits.union(*apart, *(bits.less(o, F.col("_wrong_bits")) for o in beside))))
+    return s.withColumns({"_clash_bits": bits.union(*clash), "_mine": bits.union(*m)})
+
+
+def settled(s: DataFrame) -> DataFrame:
+    """Marked sheets with clean lists as bits (``SETS``), ``uncertain_days``, ``missing_days`` and ``issues``; see ``normalise``.
+
+    What is read one by one is looked at only in sheets that have any of it: most cost some operations on whole numbers.
+    """
+    y, m, nothing = F.col("year"), F.col("month"), F.array().cast("array<string>")
+    begins, any_odd = F.col("_begins"), F.size("_claims") > 0
+    iso = lambda c: c["date"].rlike(d.ISO)
+    work, rest = ALL.index("working_days"), ALL.index("weekend_days")
     owner = lambda c: F.get(F.filter(F.col("_claims"), lambda x: x["date"] == c["date"]), F.lit(0))["bucket"]
     far = lambda c: ~bits.within(c["date"], begins)
-    s = s.withColumn("_wrong", F.array_intersect("_weekends", F.transform(F.filter("_claims", lambda c: far(c) & (c["bucket"] == "working_days") & (owner(c) == "working_days")), lambda c: c["date"])))
+    kept = F.filter("_claims", lambda c: far(c) & (owner(c) == c["bucket"]))
+    away = F.array_sort(F.array_distinct(F.transform(kept, lambda c: F.struct(c["k"].alias("k"), c["date"].alias("date")))))
+    s = s.withColumn("_away", _some(any_odd, away, FAR))
+    any_away = F.size("_away") > 0
+    s = s.withColumn("_wrong", _some(any_away & (F.size("_weekends") > 0), F.array_intersect("_weekends", F.transform(F.filter("_away", lambda x: x["k"] == work), lambda x: x["date"]))))
     wrong = lambda c: F.array_contains("_wrong", c["date"]) | bits.holds(F.col("_wrong_bits"), c["date"], begins)
-    settled = lambda c: wrong(c) & c["bucket"].isin(*DAYS) & owner(c).isin(*DAYS)
-    twice = F.filter("_claims", lambda c: (owner(c) != c["bucket"]) & ~compatible(owner(c), c["bucket"]) & ~settled(c))
+    settled_ = lambda c: wrong(c) & c["bucket"].isin(*DAYS) & owner(c).isin(*DAYS)
+    twice = F.filter("_claims", lambda c: (owner(c) != c["bucket"]) & ~compatible(owner(c), c["bucket"]) & ~settled_(c))
     say = lambda c: F.concat(F.lit("date in two categories: "), c["date"], F.lit(" in "), owner(c), F.lit(" and "), c["bucket"])
-    s = s.withColumn("_twice", F.array_distinct(F.transform(twice, say)))
-    away = lambda b: F.array_sort(F.array_distinct(F.transform(F.filter("_claims", lambda c: far(c) & (c["bucket"] == b) & (owner(c) == b)), lambda c: c["date"])))
-    s = s.withColumns({f"_a{k}": F.when(F.size("_claims") == 0, nothing).otherwise(away(b)) for k, b in enumerate(ALL)})
-    s = s.withColumns({f"_a{work}": F.array_except(f"_a{work}", "_wrong"), f"_a{rest}": F.array_sort(F.array_union(f"_a{rest}", "_wrong"))})
-    s = s.withColumns({f"_o{work}": bits.less(F.col(f"_o{work}"), F.col("_wrong_bits")), f"_o{rest}": F.col(f"_o{rest}").bitwiseOR(F.col("_wrong_bits"))})
-    here = {k: bits.days(F.col(f"_o{k}"), begins) for k in range(len(ALL))}
-    s = s.withColumns({f"_new_{b}": F.when(F.size(f"_a{k}") == 0, here[k]).otherwise(F.array_sort(F.concat(here[k], f"_a{k}"))) for k, b in enumerate(ALL)})
+    turned = F.transform("_wrong", lambda x: F.struct(F.lit(rest).alias("k"), x.alias("date")))
+    turned = F.array_sort(F.array_distinct(F.concat(F.filter("_away", lambda x: (x["k"] != work) | ~F.array_contains("_wrong", x["date"])), turned)))
+    s = s.withColumns({"_twice": _some(any_odd, F.array_distinct(F.transform(twice, say))), "_away": F.when(F.size("_wrong") > 0, turned).otherwise(F.col("_away"))})
+    clean = {k: F.col(f"_o{k}") for k in range(len(ALL))}
+    clean |= {work: bits.less(clean[work], F.col("_wrong_bits")), rest: clean[rest].bitwiseOR(F.col("_wrong_bits"))}
+    s = s.withColumns({f"_b{k}": c for k, c in clean.items()})
 
     # uncertain days are those that no list has; of equal dates the first reason stays
-    unsure = F.filter(F.transform(F.coalesce("uncertain_days", F.array().cast("array<struct<date: string, reason: string>>")), lambda u: F.struct(F.trim(u["date"]).alias("date"), F.substring(F.coalesce(u["reason"], F.lit("")), 1, 200).alias("reason"))), iso)
+    kind = "array<struct<date: string, reason: string>>"
+    any_unsure = F.size(F.coalesce("uncertain_days", F.array().cast(kind))) > 0
+    unsure = F.filter(F.transform("uncertain_days", lambda u: F.struct(F.trim(u["date"]).alias("date"), F.substring(F.coalesce(u["reason"], F.lit("")), 1, 200).alias("reason"))), iso)
     claimed = lambda u: bits.holds(F.col("_mine"), u["date"], begins) | F.exists("_claims", lambda c: c["date"] == u["date"])
-    of = lambda u: F.coalesce(owner(u), *(F.when(bits.holds(own[k], u["date"], begins), F.lit(b)) for k, b in enumerate(ALL)))
+    of = lambda u: F.coalesce(owner(u), *(F.when(bits.holds(F.col(f"_o{k}"), u["date"], begins), F.lit(b)) for k, b in enumerate(ALL)))
     free = F.filter(unsure, lambda u: ~claimed(u))
     first = F.filter(F.transform(free, lambda u, i: F.when(~F.exists(F.slice(free, 1, i), lambda v: v["date"] == u["date"]), u)), lambda u: u.isNotNull())
     also = F.transform(F.filter(unsure, claimed), lambda u: F.concat(F.lit("date in two categories: "), u["date"], F.lit(" in "), of(u), F.lit(" and uncertain_days")))
-    s = s.withColumn("_uncertain", F.array_sort(first)).withColumn("_also", also)
+    s = s.withColumns({"_uncertain": _some(any_unsure, F.array_sort(first), kind), "_also": _some(any_unsure, also)})
 
     last = d.days_in_month(y, m)
-    missing = F.filter(F.transform(F.coalesce("missing_days", nothing), lambda x: F.trim(x.cast("string")).try_cast("int")), lambda n: n.between(1, F.coalesce(last, F.lit(31))))
+    missing = F.filter(F.transform("missing_days", lambda x: F.trim(x.cast("string")).try_cast("int")), lambda n: n.between(1, F.coalesce(last, F.lit(31))))
+    missing = _some(F.size("missing_days") > 0, F.array_sort(F.array_distinct(missing)), "array<int>")
     dated = y.isNotNull() & m.isNotNull()
-    outside = [F.when(dated & (F.size(d.outside(F.col(f"_a{k}"), y, m)) > 0), F.concat(F.size(d.outside(F.col(f"_a{k}"), y, m)).cast("string"), F.lit(f" date(s) outside the month in {b}"))) for k, b in enumerate(ALL)]
-    told = bits.union(*(F.col(f"_o{k}") for k in range(len(ALL))), bits.bits(F.transform("_uncertain", lambda u: u["date"]), begins))
-    unaccounted = F.when(dated & (F.col("period_type") == "full_month"), bits.days(bits.less(bits.whole(last), told), begins)).otherwise(nothing)
-    issues = F.concat("_bad", "_twice", "_also", F.filter(F.array(*outside), lambda x: x.isNotNull()))
-    new = {b: F.col(f"_new_{b}") for b in ALL} | {"uncertain_days": F.col("_uncertain"), "missing_days": F.array_sort(F.array_distinct(missing)), "unaccounted": unaccounted, "issues": issues}
-    return s.select(*(new.pop(c).alias(c) if c in new else F.col(c) for c in sheets.columns), *(c.alias(n) for n, c in list(new.items())))
+    beyond = lambda k: F.size(F.filter("_away", lambda x: (x["k"] == k) & ~x["date"].startswith(begins)))
+    outside = [F.when(beyond(k) > 0, F.concat(beyond(k).cast("string"), F.lit(f" date(s) outside the month in {b}"))) for k, b in enumerate(ALL)]
+    outside = _some(dated & (F.size("_away") > 0), F.filter(F.array(*outside), lambda x: x.isNotNull()))
+    told = bits.union(*(F.col(f"_b{k}") for k in range(len(ALL))), F.when(F.size("_uncertain") > 0, bits.bits(F.transform("_uncertain", lambda u: u["date"]), begins)).otherwise(F.lit(0)))
+    unaccounted = F.when(dated & (F.col("period_type") == "full_month"), bits.less(bits.whole(last), told)).otherwise(F.lit(0))
+    issues = _some((F.size("_bad") > 0) | any_odd | any_unsure, F.concat("_bad", "_twice", "_also", outside))
+    s = s.withColumns({"uncertain_days": F.col("_uncertain"), "missing_days": missing, "issues": issues, f"_b{len(ALL)}": unaccounted, "_far": F.when(F.size("_away") > 0, F.col("_away"))})
+    ours = {"_begins", "_weekends", "_we", "_bad", "_claims", "_wrong_bits", "_clash_bits", "_mine", "_away", "_wrong", "_twice", "_uncertain", "_also"} | {f"_{x}{k}" for x in "mo" for k in range(len(ALL))}
+    return s.drop(*ours)
 
 
 def mismatches(sheets: DataFrame, calendars: DataFrame) -> DataFrame:
@@ -175,26 +234,31 @@ def month_union(sheets: DataFrame, order: str) -> DataFrame:
     """One row per person and month: lists united, reasons of uncertain days by the first sheet, missing and unaccounted days,
     covered days, period types and issues in order of appearance. Days of the month are united as bits, others as lists."""
     begins = bits.prefix(F.col("year"), F.col("month"))
-    sets = [*ALL, "unaccounted"]
-    far = F.array(*(bits.elsewhere(F.col(b), begins) for b in sets))
-    nothing = F.array().cast("array<array<string>>")
+    far = F.concat(*(F.transform(bits.elsewhere(F.col(b), begins), lambda x: F.struct(F.lit(k).alias("k"), x.alias("date"))) for k, b in enumerate(SETS)))  # noqa: B023
+    rows = sheets.withColumns({f"_b{k}": bits.bits(F.col(b), begins) for k, b in enumerate(SETS)} | {"_far": far})
+    g = united(rows, order)
+    return g.select("person", "year", "month", *(listed(b).alias(b) for b in SETS), *(c for c in g.columns if c not in {"person", "year", "month", "_far", *(f"_b{k}" for k in range(len(SETS)))}))
+
+
+def united(rows: DataFrame, order: str) -> DataFrame:
+    """``month_union`` of settled sheets, with the united lists as bits and ``_far``, for ``listed``."""
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
     # one list of what is not bits, for all lists together: each aggregate of objects costs a group more than its few rows do
-    rows = sheets.withColumn("_far", far).withColumn("_far", F.when(F.exists("_far", lambda x: F.size(x) > 0), F.col("_far")).otherwise(nothing))
     g = rows.groupBy("person", "year", "month").agg(
-        *(F.bit_or(bits.bits(F.col(b), begins)).alias(b) for b in sets), F.sum("days_covered").alias("days_covered"),
-        F.collect_list(F.struct(F.col(order).alias("at"), "uncertain_days", "issues", "missing_days", "period_type", "_far")).alias("_rows"),
+        *(F.bit_or(f"_b{k}").alias(f"_b{k}") for k in range(len(SETS))), F.sum("days_covered").alias("days_covered"),
+        F.collect_list(F.struct(F.col(order).alias("at"), some("uncertain_days"), some("issues"), some("missing_days"), "period_type", some("_far"))).alias("_rows"),
     )
-    of = lambda c: F.flatten(F.transform(F.sort_array(F.transform(F.filter("_rows", lambda x: F.size(x[c]) > 0), lambda x: F.struct(x["at"].alias("at"), x[c].alias("v")))), lambda x: x["v"]))
+    any_ = lambda c: F.exists("_rows", lambda x: x[c].isNotNull())
+    of = lambda c: F.flatten(F.transform(F.sort_array(F.transform(F.filter("_rows", lambda x: x[c].isNotNull()), lambda x: F.struct(x["at"].alias("at"), x[c].alias("v")))), lambda x: x["v"]))
     known = lambda c: F.filter(F.transform("_rows", lambda x: x[c]), lambda x: x.isNotNull())
+    kinds = dict(rows.dtypes)
     g = g.withColumns({
-        "missing_days": F.array_sort(F.array_distinct(F.flatten(known("missing_days")))), "_u": of("uncertain_days"), "issues": F.array_distinct(of("issues")),
-        "period_types": F.array_sort(F.array_distinct(known("period_type"))), "_away": F.filter(F.transform("_rows", lambda x: x["_far"]), lambda x: F.size(x) > 0),
+        "missing_days": _some(any_("missing_days"), F.array_sort(F.array_distinct(F.flatten(known("missing_days")))), kinds["missing_days"]), "_u": _some(any_("uncertain_days"), of("uncertain_days"), kinds["uncertain_days"]),
+        "issues": _some(any_("issues"), F.array_distinct(of("issues"))), "period_types": F.array_sort(F.array_distinct(known("period_type"))), "_far": F.when(any_("_far"), F.flatten(known("_far"))),
     })
-    g = g.withColumns({f"_{b}": F.flatten(F.transform("_away", lambda x: F.get(x, F.lit(k)))) for k, b in enumerate(sets)})  # noqa: B023
-    g = g.withColumns({b: F.when(F.size(f"_{b}") == 0, bits.days(F.col(b), begins)).otherwise(F.array_sort(F.array_distinct(F.concat(bits.days(F.col(b), begins), f"_{b}")))) for b in sets})
     first = F.filter(F.transform("_u", lambda u, i: F.when(~F.exists(F.slice(F.col("_u"), 1, i), lambda v: v["date"] == u["date"]), u)), lambda u: u.isNotNull())
     tag = F.concat(F.lit("group:"), F.substring(F.sha1(F.concat_ws("|", "person", F.coalesce("month", F.lit(0)), F.coalesce("year", F.lit(0)))), 1, 12))
-    return g.withColumn("uncertain_days", F.array_sort(first)).withColumn("tag", tag).drop("_u", "_rows", "_away", *(f"_{b}" for b in sets))
+    return g.withColumns({"uncertain_days": F.when(F.size("_u") > 0, F.array_sort(first)).otherwise(F.col("_u")), "tag": tag}).drop("_u", "_rows")
 
 
 def identities(sheets: DataFrame, senders: DataFrame) -> DataFrame:

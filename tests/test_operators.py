@@ -141,3 +141,36 @@ def test_crossing_groups_hold_numbers_not_lists(spark):
         assert want and {(x.person, x.year, x.month, x.date, *x.buckets) for x in s.crossing(df).collect()} == want
     for plan in (s.crossing(df), plans.crossing_sheets(spark, "/root/testdata/sf0.001")):
         assert "collect_" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sheets_of_bits_are_cleaned_as_their_lists_are(spark):
+    """Bits and dates of other months, against the same sheets as lists; the query's sheets and their unions meet in one exchange."""
+    import random
+
+    from periodica.functions import daybits as bits
+    from periodica.functions import sheets as s
+    from periodica.plans import sheets as plans
+
+    r = random.Random(5)
+    rows = []
+    for k in range(200):
+        year, month = r.choice([(2024, 2), (2024, 2), (2023, 12), (None, 2)])
+        masks = [sum(1 << (x - 1) for x in r.sample(range(1, 30), r.choice([0, 0, 1, 3]))) if year else 0 for _ in s.ALL]
+        far = sorted((b, f"2024-0{r.randint(4, 5)}-1{r.randint(0, 2)}") for b in range(len(s.ALL)) if r.random() < 0.15)
+        unsure = [("2024-02-07 ", "late"), ("2024-02-07", "x"), ("2024-04-10", None), ("soon", "x")][: r.choice([0, 0, 4])]
+        rows.append((f"p{k % 9}", year, month, k, r.choice(["full_month", "week", None]), 1, unsure, r.choice([[], [3, 31, 2]]), far or None, *masks))
+    uncertain, ints = "array<struct<date: string, reason: string>>", ", ".join(f"{b} int" for b in s.ALL)
+    df = spark.createDataFrame(rows, f"person string, year int, month int, seq int, period_type string, days_covered long, uncertain_days {uncertain}, missing_days array<int>, _far {s.FAR}, {ints}")
+    begins = bits.prefix(F.col("year"), F.col("month"))
+    dated = lambda k, b: F.concat(F.coalesce(bits.days(F.col(b), begins), F.array().cast("array<string>")), F.transform(F.filter(F.coalesce("_far", F.array().cast(s.FAR)), lambda x: x["k"] == k), lambda x: x["date"]))
+    lists = df.withColumns({b: dated(k, b) for k, b in enumerate(s.ALL)}).drop("_far")
+    settled = s.settled(s.marked_bits(df))
+    shown = ["seq", *s.SETS, "uncertain_days", "missing_days", "issues"]
+    got = settled.select(*(s.listed(c).alias(c) if c in s.SETS else F.col(c) for c in shown)).orderBy("seq").collect()
+    assert got == s.normalise(lists).select(shown).orderBy("seq").collect() and any(x.issues for x in got) and any(x.unaccounted for x in got)
+    g = s.united(settled, "seq")
+    shown[0] = "tag"
+    got = g.select(*(s.listed(c).alias(c) if c in s.SETS else F.col(c) for c in shown)).orderBy("tag").collect()
+    assert got == s.month_union(s.normalise(lists), "seq").select(shown).orderBy("tag").collect()
+    said = plans.month_union(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert said.count("Exchange ") == 1
