@@ -15,6 +15,7 @@ from periodica.functions import names as n
 from periodica.functions import similarity
 from periodica.functions import text as x
 from periodica.operators import near, ordering, predicates, updates
+from periodica.operators.stored import folder as near_folder
 
 
 def subsequence(a, b):
@@ -375,6 +376,32 @@ def test_long_texts_of_the_same_words_are_not_linked():
     assert {tuple(sorted(x)) for x in zip(u.tolist(), v.tolist())} == {(0, 12), (3, 13)}
 
 
+def test_each_text_is_stored_once_however_many_tiles_it_meets(spark, monkeypatch):
+    """Texts were shuffled once for each tile that they met. Long texts are told apart by bits of longer grams, which lose no near pair."""
+    monkeypatch.setattr(near, "TILE", 8)
+    folders = []
+    monkeypatch.setattr(near, "folder", lambda spark, name: folders.append(near_folder(spark, name)) or folders[-1])
+    rng, rows = random.Random(8), []
+    words = ["".join(rng.choice("abcdefghijklmnop" * 6 + "qrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    for _ in range(30):
+        base = " ".join(rng.choice(words) for _ in range(rng.choice((8, 60, 70, 80, 450))))
+        thread = rng.choice("aaab")
+        for _ in range(rng.choice((1, 3, 4))):
+            text = list(base)
+            for _ in range(rng.randrange(1 + len(text) // 60)):
+                text[rng.randrange(len(text))] = rng.choice("abcxyz 019")
+            rows.append((thread, len(rows), "".join(text)))
+    df = spark.createDataFrame(rows, "thread string, id long, text string").withColumn("size", F.char_length("text"))
+    links = near.candidate_links(df, "thread")
+    assert "CoGroup" not in links._jdf.queryExecution().executedPlan().toString()
+    root = {r.id: r.root for r in near.parts(links).collect()}
+    near_pairs = [(i, j) for g, i, a in rows for h, j, b in rows if g == h and i < j and SequenceMatcher(None, a, b).ratio() >= near.NEAR]
+    assert len(near_pairs) > 15 and all(i in root and root[i] == root[j] for i, j in near_pairs)
+    (path,) = folders
+    several = spark.read.parquet(path)
+    assert several.count() == several.select("id").distinct().count() > 20 and several.select("at").distinct().count() > 4
+
+
 def test_parts_of_links(spark):
     links = [(5, 4), (4, 3), (3, 2), (9, 8), (7, 7), *((k, k + 1) for k in range(100, 140)), *((500, k) for k in range(501, 560))]
     got = {r.id: r.root for r in near.parts(spark.createDataFrame(links, "u long, v long")).collect()}
