@@ -2,13 +2,14 @@
 
 Two names agree if they are equal, if one is a short form of the other, or if they are alike (``similarity``). Candidates for short forms
 and equal names meet by keys that every such pair shares. Alike names meet in tiles: the distinct names of both sides are cut into tiles of
-at most ``TILE`` names by length, only tiles of compatible lengths meet, and matrix products over the characters rule out nearly all
+at most ``TILE`` names by length, only tiles of compatible lengths meet, and what pairs of letters names have in common rules out nearly all
 of a tile's pairs before any is scored. No pair that agrees is lost, and no group is larger than two tiles.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from periodica.functions import similarity
+from periodica.operators.stored import stored
 
 # What stands where no name could be read, and the lead a best candidate needs.
 PLACEHOLDERS = (
@@ -25,7 +27,7 @@ PLACEHOLDERS = (
 )
 LEAD = 8
 
-TILE = 2048
+TILE = 1 << 14
 #: Sorted words that are alike by ``TOKEN_RATIO`` are at most so many times as long as one another.
 STRETCH = (200 - similarity.TOKEN_RATIO) / similarity.TOKEN_RATIO + 1e-6
 #: Names of more words give a key for each word, others one for each pair of words.
@@ -128,12 +130,11 @@ def _tiled(names: DataFrame, column: str) -> tuple[DataFrame, dict[int, int]]:
 
 def _met(names: DataFrame, column: str, tiles: dict[int, int], mine: str, other: str) -> DataFrame:
     """Each name in every meeting of its tile with a tile of the other side."""
-    others = {k: [(c, t) for c in (k - 1, k, k + 1) for t in range(tiles.get(c, 0))] for k in range(min(tiles, default=0) - 1, max(tiles, default=-1) + 2)}
-    pairs = F.lit(None).cast("array<struct<k:int,t:int>>")
-    for k, met in others.items():
-        if met:
-            pairs = F.when(F.col("kind") == k, F.array(*(F.struct(F.lit(c).alias("k"), F.lit(t).alias("t")) for c, t in met))).otherwise(pairs)
-    each = names.withColumn("met", F.explode(pairs))
+    # an expression of the same size however many tiles there are
+    many = F.create_map(*(F.lit(int(x)) for kv in tiles.items() for x in kv))
+    count = lambda c: F.coalesce(F.try_element_at(many, c), F.lit(0))
+    of = lambda c: F.transform(F.filter(F.sequence(F.lit(0), count(c)), lambda t: t < count(c)), lambda t: F.struct(c.alias("k"), t.alias("t")))
+    each = names.withColumn("met", F.explode(F.concat(*(of(F.col("kind") + k) for k in (-1, 0, 1)))))
     own = [F.col("kind").alias(f"{mine}_kind"), F.col("tile").alias(f"{mine}_tile")]
     return each.select(column, *own, F.col("met.k").alias(f"{other}_kind"), F.col("met.t").alias(f"{other}_tile"))
 
@@ -152,7 +153,7 @@ def alike_pairs(said: DataFrame, names: DataFrame) -> DataFrame:
             return pa.table({"said": pa.array([], pa.string()), "name": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
         texts = pa.chunked_array([*x["said"].chunks, *y["name"].chunks]).combine_chunks()
         prepared = similarity.Names(texts.to_pylist())
-        i, j = similarity.may_agree(prepared, np.arange(n), np.arange(n, n + m))
+        i, j = similarity.may_be_alike(prepared, np.arange(n), np.arange(n, n + m))
         # short forms and equal names, which need not be alike by their words, meet by keys
         i, j = similarity.by_words(prepared, i, j + n)
         return pa.Table.from_batches([_scored(texts, texts, i, j, prepared)])
@@ -193,7 +194,7 @@ def resolve(asked: DataFrame, roster: DataFrame, key: str | None = None) -> Data
     return asked.join(best, ["said", *keys], "left").select("asked_id", "match", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def match_people(asked: DataFrame, roster: DataFrame) -> DataFrame:
+def match_people(asked: DataFrame, roster: DataFrame, write: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """asked_id, match, code of every row of ``asked`` (asked_id, badge, name; optionally hint, a roster id).
 
     Roster: id, badge, name. The name decides first (the hinted person if it agrees, then the one person that it means), then the badge
@@ -203,7 +204,8 @@ def match_people(asked: DataFrame, roster: DataFrame) -> DataFrame:
     hint = F.col("hint") if "hint" in asked.columns else F.lit(None).cast(dict(roster.dtypes)["id"])
     badge = F.nullif(F.upper(F.trim("badge")), F.lit(""))
     rows = asked.select("asked_id", badge.alias("badge"), F.when(~is_placeholder(F.col("name")), F.lower(F.trim("name"))).alias("said"), hint.alias("hint"))
-    people = roster.select("id", badge.alias("badge"), "name")
+    # both are read several times, and what they are made of may be one small file
+    rows, people = write(rows), write(roster.select("id", badge.alias("badge"), "name"))
     hinted = rows.join(people.select(F.col("id").alias("hint"), "name"), "hint").select("asked_id", "hint", "said", "name")
     agrees = scored_pairs(hinted.select("said", "name").distinct())
     hinted = hinted.join(agrees, ["said", "name"]).select("asked_id", F.col("hint").alias("by_hint"))

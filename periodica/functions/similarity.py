@@ -245,6 +245,12 @@ def by_words(names: Names, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np
 
 #: Classes that characters are put in, how many of a class are told apart, and pairs that are looked at once.
 CLASSES, TIMES, HITS = 40, 3, 1 << 16
+#: Pairs of which a product is made at once.
+PRODUCT = 1 << 22
+#: A key is frequent if one in so many names has it.
+OFTEN = 16
+#: The code of a blank, and how many common pairs of letters tell enough.
+BLANK, TELLING = ord(" ") + 1, 4
 
 
 def sketch(names: Names) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,14 +263,14 @@ def sketch(names: Names) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bags, np.maximum(counts - TIMES, 0).sum(1), names.sorted.sizes
 
 
-def may_agree(names: Names, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def may_agree(names: Names, i: np.ndarray, j: np.ndarray, sketched: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of ``i`` x ``j`` that can be alike by both ratios, by matrix products of their sketches; none that are is lost.
 
     A common subsequence has no more characters than the bags have in common. Sorted words that are ``TOKEN_RATIO`` alike have
     0.35 of both lengths in common; and of names of like length either the plain or a sorted one is ``RATIO`` alike, with 0.41 of both
     lengths in common, or a word is shared.
     """
-    bags, rest, size = sketch(names)
+    bags, rest, size = sketched or sketch(names)
     raw = names.raw.sizes
     once = np.maximum(names.unique.sizes - 1, 0)
     a, b = raw[i], raw[j]
@@ -288,6 +294,116 @@ def may_agree(names: Names, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, n
     return x[keep], y[keep]
 
 
+# --- the same by counts of pairs of letters, without a product over all pairs ---
+
+
+def _letter_pairs(of: Strings) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): of each row the pairs of neighbouring characters in its words; the second of equal ones has another key than the first."""
+    codes = of.codes
+    if codes.shape[1] < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    row, col = np.nonzero((codes[:, 1:] != 0) & (codes[:, 1:] != BLANK) & (codes[:, :-1] != BLANK))
+    pair = (codes[row, col] << 21) | codes[row, col + 1]
+    order = np.lexsort((pair, row))
+    row, pair = row[order], pair[order]
+    fresh = np.r_[True, (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])] if len(row) else np.zeros(0, bool)
+    at = np.arange(len(row))
+    times = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    _, pair = np.unique(pair, return_inverse=True)
+    return row, pair * (int(times.max(initial=0)) + 1) + times
+
+
+class _Places:
+    """For each row of one side the rows of the other that have a key in common, by a list of rows for each key."""
+
+    def __init__(self, row: np.ndarray, key: np.ndarray, i: np.ndarray, j: np.ndarray, n: int):
+        place = np.full(n, -1)
+        place[j] = np.arange(len(j))
+        known, key = np.unique(key, return_inverse=True)
+        right = np.flatnonzero(place[row] >= 0)
+        right = right[np.argsort(key[right], kind="stable")]
+        self.rows, self.ends = place[row[right]], np.searchsorted(key[right], np.arange(len(known) + 1))
+        order = np.argsort(row, kind="stable")
+        self.keys, self.of = key[order], np.searchsorted(row[order], np.arange(n + 1))
+        # what many rows have is a row of flags, which are added faster than places are
+        many = np.flatnonzero(np.diff(self.ends) * OFTEN > max(1, len(j)))
+        self.flags, self.at = np.zeros((len(many), len(j)), np.uint8), np.full(len(known), -1)
+        self.at[many] = np.arange(len(many))
+        for at, k in enumerate(many.tolist()):
+            self.flags[at, self.rows[self.ends[k] : self.ends[k + 1]]] = 1
+
+    def counts(self, i: int, out: np.ndarray) -> np.ndarray:
+        """How many keys of row ``i`` each of the others has, in ``out``; 255 at most, for rows of no more keys."""
+        out[:] = 0
+        keys = self.keys[self.of[i] : self.of[i + 1]]
+        for k, at in zip(keys.tolist(), self.at[keys].tolist()):
+            if at >= 0:
+                np.add(out, self.flags[at], out=out)
+            else:
+                out[self.rows[self.ends[k] : self.ends[k + 1]]] += 1
+        return out
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        found = [self.rows[self.ends[k] : self.ends[k + 1]] for k in self.keys[self.of[i] : self.of[i + 1]].tolist()]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _least_shared(a: int, b: np.ndarray, ratio: float) -> np.ndarray:
+    """How many pairs of neighbours strings of these lengths have in common at least, if they are ``ratio`` alike.
+
+    What is left unmatched of both is known; it cuts what is matched in at most one more run than it has characters, and a
+    run of so many characters has one pair less.
+    """
+    apart = np.floor((1 - ratio / 100) * (a + b) + 1e-9).astype(np.int64)
+    apart -= (a + b - apart) % 2
+    return (a + b - apart) // 2 - apart - 1
+
+
+def may_be_alike(names: Names, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``i`` and ``j`` of all pairs that can be alike by both ratios, as ``may_agree`` gives them.
+
+    Names of like length are alike by their characters or by those of their sorted words, and then have pairs of neighbours in common, or share a word.
+    Pairs with a blank aside, both writings of a name have the same. Where that says little (names of unlike lengths or with a word twice, short
+    ones of many words) it is left to ``may_agree``.
+    """
+    n = len(names.raw.sizes)
+    raw, size, twice = names.raw.sizes, names.sorted.sizes, np.maximum(names.unique.sizes - 1, 0) != names.sorted.sizes
+    letters = ((names.sorted.codes != 0) & (names.sorted.codes != BLANK)).sum(1)
+    pairs = _Places(*_letter_pairs(names.sorted), i, j, n)
+    row, col = np.nonzero(names.words)
+    words = _Places(row, names.words[row, col], i, j, n)
+    space, sketched = np.zeros(len(j), np.uint8), None
+    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    # left names of the same lengths ask the same of all right ones
+    _, kind = np.unique(np.stack([raw[i], size[i], letters[i], twice[i]]), axis=1, return_inverse=True)
+    kind = kind.ravel()
+    for k in range(int(kind.max(initial=-1)) + 1):
+        rows = np.flatnonzero(kind == k)
+        a, s = int(raw[i[rows[0]]]), int(size[i[rows[0]]])
+        # each blank is in two pairs at most
+        needs = ((a, raw, RATIO), (s, size, RATIO / 0.95))
+        need = np.minimum(*(_least_shared(m, of[j], ratio) - 2 * np.minimum(m - letters[i[rows[0]]], of[j] - letters[j]) for m, of, ratio in needs))
+        left = (np.maximum(a, raw[j]) >= 1.5 * np.minimum(a, raw[j])) | (need < TELLING) | twice[j] | bool(twice[i[rows[0]]]) | (np.maximum(a, raw[j]) > 255)
+        need = np.clip(need, 0, 255).astype(np.uint8)
+        other = np.flatnonzero(left)
+        step = max(1, PRODUCT // max(1, len(other)))
+        for lo in range(0, len(rows) if len(other) else 0, step):
+            sketched = sketched or sketch(names)
+            u, v = may_agree(names, i[rows[lo : lo + step]], j[other], sketched)
+            x.append(rows[lo : lo + step][u])
+            y.append(other[v])
+        if len(other) == len(j):
+            continue
+        for r in rows.tolist():
+            hit = pairs.counts(i[r], space) >= need
+            hit[words[i[r]]] = True
+            hit[other] = False
+            found = np.flatnonzero(hit)
+            x.append(np.full(len(found), r))
+            y.append(found)
+    return np.concatenate(x), np.concatenate(y)
+
+
 def _mark_shared(hit: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
     """Set where a row of ``x`` and one of ``y`` have a word in common."""
     def of(words):

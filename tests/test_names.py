@@ -408,6 +408,35 @@ def test_parts_of_links(spark):
     assert got == {5: 2, 4: 2, 3: 2, 2: 2, 9: 8, 8: 8} | dict.fromkeys(range(100, 141), 100) | dict.fromkeys(range(500, 560), 500)
 
 
+def test_letter_pairs_lose_no_alike_names_and_plans_do_not_grow_with_tiles(spark):
+    """The plan named every meeting of two tiles, on the driver; and a tile's names were held against all others by products."""
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("aeiourstlnm") for _ in range(rng.randint(1, 9))) for _ in range(120)] + ["".join(rng.choice("kqvxzjwbhgabcdef") for _ in range(8)) for _ in range(60)]
+
+    def called():
+        name = rng.choice([" ", "  ", " "]).join(rng.choice(vocabulary) for _ in range(rng.choice((1, 1, 2, 2, 3, 3, 4))))
+        for _ in range(rng.choice((0, 0, 1, 2, 3))):
+            k = rng.randrange(len(name) + 1)
+            name = name[:k] + rng.choice(["", "x", "a", " "]) + name[k + rng.randrange(2) :]
+        return name
+
+    for _ in range(3):
+        a = sorted({called() for _ in range(400)} | {"kqvxzjwb " * 40 + "a", "jkl " + "m" * 300})
+        b = sorted({called() for _ in range(300)} | set(rng.sample(a, 60)) | {x[:-1] + "q" for x in a[::3]} | {" ".join(reversed(x.split())) for x in a[::5]})
+        both, i, j = similarity.Names(a + b), np.arange(len(a)), np.arange(len(a), len(a) + len(b))
+        x, y = similarity.by_words(both, np.repeat(i, len(b)), np.tile(j, len(a)))
+        short = np.concatenate([similarity.Pairs(both, x[k : k + 5000], y[k : k + 5000]).short_forms() for k in range(0, len(x), 5000)])
+        keep = ~np.isnan(similarity.scores(both, x, y)) & ~short & ~(both.raw.codes[x] == both.raw.codes[y]).all(1)
+        alike = set(zip(x[keep].tolist(), y[keep].tolist()))
+        p, q = similarity.may_be_alike(both, i, j)
+        found = set(zip(i[p].tolist(), j[q].tolist()))
+        assert len(found) == len(p) < len(a) * len(b) / 4 and len(alike) > 60 and not alike - found
+    df = spark.createDataFrame([("ann lee", 5, 0)], "said string, kind int, tile int")
+    plans = [n._met(df, "said", {5: many, 6: many}, "a", "b")._jdf.queryExecution().analyzed().toString() for many in (3, 3000)]
+    assert abs(len(plans[0]) - len(plans[1])) < 50
+    assert n._met(df, "said", {4: 2, 6: 3, 9: 1}, "a", "b").count() == 5
+
+
 def test_ordering(spark):
     df = spark.createDataFrame([(1, 0, 5), (1, 3, 9), (1, 5, 7), (1, 6, 8), (2, 1, 2)], "k int, s long, e long")
     assert sorted(map(tuple, ordering.spans_apart(df, "k", "s", "e").collect())) == [(1, 0, 5), (1, 5, 7), (2, 1, 2)]
