@@ -110,7 +110,9 @@ def keyed_pairs(said: DataFrame, names: DataFrame) -> DataFrame:
 
     def by(a, b):
         left = said.select("said", F.explode(F.array_distinct(a(F.col("said")))).alias("key"))
-        return left.join(names.select("name", F.explode(F.array_distinct(b(F.col("name")))).alias("key")), "key").select("said", "name")
+        right = names.select("name", F.explode(F.array_distinct(b(F.col("name")))).alias("key"))
+        # a name gives some twenty keys, which its table's size says nothing of: never broadcast through the driver
+        return left.join(right.hint("merge"), "key").select("said", "name")
 
     return by(short_keys, long_keys).unionAll(by(long_keys, short_keys)).distinct()
 

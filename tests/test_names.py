@@ -432,6 +432,8 @@ def test_letter_pairs_lose_no_alike_names_and_plans_do_not_grow_with_tiles(spark
         found = set(zip(i[p].tolist(), j[q].tolist()))
         assert len(found) == len(p) < len(a) * len(b) / 4 and len(alike) > 60 and not alike - found
     df = spark.createDataFrame([("ann lee", 5, 0)], "said string, kind int, tile int")
+    keyed = n.keyed_pairs(df.select("said"), df.select(F.col("said").alias("name")))
+    assert "Broadcast" not in keyed._jdf.queryExecution().executedPlan().toString() and keyed.count() == 1
     plans = [n._met(df, "said", {5: many, 6: many}, "a", "b")._jdf.queryExecution().analyzed().toString() for many in (3, 3000)]
     assert abs(len(plans[0]) - len(plans[1])) < 50
     assert n._met(df, "said", {4: 2, 6: 3, 9: 1}, "a", "b").count() == 5
